@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._util import split_test, text_bytes, words_of
 
-STEM = 5  # bytes; a word of no more has no stem
+STEMS = (4, 5)  # bytes; a word of no more has no such stem
 _CACHE = 400_000
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_LETTER = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
@@ -47,7 +47,7 @@ def bins(stats: dict[str, float]) -> list[int]:
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    return (crc32(word), crc32(word[:STEM], 1)) if len(word) > STEM else (crc32(word),)
+    return (crc32(word), *(crc32(word[:n], n) for n in STEMS if len(word) > n))
 
 
 def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +120,14 @@ def document_counts(rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarra
     return u, np.bincount(inv, minlength=len(u)), np.bincount(inv, w, len(u))
 
 
+def distinct_families(rows) -> list[int]:
+    """One row of each family of copies: those whose three least hashed features agree, as near copies mostly do."""
+    first: dict[tuple, int] = {}
+    for i, (ids, _) in enumerate(rows):
+        first.setdefault(tuple(np.sort(ids * np.uint32(2654435761))[:3].tolist()), i)
+    return list(first.values())
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

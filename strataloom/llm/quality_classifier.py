@@ -5,7 +5,8 @@ positives P, unlabelled web text U and the class prior c,
 
     risk = c * loss(P, +1) + max(0, loss(U, -1) - c * loss(P, -1)).
 
-Where the second term would fall below zero, the step goes against its gradient instead.
+Where the second term falls below zero by more than a tolerance, the step goes back
+against its gradient instead.
 The prior is estimated: a first classifier tells P from U on one half of the sample, and
 on the other half the share of U among what looks positive bounds c.  No negative label
 is used.
@@ -18,19 +19,28 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .features import Sparse, adam, bounded, document_counts, learnable, sampled_features, score_texts, sigmoid
+from .features import Sparse, adam, bounded, distinct_families, document_counts, learnable, sampled_features, score_texts, sigmoid
 
 #: Trusted positives and unlabelled documents learned from, at most.
 SAMPLE_ROWS = 10_000
 CUT = 0.3
+#: Evidence a feature needs; half of it if fewer than ten features have that much.
+Z_SCORE = 5.0
+#: How far the second term may fall below zero, and the share of the step taken back then.
+TOLERANCE, BACK = 0.05, 0.2
 
 
 def _columns(rows, pos: np.ndarray) -> np.ndarray:
-    """Features that tell the two samples apart."""
-    u, n, p = document_counts(rows, pos)
-    share = pos.mean()
-    z = (p - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    return u[(n >= 4) & (np.abs(z) > 2.5)]
+    """Features that tell the two samples apart beyond doubt; a family of copies counts once in each."""
+    sides = [np.flatnonzero(pos == v) for v in (1, 0)]
+    one = np.concatenate([side[distinct_families([rows[i] for i in side])] for side in sides])
+    u, n, p = document_counts([rows[i] for i in one], pos[one])
+    share = pos[one].mean()
+    z = np.abs(p - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
+    for least in (Z_SCORE, Z_SCORE / 2):
+        if ((n >= 8) & (z > least)).sum() >= 10:
+            break
+    return u[(n >= 8) & (z > least)]
 
 
 def estimate_prior(rows, pos: np.ndarray, half: np.ndarray) -> float:
@@ -79,10 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         gap = np.logaddexp(0, g)  # loss as a negative
         negative = (gap * (1 - pos)).sum() / n_u - prior * (gap * pos).sum() / n_p
         as_negative = s * ((1 - pos) / n_u - prior * pos / n_p)
-        r = prior * (s - 1) * pos / n_p + as_negative if negative >= 0 else -as_negative
-        return np.r_[x.tdot(r), r.sum()] + 1e-4 * np.r_[w[:-1], 0]
+        r = prior * (s - 1) * pos / n_p + as_negative if negative >= -TOLERANCE else -BACK * as_negative
+        return np.r_[x.tdot(r), r.sum()] + 1e-5 * np.r_[w[:-1], 0]
 
-    w = adam(gradient, x.k + 1, 300)
+    w = adam(gradient, x.k + 1, 600)
     return {int(f): round(float(v), 6) for f, v in zip(columns, w) if abs(v) > 1e-3}, round(float(w[-1]), 6), prior
 
 

@@ -383,7 +383,7 @@ def _answers(t):
     return _rows([(bucket, r, planes(np.array(x, np.int64).reshape(-1))) for r, x in zip(runs, out) if x], "bucket:i run:i blob:b")
 
 
-def _cut(nb: int, with_text: bool):
+def _cut(nb: int, with_text: bool, carry: tuple[str, ...]):
     def run(key, t, said):
         ids, buf, offs, t = _docs_of(t)
         kind = said["kind"].to_pylist()
@@ -410,33 +410,37 @@ def _cut(nb: int, with_text: bool):
             n = int(m.sum())
             starts = int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) if n else 0
             rest = buf[a:e][~m].tobytes() if n else raw[a:e]
-            rows.append((int(ids[d]), e - a, n, starts, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else []), t["row"][d].as_py()))
-        return _rows(rows, "doc_id:l n_bytes:l n_removed:l n_spans:l kept_sha256:s " + "kept:b " * with_text + "row:l")
+            rows.append((int(ids[d]), e - a, n, starts, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else [])))
+        out = _rows(rows, "doc_id:l n_bytes:l n_removed:l n_spans:l kept_sha256:s" + " kept:b" * with_text)
+        for c in carry:
+            out = out.append_column(c, t[c])
+        return out
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), run_bytes: int = RUN_BYTES) -> DataFrame:
     """For each row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes.
 
     Null text is empty.  Rows that share a doc_id don't shorten one another; copies in them
     are cut by smaller ids only.  A null doc_id neither cuts nor is cut: its text stays whole.
-    Extra columns of docs are ignored.  An empty table gives an empty result.  Cutting works
-    on bytes, so kept text may start or end inside a UTF-8 character.
+    Columns of docs named in carry come along, others are ignored.  An empty table gives an
+    empty result.  Cutting works on bytes, so kept text may start or end inside a UTF-8 character.
     """
-    base = text_bytes(docs.select("doc_id", "text"))
+    base = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry))
     n_runs = run_count(base, "text", run_bytes)
     nb = max(8, n_runs)
-    some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)).cast("int")).withColumn("row", F.lit(0).cast("long"))
+    some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)).cast("int"))
     hashes = some.groupBy("run").applyInArrow(_hashes(nb), "bucket int, run int, hashes binary, multi binary, n int")
     shared = hashes.groupBy("bucket").applyInArrow(_shared, "bucket int, run int, blob binary")
     sent = some.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_send(nb), "bucket int, run int, lcps binary, sizes binary, rest binary, least binary, span binary")
     answers = sent.groupBy("bucket").applyInArrow(_answers, "bucket int, run int, blob binary")
     said = shared.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, " + "kept binary, " * with_text + "row long"
-    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(_cut(nb, with_text), schema).drop("row")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema += "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
+    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(_cut(nb, with_text, carry), schema)
     whole = base.filter("doc_id is null").select(
-        F.lit(None).cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []),
-    )
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []), *carry,
+    )
     return out.unionByName(whole)

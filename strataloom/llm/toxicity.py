@@ -18,7 +18,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .features import _BINS, Sparse, adam, bounded, document_counts, learnable, sampled_features, score_texts, sigmoid, word_features
+from .features import _BINS, Sparse, adam, bounded, distinct_families, document_counts, learnable, sampled_features, score_texts, sigmoid, word_features
 
 #: Labelled rows learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -68,12 +68,15 @@ def fit_label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
 
 
 def _drawn(rows, y: np.ndarray, stats: set[int]) -> np.ndarray:
-    """Features that speak clearly for label 1: seen five times or more, with six times the odds at a z of 3 or more."""
-    u, n, pos = document_counts(rows, y)
-    rate = (pos + 0.5) / (y.sum() + 1)
-    rest = (n - pos + 0.5) / ((1 - y).sum() + 1)
-    z = (np.log(rate) - np.log(rest)) / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
-    return np.array([f for f in u[(n >= 5) & (rate > 6 * rest) & (z > 3)].tolist() if f not in stats], np.uint32)
+    """Features that speak for label 1: the lower bound (two standard errors) of its share among their rows is 0.5 or more.
+
+    A family of copies counts once, else the rare words of a copied text would look telling.
+    """
+    one = distinct_families(rows)
+    u, n, pos = document_counts([rows[i] for i in one], y[one])
+    p, z2 = pos / n, 4.0
+    low = (p + z2 / 2 / n - np.sqrt(z2 * (p * (1 - p) + z2 / 4 / n) / n)) / (1 + z2 / n)
+    return np.array([f for f in u[(n >= 5) & (low >= 0.5)].tolist() if f not in stats], np.uint32)
 
 
 def _stat_ids(name: str, least: int) -> set[int]:
@@ -131,4 +134,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that aren't predicted toxic, as they are; ids that several rows share stand or fall together."""
     bad = score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
