@@ -11,7 +11,7 @@ which every bucket needs all three levels are missed once in some hundreds.
 
 Equal sets are joined first and stand as one row.  A bucket that no splitting shrinks (a
 family of near copies) is compared in blocks of pairs of chunks; what leaves a bucket is
-a spanning forest of its candidate pairs, never the pairs.  The components of these
+the stars of its candidate components, never the pairs.  The components of these
 forests are the groups in which every pair is then verified on the whole shingle sets,
 again in chunks; this finds the links that the buckets missed inside a group, too.
 """
@@ -144,28 +144,31 @@ def _pairs(chunk: np.ndarray, a: int, b: int):
         yield rows[at : at + 64], cols
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs."""
-    up = list(range(n))
+class _Forest:
+    """Stars of the components of all pairs that one call finds, whatever bucket they come from."""
 
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
         return x
 
-    out = []
-    for i, j in pairs:
-        for x, y in zip(i.tolist(), j.tolist()):
-            a, b = find(x), find(y)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((x, y))
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(c, x) for x in list(self.up) if (c := self.find(x)) != x]
 
 
 def _candidates(t):
-    """Spanning forests of the pairs of each bucket whose sketches agree enough."""
+    """Stars of the pairs whose sketches agree enough, in the buckets of one call."""
     need = int(SKETCH * (THRESHOLD - SLACK))
     t = t.combine_chunks()
     path, ca, cb, chunk, rep = (t[c].to_numpy(zero_copy_only=False) for c in ("path", "cell_a", "cell_b", "chunk", "rep"))
@@ -173,25 +176,23 @@ def _candidates(t):
     path, ca, cb, chunk, rep = (x[order] for x in (path, ca, cb, chunk, rep))
     sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u4").reshape(-1, SKETCH)[order]
     new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]) if len(path) else []
-    out: set[tuple[int, int]] = set()
+    forest = _Forest()
     for x, y in zip(new, np.r_[new[1:], len(path)] if len(path) else []):
         if y - x == 2:
-            if ca[x] == cb[x] or chunk[x] != chunk[x + 1]:
-                if (sig[x] == sig[x + 1]).sum() >= need:
-                    out.add((int(rep[x]), int(rep[x + 1])))
+            if (ca[x] == cb[x] or chunk[x] != chunk[x + 1]) and (sig[x] == sig[x + 1]).sum() >= need:
+                forest.add(rep[x : x + 1], rep[x + 1 : x + 2])
             continue
-        found, s = [], sig[x:y]
+        s = sig[x:y]
         for rows, cols in _pairs(chunk[x:y], ca[x], cb[x]):
             i, j = np.nonzero((s[rows][:, None, :] == s[cols][None, :, :]).sum(axis=2) >= need)
-            i, j = rows[i], cols[j]
-            found.append((i[i != j], j[i != j]))
-        out.update((int(rep[x + i]), int(rep[x + j])) for i, j in _forest(y - x, found))
-    a, b = zip(*out) if out else ((), ())
+            forest.add(rep[x + rows[i]], rep[x + cols[j]])
+    stars = forest.edges()
+    a, b = zip(*stars) if stars else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verify(t):
-    """Links of each member of each cell, counted on whole sets, and a spanning forest of the links."""
+    """Links of each member of each cell, counted on whole sets, and stars of the links."""
     t = t.combine_chunks()
     comp, ca, cb, chunk, rep = (t[c].to_numpy(zero_copy_only=False) for c in ("component", "cell_a", "cell_b", "chunk", "rep"))
     order = np.lexsort((rep, cb, ca, comp))
@@ -202,6 +203,7 @@ def _verify(t):
     from xxhash import xxh3_128_digest
 
     rows: list[tuple] = []
+    forest = _Forest()
     for x, y in zip(new, np.r_[new[1:], len(comp)] if len(comp) else []):
         own, at = [], []
         for r in range(x, y):
@@ -220,7 +222,7 @@ def _verify(t):
         who, code = who[common], code[common]
         o = np.argsort(code, kind="stable")
         who, code = who[o], np.cumsum(np.r_[0, np.diff(code[o]) > 0]) if len(o) else code
-        links, found = np.zeros(len(own), np.int64), []
+        links = np.zeros(len(own), np.int64)
         cols = np.flatnonzero(chunk[at] == cb[x])
         rws = np.flatnonzero(chunk[at] == ca[x])
         both = np.zeros((len(rws), len(cols)), np.float32)
@@ -243,9 +245,9 @@ def _verify(t):
         else:
             np.add.at(links, i, 1)
             np.add.at(links, j, 1)
-        found.append((i, j))
+        forest.add(rep[at[i]], rep[at[j]])
         rows += [(int(rep[at[m]]), None, int(links[m])) for m in np.flatnonzero(links)]
-        rows += [(int(rep[at[m]]), int(rep[at[k]]), 0) for m, k in _forest(len(own), found)]
+    rows += [(a, b, 0) for a, b in forest.edges()]
     cols = list(zip(*rows)) if rows else [(), (), ()]
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "links"), cols)})
 
