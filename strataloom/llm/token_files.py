@@ -12,6 +12,7 @@ the ids of consecutive documents in id order, their directory and the encoded im
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -101,6 +102,21 @@ class Dac:
 _PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ]*")
 
 
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The pre-tokens of the tokenizers' pattern, spelt for lower-cased text of those characters.
+_PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\\w\\s]|_)+")
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+_BYTES = byte_alphabet()
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct word encoded once.
 
@@ -113,11 +129,20 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        spec = json.loads(self.tok.to_str())["pre_tokenizer"]
+        byte_level = any(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in spec.get("pretokenizers", []))
+        self.splits = byte_level and any(x.get("pattern", {}).get("Regex") == _PATTERN for x in spec.get("pretokenizers", []))
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()) or "(?!)")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _piece(self, pre: str) -> bytes:
+        """Ids of one pre-token: the library's model alone, without its text handling."""
+        chars = pre if pre.isascii() else "".join(map(_BYTES.__getitem__, pre.encode()))
+        ids = [x.id for x in self.tok.model.tokenize(chars)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list = [None] * len(texts)
@@ -134,9 +159,19 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(every)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            self.known.update(zip(part, self._library(part)))
+        # A word with punctuation is put together from its pre-tokens, so the model sees each of those once.
+        if self.splits:
+            for w in new:
+                parts = _PRE.findall(w)
+                for x in parts:
+                    if x not in self.known:
+                        self.known[x] = self._piece(x)
+                if len(parts) != 1 or parts[0] != w:
+                    self.known[w] = b"".join(map(self.known.__getitem__, parts))
+        else:
+            for at in range(0, len(new), 8192):
+                part = new[at : at + 8192]
+                self.known.update(zip(part, self._library(part)))
         for i, words in split.items():
             out[i] = b"".join(map(self.known.__getitem__, words))
         return out
