@@ -9,9 +9,11 @@ chosen tokens.  Runs repeat until the recall wanted is reached: a run of one lev
 a pair at the threshold with probability 1/e, so 16 runs miss one in a million; pairs of
 which every bucket needs all three levels are missed once in some hundreds.
 
-Equal sets are joined first and stand as one row.  A bucket that no splitting shrinks (a
-family of near copies) is compared in blocks of pairs of chunks; what leaves a bucket is
-the stars of its candidate components, never the pairs.  The components of these
+Equal sets are joined first and stand as one row.  Before a large bucket is split, its
+members are compared with a pivot, and those very near it leave the recursion as its
+family (Jaccard distance is a metric: whatever is linked to them is a candidate of the
+pivot as well).  What stays large at the last level is compared in blocks of pairs of
+chunks; what leaves a bucket is the stars of its candidate components, never the pairs.  The components of these
 forests are the groups in which every pair is then verified on the whole shingle sets,
 again in chunks; this finds the links that the buckets missed inside a group, too.
 """
@@ -34,8 +36,11 @@ RUNS = 16
 DEPTH = 3
 #: Members of a bucket or group compared in one piece; larger ones in pairs of chunks of this size.
 SMALL = 512
-#: A sketch estimate this far below the threshold (four standard deviations) rules a pair out.
-SLACK = 0.2
+#: A sketch estimate this far below the threshold (five standard deviations) rules a pair out.
+SLACK = 0.3
+#: Members of a large bucket that agree so much with its pivot leave the recursion, linked to it.  What is
+#: linked to such a member has a true similarity of 0.65 or more with the pivot, so it is a candidate too.
+FAMILY = 0.85
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,6 +196,15 @@ def _candidates(t):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets with whether they are candidates of the pivot, and of its family."""
+    for t in batches:
+        own, of = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+        agree = (own == of).sum(axis=1)
+        keep = t.select(["path", "rep", "sketch", "n", "pivot"])
+        yield keep.append_column("near", pa.array(agree >= int(SKETCH * (THRESHOLD - SLACK)))).append_column("family", pa.array(agree >= SKETCH * FAMILY))
+
+
 def _verify(t):
     """Links of each member of each cell, counted on whole sets, and stars of the links."""
     t = t.combine_chunks()
@@ -268,12 +282,18 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> Da
     forests = []
     for depth in range(1, DEPTH + 1):
         nodes = materialize(nodes.distinct(), "paths")
-        n = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        n = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
         met = materialize(nodes.join(n, "path").join(reps.select("rep", "sketch"), "rep"), "buckets")
+        now = met.filter(F.col("n") <= small).drop("pivot")
         large = met.filter(F.col("n") > small)
-        more = depth < DEPTH and large.limit(1).count() > 0
-        now = met.filter(F.col("n") <= small) if more else met
-        cells = _chunked(now, "path", "n", "rep", small)
+        more = large.limit(1).count() > 0
+        if more:
+            pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+            large = materialize(large.join(pivots, "pivot").mapInArrow(_pivot, "path long, rep long, sketch binary, n long, pivot long, near boolean, family boolean"), "large")
+            forests.append(large.filter("near and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+            large = large.filter("not family").select("path", "rep", "sketch", "n")
+            if depth == DEPTH:
+                now, more = now.unionByName(large.select(*now.columns)), False
         # Many buckets a call: a bucket is far smaller than what a call can take.
         groups = max(1, met.count() // 20_000)
         forests.append(cells.groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(groups)).alias("g")).applyInArrow(_candidates, "a long, b long"))
