@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .features import Sparse, adam, bounded, distinct_families, document_counts, learnable, sampled_features, score_texts, sigmoid
 
 #: Trusted positives and unlabelled documents learned from, at most.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 CUT = 0.3
 #: Evidence a feature needs; half of it if fewer than ten features have that much.
 Z_SCORE = 5.0
