@@ -57,7 +57,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def _ratios() -> dict[str, Column]:
-    n = F.col("n_words").cast("double")
+    n = F.nullif(F.col("n_words").cast("double"), F.lit(0.0))  # without words there is no ratio
     return {"word_length": F.col("word_chars") / n, "symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "repeat_ratio": F.col("n_repeat_words") / n}
 
 

@@ -47,7 +47,8 @@ class LabelModel(NamedTuple):
 def fit_label_model(votes: np.ndarray, rounds: int = 25) -> LabelModel:
     """Accuracies, error correlations and class prior of 0/1 voters (columns) by expectation maximisation, without labels."""
     n, k = votes.shape
-    q = np.where(votes.sum(axis=1) >= max(1, k // 4), 0.9, 0.1 / max(1, k))
+    # The first voter, the seed lexicon, starts the posteriors; so does a majority.
+    q = np.where((votes[:, 0] > 0) | (votes.sum(axis=1) * 2 > k), 0.9, 0.1 / max(1, k))
     model = None
     for _ in range(rounds):
         on = np.clip((q @ votes + 1) / (q.sum() + 2), 1e-4, 1 - 1e-4)
