@@ -31,7 +31,7 @@ def settle(series: DataFrame, frac: float = 0.1, late_n: int = 15, window: int =
     head = F.col("_i") <= F.greatest(F.lit(5), F.floor(F.col("_n") / 8))
     tail = F.col("_i") > F.col("_n") - late_n
     level = x.groupBy("key").agg(F.median(F.when(head, F.col("v"))).alias("early"), F.median(F.when(tail, F.col("v"))).alias("late"), F.count(F.lit(1)).alias("n"))
-    z = x.join(level.select("key", "early", "late"), "key").withColumn("z", F.abs((F.col("s") - F.col("late")) / (F.col("early") - F.col("late"))))
+    z = x.join(level.select("key", "early", "late"), "key").withColumn("z", F.abs(F.try_divide(F.col("s") - F.col("late"), F.col("early") - F.col("late"))))
     rest = F.max("z").over(w.orderBy("step").rowsBetween(0, Window.unboundedFollowing))
     first = z.withColumn("rest", rest).filter(F.col("rest") <= frac).groupBy("key").agg(F.min("step").alias("settled"))
     ok = level.filter((F.col("early") != F.col("late")) & (F.col("n") >= max(6, late_n // 2)))
