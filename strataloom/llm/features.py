@@ -77,8 +77,24 @@ def sampled_features(docs: DataFrame, wanted: DataFrame) -> tuple[list, list[tup
     some = text_bytes(docs.select("doc_id", "text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "role", "text")
     seen: dict = {}
     for doc, role, ids, counts in sorted(map(tuple, some.mapInArrow(run, "doc_id long, role int, ids binary, counts binary").collect())):
-        seen.setdefault((doc, role), (np.frombuffer(bytes(ids), np.uint32), np.frombuffer(bytes(counts), np.uint8)))
-    return list(seen), list(seen.values())
+        seen.setdefault((doc, role), (np.frombuffer(ids, np.uint32), np.frombuffer(counts, np.uint8)))
+    return list(seen), common_features(list(seen.values()))
+
+
+def common_features(rows: list[tuple[np.ndarray, np.ndarray]], least: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows without features that fewer rows have: no model uses those, and they are most of the memory."""
+    if not rows:
+        return rows
+    u, n = np.unique(np.concatenate([a for a, _ in rows]), return_counts=True)
+    u = u[n >= least]
+    out = []
+    for a, b in rows:
+        at = np.searchsorted(u, a)
+        ok = np.zeros(len(a), bool)
+        inside = at < len(u)
+        ok[inside] = u[at[inside]] == a[inside]
+        out.append((a[ok].copy(), b[ok].copy()))
+    return out
 
 
 def bounded(ids: DataFrame, rows: int, seed: int) -> DataFrame:

@@ -16,7 +16,7 @@ from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .token_files import token_digest
 from .toxicity import score_toxicity
-from .url_filter import judge_urls
+from .url_filter import PATH_RULES, PATTERN_RULES, judge_urls
 
 
 def _tokenizer(name: str) -> str:
@@ -38,4 +38,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": lambda s, d: token_counts(table(s, d, "documents"), _tokenizer("piece_bpe_32k.model")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in PATH_RULES)
+_BLOCKED = " or ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": """with t as (select doc_id, row_number() over () r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda v: v <> '') w from documents),
+ b as (select item_id::varchar item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda v: v <> '') w from benchmark),
+ bw as (select distinct item, len(x) n, x from (select item, w[i:i + 9] x from (select item, w, unnest(range(1, greatest(2, len(w) - 8))) i from b where len(w) > 0))),
+ lens as (select distinct n from bw), dw as (select r, i, n, w[i:i + n - 1] x from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from t, lens)),
+ h as (select dw.r, dw.i, dw.n, bw.item from dw join bw on dw.n = bw.n and dw.x = bw.x),
+ c as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from h) group by 1), m as (select r, count(distinct item) n_items, string_agg(distinct item, ',' order by item) s from h group by 1)
+ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from t left join c on t.r = c.r left join m on t.r = m.r""",
+    "op8_url_filters": f"""with rules(action, host, path) as (values {_RULES}), p as (select page_id, row_number() over () r, url, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') rest from pages),
+ q as (select page_id, r, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') path from p),
+ f as (select r, arg_max(rules.host || rules.path, len(rules.host || rules.path)) as rule, arg_max(action, len(rules.host || rules.path)) action from q join rules
+ on (q.host = rules.host or ends_with(q.host, '.' || rules.host)) and starts_with(q.path, rules.path) group by 1)
+ select page_id, host, path, f.rule as rule, coalesce(action, case when {_BLOCKED} then 'block' else 'allow' end) verdict from q left join f on q.r = f.r""",
+}
