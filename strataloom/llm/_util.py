@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one run (one group of documents in one Python call) holds, about.
@@ -67,3 +71,39 @@ def unplanes(b: bytes, dtype) -> np.ndarray:
 def split_test(col: str = "doc_id"):
     """crc32 of the id as text, modulo 5; 0 marks the held-out rows."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(step: Callable) -> Callable:
+    """step, handing freed memory back to the system after each call.
+
+    Spark keeps Python workers for later stages; each would hold on to the peak of its largest group.
+    """
+
+    def call(*args):
+        try:
+            return step(*args)
+        finally:
+            _release()
+
+    call.__signature__ = inspect.signature(step)
+    return call
+
+
+def lean_batches(step: Callable) -> Callable:
+    """The same for functions of an iterator of batches, once at the end."""
+
+    def call(batches):
+        try:
+            yield from step(batches)
+        finally:
+            _release()
+
+    return call

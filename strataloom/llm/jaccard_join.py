@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._util import materialize, text_bytes, words_of
+from ._util import lean, lean_batches, materialize, text_bytes, words_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -101,7 +101,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 rows[2].append(sketch(s).tobytes() if len(s) else None)
             yield pa.record_batch({"doc_id": t.column(0), "n_shingles": pa.array(rows[0], pa.int64()), "key": pa.array(rows[1], pa.binary()), "sketch": pa.array(rows[2], pa.binary())})
 
-    return text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary")
+    return text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(lean_batches(run), "doc_id long, n_shingles long, key binary, sketch binary")
 
 
 def _chosen(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _walk(nodes: DataFrame, roots: bool, runs: int) -> DataFrame:
                     row, child = _chosen(p.view(np.uint64), sig)
                     yield pa.record_batch({"path": pa.array(child), "rep": pa.array(rep[row])})
 
-    return nodes.mapInArrow(run, "path long, rep long")
+    return nodes.mapInArrow(lean_batches(run), "path long, rep long")
 
 
 def _chunked(df: DataFrame, key: str, n: str, member: str, size: int) -> DataFrame:
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> Da
         more = large.limit(1).count() > 0
         if more:
             pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-            large = materialize(large.join(pivots, "pivot").mapInArrow(_pivot, "path long, rep long, sketch binary, n long, pivot long, near boolean, family boolean"), "large")
+            large = materialize(large.join(pivots, "pivot").mapInArrow(lean_batches(_pivot), "path long, rep long, sketch binary, n long, pivot long, near boolean, family boolean"), "large")
             forests.append(large.filter("near and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
             large = large.filter("not family").select("path", "rep", "sketch", "n")
             if depth == DEPTH:
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> Da
         cells = _chunked(now, "path", "n", "rep", small)
         # Many buckets a call: a bucket is far smaller than what a call can take.
         groups = max(1, met.count() // 20_000)
-        forests.append(cells.groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(groups)).alias("g")).applyInArrow(_candidates, "a long, b long"))
+        forests.append(cells.groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(groups)).alias("g")).applyInArrow(lean(_candidates), "a long, b long"))
         if not more:
             break
         nodes = _walk(large.select("rep", "sketch", "path"), False, 1)
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> Da
     texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"))
     cells = _chunked(members.join(texts, "rep").dropDuplicates(["rep", "key", "text"]), "component", "n", "rep", small)
     n_cells = max(1, members.count() // 500)
-    said = materialize(cells.groupBy(F.pmod(F.xxhash64("component", "cell_a", "cell_b"), F.lit(n_cells)).alias("g")).applyInArrow(_verify, "a long, b long, links long"), "links")
+    said = materialize(cells.groupBy(F.pmod(F.xxhash64("component", "cell_a", "cell_b"), F.lit(n_cells)).alias("g")).applyInArrow(lean(_verify), "a long, b long, links long"), "links")
     links = said.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("n_links"))
     classes = connected_components(said.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
     known = reps.select("key", F.col("rep").alias("set_id")).join(classes, "set_id", "left").join(links, "set_id", "left")

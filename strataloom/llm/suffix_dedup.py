@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._util import RUN_BYTES, planes, run_count, text_bytes, unplanes
+from ._util import RUN_BYTES, lean, planes, run_count, text_bytes, unplanes
 
 WINDOW = 50
 KGRAM = 24
@@ -431,14 +431,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     n_runs = run_count(base, "text", run_bytes)
     nb = max(8, n_runs)
     some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)).cast("int"))
-    hashes = some.groupBy("run").applyInArrow(_hashes(nb), "bucket int, run int, hashes binary, multi binary, n int")
-    shared = hashes.groupBy("bucket").applyInArrow(_shared, "bucket int, run int, blob binary")
-    sent = some.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_send(nb), "bucket int, run int, lcps binary, sizes binary, rest binary, least binary, span binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answers, "bucket int, run int, blob binary")
+    hashes = some.groupBy("run").applyInArrow(lean(_hashes(nb)), "bucket int, run int, hashes binary, multi binary, n int")
+    shared = hashes.groupBy("bucket").applyInArrow(lean(_shared), "bucket int, run int, blob binary")
+    sent = some.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(lean(_send(nb)), "bucket int, run int, lcps binary, sizes binary, rest binary, least binary, span binary")
+    answers = sent.groupBy("bucket").applyInArrow(lean(_answers), "bucket int, run int, blob binary")
     said = shared.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     schema += "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
-    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(_cut(nb, with_text, carry), schema)
+    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(lean(_cut(nb, with_text, carry)), schema)
     whole = base.filter("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []), *carry,
