@@ -18,6 +18,8 @@ def distance_block(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> n
         return out
     if metric == "cityblock":
         return np.stack([np.abs(b - x).sum(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
+    if metric == "mean_difference":
+        return np.stack([np.abs(b - x).mean(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
     if metric == "hamming":
         return np.stack([(b != x).mean(axis=1) for x in a]) if len(a) else np.zeros((0, len(b)))
     if metric in ("cosine", "correlation", "abs_correlation"):
@@ -325,5 +327,72 @@ def laplacian_vectors(w: np.ndarray, k: int) -> np.ndarray:
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
 
 
+def geodesic_distances(d: np.ndarray, k: int) -> np.ndarray:
+    """Hop counts in the graph that joins each point with its k nearest others, in either direction."""
+    order = np.argsort(d + np.diag(np.full(len(d), np.inf)), axis=1, kind="stable")[:, :k]
+    near = np.zeros(d.shape, bool)
+    near[np.arange(len(d))[:, None], order] = True
+    return hop_distances(near | near.T)
+
+
+def hdbscan(d: np.ndarray, least: int) -> np.ndarray:
+    """Labels of the most stable clusters over all densities; -1 is noise.  Clusters are numbered by first member.
+
+    Mutual reachability with the distance to the least-th point (itself counted), its merge tree
+    condensed to clusters of at least that many, chosen by excess of mass; the whole is no cluster.
+    """
+    n = len(d)
+    core = np.sort(d, axis=1)[:, min(least, n) - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    top, below, height, members = list(range(n)), {}, {}, {i: [i] for i in range(n)}
+    u = Union(n)
+    for w, i, j in minimum_spanning_tree(reach):
+        a, b = u.find(i), u.find(j)
+        node = n + len(below)
+        below[node], height[node] = (top[a], top[b]), w
+        members[node] = members[top[a]] + members[top[b]]
+        u.join(i, j)
+        top[u.find(i)] = node
+    born, mass, kids = {0: 0.0}, {0: 0.0}, {0: []}
+    owns, todo = {0: members[top[0]]}, [(top[0], 0)]
+    while todo:
+        node, c = todo.pop()
+        if node < n:
+            continue
+        rate = 1 / height[node] if height[node] > 0 else 1e300
+        sides = [x for x in below[node] if len(members[x]) >= least]
+        if len(sides) == 2:
+            for x in sides:
+                k = len(born)
+                born[k], mass[k], kids[k], owns[k] = rate, 0.0, [], members[x]
+                mass[c] += (rate - born[c]) * len(members[x])
+                kids[c].append(k)
+                todo.append((x, k))
+        else:
+            gone = len(members[node]) - (len(members[sides[0]]) if sides else 0)
+            mass[c] += (rate - born[c]) * gone
+            todo += [(x, c) for x in sides]
+    chosen: dict[int, list[int]] = {}
+    for c in sorted(born, reverse=True):
+        inner = sum(mass[k] for k in kids[c])
+        if c == 0 or inner > mass[c]:
+            mass[c], chosen[c] = inner, [x for k in kids[c] for x in chosen[k]]
+        else:
+            chosen[c] = [c]
+    labels = np.full(n, -1)
+    for i, c in enumerate(sorted(chosen[0], key=lambda c: min(owns[c]))):
+        labels[owns[c]] = i
+    return labels
+
+
+def elbow(d: np.ndarray, least: int) -> float:
+    """Distance at the knee of the sorted k-nearest-neighbour distances: furthest under the chord."""
+    k = min(least, len(d) - 1)
+    x = np.sort(np.sort(d, axis=1)[:, k])
+    if x[-1] <= x[0]:
+        return float(x[-1])
+    return float(x[np.argmax(np.linspace(0, 1, len(x)) - (x - x[0]) / (x[-1] - x[0]))])
+
+
 def subsets(n: int, k: int):
     return combinations(range(n), k)

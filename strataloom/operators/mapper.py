@@ -6,12 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.kernels import Union, dbscan, distance_block, linkage_labels
+from ..functions.kernels import Union, dbscan, distance_block, elbow, hdbscan, linkage_labels, rips
 
 
-def convert_overlap(g: float, to: str = "overlap", width_ratio: bool = False) -> float:
-    """Overlap conventions: share of a neighbour's width against width over spacing."""
-    return 1 / (1 - g) - 1 if to == "spacing" else 1 / (1 - g)
+def convert_overlap(value: float, frm: str = "width_ratio", to: str = "standard") -> float:
+    """Between overlap conventions: standard is the share g of an interval's width, width_ratio is 1 / (1 - g) - 1."""
+    for name in (frm, to):
+        if name not in ("standard", "width_ratio"):
+            raise ValueError(f"unknown overlap convention {name!r}")
+    g = value if frm == "standard" else 1 - 1 / (1 + value)
+    return g if to == "standard" else 1 / (1 - g) - 1
 
 
 def max_intervals(n: int, factor: float, members: int, dims: int, overlap: float) -> int:
@@ -73,7 +77,8 @@ def nerve_betti(cells: DataFrame, key: str = "cell") -> DataFrame:
 def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single", max_cell: int = 8000, **how) -> DataFrame:
     """(cell, label, id): clusters in each cell of points (id, x); noise is left out, larger cells than max_cell are marked by label -2.
 
-    Clusterers: single (cut), first_gap (relative_gap, method), dbscan (eps, min_samples), ward (cut).
+    Clusterers: single (cut), first_gap (relative_gap, method), dbscan (eps or "elbow" of the cell, min_samples), ward (cut),
+    hdbscan (min_cluster_size).
     """
 
     def run(key, t):
@@ -85,7 +90,11 @@ def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single"
             x = np.stack(t["x"].to_numpy(zero_copy_only=False)).astype(float)
             d = distance_block(x, x, how.get("metric", "euclidean"))
             if clusterer == "dbscan":
-                labels = np.zeros(n, int) if n <= how["min_samples"] else dbscan(d, how["eps"], how["min_samples"])
+                few = how["min_samples"]
+                labels = np.zeros(n, int) if n <= few else dbscan(d, elbow(d, few) if how["eps"] == "elbow" else how["eps"], few)
+            elif clusterer == "hdbscan":
+                few = how["min_cluster_size"]
+                labels = np.zeros(n, int) if n <= few else hdbscan(d, few)
             elif clusterer == "first_gap":
                 labels = linkage_labels(d, method=how.get("method", "single"), relative_gap=how["relative_gap"])
             else:
@@ -169,3 +178,62 @@ def pca_lens(points: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch({"id": t.column(0), "v": pa.array(((x - mean) @ axes).tolist(), pa.list_(pa.float64()))})
 
     return points.select("id", "x").mapInArrow(project, "id long, v array<double>")
+
+
+def graph_statistics(edges: DataFrame) -> DataFrame:
+    """(bundle, nodes, edges, density, clustering, diameter, b0, b1) of Mapper graphs (bundle, u, v); diameter is of the largest component."""
+
+    def run(key, t):
+        u, v = t["u"].to_pylist(), t["v"].to_pylist()
+        at = {x: i for i, x in enumerate(sorted({*u, *v}))}
+        n = len(at)
+        near = np.zeros((n, n), bool)
+        for a, b in zip(u, v):
+            near[at[a], at[b]] = near[at[b], at[a]] = a != b
+        m, deg = int(near.sum()) // 2, near.sum(axis=1)
+        x = near.astype(float)
+        tri, wedge = np.diag(x @ x @ x), deg * (deg - 1)
+        part = Union(n)
+        for a, b in zip(*np.nonzero(near)):
+            part.join(int(a), int(b))
+        labels = part.labels()
+        own = np.flatnonzero(labels == np.bincount(labels).argmax())
+        sub, hops, reach = near[np.ix_(own, own)], 0, np.eye(len(own), dtype=bool)
+        while not reach.all():
+            reach, hops = reach | (reach.astype(np.float32) @ sub.astype(np.float32) > 0), hops + 1
+        b0 = int(labels.max()) + 1
+        row = {"nodes": n, "edges": m, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, "clustering": float(np.where(wedge > 0, tri / np.maximum(wedge, 1), 0).mean()), "diameter": hops, "b0": b0, "b1": m - n + b0}
+        return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), **{c: pa.array([y], pa.float64() if c in ("density", "clustering") else pa.int64()) for c, y in row.items()}})
+
+    own = edges.select(F.col("bundle").cast("string").alias("bundle"), F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"))
+    return own.groupBy("bundle").applyInArrow(run, "bundle string, nodes long, edges long, density double, clustering double, diameter long, b0 long, b1 long")
+
+
+def graph_diagrams(edges: DataFrame, how: str = "max_minus", max_dim: int = 1) -> DataFrame:
+    """(bundle, dim, birth, death) of Mapper graphs (bundle, u, v, w): max_minus turns weights into distances max - w, reciprocal and
+    one_minus into 1 / w and 1 - w, raw takes them.  An absent edge counts as weight 0 for max_minus and as distance 0 otherwise."""
+    if how not in ("max_minus", "reciprocal", "one_minus", "raw"):
+        raise ValueError(f"unknown weight conversion {how!r}")
+
+    def run(key, t):
+        u, v, w = (t[c].to_pylist() for c in ("u", "v", "w"))
+        at = {x: i for i, x in enumerate(sorted({*u, *v}))}
+        m = np.zeros((len(at), len(at)))
+        for a, b, x in zip(u, v, w):
+            m[at[a], at[b]] = m[at[b], at[a]] = x
+        if how == "one_minus" and not all(0 <= x <= 1 for x in w) or how == "reciprocal" and 0 in w:
+            raise ValueError(f"weights don't suit {how!r}")
+        with np.errstate(divide="ignore"):
+            d = {"max_minus": m.max() - m, "reciprocal": np.where(m > 0, 1 / m, 0), "one_minus": np.where(m > 0, 1 - m, 0), "raw": m}[how].copy()
+        np.fill_diagonal(d, 0)
+        bars = rips(d, max_dim)
+        return pa.table({"bundle": pa.array([key[0].as_py()] * len(bars), pa.string()), "dim": pa.array([k for k, _, _ in bars], pa.int32()), "birth": pa.array([b for _, b, _ in bars], pa.float64()), "death": pa.array([e for _, _, e in bars], pa.float64())})
+
+    own = edges.select(F.col("bundle").cast("string").alias("bundle"), F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), F.col("w").cast("double").alias("w"))
+    return own.groupBy("bundle").applyInArrow(run, "bundle string, dim int, birth double, death double")
+
+
+def node_graph(nodes: DataFrame) -> DataFrame:
+    """(u, v, w): edges of the Mapper graph of memberships (cell, label, id), weighted by shared points."""
+    own = nodes.filter("label >= 0").select("id", F.concat_ws("/", "cell", "label").alias("node"))
+    return nerve_edges(own, "node").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("shared").cast("double").alias("w"))

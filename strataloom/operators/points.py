@@ -99,7 +99,7 @@ def two_nn(points: DataFrame) -> DataFrame:
 
 def density_filter(points: DataFrame, k: int, quantile: float) -> DataFrame:
     """(id, density) of the points whose density, one over the mean distance of k neighbours, reaches the quantile."""
-    dens = nearest(points, k).groupBy(F.col("i").alias("id")).agg(F.avg("d").alias("m")).select("id", F.when(F.col("m") == 0, F.lit(0.0)).otherwise(1 / F.col("m")).alias("density"))
+    dens = nearest(points, k).groupBy(F.col("i").alias("id")).agg(F.avg("d").alias("m")).select("id", F.when(F.col("m") == 0, F.lit(float("inf"))).otherwise(1 / F.col("m")).alias("density"))
     cut = dens.agg(F.percentile("density", F.lit(quantile)).alias("cut"))
     return dens.join(F.broadcast(cut), F.col("density") >= F.col("cut")).select("id", "density")  # one row
 

@@ -61,17 +61,35 @@ def rolling_groups(steps: DataFrame, window: int, stride: int = 1) -> DataFrame:
     return steps.join(spread, "step")
 
 
-def _grouped(points: DataFrame, f, columns: dict[str, object]) -> DataFrame:
+def _grouped(points: DataFrame, f, columns: dict[str, object], metric: str = "euclidean") -> DataFrame:
     """One row of numbers a bundle from its distance matrix."""
 
     def run(key, t):
         x = np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
-        d = distance_block(x, x)
+        d = distance_block(x, x, metric)
         return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), "n": pa.array([len(x)], pa.int64()), **{c: pa.array([float(v)], pa.float64()) for c, v in zip(columns, f(d))}})
 
     return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, "bundle string, n long, " + ", ".join(f"{c} double" for c in columns))
 
 
+def global_dimension(points: DataFrame) -> DataFrame:
+    """(bundle, n, dimension): two-nearest-neighbour dimension of each bundle."""
+    return _grouped(points, lambda d: (two_nn_dimension(d),), {"dimension": 0})
+
+
+def bootstrap_dimension(points: DataFrame, draws: int = 20, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """(bundle, n, mean, std) of the two-nearest-neighbour dimension over random parts of each bundle."""
+
+    def f(d):
+        values = []
+        for r in range(draws):
+            pick = np.random.default_rng([seed, r]).choice(len(d), max(3, round(share * len(d))), replace=False)
+            values.append(two_nn_dimension(d[np.ix_(pick, pick)]))
+        return np.mean(values), np.std(values)
+
+    return _grouped(points, f, {"mean": 0, "std": 0})
+
+
 def local_dimension(points: DataFrame, anchors: int = 20, neighbours: int = 64, repeats: int = 3, seed: int = 0) -> DataFrame:
     """(bundle, n, mean, std): two-nearest-neighbour dimension of the neighbourhoods of sampled anchors."""
 
@@ -102,7 +120,7 @@ def calibrated_dimension(points: DataFrame, k: int = 10, j: int = 5, dims: tuple
     return _grouped(points, f, {"dimension": 0})
 
 
-def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] | None = None, seed: int = 0) -> DataFrame:
+def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] | None = None, seed: int = 0, metric: str = "euclidean") -> DataFrame:
     """(bundle, n, dimension, slope): alpha / (1 - b), b the log-log slope of the summed tree lengths of random subsets."""
 
     def f(d):
@@ -121,7 +139,7 @@ def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] |
         b = float(np.polyfit(np.log(own), np.log(e), 1)[0])
         return (alpha / (1 - b) if b < 1 else float("nan")), b
 
-    return _grouped(points, f, {"dimension": 0, "slope": 0})
+    return _grouped(points, f, {"dimension": 0, "slope": 0}, metric)
 
 
 def magnitude_dimension(points: DataFrame, scales: int = 30) -> DataFrame:

@@ -139,7 +139,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def matrix_view(weights: DataFrame, view: str) -> DataFrame:
-    """row_norm, col_norm, row_sum, col_sum: (layer_idx, n, v); gram_rows, gram_cols: (layer_idx, a, b, v) with a < b; gram_diag: (layer_idx, lag, v); rows, cols: (layer_idx, n, x)."""
+    """row_norm, col_norm, row_sum, col_sum: (layer_idx, n, v); gram_rows, gram_cols: (layer_idx, a, b, v) with a <= b; gram_diag: (layer_idx, lag, v); rows, cols: (layer_idx, n, x)."""
     axis, other = ("i", "j") if "row" in view or view == "gram_diag" else ("j", "i")
     if view.endswith("_norm"):
         return weights.groupBy("layer_idx", F.col(axis).alias("n")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("v"))
@@ -149,7 +149,7 @@ def matrix_view(weights: DataFrame, view: str) -> DataFrame:
         return weights.groupBy("layer_idx", F.col(axis).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(other, "w"))), lambda s: s["w"]).alias("x"))
     a = weights.select("layer_idx", F.col(other).alias("_o"), F.col(axis).alias("a"), F.col("w").alias("_x"))
     b = weights.select("layer_idx", F.col(other).alias("_o"), F.col(axis).alias("b"), F.col("w").alias("_y"))
-    gram = a.join(b, ["layer_idx", "_o"]).filter("a <= b" if view == "gram_diag" else "a < b").groupBy("layer_idx", "a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))
+    gram = a.join(b, ["layer_idx", "_o"]).filter("a <= b").groupBy("layer_idx", "a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))
     if view == "gram_diag":
         return gram.groupBy("layer_idx", (F.col("b") - F.col("a")).alias("lag")).agg(F.avg("v").alias("v"))
     if view in ("gram_rows", "gram_cols"):

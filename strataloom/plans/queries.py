@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import diagrams as dg, mapper as mp, points as pt, series as se, uncertainty as un, weights as wt
+from ..operators import compare as cp, diagrams as dg, geodesic as geo, mapper as mp, points as pt, preprocess as pp, series as se, uncertainty as un, views as vw, weights as wt
 from . import sweep as sw
+from .analysis import Analysis, mapper_nodes, neurons
 
 R = 6  # decimals at the query boundary: engines differ in the order of sums
 
@@ -85,6 +86,42 @@ def _nodes(s: SparkSession, d: str) -> DataFrame:
     return mp.cluster_cells(cloud(s, d), c, "single", cut=1.1)
 
 
+def kernels(s: SparkSession, d: str) -> DataFrame:
+    """Embeddings as convolution kernels: label x place in the label x 8 x 8."""
+    o = cloud(s, d).withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1)
+    v = o.select(F.lit(0).alias("layer_idx"), F.col("label").alias("o"), F.col("i").cast("long").alias("i"), F.posexplode("x").alias("p", "v"))
+    return v.select("layer_idx", "o", "i", F.floor(F.col("p") / 8).alias("h"), (F.col("p") % 8).cast("long").alias("w"), F.round("v", 4).alias("v"))
+
+
+def _first(s: SparkSession, d: str, n: int = 3) -> DataFrame:
+    return _bundles(s, d).withColumn("x", F.slice("x", 1, n))
+
+
+def _digest(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys, length and weighted sum of the array column x."""
+    s = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return df.select(*keys, F.size("x").cast("long").alias("dims"), (F.round(s, R - 1) + F.lit(0.0)).alias("mix"))
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    """Covers of the cloud by three lenses, as three graphs."""
+    out = None
+    for axis in range(3):
+        v = cloud(s, d).select("id", F.array(F.round(F.col("x")[axis], R)).alias("v"))
+        own = mp.cover(v, 5, 0.3).select(F.lit(f"axis{axis}").alias("graph"), F.col("cell").alias("node"), "id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _compared(s: SparkSession, d: str, method: str) -> DataFrame:
+    pairs = s.createDataFrame([("axis0", "axis1"), ("axis0", "axis2"), ("axis1", "axis2")], "a string, b string")
+    return _round(cp.distances(_members(s, d), pairs, method), "distance")
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    return mp.node_graph(_nodes(s, d)).withColumn("bundle", F.lit("all"))
+
+
 STATS = ("total_persistence", "persistence_norm", "entropy", "mean", "median", "max", "min", "std", "gini", "top1", "skew", "birth_mean", "birth_max")
 _SCHEDULE = [0.0, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
 
@@ -142,6 +179,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ph_dimension": lambda s, d: _round(se.ph_dimension(cloud(s, d).withColumn("bundle", F.lit("all")), sizes=(50, 100, 200, 400)), "dimension", "slope"),
     "magnitude_dimension": lambda s, d: _round(se.magnitude_dimension(_bundles(s, d)), "dimension"),
     "uncertainty_scores": _tu,
+    "gram_cosine": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d).filter("layer_idx = 1"), "rows"), "gram_rows"), "v"),
+    "gram_correlation": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d).filter("layer_idx = 1"), "correlation"), "gram_rows"), "v"),
+    "gram_lags": lambda s, d: _round(wt.matrix_view(weights(s, d).filter("layer_idx = 1"), "gram_diag"), "v"),
+    "flat_view": lambda s, d: _digest(vw.flat(weights(s, d).filter("layer_idx = 1")), "layer_idx"),
+    "conv_kernel_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "kernel"), "layer_idx", "o", "i"),
+    "conv_rows_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "rows"), "layer_idx", "o", "i", "h"),
+    "conv_tap_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "tap"), "layer_idx", "h", "w"),
+    "preprocess_unit": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "l2"), "id"),
+    "preprocess_centre": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "mean_centre"), "id"),
+    "preprocess_standardise": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "standardise"), "id"),
+    "preprocess_norm_filter": lambda s, d: pp.prepare(_first(s, d, 8).select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), ("norm", 60.0, "high")).select("id"),
+    "preprocess_dense_part": lambda s, d: pp.prepare(_first(s, d, 8).select("id", "x"), ("density", 20, 0.3)).select("id"),
+    "global_dimension": lambda s, d: _round(se.global_dimension(_bundles(s, d)), "dimension"),
+    "bootstrap_dimension": lambda s, d: _round(se.bootstrap_dimension(_bundles(s, d)), "mean", "std"),
+    "geodesic_betti_grid": lambda s, d: _round(geo.betti_grid(_first(s, d), [3, 5, 7, 9], 0, 12), "eps"),
+    "geodesic_stable_cell": lambda s, d: _round(geo.stable_cell(geo.betti_grid(_first(s, d), [3, 4, 5, 6, 7, 8], 0, 12)), "eps"),
+    "geodesic_optimal_k": lambda s, d: geo.optimal_k(_first(s, d), list(range(2, 9))),
+    "mapper_hdbscan": lambda s, d: mp.cluster_cells(_first(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "hdbscan", min_cluster_size=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "mapper_dbscan_elbow": lambda s, d: mp.cluster_cells(_first(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "dbscan", eps="elbow", min_samples=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "mapper_edges": lambda s, d: mp.node_graph(_nodes(s, d)),
+    "mapper_graph_statistics": lambda s, d: _round(mp.graph_statistics(_graph(s, d)), "density", "clustering"),
+    "mapper_ph": lambda s, d: mp.graph_diagrams(mp.nerve_edges(mp.cover(lens(s, d), 3, 0.3)).select(F.lit("all").alias("bundle"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("shared").alias("w"))),
+    "mapper_hypernetwork_distance": lambda s, d: _compared(s, d, "hypernetwork"),
+    "mapper_hypergraph_distance": lambda s, d: _compared(s, d, "hypergraph"),
+    "mapper_graph_distance": lambda s, d: _compared(s, d, "graph"),
+    "mapper_l2_lens": lambda s, d: mapper_nodes(_first(s, d).select("id", "x"), "l2_norm", 8, 0.3, "single", cut=0.05).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "neuron_cloud": lambda s, d: _digest(neurons(_bundles(s, d).select("bundle", "id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), True), "bundle", "id"),
+    "analysis_neural_persistence": lambda s, d: _round(Analysis.from_preset("rieck2019").fit(weights(s, d)).groupBy("bundle").agg(F.sqrt(F.sum(F.when(F.col("death") < float("inf"), F.col("death") * F.col("death")))).alias("norm")), "norm"),
+    "analysis_correlation_moments": lambda s, d: _round(Analysis.from_preset("ballester2024", tool__max_dim=0).fit(_bundles(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),
+    "analysis_polyhedral": lambda s, d: _round(Analysis.from_preset("liu2023", tool__max_dim=0, tool__statistics="suite").fit(_first(s, d, 8)), *STATS),
 }
 
 _E = "e as (select vec_id id, embedding::double[] x, label::bigint as label from embeddings)"
@@ -174,6 +241,11 @@ _STEP_D = "case when not isfinite(death) then death " + " ".join(f"when death -
 _CENTRED = "e as (select vec_id id, list_transform(embedding::double[], lambda v: v - list_avg(embedding::double[])) x from embeddings)"
 _COS = "1 - list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)))"
 
+_K = """k as (select 0 layer_idx, label::bigint o, q - 1 i, (c - 1) // 8 h, (c - 1) % 8 w, round(v, 4) v from (select label, row_number() over (partition by label order by vec_id) q, embedding from embeddings) t,
+ lateral (select generate_subscripts(t.embedding, 1) c, unnest(t.embedding)::double v))"""
+_U = "u as (select vec_id id, generate_subscripts(embedding[1:8], 1) c, unnest(embedding[1:8])::double v from embeddings)"
+_E8 = "e as (select vec_id id, embedding[1:8]::double[] x from embeddings)"
+
 ORACLE_SQL: dict[str, str] = {
     "two_nn_id": f"""with {_E}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id),
  r as (select i, d, row_number() over (partition by i order by d, j) rn from p qualify rn <= 2), m as (select i, max(case when rn = 1 then d end) r1, max(case when rn = 2 then d end) r2 from r group by i)
@@ -197,7 +269,7 @@ ORACLE_SQL: dict[str, str] = {
  union all select 0, 2, a.i, b.j, round(max(a.r * b.r), 6) from rel a join rel b on a.layer_idx = 0 and b.layer_idx = 1 and a.j = b.i group by a.i, b.j""",
     "clique_counts": f"""with {_W}, {_REL}, t as (select round(a.r * b.r, 9) r from rel a join rel b on b.layer_idx = a.layer_idx + 1 and a.j = b.i)
  select ((0.1 > r)::int + (0.01 > r)::int + (0.001 > r)::int + (1e-4 > r)::int + (1e-5 > r)::int + 1)::int step, count(*) n from t group by 1""",
-    "gram_view": f"with {_W} select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from w a join w b on a.layer_idx = 1 and b.layer_idx = 1 and a.j = b.j and a.i < b.i group by 1, 2, 3",
+    "gram_view": f"with {_W} select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from w a join w b on a.layer_idx = 1 and b.layer_idx = 1 and a.j = b.j and a.i <= b.i group by 1, 2, 3",
     "row_norms": f"with {_W} select layer_idx, i n, round(sqrt(sum(w * w)), 6) v from w group by 1, 2",
     "weight_norms": f"with {_W} select layer_idx, round(sqrt(sum(w * w)), 6) fro, round(sum(abs(w)), 6) l1, round(max(abs(w)), 6) max_abs, count(*) filter (w = 0) zeros from w group by 1",
     "magnitude_mask": f"""with {_W}, n as (select round_even(count(*) * 0.4, 0)::bigint k from w), t as (select abs(w) cut from w order by 1 limit 1 offset (select k - 1 from n)),
@@ -246,4 +318,27 @@ ORACLE_SQL: dict[str, str] = {
     "plateaus": f"""with {_L}, r as (select min(v0) lo, max(v0) hi from l), a as (select unnest([4, 6, 8])::bigint n), b as (select unnest([0.2, 0.3, 0.4, 0.5])::double overlap),
  x as (select n, overlap, round(round((hi - lo) / n / (1 - overlap), 6) * 10, 0) width from a, b, r) select width, count(*) n, string_agg(distinct n::varchar, ',' order by n::varchar) n_span, string_agg(distinct overlap::varchar, ',' order by overlap::varchar) overlap_span
  from x group by 1 having count(*) >= 2""",
+    "gram_cosine": f"""with {_W}, u as (select layer_idx, i, j, w / (sqrt(sum(w * w) over (partition by layer_idx, i)) + 1e-12) w from w where layer_idx = 1)
+ select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.j = b.j and a.i <= b.i group by 1, 2, 3""",
+    "gram_correlation": f"""with {_W}, m as (select layer_idx, i, j, w - avg(w) over (partition by layer_idx, i) w from w where layer_idx = 1),
+ u as (select layer_idx, i, j, w / (sqrt(sum(w * w) over (partition by layer_idx, i)) + 1e-12) w from m)
+ select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.j = b.j and a.i <= b.i group by 1, 2, 3""",
+    "gram_lags": f"""with {_W}, g as (select a.layer_idx, a.i a, b.i b, sum(a.w * b.w) v from w a join w b on a.layer_idx = 1 and b.layer_idx = 1 and a.j = b.j and a.i <= b.i group by 1, 2, 3)
+ select layer_idx, b - a lag, round(avg(v), 6) + 0.0 v from g group by 1, 2""",
+    "flat_view": f"with {_W}, r as (select layer_idx, w, row_number() over (order by i, j) p from w where layer_idx = 1) select layer_idx, count(*) dims, round(sum(w * p), 5) + 0.0 mix from r group by 1",
+    "conv_kernel_view": f"with {_K} select layer_idx, o, i, count(*) dims, round(sum(v * (h * 8 + w + 1)), 5) + 0.0 mix from k group by 1, 2, 3",
+    "conv_rows_view": f"with {_K} select layer_idx, o, i, h, count(*) dims, round(sum(v * (w + 1)), 5) + 0.0 mix from k group by 1, 2, 3, 4",
+    "conv_tap_view": f"with {_K}, r as (select *, row_number() over (partition by h, w order by o, i) q from k) select layer_idx, h, w, count(*) dims, round(sum(v * q), 5) + 0.0 mix from r group by 1, 2, 3",
+    "preprocess_unit": f"with {_U} select id, 8::bigint dims, round(sum(v * c) / (sqrt(sum(v * v)) + 1e-12), 5) + 0.0 mix from u group by 1",
+    "preprocess_centre": f"with {_U}, m as (select id, c, v - avg(v) over (partition by c) v from u) select id, 8::bigint dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
+    "preprocess_standardise": f"with {_U}, m as (select id, c, (v - avg(v) over (partition by c)) / (stddev_pop(v) over (partition by c) + 1e-12) v from u) select id, 8::bigint dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
+    "preprocess_norm_filter": f"with {_U}, n as (select id, sqrt(sum(round(v, 4) ** 2)) n from u group by 1) select id from n where n >= (select quantile_cont(n, 0.6) from n)",
+    "preprocess_dense_part": f"""with {_E8}, p as (select a.id, list_distance(a.x, b.x) d from e a, e b), q as (select id, d from p qualify row_number() over (partition by id order by d) = 20)
+ select id from q qualify row_number() over (order by d, id) <= (select round_even(0.3 * count(*), 0) from e)""",
+    "global_dimension": f"""with {_E}, p as (select a.label, a.id i, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id and a.label = b.label), r as (select label, i, d, row_number() over (partition by i order by d) rn from p qualify rn <= 2),
+ m as (select label, i, max(case when rn = 1 then d end) r1, max(case when rn = 2 then d end) r2 from r group by 1, 2)
+ select label::varchar bundle, count(*) n, round(exp(-0.5772156649015329 - avg(ln(ln(r2 / r1))) filter (r1 > 0 and r2 > r1)), 6) dimension from m group by 1""",
+    "neuron_cloud": """with u as (select label::varchar bundle, vec_id s, generate_subscripts(embedding, 1) c, round(unnest(embedding)::double, 4) v from embeddings),
+ k as (select bundle, c from u group by 1, 2 having var_pop(v) > 1e-12), r as (select u.bundle, u.c, v, row_number() over (partition by u.bundle, u.c order by s) q from u join k on u.bundle = k.bundle and u.c = k.c)
+ select bundle, (c - 1)::bigint id, count(*) dims, round(sum(v * q), 5) + 0.0 mix from r group by 1, 2""",
 }
