@@ -145,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_norms": lambda s, d: _round(wt.matrix_view(weights(s, d), "row_norm"), "v"),
     "weight_norms": lambda s, d: _round(wt.weight_norms(weights(s, d)), "fro", "l1", "max_abs"),
     "magnitude_mask": lambda s, d: wt.prune_report(wt.magnitude_mask(weights(s, d), 0.4)),
-    "directed_clique_diagram": lambda s, d: wt.clique_diagram(wt.edge_weights(weights(s, d).filter("layer_idx = 1 or i < 20"), "relevance")).groupBy("dim", "birth", "death").agg(F.count(F.lit(1)).alias("n")),
+    "directed_clique_diagram": lambda s, d: wt.clique_diagram(wt.edge_weights(weights(s, d), "relevance")).groupBy("dim", "birth", "death").agg(F.count(F.lit(1)).alias("n")),
     "superlevel_h0": lambda s, d: _round(wt.superlevel_h0(weights(s, d).select(F.lit("all").alias("bundle"), F.concat(F.lit("a"), F.col("layer_idx"), F.lit("-"), "i").alias("u"), F.concat(F.lit("a"), F.col("layer_idx") + 1, F.lit("-"), "j").alias("v"), F.abs("w").alias("w"))), "death"),
     "diagram_statistics": lambda s, d: _round(dg.statistics(diagram(s, d)), *STATS),
     "diagram_moments": lambda s, d: _round(dg.moments(diagram(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),

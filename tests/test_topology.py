@@ -156,6 +156,17 @@ def test_queries_match_sql(spark):
         assert rows[0] == rows[1], name
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_clique_diagram_covers_every_supplier(spark):
+    from strataloom.plans.queries import QUERIES, weights
+
+    w = weights(spark, SF).toPandas()
+    vertices = {(layer + s, v) for layer, i, j in zip(w.layer_idx, w.i, w.j) for s, v in ((0, i), (1, j))}
+    assert sum(layer == 0 for layer, _ in vertices) == 100
+    bars = QUERIES["directed_clique_diagram"](spark, SF).toPandas()
+    assert bars[bars.dim == 0].n.sum() == len(vertices)  # each vertex starts a component
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
