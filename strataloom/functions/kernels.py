@@ -32,17 +32,34 @@ def distance_block(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> n
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def row_blocks(x: np.ndarray, metric: str = "euclidean", entries: int = 4_000_000):
+    """(start, distances of the next rows of x to all rows), in blocks of bounded size."""
+    step = max(1, entries // max(len(x), 1))
+    for s in range(0, len(x), step):
+        yield s, distance_block(x[s : s + step], x, metric)
+
+
+def kth_distances(x: np.ndarray, k: int, metric: str = "euclidean") -> np.ndarray:
+    """Place k of each row's sorted distances to all rows; the row itself has place 0."""
+    return np.concatenate([np.partition(d, k, axis=1)[:, k].copy() for _, d in row_blocks(x, metric)])
+
+
 def minimum_spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
     """Edges (weight, i, j) of a minimum spanning forest by Prim; infinite weights aren't edges."""
-    n = len(d)
+    return _prim(len(d), d.__getitem__)
+
+
+def _prim(n: int, row) -> list[tuple[float, int, int]]:
+    """The forest from a function that gives the weights of a row, so the matrix need not be held."""
     best, at, left, out = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), []
     for _ in range(n):
         i = int(np.flatnonzero(left)[np.argmin(best[left])])
         left[i] = False
         if np.isfinite(best[i]):
             out.append((float(best[i]), int(at[i]), i))
-        near = left & (d[i] < best)
-        best[near], at[near] = d[i][near], i
+        d = row(i)
+        near = left & (d < best)
+        best[near], at[near] = d[near], i
     return sorted(out)
 
 
@@ -155,6 +172,23 @@ def dbscan(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return labels
 
 
+def dbscan_points(x: np.ndarray, eps: float, min_samples: int, metric: str = "euclidean") -> np.ndarray:
+    """dbscan of points: the same labels from blocks of distances, in memory that grows with the points and not their pairs."""
+    core = np.concatenate([(d <= eps).sum(axis=1) for _, d in row_blocks(x, metric)]) >= min_samples
+    labels, k, step = np.full(len(x), -1), 0, max(1, 4_000_000 // len(x))
+    for s in np.flatnonzero(core):
+        if labels[s] >= 0:
+            continue
+        labels[s], todo = k, np.array([s])
+        while len(todo):
+            part, todo, free = todo[:step], todo[step:], np.flatnonzero(labels < 0)
+            hit = free[(distance_block(x[part], x[free], metric) <= eps).any(axis=0)]
+            labels[hit] = k
+            todo = np.r_[todo, hit[core[hit]]]
+        k += 1
+    return labels
+
+
 def linkage_labels(d: np.ndarray, cut: float | None = None, method: str = "single", relative_gap: float | None = None) -> np.ndarray:
     """Agglomerative labels, cut at a height or (relative_gap) in the middle of the first merge gap over that share of the range."""
     n = len(d)
@@ -341,35 +375,45 @@ def hdbscan(d: np.ndarray, least: int) -> np.ndarray:
     Mutual reachability with the distance to the least-th point (itself counted), its merge tree
     condensed to clusters of at least that many, chosen by excess of mass; the whole is no cluster.
     """
-    n = len(d)
-    core = np.sort(d, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    top, below, height, members = list(range(n)), {}, {}, {i: [i] for i in range(n)}
+    core = np.sort(d, axis=1)[:, min(least, len(d)) - 1]
+    return _stable(minimum_spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :]))), len(d), least)
+
+
+def hdbscan_points(x: np.ndarray, least: int, metric: str = "euclidean") -> np.ndarray:
+    """hdbscan of points: the same labels from rows of distances, in memory that grows with the points and not their pairs."""
+    core = kth_distances(x, min(least, len(x)) - 1, metric)
+    reach = lambda i: np.maximum(distance_block(x[i : i + 1], x, metric)[0], np.maximum(core[i], core))
+    return _stable(_prim(len(x), reach), len(x), least)
+
+
+def _stable(tree: list[tuple[float, int, int]], n: int, least: int) -> np.ndarray:
+    """hdbscan's labels from the spanning tree of mutual reachability."""
+    top, below, height, size, first = list(range(n)), {}, {}, dict.fromkeys(range(n), 1), {i: i for i in range(n)}
     u = Union(n)
-    for w, i, j in minimum_spanning_tree(reach):
+    for w, i, j in tree:
         a, b = u.find(i), u.find(j)
         node = n + len(below)
         below[node], height[node] = (top[a], top[b]), w
-        members[node] = members[top[a]] + members[top[b]]
+        size[node], first[node] = size[top[a]] + size[top[b]], min(first[top[a]], first[top[b]])
         u.join(i, j)
         top[u.find(i)] = node
     born, mass, kids = {0: 0.0}, {0: 0.0}, {0: []}
-    owns, todo = {0: members[top[0]]}, [(top[0], 0)]
+    owns, todo = {0: top[0]}, [(top[0], 0)]
     while todo:
         node, c = todo.pop()
         if node < n:
             continue
         rate = 1 / height[node] if height[node] > 0 else 1e300
-        sides = [x for x in below[node] if len(members[x]) >= least]
+        sides = [x for x in below[node] if size[x] >= least]
         if len(sides) == 2:
             for x in sides:
                 k = len(born)
-                born[k], mass[k], kids[k], owns[k] = rate, 0.0, [], members[x]
-                mass[c] += (rate - born[c]) * len(members[x])
+                born[k], mass[k], kids[k], owns[k] = rate, 0.0, [], x
+                mass[c] += (rate - born[c]) * size[x]
                 kids[c].append(k)
                 todo.append((x, k))
         else:
-            gone = len(members[node]) - (len(members[sides[0]]) if sides else 0)
+            gone = size[node] - (size[sides[0]] if sides else 0)
             mass[c] += (rate - born[c]) * gone
             todo += [(x, c) for x in sides]
     chosen: dict[int, list[int]] = {}
@@ -380,15 +424,29 @@ def hdbscan(d: np.ndarray, least: int) -> np.ndarray:
         else:
             chosen[c] = [c]
     labels = np.full(n, -1)
-    for i, c in enumerate(sorted(chosen[0], key=lambda c: min(owns[c]))):
-        labels[owns[c]] = i
+    for i, c in enumerate(sorted(chosen[0], key=lambda c: first[owns[c]])):
+        todo = [owns[c]]
+        while todo:  # the chosen clusters are disjoint, so each point is reached once
+            node = todo.pop()
+            if node < n:
+                labels[node] = i
+            else:
+                todo += below[node]
     return labels
 
 
 def elbow(d: np.ndarray, least: int) -> float:
     """Distance at the knee of the sorted k-nearest-neighbour distances: furthest under the chord."""
-    k = min(least, len(d) - 1)
-    x = np.sort(np.sort(d, axis=1)[:, k])
+    return _knee(np.sort(d, axis=1)[:, min(least, len(d) - 1)])
+
+
+def elbow_points(x: np.ndarray, least: int, metric: str = "euclidean") -> float:
+    """elbow of points, from blocks of distances."""
+    return _knee(kth_distances(x, min(least, len(x) - 1), metric))
+
+
+def _knee(near: np.ndarray) -> float:
+    x = np.sort(near)
     if x[-1] <= x[0]:
         return float(x[-1])
     return float(x[np.argmax(np.linspace(0, 1, len(x)) - (x - x[0]) / (x[-1] - x[0]))])

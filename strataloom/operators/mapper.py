@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.kernels import Union, dbscan, distance_block, elbow, hdbscan, linkage_labels, rips
+from ..functions.kernels import Union, dbscan_points, distance_block, elbow_points, hdbscan_points, linkage_labels, rips
 
 
 def convert_overlap(value: float, frm: str = "width_ratio", to: str = "standard") -> float:
@@ -75,27 +75,29 @@ def nerve_betti(cells: DataFrame, key: str = "cell") -> DataFrame:
 
 
 def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single", max_cell: int = 8000, **how) -> DataFrame:
-    """(cell, label, id): clusters in each cell of points (id, x); noise is left out, larger cells than max_cell are marked by label -2.
+    """(cell, label, id): clusters in each cell of points (id, x); noise is left out.
 
     Clusterers: single (cut), first_gap (relative_gap, method), dbscan (eps or "elbow" of the cell, min_samples), ward (cut),
-    hdbscan (min_cluster_size).
+    hdbscan (min_cluster_size).  The linkage ones (single, first_gap, ward) hold a cell's distance matrix and mark the points of
+    larger cells than max_cell by label -2; dbscan and hdbscan take cells of any size, in blocks.
     """
+    metric = how.get("metric", "euclidean")
 
     def run(key, t):
         t = t.sort_by("id")
         n = t.num_rows
-        if n > max_cell:
+        x = np.stack(t["x"].to_numpy(zero_copy_only=False)).astype(float)
+        if clusterer == "dbscan":
+            few = how["min_samples"]
+            labels = np.zeros(n, int) if n <= few else dbscan_points(x, elbow_points(x, few, metric) if how["eps"] == "elbow" else how["eps"], few, metric)
+        elif clusterer == "hdbscan":
+            few = how["min_cluster_size"]
+            labels = np.zeros(n, int) if n <= few else hdbscan_points(x, few, metric)
+        elif n > max_cell:
             labels = np.full(n, -2)
         else:
-            x = np.stack(t["x"].to_numpy(zero_copy_only=False)).astype(float)
-            d = distance_block(x, x, how.get("metric", "euclidean"))
-            if clusterer == "dbscan":
-                few = how["min_samples"]
-                labels = np.zeros(n, int) if n <= few else dbscan(d, elbow(d, few) if how["eps"] == "elbow" else how["eps"], few)
-            elif clusterer == "hdbscan":
-                few = how["min_cluster_size"]
-                labels = np.zeros(n, int) if n <= few else hdbscan(d, few)
-            elif clusterer == "first_gap":
+            d = distance_block(x, x, metric)
+            if clusterer == "first_gap":
                 labels = linkage_labels(d, method=how.get("method", "single"), relative_gap=how["relative_gap"])
             else:
                 labels = linkage_labels(d, how["cut"], "single" if clusterer == "single" else clusterer)
@@ -106,12 +108,17 @@ def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single"
 
 
 def graph_measures(nodes: DataFrame) -> DataFrame:
-    """(nodes, edges, b0, b1, median_size, max_size, mean_degree, covered) of a Mapper graph from its memberships (cell, label, id)."""
+    """(nodes, edges, b0, b1, median_size, max_size, mean_degree, covered, skipped) of a Mapper graph from its memberships (cell, label, id).
+
+    skipped counts the cells marked by label -2, which were too large for their clusterer.
+    """
+    skipped = nodes.filter("label = -2").agg(F.count_distinct("cell").alias("skipped"))
     own = nodes.filter("label >= 0").withColumn("node", F.concat_ws("/", "cell", "label"))
     sizes = own.groupBy("node").agg(F.count(F.lit(1)).alias("s")).agg(F.median("s").alias("median_size"), F.max("s").alias("max_size"))
     covered = own.agg(F.count_distinct("id").alias("covered"))
     graph = nerve_betti(own.select("id", "node"), "node").withColumn("mean_degree", F.round(2 * F.col("edges") / F.col("nodes"), 4))
-    return graph.join(F.broadcast(sizes)).join(F.broadcast(covered))  # a row each
+    rest = skipped.join(F.broadcast(graph), F.lit(True), "left").na.fill(0, ["nodes", "edges", "b0", "b1"])  # no graph if all are skipped
+    return rest.join(F.broadcast(sizes)).join(F.broadcast(covered)).select(*graph.columns, *sizes.columns, "covered", "skipped")  # a row each
 
 
 def node_diversity(members: DataFrame, labels: DataFrame) -> DataFrame:

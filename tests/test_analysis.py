@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.functions import kernels as k, transport as tr
 from strataloom.operators import compare as cp, geodesic as geo, mapper as mp, points as pt, preprocess as pp, series as se, views as vw, weights as wt
@@ -119,6 +120,40 @@ def test_overlap_conventions_and_dense_copies(spark):
     assert {r["id"] for r in pt.density_filter(_cloud(spark, x), 2, 0.5).collect()} == {0, 1, 2, 3}  # copies are infinitely dense
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock"])
+def test_clusters_from_blocks_match_those_from_the_matrix(metric, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 0.3, (60, 3)), rng.normal(3, 0.5, (50, 3)), rng.uniform(-3, 6, (40, 3))]
+    x[5] = x[6]
+    d, whole = k.distance_block(x, x, metric), k.row_blocks
+    monkeypatch.setattr(k, "row_blocks", lambda x, metric: whole(x, metric, 1000))  # blocks of six rows
+    for few in (3, 5, 10):
+        assert k.elbow_points(x, few, metric) == k.elbow(d, few)
+        assert (k.hdbscan_points(x, few, metric) == k.hdbscan(d, few)).all()
+        for eps in (0.3, 0.6, 1.5):
+            assert (k.dbscan_points(x, eps, few, metric) == k.dbscan(d, eps, few)).all()
+
+
+def test_density_clusterers_take_cells_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.1, (8200, 2)) + np.repeat([[0.0, 0.0], [5.0, 5.0]], 4100, axis=0)
+    pts = _cloud(spark, x)
+    cells = pts.select("id", F.lit("a").alias("cell"))
+    for how in ({"clusterer": "dbscan", "eps": 1.0, "min_samples": 5}, {"clusterer": "hdbscan", "min_cluster_size": 2000}):
+        got = mp.cluster_cells(pts, cells, **how)
+        assert {(r["label"], r["half"]) for r in got.select("label", (F.col("id") >= 4100).alias("half")).distinct().collect()} == {(0, False), (1, True)}, how
+
+
+def test_skipped_cells_are_counted(spark):
+    pts = _cloud(spark, np.r_[np.arange(6.0), [50.0, 51.0]][:, None])
+    cells = pts.select("id", F.when(F.col("id") < 6, "a").otherwise("b").alias("cell"))
+    r = mp.graph_measures(mp.cluster_cells(pts, cells, "single", max_cell=4, cut=1.5)).first()
+    assert (r["nodes"], r["covered"], r["skipped"]) == (1, 2, 1)
+    r = mp.graph_measures(mp.cluster_cells(pts, cells, "single", max_cell=1, cut=1.5)).first()
+    assert (r["nodes"], r["covered"], r["skipped"]) == (0, 0, 2)
+    assert mp.graph_measures(mp.cluster_cells(pts, cells, "dbscan", max_cell=4, eps=1.5, min_samples=1)).first()["skipped"] == 0
+
+
 def test_graph_measures(spark):
     e = spark.createDataFrame([("g", a, b, 1.0) for a, b in ((0, 1), (1, 2), (2, 0), (2, 3), (8, 9))], "bundle string, u long, v long, w double")
     r = mp.graph_statistics(e).first()
