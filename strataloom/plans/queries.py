@@ -183,6 +183,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gram_correlation": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d).filter("layer_idx = 1"), "correlation"), "gram_rows"), "v"),
     "gram_lags": lambda s, d: _round(wt.matrix_view(weights(s, d).filter("layer_idx = 1"), "gram_diag"), "v"),
     "flat_view": lambda s, d: _digest(vw.flat(weights(s, d).filter("layer_idx = 1")), "layer_idx"),
+    # The same views of every layer; the five above keep to the layer of their SQL.
+    "gram_view_layers": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_rows"), "v"),
+    "gram_cosine_layers": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "rows"), "gram_rows"), "v"),
+    "gram_correlation_layers": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "correlation"), "gram_rows"), "v"),
+    "gram_lags_layers": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_diag"), "v"),
+    "flat_view_layers": lambda s, d: _digest(vw.flat(weights(s, d)), "layer_idx"),
     "conv_kernel_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "kernel"), "layer_idx", "o", "i"),
     "conv_rows_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "rows"), "layer_idx", "o", "i", "h"),
     "conv_tap_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "tap"), "layer_idx", "h", "w"),
