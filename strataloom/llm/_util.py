@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one run (one group of documents in one Python call) holds, about.
 RUN_BYTES = 8 << 20
+#: A small table is dealt to so many runs, so that it keeps more than a few tasks busy; none is less than the bytes.
+SOME_RUNS, LEAST_BYTES = 48, 1 << 19
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = bytes(
@@ -55,7 +57,8 @@ def text_bytes(df: DataFrame, col: str = "text") -> DataFrame:
 def run_count(df: DataFrame, col: str, run_bytes: int) -> int:
     """How many runs of about run_bytes the column fills; one aggregate over the column."""
     n = df.agg(F.sum(F.octet_length(F.col(col))), F.count(F.lit(1))).first()
-    return max(1, -(-(int(n[0] or 0) + 16 * int(n[1])) // run_bytes))
+    size = int(n[0] or 0) + 16 * int(n[1])
+    return max(1, -(-size // run_bytes), min(SOME_RUNS, size // LEAST_BYTES))
 
 
 def planes(a: np.ndarray) -> bytes:

@@ -5,6 +5,7 @@ count is the sum over its pre-tokens.  Each distinct pre-token of the corpus is
 once; documents keep only how often each occurs.  The join on pre-tokens runs packed:
 every run of documents sends its distinct pre-tokens to hash buckets (each once, however
 frequent), a bucket encodes each distinct one and answers every run with the counts.
+Messages between runs and buckets go over a grid (exchange.py).
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._util import RUN_BYTES, planes, run_count, text_bytes, unplanes
-from .suffix_dedup import _rows, front_code, front_decode
+from ._util import RUN_BYTES, lean, planes, run_count, text_bytes, unplanes
+from .exchange import MESSAGE, deliver, letters, pack, received, unpack, width
 
 MARK = "▁"  # stands for a space in this vocabulary
 _UNITS = re.compile(f"\n[^{MARK}\n]*|{MARK}+[^{MARK}\n]*")
@@ -40,8 +42,17 @@ def pre_tokens(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+_ENCODERS: dict = {}
+
+
 def encoder(model: str):
-    """Count of pieces of each pre-token."""
+    """Counts of pieces of pre-tokens; a Python worker loads the model once."""
+    if model not in _ENCODERS:
+        _ENCODERS[model] = _encoder(model)
+    return _ENCODERS[model]
+
+
+def _encoder(model: str):
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=model)
@@ -63,91 +74,81 @@ def encoder(model: str):
     return counts
 
 
-def _texts(t: pa.Table):
-    t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if t.num_rows > 1 else t
-    return t["doc_id"].to_pylist(), [x.decode("utf-8", "replace") for x in t["text"].to_pylist()], [len(x) for x in t["text"].to_pylist()]
+def _often(t: pa.Table) -> list[Counter]:
+    """How often each pre-token occurs in each text."""
+    return [Counter(pre_tokens(x.as_py().decode("utf-8", "replace"))) for x in t["text"]]
 
 
-def _vocabulary(texts: list[str], nb: int) -> dict[int, list[bytes]]:
+def _vocabulary(often: list[Counter], nb: int) -> dict[int, list[bytes]]:
     """Distinct pre-tokens of a run, sorted, by bucket."""
-    every: set[str] = set()
-    for x in texts:
-        every.update(pre_tokens(x))
     by: dict[int, list[bytes]] = {}
-    for u in every:
+    for u in set().union(*often):
         raw = u.encode("utf-8", "surrogatepass")
         by.setdefault(zlib.crc32(raw) % nb, []).append(raw)
     return {b: sorted(x) for b, x in by.items()}
 
 
-_LONG = 255  # longer pre-tokens are sent apart, as front codes are bytes
-
-
-def _send(nb: int):
+def _send(nb: int, wide: int):
     def run(key, t):
-        _, texts, _ = _texts(t)
-        rows = []
-        for b, words in _vocabulary(texts, nb).items():
-            short = [w for w in words if len(w) <= _LONG]
-            lcps, sizes, rest = front_code(short)
-            body = pa.compress(lcps + sizes + rest, codec="zstd", asbytes=True)
-            long = [w for w in words if len(w) > _LONG]
-            ends = np.cumsum([len(w) for w in long], dtype=np.int64)
-            rows.append((b, key[0].as_py(), len(short), len(lcps + sizes + rest), body, planes(ends) if long else b"", b"".join(long)))
-        return _rows(rows, "bucket:i run:i n:i size:i words:b ends:b long:b")
+        out = []
+        for b, words in _vocabulary(_often(t), nb).items():
+            raw = b"".join(words)
+            sizes = planes(np.array([len(w) for w in words], np.uint32))
+            out.append((b, pack([(len(sizes), sizes), (len(raw), pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")])))
+        return letters(key[0].as_py(), out, wide)
 
     return run
 
 
-def _answer(model: str):
-    def run(t):
+def _answer(model: str, wide: int):
+    def bucket(key, t):
         count = encoder(model)
         known: dict[bytes, int] = {}
-        each = []
-        for n, size, words, ends, long in zip(*(t[c].to_pylist() for c in ("n", "size", "words", "ends", "long"))):
-            raw = pa.decompress(words, size, codec="zstd", asbytes=True)
-            own = [w for w, _ in front_decode(raw[:n], raw[n : 2 * n], raw[2 * n :])]
-            e = [0, *(unplanes(ends, np.int64).tolist() if ends else [])]
-            own += [long[x:y] for x, y in zip(e, e[1:])]
+        out = []
+        for src, body in received(t):
+            (_, sizes), (n, raw) = unpack(body)
+            raw = pa.decompress(raw, n, codec="zstd", asbytes=True) if n else b""
+            ends = np.cumsum(unplanes(sizes, np.uint32), dtype=np.int64).tolist()
+            own = [raw[x:y] for x, y in zip([0, *ends], ends)]
             new = [w for w in own if w not in known]
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 known.update(zip(part, count([w.decode("utf-8", "surrogatepass") for w in part])))
-            each.append([known[w] for w in own])
-        return _rows([(b, r, planes(np.array(x, np.uint32))) for b, r, x in zip(t["bucket"].to_pylist(), t["run"].to_pylist(), each)], "bucket:i run:i counts:b")
+            out.append((src, planes(np.array([known[w] for w in own], np.uint32))))
+        return letters(key[0].as_py(), out, wide)
 
-    return run
+    return bucket
 
 
 def _sum(nb: int):
     def run(key, t, said):
-        ids, texts, sizes = _texts(t)
-        words = _vocabulary(texts, nb)
+        often = _often(t)
+        words = _vocabulary(often, nb)
         pieces: dict[str, int] = {}
-        for b, counts in zip(said["bucket"].to_pylist(), said["counts"].to_pylist()):
-            own = [w for w in words[b] if len(w) <= _LONG] + [w for w in words[b] if len(w) > _LONG]
-            pieces.update(zip((w.decode("utf-8", "surrogatepass") for w in own), unplanes(counts, np.uint32).tolist()))
-        rows = []
-        for d, x, n in zip(ids, texts, sizes):
-            often = Counter(pre_tokens(x))
-            rows.append((d, n, sum(map(int.__mul__, map(pieces.__getitem__, often), often.values()))))
-        return _rows(rows, "doc_id:l n_bytes:l n_tokens:l")
+        for b, counts in received(said):
+            pieces.update(zip((w.decode("utf-8", "surrogatepass") for w in words[b]), unplanes(counts, np.uint32).tolist()))
+        total = [sum(map(int.__mul__, map(pieces.__getitem__, x), x.values())) for x in often]
+        return pa.table({"doc_id": t["doc_id"], "n_bytes": pc.binary_length(t["text"]).cast(pa.int64()), "n_tokens": pa.array(total, pa.int64())})
 
     return run
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, run_bytes: int = 2 * RUN_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, run_bytes: int = 2 * RUN_BYTES, direct: int | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     model: path of a sentencepiece model, on every executor; a vocabulary whose pieces cross
     pre-tokens is refused.  Null text is empty and has no tokens; null ids and repeated rows
-    are kept; extra columns are ignored; texts of any length are counted whole.
+    are kept (rows of one id and one text are counted in one task); extra columns are ignored;
+    texts of any length are counted whole; an empty table gives an empty result.
+
+    direct: see exchange.DIRECT.
     """
     base = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    n_runs = run_count(base, "text", run_bytes)
-    nb = max(8, n_runs)
-    some = base.withColumn("run", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_runs)).cast("int"))
-    sent = some.groupBy("run").applyInArrow(_send(nb), "bucket int, run int, n int, size int, words binary, ends binary, long binary")
-    said = sent.groupBy("bucket").applyInArrow(_answer(model), "bucket int, run int, counts binary")
-    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(_sum(nb), "doc_id long, n_bytes long, n_tokens long")
+    n = run_count(base, "text", run_bytes)
+    nb = max(8, n)
+    wide = width(nb, direct)
+    some = base.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    sent = deliver(some.groupBy("run").applyInArrow(lean(_send(nb, wide)), MESSAGE), wide)
+    said = deliver(sent.groupBy("dst").applyInArrow(lean(_answer(model, wide)), MESSAGE), wide)
+    out = some.groupBy("run").cogroup(said.groupBy("dst")).applyInArrow(lean(_sum(nb)), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
