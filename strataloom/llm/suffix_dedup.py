@@ -9,20 +9,24 @@ about fourteen) need sorting; the bytes left of the anchor ride along.  The step
 
 1. Distributed duplicate detection (how the sort bounds the prefixes it exchanges):
    every run of documents sends the sorted hashes of its anchors to hash buckets,
-   which answer with one bit each: does another document hold this anchor?
+   which answer with a few bits each: does another document hold this anchor, and do
+   very many runs hold it?
 2. Each run sorts the suffixes at shared anchors, collapses equal ones (so a passage
    counts once a run, however many copies there are) and sends front-coded sorted
-   runs, one for each bucket.
+   runs, one for each bucket.  Windows at an anchor that very many runs hold go to a
+   bucket of their own each, so contexts of one common string never meet in one task.
 3. Each bucket merges its runs with a loser tree whose entries keep their common
    prefix with the last winner.  A match compares those lengths first and characters
-   only beyond them.  Along the merged order, neighbouring common prefixes tell which
-   50-byte strings can be shared at all; the bucket answers with the smallest document
-   id that holds them.
+   only beyond them.  The merged suffix array and its common prefixes, with those of
+   the bytes to the left, give the strings that suffixes share: for each of the windows
+   at an anchor the suffixes that agree on it are a block in both orders, and the
+   bucket answers with the smallest document id of the block.
 4. The runs mark the bytes and cut them out.
 
 Runs are hash groups of documents, buckets hash groups of anchors; both counts follow
-the input, so groups stay bounded.  No state outlives a task: a lost executor costs a
-recomputed task.
+the input, so groups stay bounded; messages between them go over a grid (exchange.py),
+so their number doesn't follow the square.  No state outlives a task: a lost executor
+costs a recomputed task.
 """
 
 from __future__ import annotations
@@ -31,42 +35,44 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._util import RUN_BYTES, lean, planes, run_count, text_bytes, unplanes
+from .exchange import MESSAGE, deliver, letters, pack, received, unpack, width
 
 WINDOW = 50
 KGRAM = 24
+#: An anchor that more runs hold is sent window by window.
+HOT_RUNS = 512
 _BITS = 42  # of an anchor's hash; the low bits hold a position while minima are taken
 _POS = 64 - _BITS
-_PIECE = 1 << 20  # bytes of text hashed at a time
+_PIECE = 1 << 15  # bytes of text hashed at a time: the arrays stay in the processor's cache
 _B = 0x9E3779B97F4A7C15 | 1
-_M64 = (1 << 64) - 1
+_LEFT = WINDOW - KGRAM  # bytes left of an anchor that its windows reach
+_KEY = WINDOW + _LEFT + 2  # right part, left part backwards, their lengths plus one
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _words(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number."""
+    return np.ndarray(max(0, len(b) - 7), "<u8", np.ascontiguousarray(b), 0, (1,)).copy()
 
 
 def _kgram_hash(b: np.ndarray, k: int) -> np.ndarray:
-    """Hash of b[i:i+k] for every i, by doubling over the bits of k."""
-    h = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    base, size, out, done = _B, 1, None, 0
-    while True:
-        if k & size:
-            if out is None:
-                out, done = h, size
-            else:
-                n = len(b) - done - size + 1
-                out = out[:n] * np.uint64(pow(_B, size, 1 << 64)) + h[done : done + n]
-                done += size
-        if done == k:
-            return _mix(out)
-        h = h[: len(h) - size] * np.uint64(base) + h[size:]
-        base = base * base & _M64
-        size *= 2
+    """Hash of b[i:i+k] for every i; k is 8 at least."""
+    w, n = _words(b), len(b) - k + 1
+    out = np.full(n, k, np.uint64)
+    for x, at in enumerate([*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]):
+        out += w[at : at + n] * np.uint64(pow(_B, 2 * x + 1, 1 << 64))
+    return _mix(out)
 
 
 def _window_min(v: np.ndarray, n: int) -> np.ndarray:
@@ -77,52 +83,47 @@ def _window_min(v: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int = KGRAM):
-    """Groups of window starts with one anchor: (first start, last start, anchor, hash), and the document of each.
+def anchors(buf: np.ndarray, offs: np.ndarray):
+    """Groups of window starts with one anchor: first start, last start, anchor, hash, and the document of each.
 
     buf holds the documents' bytes one after the other, offs their bounds.
     """
+    low = np.uint64((1 << _POS) - 1)
     parts = []
-    d, n = 0, len(offs) - 1
-    while d < n:
-        e = d + 1
-        while e < n and offs[e + 1] - offs[d] <= _PIECE:
-            e += 1
-        for lo in range(int(offs[d]), max(int(offs[e]) - window + 1, int(offs[d]) + 1), _PIECE):
-            hi = min(int(offs[e]), lo + _PIECE + window - 1)
-            if hi - lo < window:
-                continue
-            h = _kgram_hash(buf[lo:hi], k)
-            v = (h >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
-            m = _window_min(v, window - k + 1)
-            ok = np.zeros(len(m) + 1, np.int32)
-            b0 = np.clip(offs[d:e] - lo, 0, len(m))
-            b1 = np.clip(offs[d + 1 : e + 1] - window + 1 - lo, 0, len(m))
-            full = b1 > b0
-            np.add.at(ok, b0[full], 1)
-            np.add.at(ok, b1[full], -1)
-            idx = np.flatnonzero(np.cumsum(ok[:-1]) > 0)
-            if not len(idx):
-                continue
-            at = (m[idx] & np.uint64((1 << _POS) - 1)).astype(np.int64)
-            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            last = np.r_[new[1:], len(idx)] - 1
-            g = _mix((m[idx[new]] >> np.uint64(_POS)) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(_POS)
-            parts.append((idx[new] + lo, idx[last] + lo, at[new] + lo, g))
-        d = e
+    long = offs[1:] - offs[:-1] >= WINDOW
+    # a window may start where its end is in the same document
+    start_of = np.ones(max(0, len(buf) - WINDOW + 1), bool)
+    for x, y in zip(np.maximum(offs[:-1], offs[1:] - WINDOW + 1).tolist(), offs[1:].tolist()):
+        start_of[x:y] = False
+    for lo in range(0, len(start_of) if long.any() else 0, _PIECE):
+        ok = start_of[lo : lo + _PIECE]
+        h = _kgram_hash(buf[lo : lo + len(ok) + WINDOW - 1], KGRAM)
+        v = (h >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
+        m = _window_min(v, WINDOW - KGRAM + 1)
+        new = ok.copy()
+        new[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
+        last = ok.copy()
+        last[:-1] &= new[1:] | ~ok[1:]
+        new, last = np.flatnonzero(new), np.flatnonzero(last)
+        if len(new):
+            w = m[new]
+            parts.append((new + lo, last + lo, (w & low).astype(np.int64) + lo, w >> np.uint64(_POS)))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64), z
     i0, i1, p, g = (np.concatenate(x) for x in zip(*parts))
+    g = _mix(g * np.uint64(0xA24BAED4963EE407)) >> np.uint64(_POS)
     return i0, i1, p, g, np.searchsorted(offs, i0, side="right") - 1
 
 
 def _docs_of(t: pa.Table):
-    """Rows of one run in id order: ids, text buffer, offsets, row order."""
-    t = t.combine_chunks()
-    order = np.argsort(t["doc_id"].to_numpy(zero_copy_only=False), kind="stable")
-    t = t.take(pa.array(order)).combine_chunks()
-    ids = t["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+    """Rows of one run by id and text, an order that every reader of the run gets: ids, text buffer, offsets, table."""
+    ids = t["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] == ids[order][:-1]).any():
+        order = pc.sort_indices(t.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
+    ids = ids[order]
+    t = t.combine_chunks().take(pa.array(order)).combine_chunks()
     texts = t["text"].combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], t.schema.field("text").type)
@@ -133,12 +134,17 @@ def _docs_of(t: pa.Table):
     return ids, buf, offs - offs[0], t
 
 
-def _slices(g: np.ndarray, nb: int):
-    """Bounds of each bucket in sorted hashes."""
+def _edges(g: np.ndarray, nb: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes; buckets are equal ranges of them."""
     edges = np.searchsorted(g, (np.arange(nb + 1, dtype=np.uint64) * np.uint64(1 << _BITS)) // np.uint64(nb))
     return [(b, int(edges[b]), int(edges[b + 1])) for b in range(nb) if edges[b + 1] > edges[b]]
 
 
+def _bucket_of(g: np.ndarray, nb: int) -> np.ndarray:
+    edges = (np.arange(1, nb, dtype=np.uint64) * np.uint64(1 << _BITS)) // np.uint64(nb)
+    return np.searchsorted(edges, g, side="right")
+
+
 def _pack_sorted(g: np.ndarray) -> bytes:
     d = np.diff(g, prepend=np.uint64(0))
     wide = d.max() >> np.uint64(32) > 0
@@ -149,10 +155,13 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unplanes(b[1:], np.uint64 if b[0] == 8 else np.uint32).astype(np.uint64))
 
 
-def _by_hash(g, doc):
-    """Unique hashes of a run, whether several documents hold each, and the slot of each anchor."""
-    order = np.argsort(g, kind="stable")
-    s, d = g[order], doc[order]
+def _by_hash(g, of):
+    """Unique hashes of a run, whether documents of several ids hold each, and the slot of each anchor."""
+    if len(g) >> _POS:
+        order = np.argsort(g, kind="stable")
+    else:  # numbers sort faster than places
+        order = (np.sort((g << np.uint64(_POS)) | np.arange(len(g), dtype=np.uint64)) & np.uint64((1 << _POS) - 1)).astype(np.int64)
+    s, d = g[order], of[order]
     new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
     slot = np.cumsum(new) - 1
     multi = np.zeros(int(new.sum()), bool)
@@ -163,284 +172,389 @@ def _by_hash(g, doc):
     return s[new], multi, back
 
 
-def _hashes(nb: int):
+def _hashes(nb: int, wide: int):
     def run(key, t):
         ids, buf, offs, _ = _docs_of(t)
         *_, g, doc = anchors(buf, offs)
-        u, multi, _ = _by_hash(g, doc if len(np.unique(ids)) == len(ids) else np.searchsorted(np.unique(ids), ids)[doc])
-        rows = [(b, key[0].as_py(), _pack_sorted(u[x:y]), np.packbits(multi[x:y]).tobytes(), y - x) for b, x, y in _slices(u, nb)]
-        return _rows(rows, "bucket:i run:i hashes:b multi:b n:i")
+        u, multi, _ = _by_hash(g, ids[doc])
+        return letters(key[0].as_py(), [(b, pack([(y - x, _pack_sorted(u[x:y])), (0, np.packbits(multi[x:y]).tobytes())])) for b, x, y in _edges(u, nb)], wide)
 
     return run
 
 
-def _rows(rows: list[tuple], spec: str) -> pa.Table:
-    kinds = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "s": pa.string(), "t": pa.bool_(), "d": pa.float64()}
-    cols = [x.split(":") for x in spec.split()]
-    data = list(zip(*rows)) if rows else [[] for _ in cols]
-    return pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(cols, data)})
-
-
-def _shared(t):
-    """One bucket: for each run, a bit for each of its hashes that another document holds too."""
-    runs, ns = t["run"].to_pylist(), t["n"].to_pylist()
-    gs = [_unpack_sorted(x) for x in t["hashes"].to_pylist()]
-    ms = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(t["multi"].to_pylist(), ns)]
-    every = np.sort(np.concatenate(gs))
-    dup = every[1:][every[1:] == every[:-1]]
-    dup = np.unique(np.concatenate([dup, *(g[m] for g, m in zip(gs, ms))]))
-    bucket = t["bucket"][0].as_py()
-    rows = []
-    for r, g, n in zip(runs, gs, ns):
-        at = np.searchsorted(dup, g)
-        hit = np.zeros(n, bool)
-        inside = at < len(dup)
-        hit[inside] = dup[at[inside]] == g[inside]
-        if hit.any():
-            rows.append((bucket, r, np.packbits(hit).tobytes()))
-    return _rows(rows, "bucket:i run:i blob:b")
-
-
-def _entries(ids, buf, offs, nb: int, bits: dict[int, bytes]):
-    """Distinct shared suffixes of a run: for each bucket the sorted keys and the occurrences (document row, start) of each.
-
-    A key is the suffix from the anchor on, then the bytes left of it, then their count in one byte.
-    """
-    i0, i1, p, g, doc = anchors(buf, offs)
-    u, _, slot = _by_hash(g, doc)
-    keep, where = np.zeros(len(u), bool), np.zeros(len(u), np.int32)
-    for b, x, y in _slices(u, nb):
-        where[x:y] = b
-        if b in bits:
-            keep[x:y] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=y - x).astype(bool)
-    sel = np.flatnonzero(keep[slot]) if len(slot) else np.zeros(0, np.int64)
-    raw = buf.tobytes()
-    found: dict[int, dict[bytes, list[int]]] = {}
-    for q, b, s, a, e in zip(sel.tolist(), where[slot[sel]].tolist(), i0[sel].tolist(), p[sel].tolist(), (i1[sel] + WINDOW).tolist()):
-        found.setdefault(b, {}).setdefault(raw[a:e] + raw[s:a] + bytes((a - s,)), []).append(q)
-    return {b: sorted(x.items()) for b, x in found.items()}, i0, doc
-
-
-def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
-    """Length of the common prefix, known to be start at least."""
-    n = min(len(a), len(b))
-    if a[start:n] == b[start:n]:
-        return n
-    x = int.from_bytes(a[start:n], "big") ^ int.from_bytes(b[start:n], "big")
-    return n - (x.bit_length() + 7) // 8
-
-
-def front_code(keys: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Common prefix with the key before, length and remaining bytes of each; keys are under 256 bytes."""
-    lcps, rest, last = bytearray(), [], b""
-    for k in keys:
-        h = common_prefix(last, k)
-        lcps.append(h)
-        rest.append(k[h:])
-        last = k
-    return bytes(lcps), bytes(map(len, keys)), b"".join(rest)
-
-
-def front_decode(lcps: bytes, sizes: bytes, rest: bytes):
-    """(key, common prefix with the key before) of a front-coded run."""
-    last, at = b"", 0
-    for h, n in zip(lcps, sizes):
-        last = last[:h] + rest[at : at + n - h]
-        at += n - h
-        yield last, h
-
-
-def merge_runs(runs: list):
-    """Merge sorted runs of (key, common prefix with the key before) with a loser tree.
-
-    Yields (key, common prefix with the key yielded before, run, place in the run).
-    Every entry in the tree knows its common prefix with the last winner, so a longer
-    one is the smaller key without looking at characters, and equal ones are compared
-    only beyond that prefix.
+def _shared(wide: int, hot_runs: int):
+    """A bucket tells each run two bits for each of its hashes: held by documents of several ids; held by very many runs."""
+
+    def bucket(key, t):
+        runs, gs, ms = [], [], []
+        for src, body in received(t):
+            (n, hashes), (_, multi) = unpack(body)
+            runs.append(src)
+            gs.append(_unpack_sorted(hashes))
+            ms.append(np.unpackbits(np.frombuffer(multi, np.uint8), count=n).astype(bool))
+        every, times = np.unique(np.concatenate(gs), return_counts=True)
+        held = times > 1
+        for g, m in zip(gs, ms):
+            held[np.searchsorted(every, g[m])] = True
+        hot = held & (times > hot_runs)
+        out = []
+        for r, g in zip(runs, gs):
+            at = np.searchsorted(every, g)
+            if held[at].any():
+                out.append((r, np.packbits(np.r_[held[at], hot[at]]).tobytes()))
+        return letters(key[0].as_py(), out, wide)
+
+    return bucket
+
+
+class _Suffixes:
+    """Distinct suffixes of a run at its shared anchors, by bucket, sorted; and where each occurs, by document."""
+
+    def __init__(self, ids, buf, offs, nb: int, bits: dict[int, bytes]):
+        i0, i1, p, g, doc = anchors(buf, offs)
+        u, _, slot = _by_hash(g, ids[doc])
+        held, hot = np.zeros(len(u), bool), np.zeros(len(u), bool)
+        for b, x, y in _edges(u, nb):
+            if b in bits:
+                both = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=2 * (y - x)).astype(bool)
+                held[x:y], hot[x:y] = both[: y - x], both[y - x :]
+        sel = np.flatnonzero((held & ~hot)[slot])
+        each = np.flatnonzero(hot[slot])
+        left, self.p, right = (p - i0)[sel], p[sel], (i1 - p)[sel] + WINDOW
+        bucket, self.of = _bucket_of(g[sel], nb), ids[doc[sel]]
+        if len(each):  # windows of common anchors stand for themselves
+            n = (i1 - i0)[each] + 1
+            start = np.repeat(i0[each] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            h = np.concatenate([_kgram_hash(buf[lo : lo + _PIECE + WINDOW - 1], WINDOW) for lo in range(0, len(buf) - WINDOW + 1, _PIECE)])[start]
+            left, self.p, right = np.r_[left, np.zeros(len(start), np.int64)], np.r_[self.p, start], np.r_[right, np.full(len(start), WINDOW)]
+            bucket, self.of = np.r_[bucket, _bucket_of(h >> np.uint64(_POS), nb)], np.r_[self.of, np.repeat(ids[doc[each]], n)]
+        keys = _keys(buf, self.p, right, left)
+        order = np.argsort(keys.view(f"S{_KEY}").reshape(-1), kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        self.p, self.of, keys, bucket = self.p[order], self.of[order], keys[order], bucket[order]
+        lcp = _common(keys)
+        new = np.r_[True, (lcp[1:] < _KEY) | (bucket[1:] != bucket[:-1])] if len(order) else np.zeros(0, bool)
+        #: first occurrence of each entry, and the end
+        self.first = np.r_[np.flatnonzero(new), len(order)]
+        at = self.first[:-1]
+        self.keys, self.lcp, self.bucket = keys[at], lcp[at], bucket[at]
+        # entries of each bucket stand together
+        self.begin = np.searchsorted(self.bucket, np.arange(nb + 1))
+
+
+def _keys(buf: np.ndarray, p: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A fixed-width row for each suffix: right bytes from the anchor on, left bytes going back, zeros beyond, the lengths plus one."""
+    padded = np.r_[np.zeros(_LEFT, np.uint8), buf, np.zeros(WINDOW, np.uint8)]
+    view = np.lib.stride_tricks.sliding_window_view(padded, _LEFT + WINDOW)
+    out = np.empty((len(p), _KEY), np.uint8)
+    for x in range(0, len(p), 1 << 15):
+        y = slice(x, x + (1 << 15))
+        got = view[p[y]]
+        out[y, :WINDOW] = np.where(np.arange(WINDOW) < right[y, None], got[:, _LEFT:], 0)
+        out[y, WINDOW : WINDOW + _LEFT] = np.where(np.arange(_LEFT) < left[y, None], got[:, _LEFT - 1 :: -1], 0)
+    out[:, -2], out[:, -1] = left + 1, right + 1
+    return out
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Length of each row's common prefix with the one before; 0 for the first, all of it for equal rows."""
+    n, k = rows.shape
+    out = np.zeros(n, np.int64)
+    for x in range(1, n, 1 << 15):
+        y = min(n, x + (1 << 15))
+        differ = rows[x:y] != rows[x - 1 : y - 1]
+        out[x:y] = np.where(differ.any(axis=1), differ.argmax(axis=1), k)
+    return out
+
+
+def front_code(keys: np.ndarray, lcp: np.ndarray) -> list[bytes]:
+    """Common prefixes with the row before, and the bytes beyond them."""
+    lcp = np.r_[0, lcp[1:]] if len(lcp) else lcp
+    return [lcp.astype(np.uint8).tobytes(), keys[np.arange(keys.shape[1]) >= lcp[:, None]].tobytes()]
+
+
+def front_decode(lcps: bytes, rest: bytes, size: int) -> bytes:
+    """The rows of front_code(), one after the other."""
+    out, last, at = [], b"", 0
+    for h in lcps:
+        last = last[:h] + rest[at : at + size - h]
+        at += size - h
+        out.append(last)
+    return b"".join(out)
+
+
+def merge_runs(runs: list[tuple[np.ndarray, list[int]]]) -> tuple[list[int], list[int]]:
+    """Merge sorted runs of distinct keys with a loser tree.
+
+    A run is its keys as a matrix of bytes, all runs of one width, and each key's common prefix
+    with the one before.  Returns, in merged order, the run of each key and its common prefix
+    with the key before.  Every entry in the tree knows its common prefix with the last winner,
+    so a longer one is the smaller key without looking at characters, and equal ones are
+    compared only from that prefix on, eight bytes at a time.
     """
     k = len(runs)
-    its = [iter(r) for r in runs]
-    keys: list = [None] * k
-    lcp, place = [0] * k, [0] * k
-    for r in range(k):
-        keys[r] = next(its[r], (None,))[0]
+    if not k:
+        return [], []
+    size = runs[0][0].shape[1]
+    per = -(-size // 8)
+    words, lcps = [], [x for _, x in runs]
+    for m, _ in runs:
+        full = np.zeros((len(m), 8 * per), np.uint8)
+        full[:, :size] = m
+        words.append(full.view(">u8").reshape(-1).tolist())
+    count = [len(x) for x in lcps]
+    base, lcp = [0] * k, [0 if n else -1 for n in count]  # first word of the key; -1: nothing left
     tree = [-1] * k  # losers; tree[0] is unused
 
     def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's length becomes that with the winner."""
-        x, y = keys[a], keys[b]
-        if x is None:
-            return b, a
-        if y is None:
-            return a, b
-        h, g = lcp[a], lcp[b]
-        if h > g:
+        """(winner, loser) of two with the same common prefix; the loser's becomes that with the winner."""
+        h = lcp[a]
+        if h < 0:
             return a, b
-        if g > h:
-            return b, a
-        if x[h:] == y[h:]:
-            lo, hi = (a, b) if a < b else (b, a)
-            lcp[hi] = len(x)
-            return lo, hi
-        n = common_prefix(x, y, h)
-        if x[n:] < y[n:]:
-            lcp[b] = n
-            return a, b
-        lcp[a] = n
-        return b, a
+        x, y, i, j = words[a], words[b], base[a], base[b]
+        for w in range(h >> 3, per):
+            u, v = x[i + w], y[j + w]
+            if u != v:
+                h = 8 * w + ((64 - (u ^ v).bit_length()) >> 3)
+                if u < v:
+                    lcp[b] = h
+                    return a, b
+                lcp[a] = h
+                return b, a
+        if a > b:
+            a, b = b, a
+        lcp[b] = size
+        return a, b
 
     at = [-1] * k + list(range(k))
     for node in range(k - 1, 0, -1):
-        at[node], tree[node] = play(at[2 * node], at[2 * node + 1])
+        a, b = at[2 * node], at[2 * node + 1]
+        if lcp[a] != lcp[b]:
+            at[node], tree[node] = (a, b) if lcp[a] > lcp[b] else (b, a)
+        else:
+            at[node], tree[node] = play(a, b)
     win = at[1] if k > 1 else 0
-    while k and keys[win] is not None:
-        yield keys[win], lcp[win], win, place[win]
-        place[win] += 1
-        nxt = next(its[win], None)
-        keys[win], lcp[win] = nxt or (None, 0)
+    place = [0] * k
+    out, common = [], []
+    own = lcp[win]
+    while own >= 0:
+        out.append(win)
+        common.append(own)
+        i = place[win] = place[win] + 1
+        base[win] += per
+        own = lcp[win] = lcps[win][i] if i < count[win] else -1
         node = (win + k) >> 1
         while node:
             o = tree[node]
-            # inline of the common case of play()
-            if keys[o] is not None and (keys[win] is None or lcp[o] > lcp[win]):
-                tree[node], win = win, o
-            elif keys[o] is not None and lcp[o] == lcp[win]:
-                win, tree[node] = play(win, o)
+            x = lcp[o]
+            if x >= own:
+                if x > own:
+                    tree[node], win, own = win, o, x
+                elif x >= 0:
+                    win, tree[node] = play(win, o)
+                    own = lcp[win]
             node >>= 1
+    return out, common
 
 
-def _send(nb: int):
-    def run(key, t, bits):
-        if not t.num_rows or not bits.num_rows:
-            return _rows([], "bucket:i run:i lcps:b sizes:b rest:b least:b span:b")
+def _send(nb: int, wide: int):
+    def run(key, t, said):
+        if not t.num_rows or not said.num_rows:
+            return letters(0, [], wide)
         ids, buf, offs, _ = _docs_of(t)
-        found, _, doc = _entries(ids, buf, offs, nb, dict(zip(bits["bucket"].to_pylist(), bits["blob"].to_pylist())))
-        rows = []
-        for b, entries in found.items():
-            lcps, sizes, rest = front_code([x for x, _ in entries])
-            least = np.array([ids[doc[q[0]]] for _, q in entries], np.int64)
-            most = np.array([ids[doc[q[-1]]] for _, q in entries], np.int64)
-            rows.append((b, int(t["run"][0].as_py()), lcps, sizes, rest, planes(least), planes(most - least)))
-        return _rows(rows, "bucket:i run:i lcps:b sizes:b rest:b least:b span:b")
+        s = _Suffixes(ids, buf, offs, nb, dict(received(said)))
+        out = []
+        if len(s.of):
+            for b in np.unique(s.bucket).tolist():
+                x, y = s.begin[b], s.begin[b + 1]
+                u, v = s.first[x], s.first[y]
+                said = (*front_code(s.keys[x:y], s.lcp[x:y]), planes(np.diff(s.first[x : y + 1]).astype(np.uint32)), planes(s.of[u:v]), planes(s.p[u:v].astype(np.uint32)))
+                out.append((b, pack([(0, z) for z in said])))
+        return letters(t["run"][0].as_py(), out, wide)
 
     return run
 
 
-def _answers(t):
-    """One bucket: merge its runs; tell each run which windows a smaller document holds."""
-    t = t.sort_by("run")
-    runs = t["run"].to_pylist()
-    least = [unplanes(x, np.int64).tolist() for x in t["least"].to_pylist()]
-    span = [unplanes(x, np.int64).tolist() for x in t["span"].to_pylist()]
-    out: list[list[tuple]] = [[] for _ in runs]
-    merged = merge_runs([front_decode(*x) for x in zip(t["lcps"].to_pylist(), t["sizes"].to_pylist(), t["rest"].to_pylist())])
-
-    def close(group: list) -> None:
-        """group: [key, common prefix with the key before, smallest id, occurrences] of each distinct key with one anchor."""
-        seen: dict[bytes, int] = {}
-        some = []
-        for x, (key, h, low, held) in enumerate(group):
-            left = key[-1]
-            right = len(key) - 1 - left
-            last = left + right - WINDOW  # of its windows
-            near = max(h if x else 0, group[x + 1][1] if x + 1 < len(group) else 0)
-            shared = min(last, min(near, right) - WINDOW + left)  # windows up to here may be in another key
-            text = key[right:-1] + key[:right] if shared >= 0 else b""
-            for j in range(shared + 1):
-                w = text[j : j + WINDOW]
-                if seen.get(w, low) >= low:
-                    seen[w] = low
-            some.append((text, shared, last))
-        for (key, _, low, held), (text, shared, last) in zip(group, some):
-            lows = [seen[text[j : j + WINDOW]] for j in range(shared + 1)]
-            spans, j = [], 0
-            while j <= last:
-                m = lows[j] if j <= shared else low
-                e = j
-                while e < last and (lows[e + 1] if e + 1 <= shared else low) == m:
-                    e += 1
-                spans.append((j, e, m))
-                j = e + 1
-            for r, at in held:
-                most = least[r][at] + span[r][at]
-                out[r] += [(at, x, y, m) for x, y, m in spans if most > m]
-
-    group: list = []
-    for key, h, r, at in merged:
-        if group and h < KGRAM:
-            close(group)
-            group = []
-        low = least[r][at]
-        if group and h == len(key) == len(group[-1][0]):
-            last = group[-1]
-            last[2] = min(last[2], low)
-            last[3].append((r, at))
-        else:
-            group.append([key, h, low, [(r, at)]])
-    if group:
-        close(group)
-    bucket = t["bucket"][0].as_py()
-    return _rows([(bucket, r, planes(np.array(x, np.int64).reshape(-1))) for r, x in zip(runs, out) if x], "bucket:i run:i blob:b")
+def _windows(keys: np.ndarray, h: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which windows of sorted distinct suffixes a document holds first: spans (key, from, to, smallest id).
 
-
-def _cut(nb: int, with_text: bool, carry: tuple[str, ...]):
+    h: common prefixes; low: the smallest id of each suffix.  A window is named by its number of bytes left of the anchor.
+    """
+    n = len(keys)
+    left, right = keys[:, -2].astype(np.int64) - 1, keys[:, -1].astype(np.int64) - 1
+    first, last = WINDOW - right, left
+    alone = np.r_[h[1:] < KGRAM, True] & (h < KGRAM)
+    spans = [(np.flatnonzero(alone), first[alone], last[alone], low[alone])]
+    some = np.flatnonzero(~alone)
+    if len(some):
+        h, low, first, last = np.minimum(h[some], WINDOW), low[some], first[some], last[some]
+        m = len(some)
+        group = np.cumsum(h < KGRAM)
+        back = np.ascontiguousarray(keys[some, WINDOW : WINDOW + _LEFT])
+        order = np.lexsort((back.view(f"S{_LEFT}").reshape(-1), group))
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        lh = _common(back[order])
+        lh[np.r_[True, group[order][1:] != group[order][:-1]]] = -1
+        h = np.where(h < KGRAM, -1, h)
+        near_right, near_left = np.maximum(h, np.r_[h[1:], -1]), np.maximum(lh, np.r_[lh[1:], -1])[rank]
+        who = np.repeat(low[:, None], _LEFT + 1, axis=1)
+        for j in range(_LEFT + 1):
+            i = np.flatnonzero((first <= j) & (last >= j) & (near_right >= WINDOW - j) & (near_left >= j))
+            if len(i):
+                # suffixes that agree on the window are a block of the one order and of the other
+                code = np.cumsum(h < WINDOW - j)[i] * (m + 1) + np.cumsum(lh < j)[rank[i]]
+                o = np.argsort(code, kind="stable")
+                new = np.flatnonzero(np.r_[True, code[o][1:] != code[o][:-1]])
+                least = np.minimum.reduceat(low[i[o]], new)
+                who[i[o], j] = np.repeat(least, np.diff(np.r_[new, len(o)]))
+        j = np.arange(_LEFT + 1)
+        valid = (j >= first[:, None]) & (j <= last[:, None])
+        step = np.zeros(valid.shape, bool)
+        step[:, 1:] = who[:, 1:] != who[:, :-1]
+        begins = valid & (step | (j == first[:, None]))
+        ends = valid.copy()
+        ends[:, :-1] &= begins[:, 1:] | ~valid[:, 1:]
+        a, x = np.nonzero(begins)
+        _, y = np.nonzero(ends)
+        spans.append((some[a], x, y, who[a, x]))
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of n numbers from starts on: the range of each, and the number."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) + np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n)
+
+
+def _answers(wide: int):
+    """A bucket merges its runs; it tells each run the passages that a smaller document holds."""
+
+    def bucket(key, t):
+        runs, keys, lcps, counts, ids, places = [], [], [], [], [], []
+        for src, body in received(t):
+            h, rest, n, of, p = (x for _, x in unpack(body))
+            runs.append(src)
+            keys.append(np.frombuffer(front_decode(h, rest, _KEY), np.uint8).reshape(-1, _KEY))
+            lcps.append(list(h))
+            counts.append(unplanes(n, np.uint32).astype(np.int64))
+            ids.append(unplanes(of, np.int64))
+            places.append(unplanes(p, np.uint32))
+        run, h = (np.array(x) for x in merge_runs(list(zip(keys, lcps))))
+        row = np.empty(len(run), np.int64)  # among the runs one after the other, for each merged place
+        row[np.argsort(run, kind="stable")] = np.arange(len(run))
+        count, ids, places = np.concatenate(counts), np.concatenate(ids), np.concatenate(places).astype(np.int64)
+        first = np.r_[0, np.cumsum(count)[:-1]]
+        new = np.flatnonzero(h < _KEY)
+        low = np.minimum.reduceat(np.minimum.reduceat(ids, first)[row], new)
+        top = np.maximum.reduceat(np.maximum.reduceat(ids, first)[row], new)
+        k, x, y, m = _windows(np.concatenate(keys)[row[new]], h[new], low)
+        use = top[k] > m
+        k, x, y, m = k[use], x[use], y[use], m[use]
+        # each suffix has a copy in some runs, each copy its occurrences
+        span, at = _spread(new[k], np.diff(np.r_[new, len(run)])[k])
+        copy, q = _spread(first[row[at]], count[row[at]])
+        span = span[copy]
+        use = ids[q] > m[span]
+        q, span = q[use], span[use]
+        r = run[at][copy[use]]
+        o = np.argsort(r, kind="stable")
+        r, start, size = r[o], (places[q] - y[span])[o], (y - x)[span][o] + WINDOW
+        edge = np.searchsorted(r, np.arange(len(runs) + 1))
+        out = []
+        for i, src in enumerate(runs):
+            a, b = edge[i], edge[i + 1]
+            if b > a:
+                out.append((src, planes(start[a:b].astype(np.uint32)) + size[a:b].astype(np.uint8).tobytes()))
+        return letters(key[0].as_py(), out, wide)
+
+    return bucket
+
+
+def _gone(buf: np.ndarray, said: pa.Table) -> np.ndarray:
+    """Which bytes of a run go."""
+    cover = np.zeros(len(buf) + 1, np.int32)
+    for _, body in received(said):
+        n = len(body) // 5
+        start = unplanes(body[: 4 * n], np.uint32).astype(np.int64)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + np.frombuffer(body, np.uint8, n, 4 * n), -1)
+    return np.cumsum(cover[:-1], dtype=np.int32) > 0
+
+
+def _whole_characters(gone: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """gone, less the bytes of characters of which a byte stays."""
+    character = np.cumsum((buf & 0xC0) != 0x80)
+    stays = np.zeros(int(character[-1]) + 1 if len(character) else 1, bool)
+    stays[character[~gone]] = True
+    return gone & ~stays[character]
+
+
+def _sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many flags each document has."""
+    out = np.zeros(len(offs) - 1, np.int64)
+    some = np.flatnonzero(offs[1:] > offs[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), offs[some], dtype=np.int64)
+    return out
+
+
+def _cut(with_text: bool):
     def run(key, t, said):
         ids, buf, offs, t = _docs_of(t)
-        kind = said["kind"].to_pylist()
-        got = {0: {}, 1: {}}
-        for k, b, x in zip(kind, said["bucket"].to_pylist(), said["blob"].to_pylist()):
-            got[k][b] = x
-        cover = np.zeros(len(buf) + 1, np.int32)
-        if got[1]:
-            found, i0, doc = _entries(ids, buf, offs, nb, got[0])
-            of = ids[doc]
-            for b, blob in got[1].items():
-                entries = found[b]
-                for at, x, y, low in unplanes(blob, np.int64).reshape(-1, 4).tolist():
-                    q = np.array(entries[at][1])
-                    q = q[of[q] > low]
-                    np.add.at(cover, i0[q] + x, 1)
-                    np.add.at(cover, i0[q] + y + WINDOW, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        raw = buf.tobytes()
-        rows = []
-        for d in range(len(ids)):
-            a, e = int(offs[d]), int(offs[d + 1])
-            m = gone[a:e]
-            n = int(m.sum())
-            starts = int(m[:1].sum() + (m[1:] & ~m[:-1]).sum()) if n else 0
-            rest = buf[a:e][~m].tobytes() if n else raw[a:e]
-            rows.append((int(ids[d]), e - a, n, starts, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else [])))
-        out = _rows(rows, "doc_id:l n_bytes:l n_removed:l n_spans:l kept_sha256:s" + " kept:b" * with_text)
-        for c in carry:
-            out = out.append_column(c, t[c])
-        return out
+        gone = _gone(buf, said)
+
+        def cut(gone):
+            return np.r_[0, np.cumsum(_sums(gone, offs))], memoryview(buf[~gone].tobytes())
+
+        before, rest = cut(gone)
+        at = (offs - before).tolist()
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        edge = offs[:-1][offs[1:] > offs[:-1]]
+        starts[edge] = gone[edge]
+        cols = {
+            "doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(offs)), "n_removed": pa.array(np.diff(before)), "n_spans": pa.array(_sums(starts, offs)),
+            "kept_sha256": pa.array([hashlib.sha256(rest[x:y]).hexdigest() for x, y in zip(at, at[1:])], pa.string()),
+        }
+        if with_text:
+            before, rest = cut(_whole_characters(gone, buf))
+            at = (offs - before).tolist()
+            cols["kept"] = pa.array([bytes(rest[x:y]).decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())
+            cols["rest"] = t["rest"]
+        return pa.table(cols)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), run_bytes: int = RUN_BYTES) -> DataFrame:
-    """For each row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes.
+def remove_repeats(docs: DataFrame, with_text: bool = False, run_bytes: int = 2 * RUN_BYTES, hot_runs: int = HOT_RUNS, direct: int | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null text is empty.  Rows that share a doc_id don't shorten one another; copies in them
     are cut by smaller ids only.  A null doc_id neither cuts nor is cut: its text stays whole.
-    Columns of docs named in carry come along, others are ignored.  An empty table gives an
-    empty result.  Cutting works on bytes, so kept text may start or end inside a UTF-8 character.
+    Other columns are ignored, whatever their names.  An empty table gives an empty result.
+    Texts of any length are judged whole.  The figures and the digest are of bytes.  With
+    with_text two more columns come along: kept, the text that is left, cut at whole
+    characters only (a character of which a byte stays is kept), and rest, a struct of the
+    other columns of docs.
+
+    hot_runs, direct: see HOT_RUNS and exchange.DIRECT.
     """
-    base = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry))
-    n_runs = run_count(base, "text", run_bytes)
-    nb = max(8, n_runs)
-    some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)).cast("int"))
-    hashes = some.groupBy("run").applyInArrow(lean(_hashes(nb)), "bucket int, run int, hashes binary, multi binary, n int")
-    shared = hashes.groupBy("bucket").applyInArrow(lean(_shared), "bucket int, run int, blob binary")
-    sent = some.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(lean(_send(nb)), "bucket int, run int, lcps binary, sizes binary, rest binary, least binary, span binary")
-    answers = sent.groupBy("bucket").applyInArrow(lean(_answers), "bucket int, run int, blob binary")
-    said = shared.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    schema += "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
-    out = some.groupBy("run").cogroup(said.groupBy("run")).applyInArrow(lean(_cut(nb, with_text, carry)), schema)
-    whole = base.filter("doc_id is null").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []), *carry,
-    )
-    return out.unionByName(whole)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*(others or [F.lit(True).alias("_")])).alias("rest")] if with_text else []
+    base = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest))
+    n = run_count(base, "text", run_bytes)
+    nb = max(8, n)
+    wide = width(nb, direct)
+    some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    hashes = deliver(some.groupBy("run").applyInArrow(lean(_hashes(nb, wide)), MESSAGE), wide)
+    held = deliver(hashes.groupBy("dst").applyInArrow(lean(_shared(wide, hot_runs)), MESSAGE), wide)
+    sent = deliver(some.groupBy("run").cogroup(held.groupBy("dst")).applyInArrow(lean(_send(nb, wide)), MESSAGE), wide)
+    answers = deliver(sent.groupBy("dst").applyInArrow(lean(_answers(wide)), MESSAGE), wide)
+    schema = StructType([StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
+    whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
+    if with_text:
+        schema = schema.add("kept", StringType()).add(base.schema["rest"])
+        whole += [F.expr("make_valid_utf8(cast(text as string))").alias("kept"), "rest"]
+    out = some.groupBy("run").cogroup(answers.groupBy("dst")).applyInArrow(lean(_cut(with_text)), schema)
+    return out.unionByName(base.filter("doc_id is null").select("doc_id", *whole))
