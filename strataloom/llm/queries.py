@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._util import table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
-from .packing import pack_texts
+from .packing import pack_sequences, packed_pieces
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .suffix_dedup import remove_repeats
@@ -28,7 +28,7 @@ def _tokenizer(name: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": lambda s, d: score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op2_jaccard_join": lambda s, d: near_duplicates(table(s, d, "documents")),
-    "op3_best_fit_packing": lambda s, d: pack_texts(table(s, d, "documents")),
+    "op3_best_fit_packing": lambda s, d: packed_pieces(pack_sequences(table(s, d, "documents"))),
     "op4_quality_rules": lambda s, d: judge_quality(table(s, d, "documents")),
     "op5_token_files": lambda s, d: token_digest(table(s, d, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2),
     "op6_decontamination": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
