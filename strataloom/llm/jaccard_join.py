@@ -5,9 +5,10 @@ shared tokens.  In each run a document starts at a root and follows every sketch
 that a hash of the path and the token chooses, about one over the threshold of them; two
 sets of similarity J share a chosen token for each of J/0.8 on average.  Buckets of one
 path that are small are compared by brute force, large ones are split again on further
-chosen tokens.  Runs repeat until the recall wanted is reached: a run of one level misses
-a pair at the threshold with probability 1/e, so 16 runs miss one in a million; pairs of
-which every bucket needs all three levels are missed once in some hundreds.
+chosen tokens.  Runs come in batches, repeated until the recall wanted is reached: from how
+many runs found each of a sample of pairs the number that no run found is estimated, and
+the share of the others is the recall.  (In theory a run of one level misses a pair at the
+threshold with probability 1/e, so eight runs miss one in three thousand.)
 
 Equal sets are joined first and stand as one row.  Before a large bucket is split, its
 members are compared with a pivot, and those very near it leave the recursion as its
@@ -15,16 +16,19 @@ family (Jaccard distance is a metric: whatever is linked to them is a candidate
 pivot as well).  What stays large at the last level is compared in blocks of pairs of
 chunks; what leaves a bucket is the stars of its candidate components, never the pairs.  The components of these
 forests are the groups in which every pair is then verified on the whole shingle sets,
-again in chunks; this finds the links that the buckets missed inside a group, too.
+again in chunks bounded in rows and in bytes; this finds the links that the buckets missed
+inside a group, too.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._util import lean, lean_batches, materialize, text_bytes, words_of
 from .components import connected_components
@@ -32,10 +36,15 @@ from .components import connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 64
-RUNS = 16
+#: Runs of a batch, batches at most, and the estimated recall that ends them.
+RUNS, BATCHES, RECALL = 8, 4, 0.999
+#: One of so many pairs is in the sample from which recall is estimated; fewer of them than LEAST_SAMPLE tell nothing.
+SAMPLED, LEAST_SAMPLE = 16, 50
 DEPTH = 3
 #: Members of a bucket or group compared in one piece; larger ones in pairs of chunks of this size.
 SMALL = 512
+#: Bytes of text in a chunk of a verified group, and rows or bytes that one call takes, about.
+CHUNK_BYTES, CALL_ROWS, CALL_BYTES = 4 << 20, 20_000, 16 << 20
 #: A sketch estimate this far below the threshold (five standard deviations) rules a pair out.
 SLACK = 0.3
 #: Members of a large bucket that agree so much with its pivot leave the recursion, linked to it.  What is
@@ -43,6 +52,7 @@ SLACK = 0.3
 FAMILY = 0.85
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_log = logging.getLogger(__name__)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,8 +95,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def row_mark(text: str = "text") -> Column:
+    """Hash of a text; with the doc_id it tells rows apart whose ids are the same."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, sketch): key is a 128-bit digest of the set, null for texts without words."""
+    """(doc_id, mark, n_bytes, key, sketch): key is a 128-bit digest of the set, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -94,14 +109,16 @@ def sets(docs: DataFrame) -> DataFrame:
         shingles = Shingler()
         for t in batches:
             rows: list[list] = [[], [], []]
-            for x in t.column(1):
-                s = shingles(x.as_py())
-                rows[0].append(len(s))
+            for x in t.column(2):
+                text = x.as_py()
+                s = shingles(text)
+                rows[0].append(len(text))
                 rows[1].append(xxh3_128_digest(s.tobytes()) if len(s) else None)
                 rows[2].append(sketch(s).tobytes() if len(s) else None)
-            yield pa.record_batch({"doc_id": t.column(0), "n_shingles": pa.array(rows[0], pa.int64()), "key": pa.array(rows[1], pa.binary()), "sketch": pa.array(rows[2], pa.binary())})
+            yield pa.record_batch({"doc_id": t.column(0), "mark": t.column(1), "n_bytes": pa.array(rows[0], pa.int64()), "key": pa.array(rows[1], pa.binary()), "sketch": pa.array(rows[2], pa.binary())})
 
-    return text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(lean_batches(run), "doc_id long, n_shingles long, key binary, sketch binary")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_mark().alias("mark"), "text")
+    return text_bytes(some).mapInArrow(lean_batches(run), "doc_id long, mark long, n_bytes long, key binary, sketch binary")
 
 
 def _chosen(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +130,8 @@ def _chosen(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return row, _mix(h[row, col] + np.uint64(1)).view(np.int64)
 
 
-def _walk(nodes: DataFrame, roots: bool, runs: int) -> DataFrame:
-    """Children (path, rep) of nodes (rep, sketch[, path])."""
+def _walk(nodes: DataFrame, roots: range | None = None) -> DataFrame:
+    """Children (path, run, rep) of nodes (rep, sketch[, path, run]); roots: the runs that start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -122,23 +139,30 @@ def _walk(nodes: DataFrame, roots: bool, runs: int) -> DataFrame:
                 part = t.slice(at, 4096)
                 rep = part.column(0).to_numpy(zero_copy_only=False)
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, SKETCH)
-                starts = [np.full(len(rep), -1 - r, np.int64) for r in range(runs)] if roots else [part.column(2).to_numpy(zero_copy_only=False)]
-                for p in starts:
+                if roots is None:
+                    starts = [(part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False))]
+                else:
+                    starts = [(np.full(len(rep), -1 - r, np.int64), np.full(len(rep), r, np.int32)) for r in roots]
+                for p, r in starts:
                     row, child = _chosen(p.view(np.uint64), sig)
-                    yield pa.record_batch({"path": pa.array(child), "rep": pa.array(rep[row])})
+                    yield pa.record_batch({"path": pa.array(child), "run": pa.array(r[row], pa.int32()), "rep": pa.array(rep[row])})
 
-    return nodes.mapInArrow(lean_batches(run), "path long, rep long")
+    return nodes.mapInArrow(lean_batches(run), "path long, run int, rep long")
 
 
-def _chunked(df: DataFrame, key: str, n: str, member: str, size: int) -> DataFrame:
-    """A row for each cell of df's groups: a small group is one cell, a larger one a cell for each pair of chunks.
+def _chunked(df: DataFrame, chunks: Column, member: str) -> DataFrame:
+    """A row for each cell of df's groups: a group of one chunk is one cell, another has a cell for each pair of chunks.
 
     Columns cell_a, cell_b (chunks) and chunk (of the member) are added.
     """
-    q = F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
-    out = df.withColumn("chunk", F.pmod(F.xxhash64(F.col(member), F.lit(7)), q).cast("int"))
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), q - 1)))
-    return out.withColumn("cell_a", F.least("chunk", "_o")).withColumn("cell_b", F.greatest("chunk", "_o")).drop("_o")
+    out = df.withColumn("_q", F.greatest(F.lit(1), chunks).cast("int")).withColumn("chunk", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_q")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
+    return out.withColumn("cell_a", F.least("chunk", "_o")).withColumn("cell_b", F.greatest("chunk", "_o")).drop("_o", "_q")
+
+
+def _calls(df: DataFrame, chunks: Column, size: Column, most: int) -> int:
+    """How many calls of most the rows of df make, each of a size and as often as its group has chunks."""
+    return max(1, int(df.agg(F.sum(F.greatest(F.lit(1), chunks).cast("long") * size)).first()[0] or 0) // most)
 
 
 def _pairs(chunk: np.ndarray, a: int, b: int):
@@ -172,28 +196,44 @@ class _Forest:
         return [(c, x) for x in list(self.up) if (c := self.find(x)) != x]
 
 
+def _sampled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = _mix(a.astype(np.uint64) * _M ^ _mix(b.astype(np.uint64)))
+    return x % np.uint64(SAMPLED) == 0
+
+
 def _candidates(t):
-    """Stars of the pairs whose sketches agree enough, in the buckets of one call."""
+    """Stars of the pairs whose sketches agree enough, in the buckets of one call (run null), and a sample of the likely links."""
     need = int(SKETCH * (THRESHOLD - SLACK))
     t = t.combine_chunks()
-    path, ca, cb, chunk, rep = (t[c].to_numpy(zero_copy_only=False) for c in ("path", "cell_a", "cell_b", "chunk", "rep"))
+    path, run, ca, cb, chunk, rep = (t[c].to_numpy(zero_copy_only=False) for c in ("path", "run", "cell_a", "cell_b", "chunk", "rep"))
     order = np.lexsort((rep, cb, ca, path))
-    path, ca, cb, chunk, rep = (x[order] for x in (path, ca, cb, chunk, rep))
+    path, run, ca, cb, chunk, rep = (x[order] for x in (path, run, ca, cb, chunk, rep))
+    found = []
+
+    def link(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> None:
+        forest.add(rep[i], rep[j])
+        u, v = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        k = (u != v) & (agree >= SKETCH * THRESHOLD) & _sampled(u, v)
+        if k.any():
+            found.append((u[k], v[k], run[i][k]))
+
     sig = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u4").reshape(-1, SKETCH)[order]
     new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]) if len(path) else []
     forest = _Forest()
     for x, y in zip(new, np.r_[new[1:], len(path)] if len(path) else []):
         if y - x == 2:
-            if (ca[x] == cb[x] or chunk[x] != chunk[x + 1]) and (sig[x] == sig[x + 1]).sum() >= need:
-                forest.add(rep[x : x + 1], rep[x + 1 : x + 2])
+            if (ca[x] == cb[x] or chunk[x] != chunk[x + 1]) and (n := (sig[x] == sig[x + 1]).sum()) >= need:
+                link(np.array([x]), np.array([x + 1]), np.array([n]))
             continue
         s = sig[x:y]
         for rows, cols in _pairs(chunk[x:y], ca[x], cb[x]):
-            i, j = np.nonzero((s[rows][:, None, :] == s[cols][None, :, :]).sum(axis=2) >= need)
-            forest.add(rep[x + rows[i]], rep[x + cols[j]])
+            agree = (s[rows][:, None, :] == s[cols][None, :, :]).sum(axis=2)
+            i, j = np.nonzero(agree >= need)
+            link(x + rows[i], x + cols[j], agree[i, j])
     stars = forest.edges()
     a, b = zip(*stars) if stars else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    u, v, r = (np.concatenate(z) for z in zip(*found)) if found else ((), (), ())
+    return pa.table({"a": pa.array([*a, *u], pa.int64()), "b": pa.array([*b, *v], pa.int64()), "run": pa.array([None] * len(a) + list(map(int, r)), pa.int32())})
 
 
 def _pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +241,7 @@ def _pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
         own, of = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
         agree = (own == of).sum(axis=1)
-        keep = t.select(["path", "rep", "sketch", "n", "pivot"])
+        keep = t.select(["path", "run", "rep", "sketch", "n", "pivot"])
         yield keep.append_column("near", pa.array(agree >= int(SKETCH * (THRESHOLD - SLACK)))).append_column("family", pa.array(agree >= SKETCH * FAMILY))
 
 
@@ -222,7 +262,7 @@ def _verify(t):
         own, at = [], []
         for r in range(x, y):
             s = shingles(texts[int(order[r])].as_py())
-            if xxh3_128_digest(s.tobytes()) == keys[order[r]]:  # another row may share the id
+            if xxh3_128_digest(s.tobytes()) == keys[order[r]]:  # another text may share id and mark
                 own.append(s)
                 at.append(r)
         if len(own) < 2:
@@ -266,53 +306,132 @@ def _verify(t):
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "links"), cols)})
 
 
-def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, set_id, class_id, n_links.
-
-    set_id is the least id with the same shingle set, class_id the least id reachable over
-    links (pairs of sets with similarity 0.8 or more), n_links the number of other sets
-    linked to the row's.  A text of fewer than five words is one shingle; a text without
-    words or of null is in a class of its own without links; so is a row with a null id,
-    whose class_id is null.  Repeated rows share their class.  Extra columns are ignored.
-    """
-    some = materialize(sets(docs), "sets")
-    keyed = some.filter("doc_id is not null and key is not null")
-    reps = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
-    nodes = _walk(reps.select("rep", "sketch"), True, runs)
-    forests = []
+def _batch(reps: DataFrame, roots: range, small: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
+    """Candidate edges of some runs; how often sampled pairs were found (a, b, run); sets that were in large buckets."""
+    known = reps.select(F.col("node").alias("rep"), "sketch")
+    nodes = _walk(known, roots)
+    edges, hits, crowds = [], [], []
     for depth in range(1, DEPTH + 1):
         nodes = materialize(nodes.distinct(), "paths")
         n = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-        met = materialize(nodes.join(n, "path").join(reps.select("rep", "sketch"), "rep"), "buckets")
+        met = materialize(nodes.join(n, "path").join(known, "rep"), "buckets")
         now = met.filter(F.col("n") <= small).drop("pivot")
         large = met.filter(F.col("n") > small)
         more = large.limit(1).count() > 0
         if more:
-            pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-            large = materialize(large.join(pivots, "pivot").mapInArrow(lean_batches(_pivot), "path long, rep long, sketch binary, n long, pivot long, near boolean, family boolean"), "large")
-            forests.append(large.filter("near and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-            large = large.filter("not family").select("path", "rep", "sketch", "n")
+            crowds.append(large.select("rep"))
+            pivots = known.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+            large = materialize(large.join(pivots, "pivot").mapInArrow(lean_batches(_pivot), "path long, run int, rep long, sketch binary, n long, pivot long, near boolean, family boolean"), "large")
+            edges.append(large.filter("near and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+            large = large.filter("not family").select("path", "run", "rep", "sketch", "n")
             if depth == DEPTH:
                 now, more = now.unionByName(large.select(*now.columns)), False
-        cells = _chunked(now, "path", "n", "rep", small)
-        # Many buckets a call: a bucket is far smaller than what a call can take.
-        groups = max(1, met.count() // 20_000)
-        forests.append(cells.groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(groups)).alias("g")).applyInArrow(lean(_candidates), "a long, b long"))
+        chunks = F.ceil(F.col("n") / small)
+        calls = _calls(now, chunks, F.lit(1), CALL_ROWS)
+        cells = _chunked(now, chunks, "rep").groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(calls)).alias("g"))
+        found = materialize(cells.applyInArrow(lean(_candidates), "a long, b long, run int"), "candidates")
+        edges.append(found.filter("run is null").select("a", "b"))
+        hits.append(found.filter("run is not null"))
         if not more:
             break
-        nodes = _walk(large.select("rep", "sketch", "path"), False, 1)
-    edges = forests[0]
-    for x in forests[1:]:
-        edges = edges.unionByName(x)
-    groups = connected_components(edges)
-    members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(members, "component").withColumnRenamed("node", "rep").join(reps.select("rep", "key"), "rep")
-    texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"))
-    cells = _chunked(members.join(texts, "rep").dropDuplicates(["rep", "key", "text"]), "component", "n", "rep", small)
-    n_cells = max(1, members.count() // 500)
-    said = materialize(cells.groupBy(F.pmod(F.xxhash64("component", "cell_a", "cell_b"), F.lit(n_cells)).alias("g")).applyInArrow(lean(_verify), "a long, b long, links long"), "links")
-    links = said.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("n_links"))
-    classes = connected_components(said.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
-    known = reps.select("key", F.col("rep").alias("set_id")).join(classes, "set_id", "left").join(links, "set_id", "left")
-    out = some.select("doc_id", F.expr("if(doc_id is null, null, key)").alias("key")).join(known, "key", "left")
-    return out.select("doc_id", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("class_id", "set_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        nodes = _walk(large.select("rep", "sketch", "path", "run"))
+    return edges, reduce(DataFrame.unionByName, hits), reduce(DataFrame.unionByName, crowds).distinct() if crowds else None
+
+
+def _recall(hits: DataFrame, crowd: DataFrame | None, runs: int) -> float:
+    """Share of the links that some run found, from how many runs found each sampled one (the Chao estimate of the unseen).
+
+    Members of large buckets are left out: a pivot stands for their pairs, which so meet by chance only.
+    """
+    if crowd is not None:
+        for side in ("a", "b"):
+            hits = hits.join(crowd.select(F.col("rep").alias(side)), side, "left_anti")
+    times = hits.groupBy("a", "b").agg(F.count_distinct("run").alias("k")).groupBy("k").count()
+    f = {r["k"]: r["count"] for r in times.collect()}  # a row for each number of runs at most
+    seen = sum(f.values())
+    if seen < LEAST_SAMPLE:
+        return 1.0
+    unseen = (runs - 1) / runs * f.get(1, 0) ** 2 / (2 * max(1, f.get(2, 0)))
+    return seen / (seen + unseen)
+
+
+def candidates(reps: DataFrame, runs: int = RUNS, small: int = SMALL, recall: float = RECALL) -> tuple[DataFrame, float]:
+    """Candidate edges (a, b) of reps (node, sketch), from batches of runs until the recall wanted; and the estimated recall."""
+    edges, hits, crowd = [], None, None
+    for batch in range(BATCHES):
+        more, own, many = _batch(reps, range(batch * runs, (batch + 1) * runs), small)
+        edges += more
+        hits = own if hits is None else hits.unionByName(own)
+        crowd = many if crowd is None else crowd if many is None else crowd.unionByName(many)
+        found = _recall(hits, crowd, (batch + 1) * runs)
+        _log.info("after %d runs the estimated recall is %.5f", (batch + 1) * runs, found)
+        if found >= recall:
+            break
+    return reduce(DataFrame.unionByName, edges), found
+
+
+def _nodes(keyed: DataFrame) -> DataFrame:
+    """(key, rep, mark, n_bytes, sketch, node): a row for each distinct set; rep and mark name its first row, node its place in the graph.
+
+    node is rep, but for sets of which several have their least id in common: all but one get a number below all ids.
+    """
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "n_bytes")).alias("least"), F.first("sketch").alias("sketch"))
+    reps = materialize(first.select("key", F.col("least.doc_id").alias("rep"), "least.mark", "least.n_bytes", "sketch"), "reps")
+    again = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first_key")).filter("c > 1")
+    if not again.limit(1).count():
+        return reps.withColumn("node", F.col("rep"))
+    other = reps.join(again, "rep", "left").withColumn("node", F.when(F.coalesce(F.col("key") == F.col("first_key"), F.lit(True)), F.col("rep")).otherwise(F.expr("-4611686018427387904 - (xxhash64(key) & 4611686018427387903)")))
+    return materialize(other.drop("c", "first_key"), "reps")
+
+
+def near_duplicates(docs: DataFrame, runs: int = RUNS, small: int = SMALL, chunk_bytes: int = CHUNK_BYTES, rows: bool = False) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, set_id, class_id, n_links.
+
+    set_id is the least id with the same shingle set, class_id the least id reachable over
+    links (pairs of sets with similarity 0.8 or more), n_links the number of other sets
+    linked to the row's.  A text of fewer than five words is one shingle; a text without
+    words or of null is in a class of its own without links; so is a row with a null id,
+    whose class_id is null.  Repeated rows share their class; different texts under one id
+    are judged each.  Texts of any length are compared whole; an empty table gives an empty
+    result; extra columns are ignored.
+
+    rows adds mark (see row_mark) and first: whether the row is its class's first, by id and mark.
+    """
+    some = materialize(sets(docs), "sets")
+    reps = _nodes(some.filter("doc_id is not null and key is not null"))
+    edges, _ = candidates(reps, runs, small)
+    groups = connected_components(edges).withColumnRenamed("node", "rep_node")
+    members = groups.join(reps.select(F.col("node").alias("rep_node"), "key", "rep", "mark", "n_bytes"), "rep_node").withColumnRenamed("rep_node", "node")
+    per = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
+    members = materialize(members.join(per, "component"), "members")
+    chunks = F.greatest(F.ceil(F.col("n") / small), F.ceil(F.col("bytes") / chunk_bytes))
+    calls = _calls(members, chunks, F.col("n_bytes") + 64, CALL_BYTES)
+    texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("rep"), row_mark().alias("mark"), "text")).join(members.select("rep", "mark"), ["rep", "mark"], "left_semi").dropDuplicates(["rep", "mark"])
+    cells = _chunked(members.join(texts, ["rep", "mark"]).select("component", F.col("node").alias("rep"), "key", "text", "n", "bytes"), chunks, "rep")
+    said = materialize(cells.groupBy(F.pmod(F.xxhash64("component", "cell_a", "cell_b"), F.lit(calls)).alias("g")).applyInArrow(lean(_verify), "a long, b long, links long"), "links")
+    links = said.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    linked = connected_components(said.filter("b is not null").select("a", "b")).join(reps.select("node", "rep", "mark"), "node")
+    classes = linked.join(linked.groupBy("component").agg(F.min(F.struct("rep", "mark")).alias("least")), "component").select("node", "least")
+    known = reps.select("key", "node", F.col("rep").alias("set_id"), F.struct("rep", "mark").alias("own")).join(classes, "node", "left").join(links, "node", "left")
+    out = some.select("doc_id", "mark", F.expr("if(doc_id is null, null, key)").alias("key")).join(known.drop("node"), "key", "left")
+    least = F.coalesce("least", "own")
+    cols = ["doc_id", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce(least["rep"], "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    if rows:
+        cols += ["mark", F.coalesce((least["rep"] == F.col("doc_id")) & (least["mark"] == F.col("mark")), F.lit(True)).alias("first")]
+    return out.select(*cols)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies, as it is: the first by id and then by a hash of the text.
+
+    Rows with a null id, or without words, are each their own class and stay.  Equal rows
+    (id and text) are one: one of them stays.  Columns of any name come along.
+    """
+    found = near_duplicates(docs, rows=True)
+    gone = found.filter("not first").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & (row_mark() == F.col("_mark")), "left_anti")
+    again = found.filter("first and doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1").limit(1)
+    if not again.count():
+        return kept
+    whole = kept.filter("doc_id is not null").withColumn("_mark", row_mark()).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return whole.unionByName(kept.filter("doc_id is null"))
