@@ -42,8 +42,13 @@ def statistics(text: bytes, words: list[bytes], distinct: set[bytes]) -> dict[st
     }
 
 
+#: Every bin's feature, by statistic and number.
+BIN_FEATURES = {(k, i): crc32(f"{k}\0{i}".encode(), 2) for k, v in _BINS.items() for i in range(len(v) + 1)}
+BIN_IDS = np.array(sorted(BIN_FEATURES.values()), np.uint32)
+
+
 def bins(stats: dict[str, float]) -> list[int]:
-    return [crc32(f"{k}\0{sum(v >= b for b in _BINS[k])}".encode(), 2) for k, v in stats.items()]
+    return [BIN_FEATURES[k, sum(v >= b for b in _BINS[k])] for k, v in stats.items()]
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -148,8 +153,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def adam(gradient: Callable[[np.ndarray], np.ndarray], k: int, steps: int, rate: float = 0.1) -> np.ndarray:
-    w, m, v = np.zeros(k), np.zeros(k), np.zeros(k)
+def adam(gradient: Callable[[np.ndarray], np.ndarray], k: int, steps: int, rate: float = 0.1, start: np.ndarray | None = None) -> np.ndarray:
+    w, m, v = np.zeros(k) if start is None else start.copy(), np.zeros(k), np.zeros(k)
     for t in range(1, steps + 1):
         g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -157,29 +162,59 @@ def adam(gradient: Callable[[np.ndarray], np.ndarray], k: int, steps: int, rate:
     return w
 
 
+def weights_of(columns: np.ndarray, w: np.ndarray) -> tuple[dict[int, float], float]:
+    """(weights by feature, bias) of a fitted vector."""
+    return {int(f): round(float(v), 6) for f, v in zip(columns, w) if abs(v) > 1e-3}, round(float(w[-1]), 6)
+
+
+class Scorer:
+    """Scores of texts; the weights of words are remembered."""
+
+    def __init__(self, weights: dict[int, float], bias: float):
+        self.weights, self.bias, self.known = weights, bias, {}
+
+    def word(self, w: bytes) -> float:
+        x = self.known.get(w)
+        if x is None:
+            if len(self.known) > _CACHE:
+                self.known.clear()
+            x = self.known[w] = sum(self.weights.get(i, 0.0) for i in word_features(w))
+        return x
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        out = []
+        for text in texts:
+            words = words_of(text)
+            distinct = set(words)
+            # sorted, so that a sum is the same on every machine
+            out.append(self.bias + sum(self.weights.get(i, 0.0) for i in bins(statistics(text, words, distinct))) + sum(sorted(filter(None, map(self.word, distinct)))))
+        return np.array(out, float)
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return np.round(sigmoid(self.logits(texts)), 9)
+
+
 def score_texts(docs: DataFrame, weights: dict[int, float], bias: float, cut: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; a null id counts as held out, null text as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
-
-        def weight(w: bytes) -> float:
-            x = known.get(w)
-            if x is None:
-                if len(known) > _CACHE:
-                    known.clear()
-                x = known[w] = sum(weights.get(i, 0.0) for i in word_features(w))
-            return x
-
+        score = Scorer(weights, bias)
         for t in batches:
-            logits = []
-            for x in t.column(1):
-                text = x.as_py()
-                words = words_of(text)
-                distinct = set(words)
-                # in the order of the words, so that a sum is the same on every machine
-                logits.append(bias + sum(weights.get(i, 0.0) for i in bins(statistics(text, words, distinct))) + sum(sorted(filter(None, map(weight, distinct)))))
-            yield pa.record_batch({"doc_id": t.column(0), "score": pa.array(np.round(sigmoid(np.array(logits, float)), 9))})
+            yield pa.record_batch({"doc_id": t.column(0), "score": pa.array(score(t.column(1).to_pylist()))})
 
     out = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(split_test() == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_below(docs: DataFrame, weights: dict[int, float], bias: float, cut: float) -> DataFrame:
+    """Rows of docs with a score under cut, as they are: one pass, nothing is joined."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(weights, bias)
+        for t in batches:
+            if t.num_rows:
+                texts = [(x or "").encode("utf-8", "surrogatepass") for x in t.column(at).to_pylist()]
+                yield t.filter(pa.array(score(texts) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
