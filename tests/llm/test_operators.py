@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from strataloom.llm import decontaminate as dc, jaccard_join as jj, packing as pk, quality_classifier as qc, quality_rules as qr  # noqa: E402
+from strataloom.llm import decontaminate as dc, exchange as ex, jaccard_join as jj, packing as pk, quality_classifier as qc, quality_rules as qr  # noqa: E402
 from strataloom.llm import suffix_dedup as sd, token_count as tc, token_files as tf, toxicity as tx, url_filter as uf  # noqa: E402
 from strataloom.llm._util import words_of  # noqa: E402
 
@@ -56,82 +58,190 @@ def _same(got, want):
     assert sorted(map(tuple, got), key=_key) == sorted(want, key=_key)
 
 
-def test_suffix_dedup(docs, none, rows):
-    first = {}
+def removed(rows):
+    """Bytes that op9 removes from each row."""
+    first, out = {}, []
     for d, t in sorted(((d, (t or "").encode()) for d, t in rows if d is not None)):
         for j in range(len(t) - 49):
             first.setdefault(t[j : j + 50], d)
-    want = []
     for d, t in rows:
         t = (t or "").encode()
         m = bytearray(len(t))
         for j in range(len(t) - 49 if d is not None else 0):
             if first[t[j : j + 50]] < d:
                 m[j : j + 50] = b"\1" * 50
+        out.append(m)
+    return out
+
+
+def windows_hit(rows, items):
+    """(words, words hit, items found) of each row."""
+    win = {}
+    for i, t in items:
+        w = words_of((t or "").encode())
+        for k in range(max(1, len(w) - 9) if w else 0):
+            win.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    for _, t in rows:
+        w = words_of((t or "").encode())
+        hit, its = [0] * len(w), set()
+        for n in {len(x) for x in win}:
+            for k in range(len(w) - n + 1):
+                if x := win.get(tuple(w[k : k + n])):
+                    its |= x
+                    hit[k : k + n] = [1] * n
+        yield len(w), sum(hit), its
+
+
+def classes(rows):
+    """(set's first row, class's first row, links) of each row with words and an id, by (id, hash of the text)."""
+    sh = jj.Shingler()
+    keys = [(d, t, frozenset(sh((t or "").encode()).tolist())) for d, t in rows]
+    sets = {}
+    for d, t, x in keys:
+        if d is not None and x:
+            sets.setdefault(x, set()).add((d, t))
+    links = {x: {y for y in sets if y != x and len(x & y) >= 0.8 * len(x | y)} for x in sets}
+    group = {x: {x} for x in sets}
+    for x in sets:
+        for y in links[x]:
+            if group[x] is not group[y]:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    return [(min(d for d, _ in sets[x]), min(d for y in group[x] for d, _ in sets[y]), len(links[x]), group[x], sets) if d is not None and x else None for d, _, x in keys]
+
+
+def test_suffix_dedup(docs, none, rows):
+    want = []
+    for (d, t), m in zip(rows, removed(rows)):
+        t = (t or "").encode()
         kept = bytes(c for c, x in zip(t, m) if not x)
         want.append((d, len(t), sum(m), len(re.findall(b"\1+", m)), hashlib.sha256(kept).hexdigest()))
-    for size in (1 << 20, 4000):
-        _same(sd.remove_repeats(docs, run_bytes=size).collect(), want)
+    some = dict(run_bytes=4000)
+    for kw in (dict(run_bytes=1 << 20), some, some | dict(hot_runs=1), some | dict(direct=2), some | dict(direct=2, hot_runs=2)):
+        _same(sd.remove_repeats(docs, **kw).collect(), want)
     assert sd.remove_repeats(none).count() == 0
+    out = sd.remove_repeats(docs.withColumn("kept", F.lit(1)).withColumn("n bytes", F.lit(2)), with_text=True, run_bytes=4000)
+    for r in out.collect():
+        assert r.rest["run"] == 1 and r.rest["kept"] == 1 and r.rest["n bytes"] == 2
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 or "\ufffd" not in r.kept and len(r.kept.encode()) > r.n_bytes - r.n_removed
+
+
+def test_cuts_stop_at_whole_characters():
+    buf = np.frombuffer("aé日b日".encode(), np.uint8)
+    gone = np.array([1, 1, 0, 1, 1, 1, 1, 0, 1, 1], bool)
+    assert buf[~sd._whole_characters(gone, buf)].tobytes().decode() == "é日"
+
+
+def test_messages_grow_less_than_the_square(spark):
+    n, wide = 400, ex.width(400, 16)
+    rows = [r for s in range(n) for r in ex.letters(s, [(d, b"%d-%d" % (s, d)) for d in range(n)], wide).to_pylist()]
+    assert len(rows) == n * 20
+    got = ex.deliver(spark.createDataFrame(rows, ex.MESSAGE), wide)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.dst, []).append({"src": r.src, "body": bytes(r.body)})
+    assert sum(map(len, by.values())) == n * 20 and len(by) == n
+    for d, x in by.items():
+        assert ex.received(pa.Table.from_pylist(x)) == [(s, b"%d-%d" % (s, d)) for s in range(n)]
+
+
+def _bytes_matrix(keys):
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
 
 
 def test_loser_tree_merges_any_runs():
     r = random.Random(1)
     for n in range(0, 9):
-        runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 12))) for _ in range(n)]
-        got = list(sd.merge_runs([sd.front_decode(*sd.front_code(x)) for x in runs]))
-        assert [x[0] for x in got] == sorted(sum(runs, []))
-        assert all(h == sd.common_prefix(a[0], b) for a, (b, h, _, _) in zip(got, got[1:]))
-        assert all(runs[x[2]][x[3]] == x[0] for x in got)
+        for size in (1, 7, 8, 19):
+            runs = [_bytes_matrix(sorted({bytes(r.choice(b"ab\0") for _ in range(size)) for _ in range(r.randint(1, 12))})) for _ in range(n)]
+            coded = [sd.front_code(x, sd._common(x)) for x in runs]
+            runs = [np.frombuffer(sd.front_decode(h, rest, size), np.uint8).reshape(-1, size) for h, rest in coded]
+            run, common = sd.merge_runs([(x, list(h)) for x, (h, _) in zip(runs, coded)])
+            at, got = [0] * n, []
+            for i in run:
+                got.append(runs[i][at[i]].tobytes())
+                at[i] += 1
+            assert got == sorted(x.tobytes() for m in runs for x in m)
+            for a, b, h in zip(got, got[1:], common[1:]):
+                assert h == next((i for i in range(size) if a[i] != b[i]), size)
 
 
 def test_decontamination(spark, docs, none, rows):
     r = [t for _, t in rows if t and len(t.split()) > 30]
     items = [("a", " ".join(r[1].split()[5:25])), ("b", r[2].split()[0].upper()), ("c", ""), ("d", None), ("e", "nowhere to be found " * 4), ("10", " ".join(r[9].split()[:12]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    win = {}
-    for i, t in items:
-        w = words_of((t or "").encode())
-        for k in range(max(1, len(w) - 9) if w else 0):
-            win.setdefault(tuple(w[k : k + 10]), set()).add(i)
     want = []
-    for d, t in rows:
-        w = words_of((t or "").encode())
-        hit, its = [0] * len(w), set()
-        for n in {len(x) for x in win}:
-            for k in range(len(w) - n + 1):
-                if s := win.get(tuple(w[k : k + n])):
-                    its |= s
-                    hit[k : k + n] = [1] * n
-        want.append((d, len(w), sum(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), sum(hit) > 0))
+    for (d, t), (n, hit, its) in zip(rows, windows_hit(rows, items)):
+        want.append((d, n, hit, len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), hit > 0))
     for kw in ({}, {"shard_bytes": 3000, "block_words": 15}):
         _same(dc.contamination(docs, bench, **kw).collect(), want)
     assert dc.contamination(none, bench).count() == 0
     assert dc.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
-    near = dc.near(dc.build_index(spark.createDataFrame([(1, "a b c d a"), (2, "a x x x b")], "doc_id long, text string")), ["a", "b"], 3)
-    assert {tuple(x) for x in near.collect()} == {(1, 0, 2)}
+    clean = dc.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    _same([(x.doc_id, x.text) for x in clean.collect()], [(d, t) for (d, t), w in zip(rows, want) if not w[-1]])
+
+
+def test_proximity(spark):
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 40)))) for i in range(30)]
+    index = dc.build_index(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2), 200)
+    for terms, within in ((["a", "b"], 3), (["c"], 1), (["a", "d", "e"], 6), (["a", "zz"], 9)):
+        want = set()
+        for i, t in texts:
+            w = t.split()
+            for end in range(len(w)):
+                # the last place of every term up to here: the shortest span that ends here
+                last = [max((k for k in range(end + 1) if w[k] == x), default=-1) for x in terms]
+                if w[end] in terms and min(last) >= 0 and end - min(last) < within:
+                    want.add((i, min(last), end + 1))
+        assert {tuple(x) for x in dc.near(index, terms, within).collect()} == want
 
 
 def test_jaccard_join(docs, none, rows):
-    sh = jj.Shingler()
-    sets = {}
-    for d, t in rows:
-        s = sh((t or "").encode())
-        if d is not None and len(s):
-            sets.setdefault(frozenset(s.tolist()), set()).add(d)
-    reps = {min(v): k for k, v in sets.items()}
-    links = {a: {b for b, y in reps.items() if b != a and len(x & y) >= 0.8 * len(x | y)} for a, x in reps.items()}
-    name = {a: a for a in reps}
-    while (new := {a: min([name[a], *(name[b] for b in links[a])]) for a in reps}) != name:
-        name = new
-    of = {d: min(v) for v in sets.values() for d in v}
-    want = [(d, of.get(d, d), name.get(of.get(d), d), len(links.get(of.get(d), ()))) for d, _ in rows]
+    want = [(d, *c[:3]) if c else (d, d, d, 0) for (d, _), c in zip(rows, classes(rows))]
     assert any(w[3] for w in want)
     _same(jj.near_duplicates(docs).collect(), want)
     _same(jj.near_duplicates(docs, small=2).collect(), want)
+    _same(jj.near_duplicates(docs, chunk_bytes=500).collect(), want)
     assert jj.near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_id_are_apart(spark):
+    r = random.Random(5)
+    a, b = (" ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(1, a, 7), (1, b, 8), (2, a + " more", 9), (3, b + " more", 1), (3, b + " more", 2), (4, None, 1), (None, a, 1), (None, a, 2)], "doc_id long, text string, first int")
+    got = sorted(map(tuple, jj.near_duplicates(df).collect()), key=_key)
+    assert [x[3] for x in got if x[0] in (1, 2, 3)] == [1] * 5 and len(got) == 8
+    kept = sorted(((x.doc_id, x.text, x.first) for x in jj.drop_near_copies(df).collect()), key=_key)
+    assert kept == sorted([(1, a, 7), (1, b, 8), (4, None, 1), (None, a, 1), (None, a, 2)], key=_key)
+
+
+def test_recall_is_estimated(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(300):
+        w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+        rows.append((2 * i, " ".join(w)))
+        w[r.randrange(60)] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = jj._nodes(jj.sets(docs))
+    edges, hits, crowd = jj._batch(reps, range(8), jj.SMALL)
+    assert crowd is None and hits.count() > 0
+    few = hits.filter("run < 2")
+    f = {x["k"]: x["count"] for x in few.groupBy("a", "b").agg(F.count_distinct("run").alias("k")).groupBy("k").count().collect()}
+    assert len(f) and 0 < jj._recall(hits, None, 8) <= 1
+    linked = jj.near_duplicates(docs).filter("n_links > 0").count()
+    exact = 0
+    sh = jj.Shingler()
+    for (_, x), (_, y) in zip(rows[::2], rows[1::2]):
+        x, y = set(sh(x.encode()).tolist()), set(sh(y.encode()).tolist())
+        exact += 2 * (len(x & y) >= 0.8 * len(x | y))
+    assert linked == exact > 300
+
+
 def test_token_files(docs, none, rows):
     path = P.path("word_bpe_49k.json")
     tok = tf.word_encoder(path).tok
@@ -166,8 +276,8 @@ def test_token_counts(docs, none, rows):
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     want = [(d, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for d, t in rows]
-    for size in (1 << 24, 3000):
-        _same(tc.token_counts(docs, path, run_bytes=size).collect(), want)
+    for kw in (dict(), dict(run_bytes=3000), dict(run_bytes=3000, direct=2)):
+        _same(tc.token_counts(docs, path, **kw).collect(), want)
     assert tc.token_counts(none, path).count() == 0
     r, count = random.Random(3), tc.encoder(path)
     bits = ["a", "the", " ", "  ", "\n", "▁", "é", "日", "\t", "\r", "</s>", "<0x0A>", ";\r", " \n"]
@@ -177,15 +287,67 @@ def test_token_counts(docs, none, rows):
 
 
 def test_packing(docs, none, rows):
-    got = pk.pack_texts(docs).toPandas()
-    assert got.length.sum() == sum(len((t or "").encode()) + 1 for _, t in rows)
-    for _, b in got.groupby(["bin_group", "bin"]):
-        b = b.sort_values("offset")
-        assert b.length.sum() == b.bin_used.iloc[0] <= b.bin_length.iloc[0] and (b.offset == b.length.cumsum() - b.length).all()
-        assert b.bin_length.iloc[0] == min(c for c in pk.CAPACITIES if c >= b.bin_used.iloc[0])
-    assert pk.pack_texts(none).count() == 0
-    bins, offsets, sizes = pk.pack(np.array([7, 5, 4, 3, 1]), (4, 8), lambda c: c)
-    assert sum(sizes) >= 20 and Counter(bins)
+    for caps in (pk.CAPACITIES, (64, 200, 1000)):
+        bins = pk.pack_sequences(docs, caps, 1 << 14).collect()
+        assert all(b.bin_used == sum(b.lengths) == len(b.ids) // 2 <= b.bin_length == min(c for c in caps if c >= b.bin_used) for b in bins)
+        parts = {}
+        for b in bins:
+            ids, at = np.frombuffer(b.ids, "<u2"), 0
+            for d, k, start, n in zip(b.doc_ids, b.pieces, b.starts, b.lengths):
+                parts.setdefault((d, k, start), []).append(tuple(ids[at : at + n].tolist()))
+                at += n
+        want = {}
+        for d, t in rows:
+            x = [*(t or "").encode(), pk.END]
+            for k, at in enumerate(range(0, len(x), max(caps))):
+                want.setdefault((d, k, at), []).append(tuple(x[at : at + max(caps)]))
+        assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    got = pk.packed_pieces(pk.pack_sequences(docs))
+    assert sorted(r.ids_crc32 for r in got.collect() if r.piece == 0 and r.length <= 32768) and got.agg(F.sum("length")).first()[0] == sum(len((t or "").encode()) + 1 for _, t in rows)
+    short = {(d, zlib.crc32(np.array([*(t or "").encode(), pk.END], "<u2").tobytes())) for d, t in rows if len((t or "").encode()) < 32768}
+    assert short == {(r.doc_id, r.ids_crc32) for r in got.collect() if r.piece == 0 and r.length < 32768}
+    assert pk.pack_sequences(none).count() == 0
+
+
+def _exact(pieces, caps, cost):
+    """Least cost of any packing, by trying all partitions."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        low = sum(cost(min(c for c in caps if c >= u)) for u in bins)
+        if low >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = low
+            return
+        for j in range(len(bins)):
+            if bins[j] + pieces[i] <= max(caps):
+                go(i + 1, [*bins[:j], bins[j] + pieces[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_best_and_uses_every_size():
+    r = random.Random(3)
+    caps, cost = (16, 64, 256), lambda c: 2 + c + c * c / 512
+    worst, total = 1.0, [0.0, 0.0]
+    for _ in range(60):
+        pieces = sorted((min(256, max(1, int(r.lognormvariate(3, 1)))) for _ in range(7)), reverse=True)
+        _, _, sizes = pk.pack(np.array(pieces), caps, cost)
+        got, best = sum(map(cost, sizes)), _exact(pieces, caps, cost)
+        worst = max(worst, got / best)
+        total = [total[0] + got, total[1] + best]
+    assert worst < 1.6 and total[0] < 1.1 * total[1]
+    lengths = np.sort(np.minimum(32768, np.random.default_rng(0).lognormal(6.5, 1.3, 20_000).astype(int) + 1))[::-1]
+    _, _, sizes = pk.pack(lengths)
+    used = Counter(sizes)
+    assert all(used[c] for c in pk.CAPACITIES)
+    for c in pk.CAPACITIES[1:]:
+        fit = lengths[lengths <= c]
+        both, alone = pk.pack(fit), pk.pack(fit, (c,))
+        assert sum(map(pk.bin_cost, both[2])) < sum(map(pk.bin_cost, alone[2])) and sum(both[2]) <= sum(alone[2])
 
 
 def test_quality_rules(docs, none, rows):
@@ -246,22 +408,92 @@ def test_label_model_finds_accuracies():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.2
     v = np.stack([np.where(y, r.random(4000) < a, r.random(4000) < b) for a, b in ((0.9, 0.02), (0.8, 0.05), (0.7, 0.01), (0.5, 0.5))], axis=1).astype(float)
-    m = tx.fit_label_model(np.c_[v, v[:, 0]])
-    assert ((m.posterior(np.c_[v, v[:, 0]]) > 0.5) == y).mean() > 0.95
-    assert m.on[0] > 0.8 and m.off[0] < 0.05 and m.share[0] < 0.7 and m.correlation[0, 4] > 0.9
+    start = v[:, 0] > 0
+    for copies in ((3, 3, 3), (0,)):  # a copy has nothing new to say
+        x = np.c_[v, v[:, copies]]
+        m = tx.fit_label_model(x, start)
+        assert ((m.posterior(x) > 0.5) == y).mean() > 0.95 and abs(m.prior - 0.2) < 0.05
+        assert m.on[0] > 0.8 and m.off[0] < 0.05 and abs(m.on[3] - m.off[3]) < 0.1
+        c = copies[0]
+        assert m.correlation[c, 4] > 0.9 and (m.parent[c] >= 4 or c in m.parent[4:])
+
+
+def test_prior_is_read_from_the_tails():
+    r = np.random.default_rng(1)
+    for c in (0.3, 0.6, 0.9):
+        p, good = r.normal(2, 1, 2000), r.random(5000) < c
+        u = np.where(good, r.normal(2, 1, 5000), r.normal(-2, 1, 5000))
+        assert abs(qc.estimate_prior(p, u, np.ones(5000)) - c) < 0.06
+    assert qc.estimate_prior(p[:5], u, np.ones(5000)) == qc.PRIOR
+
+
+def test_quality_is_learned_from_few_positives(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["the", "an", "ing", "sh", "ou"]) for _ in range(3))
+    junk = [i % 6 == 0 for i in range(700)]
+    texts = [" ".join(word() + "###" for _ in range(30)) if j else " ".join(word() for _ in range(r.randint(20, 60))) + "." for j in junk]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(not j), 0) for i, j in enumerate(junk) if i % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in qc.score_quality(df, lab).collect()}
+    assert np.mean([got[i] == 0 for i in range(700) if junk[i]]) > 0.9 and np.mean([got[i] for i in range(700) if not junk[i]]) > 0.9
+
+
+def _row(x):
+    return (x.doc_id, x.text, x.lang, x.n_chars, x["run"], x["kept text"])
 
 
 def test_pipeline(spark, tmp_path, rows):
+    """Every stage against brute force, with null and repeated ids, clashing and odd columns; and on empty tables."""
     cp = pytest.importorskip("corpus_pipeline")
-    for name in ("labels", "benchmark", "documents"):
-        d = {"labels": ([(1, 1, 0)], "doc_id long, quality int, toxic int"), "benchmark": ([("i", rows[1][1])], "item_id string, text string"), "documents": ([(a, b, "en", "s", 1) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")}[name]
-        spark.createDataFrame(*d).write.parquet(str(tmp_path / f"{name}.parquet"))
+    more = rows + [(3, rows[9][1]), (None, "日本語 " * 40), (rows[2][0], "another text under a known id " + rows[30][1]), (50_000, "idiot scum trash moron loser " * 4 + rows[31][1]), (None, "idiot scum trash moron loser " * 5)]
+    schema = "doc_id long, text string, lang string, n_chars long, run int, `kept text` string"
+    items = [("i", rows[1][1]), ("j", "日本語 " * 40)]
+    data = {
+        "labels": ([(d, 1, 0) for d, _ in rows if d is not None and d % 3], "doc_id long, quality int, toxic int"), "benchmark": (items, "item_id string, text string"),
+        "documents": ([(d, t, "en", 7, i, "x") for i, (d, t) in enumerate(more)], schema),
+    }
+    for name, d in data.items():
+        spark.createDataFrame(*d).repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+        spark.createDataFrame([], d[1]).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    left = [docs.count()]
-    for name, stage in cp.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
-        left.append(docs.count())
-    assert left[1] == left[0] and left[2] < left[1] and left[4] < left[3]
-    ids = [r.doc_id for r in docs.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and rows[1][0] not in ids
-    assert cp.run(spark, str(tmp_path)).count() >= docs.count()
+    at = {}
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "best_fit_packing":
+            assert docs.columns == ["doc_id", "text", "lang", "n_chars", "run", "kept text"]
+            at[name] = [_row(x) for x in docs.collect()]
+            docs = spark.createDataFrame(docs.collect(), schema)
+    predicted = tx.score_toxicity(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    bad = Counter((x.doc_id) for x in predicted if x.predicted)
+    assert bad[50_000] == 1 and bad[None] == 1
+    gone = Counter(d for d, _ in more) - Counter(x[0] for x in at["toxicity"])
+    assert gone == bad and all(x in {(d, t, "en", 7, i, "x") for i, (d, t) in enumerate(more)} for x in at["toxicity"])
+    now = [x[:2] for x in at["toxicity"]]
+    left, done = [], set()
+    mark = {(x.doc_id, x.text): x.mark for x in spark.createDataFrame(now, "doc_id long, text string").withColumn("mark", jj.row_mark()).collect()}
+    for (d, t), c in zip(now, classes(now)):
+        if c is None:
+            if (d, t) not in done or d is None:
+                left.append((d, t))
+            done.add((d, t))
+        elif (d, mark[d, t]) == min((e, mark[e, u]) for y in c[3] for e, u in c[4][y]) and (d, t) not in done:
+            done.add((d, t))
+            left.append((d, t))
+    _same([x[:2] for x in at["ngram_jaccard_join"]], left)
+    now = [x[:2] for x in at["ngram_jaccard_join"]]
+    left = []
+    for (d, t), m in zip(now, removed(now)):
+        kept, i = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += "" if all(m[i : i + n]) else c
+            i += n
+        if kept or not sum(m):
+            left.append((d, t if t is None else kept, len(kept)))
+    _same([(x[0], x[1], x[3]) for x in at["suffix_array_dedup"]], left)
+    now = [x[:2] for x in at["suffix_array_dedup"]]
+    _same([x[:2] for x in at["benchmark_decontamination"]], [r for r, (_, hit, _) in zip(now, windows_hit(now, items)) if not hit])
+    bins = docs.collect()
+    assert sum(b.bin_used for b in bins) == sum(len((x[1] or "").encode()) + 1 for x in at["benchmark_decontamination"])
+    assert cp.run(spark, str(tmp_path)).agg(F.sum("bin_used")).first()[0] == sum(b.bin_used for b in bins)
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
