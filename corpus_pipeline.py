@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each a Parquet table that the next one reads."""
+"""A training corpus from raw documents: five stages, each a Parquet table that the next one reads.
+
+Every stage judges rows, not ids: of several rows with one id (or with none) only those
+that it rejects go.  A null text is an empty one; an empty table passes as an empty table;
+further columns, whatever their names, come along to the last stage but one.
+"""
 
 from __future__ import annotations
 
@@ -6,47 +11,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strataloom.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
 from strataloom.llm._util import shared_dir, table
-from strataloom.llm.decontaminate import contamination
-from strataloom.llm.jaccard_join import near_duplicates
-from strataloom.llm.packing import pack_texts
-from strataloom.llm.suffix_dedup import remove_repeats
-from strataloom.llm.toxicity import keep_clean
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    return keep_clean(docs, table(spark, sf_dir, "labels"))
+    """Rows that the classifier, fitted on the table labels, doesn't call toxic; empty texts are scored like others."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; a repeated row stays once."""
-    found = near_duplicates(docs)
-    gone = found.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if again.limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+    """The first row, by id, of each group of near copies; rows without an id or without words all stay; equal rows are one."""
+    return jaccard_join.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier ones hold; a document of which nothing is left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = remove_repeats(docs, with_text=True, carry=others).filter("n_removed = 0 or n_removed < n_bytes")
-    text = F.expr("make_valid_utf8(cast(kept as string))")
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Rows without the passages that a smaller id holds, cut at whole characters; a row of which nothing is left goes.
+
+    n_chars, if there, is counted anew.  Rows without an id keep their text.
+    """
+    cut = suffix_dedup.remove_repeats(docs, with_text=True).filter("n_removed = 0 or kept <> ''")
+    new = {"doc_id": F.col("doc_id"), "text": F.when(F.col("n_bytes") > 0, F.col("kept")), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[new.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows without a window of the table benchmark; without items all stay."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents that are left."""
-    return pack_texts(docs)
+    """Sequences of the rows that are left; an empty text is its end token."""
+    return packing.pack_sequences(docs)
 
 
 STAGES = [
@@ -57,7 +53,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: The stages' classifier and sampled joins aren't SQL; tests compare with brute force.
+#: The classifier, the similarity classes and the packing aren't SQL; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
