@@ -520,7 +520,8 @@ def _cut(with_text: bool):
         if with_text:
             before, rest = cut(_whole_characters(gone, buf))
             at = (offs - before).tolist()
-            cols["kept"] = pa.array([bytes(rest[x:y]).decode("utf-8", "replace") for x, y in zip(at, at[1:])], pa.string())
+            kept = [None if no else bytes(rest[x:y]).decode("utf-8", "replace") for x, y, no in zip(at, at[1:], t["missing"].to_pylist())]
+            cols["kept"] = pa.array(kept, pa.string())
             cols["rest"] = t["rest"]
         return pa.table(cols)
 
@@ -535,13 +536,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, run_bytes: int = 2
     Other columns are ignored, whatever their names.  An empty table gives an empty result.
     Texts of any length are judged whole.  The figures and the digest are of bytes.  With
     with_text two more columns come along: kept, the text that is left, cut at whole
-    characters only (a character of which a byte stays is kept), and rest, a struct of the
-    other columns of docs.
+    characters only (a character of which a byte stays is kept; null for a null text), and rest, a struct
+    of the other columns of docs.
 
     hot_runs, direct: see HOT_RUNS and exchange.DIRECT.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rest = [F.struct(*(others or [F.lit(True).alias("_")])).alias("rest")] if with_text else []
+    rest = [F.col("text").isNull().alias("missing"), F.struct(*(others or [F.lit(True).alias("_")])).alias("rest")] if with_text else []
     base = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest))
     n = run_count(base, "text", run_bytes)
     nb = max(8, n)
@@ -555,6 +556,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, run_bytes: int = 2
     whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
     if with_text:
         schema = schema.add("kept", StringType()).add(base.schema["rest"])
-        whole += [F.expr("make_valid_utf8(cast(text as string))").alias("kept"), "rest"]
+        whole += [F.when(~F.col("missing"), F.expr("make_valid_utf8(cast(text as string))")).alias("kept"), "rest"]
     out = some.groupBy("run").cogroup(answers.groupBy("dst")).applyInArrow(lean(_cut(with_text)), schema)
     return out.unionByName(base.filter("doc_id is null").select("doc_id", *whole))
