@@ -28,10 +28,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without the passages that a smaller id holds, cut at whole characters; a row of which nothing is left goes.
 
-    n_chars, if there, is counted anew.  Rows without an id keep their text.
+    n_chars, if there, is counted anew (0 for a null text).  Rows without an id keep their text.
     """
     cut = suffix_dedup.remove_repeats(docs, with_text=True).filter("n_removed = 0 or kept <> ''")
-    new = {"doc_id": F.col("doc_id"), "text": F.when(F.col("n_bytes") > 0, F.col("kept")), "n_chars": F.length("kept").cast("long")}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.coalesce(F.length("kept"), F.lit(0)).cast("long")}
     return cut.select(*[new.get(c, F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
