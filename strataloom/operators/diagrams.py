@@ -72,16 +72,30 @@ def betti_curve(diagram: DataFrame, points: int = 100) -> DataFrame:
 
 
 def landscape(diagram: DataFrame, levels: int = 3, points: int = 20) -> DataFrame:
-    """(bundle, dim, step, level, value): the level-th largest tent at each grid point; 0 where fewer bars stand."""
-    grid, bars = _grid(finite(diagram), points), finite(diagram)
-    tent = F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("birth"), F.col("death") - F.col("t")))
-    x = bars.join(grid, list(KEYS)).select(*KEYS, "step", tent.alias("value"), "birth", "death")
+    """(bundle, dim, step, level, value): the level-th largest tent at each grid point; 0 where fewer bars stand.
+
+    A bar meets only the grid points it spans, so what is ranked is the bars over a point, not bars times grid.
+    """
+    bars = finite(diagram)
+    grid = _grid(bars, points)
+    r = grid.filter("step = 0").select(*KEYS, "lo", "hi")
+    x = bars.join(r, list(KEYS)).withColumn("gap", (F.col("hi") - F.col("lo")) / (points - 1))
+    first, last = (F.ceil((F.col("birth") - F.col("lo")) / F.col("gap") - 1e-9), F.floor((F.col("death") - F.col("lo")) / F.col("gap") + 1e-9))
+    x = x.withColumn("a", F.greatest(F.lit(0), first).cast("int")).withColumn("b", F.least(F.lit(points - 1), last).cast("int")).filter("a <= b")
+    x = x.withColumn("step", F.explode(F.sequence("a", "b"))).withColumn("t", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (points - 1))
+    tent = x.withColumn("value", F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("birth"), F.col("death") - F.col("t"))))
     k = F.row_number().over(Window.partitionBy(*KEYS, "step").orderBy(F.desc("value"), "birth", "death"))
-    return x.withColumn("level", k).filter(F.col("level") <= levels).select(*KEYS, "step", "level", "value")
+    top = tent.withColumn("level", k).filter(F.col("level") <= levels).select(*KEYS, "step", "level", "value")
+    every = grid.select(*KEYS, "step").withColumn("level", F.explode(F.array(*[F.lit(i + 1) for i in range(levels)])))
+    return every.join(top, [*KEYS, "step", "level"], "left").na.fill(0.0, ["value"])
+
 
+def image(diagram: DataFrame, pixels: int = 5, sigma: float = 0.1, weight: str = "linear") -> DataFrame:
+    """(bundle, dim, px, py, value): a Gaussian of each bar at (birth, length) on a grid over their ranges.
 
-def image(diagram: DataFrame, pixels: int = 5, sigma: float = 0.1) -> DataFrame:
-    """(bundle, dim, px, py, value): a Gaussian of each bar at (birth, length), weighted by its length, on a grid over their ranges."""
+    weight: linear (the bar's length), squared, or none.
+    """
+    power = {"linear": 1, "squared": 2, "none": 0}[weight]
     bars = finite(diagram)
     r = bars.groupBy(*KEYS).agg(F.min("birth").alias("b0"), F.max("birth").alias("b1"), F.max("life").alias("l1"))
     step = F.sequence(F.lit(0), F.lit(pixels - 1))
@@ -89,7 +103,7 @@ def image(diagram: DataFrame, pixels: int = 5, sigma: float = 0.1) -> DataFrame:
     gx = F.col("b0") + (F.col("b1") - F.col("b0")) * F.col("px") / (pixels - 1)
     gy = F.col("l1") * F.col("py") / (pixels - 1)
     e = F.exp(-(F.pow(F.col("birth") - gx, F.lit(2)) + F.pow(F.col("life") - gy, F.lit(2))) / (2 * sigma**2))
-    return bars.join(grid, list(KEYS)).groupBy(*KEYS, "px", "py").agg(F.sum(F.col("life") * e).alias("value"))
+    return bars.join(grid, list(KEYS)).groupBy(*KEYS, "px", "py").agg(F.sum(F.pow("life", F.lit(power)) * e).alias("value"))
 
 
 def nearest_step(v: Column, schedule: list[float]) -> Column:
@@ -155,3 +169,121 @@ def rips_diagrams(points: DataFrame, max_dim: int = 0, threshold: float = _INF,
         })
 
     return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, "bundle string, dim int, birth double, death double")
+
+
+def prune(diagram: DataFrame, least: float) -> DataFrame:
+    """Bars of at least a length; bars that never die stay."""
+    return diagram.filter((F.col("death") == _INF) | (F.col("death") - F.col("birth") >= least))
+
+
+def infinity_line(diagram: DataFrame, margin: float = 0.1) -> DataFrame:
+    """(bundle, lo, hi, line): the range of the finite births and deaths of a bundle, and where bars without an end may be drawn, a margin above it."""
+    v = diagram.select("bundle", F.explode(F.array("birth", "death")).alias("v")).filter(~F.isnan("v") & (F.abs("v") < _INF))
+    r = v.groupBy("bundle").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return r.withColumn("line", F.col("hi") + margin * F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0))
+
+
+def schedule(spec: int | list | tuple | dict, diagram: DataFrame | None = None) -> list[float]:
+    """Thresholds of a filtration.
+
+    An int: so many, evenly spaced over all births and deaths of a diagram.  A list: itself,
+    in its order.  A dict: linear or log (min, max, n), rising; or log_decades (max, n_decades,
+    per_decade), falling: each decade's head, per_decade even steps to the next head, and in
+    the end the last decade's foot.
+    """
+    if isinstance(spec, bool) or not isinstance(spec, (int, list, tuple, dict)):
+        raise TypeError(f"a schedule is an int, a list or a dict, not {type(spec).__name__}")
+    if isinstance(spec, int):
+        if diagram is None:
+            raise ValueError("a number of thresholds needs a diagram")
+        v = diagram.select(F.explode(F.array("birth", "death")).alias("v"))
+        lo, hi = v.agg(F.min("v"), F.max("v")).first()
+        if lo is None:
+            return [0.0]
+        return np.linspace(lo, hi if hi > lo else lo + 1, spec).tolist()
+    if isinstance(spec, (list, tuple)):
+        return [float(x) for x in spec]
+    kind = spec.get("type", "linear")
+    if kind in ("linear", "log"):
+        return (np.linspace if kind == "linear" else np.geomspace)(spec["min"], spec["max"], spec["n"]).tolist()
+    if kind != "log_decades":
+        raise ValueError(f"unknown schedule {kind!r}")
+    top, decades, steps = float(spec.get("max", 1.0)), int(spec.get("n_decades", 7)), int(spec.get("per_decade", 8))
+    heads = top * 10.0 ** -np.arange(decades)
+    inside = heads[:, None] - np.arange(steps + 1) * (heads * 0.9 / (steps + 1))[:, None]
+    return list(dict.fromkeys([*inside.reshape(-1).tolist(), top * 10.0**-decades]))
+
+
+def snap_index(diagram: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The diagram with births and deaths as places in the thresholds, in their own order; infinite deaths stay infinite."""
+    place = {t: float(i) for i, t in reversed(list(enumerate(thresholds)))}
+    out = snap(diagram, thresholds)
+    for c in ("birth", "death"):
+        to = F.col(c)
+        index = F.lit(None).cast("double")
+        for t, i in place.items():
+            index = F.when(to == t, F.lit(i)).otherwise(index)
+        out = out.withColumn(c, F.coalesce(index, to))
+    return out
+
+
+def check_distances(distances: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(bundle, n, bad_numbers, negative, diagonal, asymmetric, missing) of distances (bundle, i, j, d): counts of entries against the rules of a distance matrix.
+
+    Infinite entries stand for pairs without a distance.  All entries of the square must be there.
+    """
+    d = F.col("d")
+    bad = d.isNull() | F.isnan(d) | (d == -_INF)
+    here = distances.select("bundle", F.explode(F.array("i", "j")).alias("i"))
+    both = distances.select("bundle", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") <= F.col("j")).alias("up"), "d").filter("a <> b")
+    pair = both.groupBy("bundle", "a", "b").agg(F.max(F.when(F.col("up"), F.col("d"))).alias("x"), F.max(F.when(~F.col("up"), F.col("d"))).alias("y"))
+    off = ~F.isnan("x") & ~F.isnan("y") & ~(F.col("x") == F.col("y")) & ~(F.abs(F.col("x") - F.col("y")) <= tolerance)
+    wrong = pair.groupBy("bundle").agg(F.count_if(off).alias("asymmetric"))
+    nodes = here.groupBy("bundle").agg(F.count_distinct("i").alias("n"))
+    one = distances.groupBy("bundle").agg(
+        F.count_if(bad).alias("bad_numbers"), F.count_if(~bad & (d < 0)).alias("negative"), F.count_if(~bad & (F.col("i") == F.col("j")) & (F.abs(d) > tolerance)).alias("diagonal"), F.count(F.lit(1)).alias("_c")
+    )
+    out = nodes.join(one, "bundle").join(wrong, "bundle", "left").na.fill(0, ["asymmetric"])
+    return out.select("bundle", "n", "bad_numbers", "negative", "diagonal", "asymmetric", (F.col("n") * F.col("n") - F.col("_c")).alias("missing"))
+
+
+def matrix_diagrams(entries: DataFrame, kind: str = "distance", max_dim: int = 1, threshold: float = _INF, coeff: int = 2) -> DataFrame:
+    """(bundle, dim, birth, death) of a user's own matrices, as entries (bundle, i, j, d).
+
+    distance: both halves or one; a diagonal entry may be left out, another missing one is an
+    error.  knn: distances to some neighbours; the mean of the two directions, an absent one
+    counting as 0, and pairs without either are twice the largest and 1 more apart.
+    similarity: heavier is nearer; the distance is the largest weight less the weight, 0 for absent pairs.
+    Entries that break the rules of a distance matrix are an error.
+    """
+    if kind not in ("distance", "knn", "similarity"):
+        raise ValueError(f"unknown kind {kind!r}")
+
+    def run(key, t):
+        i, j, d = (t[c].to_numpy() for c in ("i", "j", "d"))
+        names = np.unique(np.r_[i, j])
+        n = len(names)
+        m = np.full((n, n), np.nan)
+        a, b = np.searchsorted(names, i), np.searchsorted(names, j)
+        m[a, b] = d
+        if kind == "distance":
+            m = np.where(np.isnan(m), m.T, m)
+            np.fill_diagonal(m, np.where(np.isnan(np.diag(m)), 0, np.diag(m)))
+            if np.isnan(m).any() or (m < 0).any() or np.abs(np.diag(m)).max() > 1e-6 or not np.allclose(m, m.T, atol=1e-6):
+                raise ValueError(f"bundle {key[0].as_py()} holds no distance matrix: see check_distances")
+        elif kind == "knn":
+            g = np.nan_to_num(m)
+            m = np.where((g > 0) | (g.T > 0), (g + g.T) / 2, 2 * g.max() + 1)
+        else:
+            w = np.nan_to_num(m)
+            w = np.maximum(w, w.T)
+            m = w.max() - w
+        np.fill_diagonal(m, 0)
+        bars = rips((m + m.T) / 2, max_dim, threshold, coeff)
+        return pa.table({
+            "bundle": pa.array([key[0].as_py()] * len(bars), pa.string()), "dim": pa.array([k for k, _, _ in bars], pa.int32()),
+            "birth": pa.array([x for _, x, _ in bars], pa.float64()), "death": pa.array([x for _, _, x in bars], pa.float64()),
+        })
+
+    own = entries.select(F.col("bundle").cast("string").alias("bundle"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))
+    return own.groupBy("bundle").applyInArrow(run, "bundle string, dim int, birth double, death double")

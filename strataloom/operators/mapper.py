@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import Union, dbscan_points, distance_block, elbow_points, hdbscan_points, linkage_labels, rips
 
+#: Neighbour and sample size of the density lens.
+DENSITY_K, DENSITY_SAMPLE = 200, 8000
+
 
 def convert_overlap(value: float, frm: str = "width_ratio", to: str = "standard") -> float:
     """Between overlap conventions: standard is the share g of an interval's width, width_ratio is 1 / (1 - g) - 1."""
@@ -74,6 +77,23 @@ def nerve_betti(cells: DataFrame, key: str = "cell") -> DataFrame:
     return nodes.unionByName(edges).groupBy(F.lit("all")).applyInArrow(run, "nodes long, edges long, b0 long, b1 long")
 
 
+def _cell_labels(x: np.ndarray, clusterer: str, max_cell: int, how: dict) -> np.ndarray:
+    """Labels of a cell's points: -1 noise, -2 all of a cell too large for its clusterer."""
+    n, metric = len(x), how.get("metric", "euclidean")
+    if clusterer == "dbscan":
+        few = how["min_samples"]
+        return np.zeros(n, int) if n <= few else dbscan_points(x, elbow_points(x, few, metric) if how["eps"] == "elbow" else how["eps"], few, metric)
+    if clusterer == "hdbscan":
+        few = how["min_cluster_size"]
+        return np.zeros(n, int) if n <= few else hdbscan_points(x, few, metric)
+    if n > max_cell:
+        return np.full(n, -2)
+    d = distance_block(x, x, metric)
+    if clusterer == "first_gap":
+        return linkage_labels(d, method=how.get("method", "single"), relative_gap=how["relative_gap"])
+    return linkage_labels(d, how["cut"], "single" if clusterer == "single" else clusterer)
+
+
 def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single", max_cell: int = 8000, **how) -> DataFrame:
     """(cell, label, id): clusters in each cell of points (id, x); noise is left out.
 
@@ -81,30 +101,24 @@ def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single"
     hdbscan (min_cluster_size).  The linkage ones (single, first_gap, ward) hold a cell's distance matrix and mark the points of
     larger cells than max_cell by label -2; dbscan and hdbscan take cells of any size, in blocks.
     """
-    metric = how.get("metric", "euclidean")
+    own = cells.join(points.select("id", "x"), "id").select(F.lit("").alias("hash"), "cell", "id", "x")
+    return cluster_many(own, {"": (clusterer, how)}, max_cell).drop("hash")
+
+
+def cluster_many(members: DataFrame, how: dict[str, tuple[str, dict]], max_cell: int = 8000) -> DataFrame:
+    """(hash, cell, label, id): the cells of several covers (hash, cell, id, x), each clustered as how has it for its hash (clusterer, settings)."""
 
     def run(key, t):
         t = t.sort_by("id")
-        n = t.num_rows
         x = np.stack(t["x"].to_numpy(zero_copy_only=False)).astype(float)
-        if clusterer == "dbscan":
-            few = how["min_samples"]
-            labels = np.zeros(n, int) if n <= few else dbscan_points(x, elbow_points(x, few, metric) if how["eps"] == "elbow" else how["eps"], few, metric)
-        elif clusterer == "hdbscan":
-            few = how["min_cluster_size"]
-            labels = np.zeros(n, int) if n <= few else hdbscan_points(x, few, metric)
-        elif n > max_cell:
-            labels = np.full(n, -2)
-        else:
-            d = distance_block(x, x, metric)
-            if clusterer == "first_gap":
-                labels = linkage_labels(d, method=how.get("method", "single"), relative_gap=how["relative_gap"])
-            else:
-                labels = linkage_labels(d, how["cut"], "single" if clusterer == "single" else clusterer)
+        h, cell = (k.as_py() for k in key)
+        clusterer, settings = how[h]
+        labels = _cell_labels(x, clusterer, max_cell, settings)
         keep = labels != -1
-        return pa.table({"cell": pa.array([key[0].as_py()] * int(keep.sum()), pa.string()), "label": pa.array(labels[keep], pa.int32()), "id": pa.array(t["id"].to_numpy()[keep])})
+        m = int(keep.sum())
+        return pa.table({"hash": pa.array([h] * m, pa.string()), "cell": pa.array([cell] * m, pa.string()), "label": pa.array(labels[keep], pa.int32()), "id": pa.array(t["id"].to_numpy()[keep])})
 
-    return cells.join(points.select("id", "x"), "id").groupBy("cell").applyInArrow(run, "cell string, label int, id long")
+    return members.groupBy("hash", "cell").applyInArrow(run, "hash string, cell string, label int, id long")
 
 
 def graph_measures(nodes: DataFrame) -> DataFrame:
@@ -187,6 +201,83 @@ def pca_lens(points: DataFrame, k: int) -> DataFrame:
     return points.select("id", "x").mapInArrow(project, "id long, v array<double>")
 
 
+def eccentricity_lens(points: DataFrame, exponent: float = 2.0, metric: str = "euclidean", block: int = 1024) -> DataFrame:
+    """(id, v): the norm of a point's distances to all points, each to the exponent and over their number; an infinite exponent takes the largest.
+
+    Distances are made in cells of two blocks and summed up by point.
+    """
+    from .points import distance_sums
+
+    d = distance_sums(points, exponent, metric, block)
+    n = points.agg(F.count(F.lit(1)).alias("n"))
+    if exponent == float("inf"):
+        return d.groupBy("i").agg(F.max("m").alias("v")).select(F.col("i").alias("id"), F.array("v").alias("v"))
+    total = d.groupBy("i").agg(F.sum("p").alias("s"))
+    return total.join(F.broadcast(n)).select(F.col("i").alias("id"), F.array(F.pow(F.col("s") / F.col("n"), F.lit(1 / exponent))).alias("v"))  # one row
+
+
+def entropy_lens(points: DataFrame) -> DataFrame:
+    """(id, v): the entropy in bits of a point's coordinates, as shares of their sum; of their magnitudes if one is negative, 0 for a zero point."""
+    some = F.when(F.exists("x", lambda v: v < 0), F.transform("x", lambda v: F.abs(v))).otherwise(F.col("x"))
+    p = points.select("id", some.alias("x")).withColumn("_s", F.aggregate("x", F.lit(0.0), lambda a, v: a + v))
+    h = F.aggregate("x", F.lit(0.0), lambda a, v: a - F.when(v > 0, v / F.col("_s") * F.log2(v / F.col("_s"))).otherwise(0.0))
+    return p.select("id", F.array(F.when(F.col("_s") > 0, h).otherwise(0.0)).alias("v"))
+
+
+def row_lens(points: DataFrame, f) -> DataFrame:
+    """(id, v): f of each point's coordinates (a NumPy row), a number or several; called over Arrow batches."""
+
+    def run(batches):
+        for t in batches:
+            rows = [np.atleast_1d(np.asarray(f(np.asarray(x, float)), float)).tolist() for x in t.column(1).to_pylist()]
+            yield pa.record_batch({"id": t.column(0), "v": pa.array(rows, pa.list_(pa.float64()))})
+
+    return points.select("id", "x").mapInArrow(run, "id long, v array<double>")
+
+
+def resolve_lens(points: DataFrame, lens) -> DataFrame:
+    """(id, v) of a lens by name: l2 (or l2_norm), pcaN, coordN, density, eccentricity, entropy; or a callable of the whole table."""
+    if callable(lens):
+        return lens(points)
+    if lens in ("l2", "l2_norm"):
+        return points.select("id", F.array(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))).alias("v"))
+    if lens == "density":
+        sample = points.orderBy(F.xxhash64("id", F.lit(0)), "id").limit(DENSITY_SAMPLE)
+        return codensity(points, sample, DENSITY_K).select("id", F.array("v").alias("v"))
+    if lens == "eccentricity":
+        return eccentricity_lens(points)
+    if lens == "entropy":
+        return entropy_lens(points)
+    name, k = lens.rstrip("0123456789"), lens[len(lens.rstrip("0123456789")) :]
+    if name == "pca":
+        return pca_lens(points, int(k or 1))
+    if name == "coord":
+        return points.select("id", F.array(F.col("x")[int(k or 0)]).alias("v"))
+    raise ValueError(f"unknown lens {lens!r}")
+
+
+def quantile_distance(points: DataFrame, percent: float, metric: str = "euclidean", sample: int = 1500, seed: int = 0) -> float:
+    """A percentile of the distances between the points of a sample (the least hashes of the ids, a stated number)."""
+    x = np.array([r["x"] for r in points.select("id", "x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()], float)
+    d = distance_block(x, x, metric)
+    return float(np.quantile(d[np.triu_indices(len(x), 1)], percent / 100)) if len(x) > 1 else 0.0
+
+
+def calibrate(points: DataFrame, clusterer: str, how: dict, sample: int = 1500, seed: int = 0) -> dict:
+    """Settings of a clusterer with numbers for its strategies, read off the whole cloud: ("quantile", percent) for eps or cut, "elbow" for eps."""
+    out = dict(how)
+    for name in ("eps", "cut"):
+        v = out.get(name)
+        if isinstance(v, (tuple, list)) and len(v) == 2 and v[0] == "quantile":
+            out[name] = quantile_distance(points, float(v[1]), out.get("metric", "euclidean"), sample, seed)
+        elif name == "eps" and v == "elbow":
+            x = np.array([r["x"] for r in points.select("id", "x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()], float)
+            out[name] = float(elbow_points(x, out["min_samples"], out.get("metric", "euclidean")))
+        elif v is not None and not isinstance(v, (int, float)):
+            raise ValueError(f"unknown strategy {v!r} for {name}")
+    return out
+
+
 def graph_statistics(edges: DataFrame) -> DataFrame:
     """(bundle, nodes, edges, density, clustering, diameter, b0, b1) of Mapper graphs (bundle, u, v); diameter is of the largest component."""
 

@@ -17,7 +17,10 @@ BLOCK = 1024
 
 
 def cells(points: DataFrame, block: int = BLOCK, both: bool = True) -> DataFrame:
-    """points in every cell they are compared in: columns a (block of the queries), b (of the others), own (block of the row)."""
+    """points in every cell they are compared in: columns a (block of the queries), b (of the others), own (block of the row).
+
+    both: every ordered pair of blocks is a cell; else every unordered one.
+    """
     n = max(1, -(-points.count() // block))
     own = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     q = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -33,32 +36,55 @@ def _sides(t: pa.Table):
     return ids[own == a], x[own == a], ids[own == b], x[own == b]
 
 
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least finite entries of each row, ties by the columns' ids."""
+    if d.shape[1] > 4 * k:
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero((d <= edge) & np.isfinite(d))
+    else:
+        row, col = np.nonzero(np.isfinite(d))
+    order = np.lexsort((ids[col], d[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def nearest(points: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
-    """(i, j, rank, d): the k nearest other points of each point, ties by id."""
+    """(i, j, rank, d): the k nearest other points of each point, ties by id.  A cell's distances serve both of its blocks."""
 
     def cell(t):
         ia, xa, ib, xb = _sides(t)
-        rows: list[list] = [[], [], []]
-        for at in range(0, len(ia), 256):
-            d = distance_block(xa[at : at + 256], xb, metric)
-            d[ia[at : at + 256][:, None] == ib[None, :]] = np.inf
-            for i, row in zip(ia[at : at + 256], d):
-                best = np.lexsort((ib, row))[: k + 1] if len(row) <= 4 * k else None
-                if best is None:
-                    edge = np.partition(row, k)[k]
-                    some = np.flatnonzero(row <= edge)
-                    best = some[np.lexsort((ib[some], row[some]))]
-                best = [j for j in best if np.isfinite(row[j])][:k]
-                rows[0] += [i] * len(best)
-                rows[1] += ib[best].tolist()
-                rows[2] += row[best].tolist()
-        return pa.table({"i": pa.array(rows[0], pa.int64()), "j": pa.array(rows[1], pa.int64()), "d": pa.array(rows[2], pa.float64())})
-
-    some = cells(points.select("id", "x"), block).groupBy("a", "b").applyInArrow(cell, "i long, j long, d double")
+        same = t["a"][0].as_py() == t["b"][0].as_py()
+        d = distance_block(xa, xb, metric) if len(ia) and len(ib) else np.zeros((len(ia), len(ib)))
+        d[ia[:, None] == ib[None, :]] = np.inf
+        rows = []
+        for own, other, m in ((ia, ib, d), (ib, ia, d.T))[: 1 if same else 2]:
+            if len(own) and len(other):
+                p, q = _least(m, other, k)
+                rows.append((own[p], other[q], m[p, q]))
+        i, j, v = (np.concatenate(x) for x in zip(*rows)) if rows else ([], [], [])
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(v, pa.float64())})
+
+    some = cells(points.select("id", "x"), block, both=False).groupBy("a", "b").applyInArrow(cell, "i long, j long, d double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return some.withColumn("rank", rank).filter(F.col("rank") <= k).select("i", "j", "rank", "d")
 
 
+def distance_sums(points: DataFrame, exponent: float = 1.0, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(i, p, m) for each point and cell: the sum of its distances to the exponent, and the largest; the point's own distance is in."""
+
+    def cell(t):
+        ia, xa, ib, xb = _sides(t)
+        same = t["a"][0].as_py() == t["b"][0].as_py()
+        d = distance_block(xa, xb, metric) if len(ia) and len(ib) else np.zeros((len(ia), len(ib)))
+        q = d**exponent if np.isfinite(exponent) else d
+        sides = [(ia, q.sum(axis=1), d.max(axis=1, initial=0))] + ([] if same else [(ib, q.sum(axis=0), d.max(axis=0, initial=0))])
+        i, p, m = (np.concatenate(x) for x in zip(*sides))
+        return pa.table({"i": pa.array(i, pa.int64()), "p": pa.array(p, pa.float64()), "m": pa.array(m, pa.float64())})
+
+    return cells(points.select("id", "x"), block, both=False).groupBy("a", "b").applyInArrow(cell, "i long, p double, m double")
+
+
 def pairs_within(points: DataFrame, eps: float, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """(i, j, d) of the pairs i < j at distance eps or less."""
 

@@ -22,20 +22,23 @@ def smooth(series: DataFrame, window: int = 5) -> DataFrame:
 
 
 def settle(series: DataFrame, frac: float = 0.1, late_n: int = 15, window: int = 5) -> DataFrame:
-    """(key, settled): first step from which the smoothed series stays within frac of its late level, between early 1 and late 0."""
-    x = smooth(series, window)
+    """(key, settled): first step from which the smoothed series stays within frac of its late level, between early 1 and late 0.
+
+    Early is the median of the first eighth of the smoothed series, five values at least, late
+    that of its last late_n.  Values that aren't finite are left out.  Null if the levels are
+    equal, if there are fewer than six values or half of late_n, or if it never stays.
+    """
+    x = smooth(series.filter(~F.isnan("v") & (F.abs("v") < float("inf"))), window)
     w = Window.partitionBy("key")
-    n = F.count(F.lit(1)).over(w)
-    i = F.row_number().over(w.orderBy("step"))
-    x = x.withColumn("_n", n).withColumn("_i", i)
+    x = x.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy("step")))
     head = F.col("_i") <= F.greatest(F.lit(5), F.floor(F.col("_n") / 8))
     tail = F.col("_i") > F.col("_n") - late_n
-    level = x.groupBy("key").agg(F.median(F.when(head, F.col("v"))).alias("early"), F.median(F.when(tail, F.col("v"))).alias("late"), F.count(F.lit(1)).alias("n"))
-    z = x.join(level.select("key", "early", "late"), "key").withColumn("z", F.abs(F.try_divide(F.col("s") - F.col("late"), F.col("early") - F.col("late"))))
+    level = x.groupBy("key").agg(F.median(F.when(head, F.col("s"))).alias("early"), F.median(F.when(tail, F.col("s"))).alias("late"), F.count(F.lit(1)).alias("n"))
+    ok = level.filter((F.col("early") != F.col("late")) & (F.col("n") >= max(6, late_n // 2)))
+    z = x.join(ok, "key").withColumn("z", (F.col("s") - F.col("late")) / (F.col("early") - F.col("late")))
     rest = F.max("z").over(w.orderBy("step").rowsBetween(0, Window.unboundedFollowing))
     first = z.withColumn("rest", rest).filter(F.col("rest") <= frac).groupBy("key").agg(F.min("step").alias("settled"))
-    ok = level.filter((F.col("early") != F.col("late")) & (F.col("n") >= max(6, late_n // 2)))
-    return level.select("key").join(ok.select("key").join(first, "key"), "key", "left")
+    return series.select("key").distinct().join(first, "key", "left")
 
 
 def step_distances(trajectory: DataFrame, how: str = "euclidean") -> DataFrame:
@@ -156,9 +159,19 @@ def magnitude_dimension(points: DataFrame, scales: int = 30) -> DataFrame:
 
 
 def roc(scores: DataFrame) -> DataFrame:
-    """(score, tpr, fpr) of scores (score, y) from high to low, one point a distinct score."""
+    """(score, tpr, fpr) of scores (score, y) from high to low, one point a distinct score.
+
+    Running sums go by parts of the score's range, each with what stands above it, so no task sorts all scores.
+    """
     per = scores.groupBy("score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    x = per.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum(F.col("n") - F.col("p")).over(w))
-    tot = scores.agg(F.sum("y").alias("P"), F.sum(1 - F.col("y")).alias("N"))
-    return x.join(F.broadcast(tot)).select("score", (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))  # one row
+    part = per.repartitionByRange(F.desc("score")).withColumn("_part", F.spark_partition_id())
+    sums = {r["_part"]: (r["p"], r["n"]) for r in part.groupBy("_part").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}  # a row a partition
+    above, rows = (0, 0), []
+    for k in sorted(sums):
+        rows.append((k, *above))
+        above = (above[0] + sums[k][0], above[1] + sums[k][1])
+    base = scores.sparkSession.createDataFrame(rows or [(0, 0, 0)], "_part int, _p long, _n long")
+    w = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, n = F.sum("p").over(w) + F.col("_p"), F.sum("n").over(w) + F.col("_n")
+    x = part.join(F.broadcast(base), "_part").select("score", tp.alias("tp"), n.alias("n"))
+    return x.select("score", F.try_divide(F.col("tp").cast("double"), F.lit(float(above[0]))).alias("tpr"), F.try_divide((F.col("n") - F.col("tp")).cast("double"), F.lit(float(above[1] - above[0]))).alias("fpr"))

@@ -68,8 +68,18 @@ def triangles(edges: DataFrame) -> DataFrame:
     return e.join(nxt, ["layer_idx", "j"]).select("layer_idx", "i", "j", "k", (F.col("r") * F.col("_r")).alias("r"))
 
 
+def clique_relevance(weights: DataFrame, mode: str = "positive") -> DataFrame:
+    """weights with r, the relevance that the clique complex uses: the positive part (or, absolute, the magnitude) over its sum in column j and 1e-12."""
+    part = {"positive": F.greatest("w", F.lit(0.0)), "absolute": F.abs("w")}[mode]
+    return weights.withColumn("r", part / (F.sum(part).over(Window.partitionBy("layer_idx", "j")) + 1e-12))
+
+
 def clique_diagram(edges: DataFrame, least: float = 1e-7) -> DataFrame:
-    """(dim, birth, death, birth_edge): persistence of the directed clique complex over schedule indices, one model in one group."""
+    """(dim, birth, death, birth_edge, death_triangle): persistence of the directed clique complex over schedule indices, one model in one group.
+
+    The last two hold the real weights (layer:i:j) under the simplices that make and end a
+    loop: an edge's own, or the two on the strongest path under an edge between layers two apart.
+    """
 
     def run(t):
         thr = clique_schedule()
@@ -83,23 +93,31 @@ def clique_diagram(edges: DataFrame, least: float = 1e-7) -> DataFrame:
             if r >= least:
                 cells[(a, b)] = fil(r)
                 by.setdefault(a, []).append((b, r))
-        best: dict[tuple, float] = {}
+        best: dict[tuple, tuple] = {}
         for a, nexts in list(by.items()):
             for b, r in nexts:
                 for c, s in by.get(b, ()):
-                    best[(a, c)] = max(best.get((a, c), 0), r * s)
+                    best[(a, c)] = max(best.get((a, c), (0, ())), (r * s, (-b[1], b)))
                     cells[(a, b, c)] = fil(r * s)
-        for e, r in best.items():
+        for e, (r, _) in best.items():
             cells[e] = min(cells.get(e, math.inf), fil(r))
+
+        def real(s: tuple) -> list[str]:
+            """The weights under a simplex."""
+            if len(s) == 2 and s[1][0] == s[0][0] + 2:
+                s = (s[0], best[s][1][1], s[1])
+            return [f"{a[0]}:{a[1]}:{b[1]}" for a, b in zip(s, s[1:])]
+
         for s in [s for s in cells if len(s) == 3]:
             cells[s] = max(cells[s], *(cells[s[:x] + s[x + 1 :]] for x in range(3)))
-        rows = [(k, b, d, [f"{v[0]}:{v[1]}" for v in s]) for k, b, d, s, _ in reduce_complex([(s, float(f)) for s, f in cells.items()]) if k <= 1 and (d > b or k == 0)]
+        found = reduce_complex([(s, float(f)) for s, f in cells.items()])
+        rows = [(k, b, d, real(s) if k else [], real(e) if k and e else None) for k, b, d, s, e in found if k <= 1 and (d > b or k == 0)]
         return pa.table({
             "dim": pa.array([r[0] for r in rows], pa.int32()), "birth": pa.array([r[1] for r in rows], pa.float64()), "death": pa.array([r[2] for r in rows], pa.float64()),
-            "birth_edge": pa.array([r[3] for r in rows], pa.list_(pa.string())),
+            "birth_edge": pa.array([r[3] for r in rows], pa.list_(pa.string())), "death_triangle": pa.array([r[4] for r in rows], pa.list_(pa.string())),
         })
 
-    return edges.select("layer_idx", "i", "j", "r").groupBy(F.lit("all")).applyInArrow(run, "dim int, birth double, death double, birth_edge array<string>")
+    return edges.select("layer_idx", "i", "j", "r").groupBy(F.lit("all")).applyInArrow(run, "dim int, birth double, death double, birth_edge array<string>, death_triangle array<string>")
 
 
 def superlevel_h0(edges: DataFrame) -> DataFrame:
@@ -161,6 +179,15 @@ def weight_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("layer_idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fro"), F.sum(F.abs("w")).alias("l1"), F.max(F.abs("w")).alias("max_abs"), F.count_if(F.col("w") == 0).alias("zeros"))
 
 
+def neuron_correlation(activations: DataFrame) -> DataFrame:
+    """(layer_idx, i, j, w): magnitude of the correlation over samples of neuron i of a layer with neuron j of the next, from activations (sample, layer_idx, i, a); 0 for a constant one."""
+    w = Window.partitionBy("layer_idx", "i")
+    z = activations.withColumn("z", F.try_divide(F.col("a") - F.avg("a").over(w), F.stddev_pop("a").over(w)))
+    z = z.withColumn("z", F.coalesce("z", F.lit(0.0)))
+    nxt = z.select((F.col("layer_idx") - 1).alias("layer_idx"), "sample", F.col("i").alias("j"), F.col("z").alias("_z"))
+    return z.join(nxt, ["layer_idx", "sample"]).groupBy("layer_idx", "i", "j").agg(F.abs(F.avg(F.col("z") * F.col("_z"))).alias("w"))
+
+
 def magnitude_mask(weights: DataFrame, ratio: float) -> DataFrame:
     """weights with kept: |w| above the k-th smallest, k = round(ratio * n); ties at the threshold go."""
     n = weights.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.bround(F.col("n") * ratio).cast("long"))
@@ -193,20 +220,32 @@ def _kth(per: DataFrame, n: DataFrame) -> DataFrame:
             k, part = k - below, part.filter(F.col("m") > mid)
 
 
-def loop_mask(weights: DataFrame, loops: list[tuple[float, float, list[tuple[int, int, int]]]], ratio: float) -> DataFrame:
-    """Keep the edges (layer_idx, i, j) of loops by rising birth plus death until the budget is met, then the largest |w|."""
-    total = weights.count()
-    budget = round((1 - ratio) * total)
-    kept: dict = {}
-    for _, _, edges in sorted(loops, key=lambda x: (x[0] + x[1], x[0])):
-        if len(kept) >= budget:
-            break
-        kept.update(dict.fromkeys(map(tuple, edges)))
-    mark = weights.sparkSession.createDataFrame(list(kept) or [(-1, -1, -1)], "layer_idx int, i long, j long").withColumn("_in", F.lit(True))
-    x = weights.join(mark, ["layer_idx", "i", "j"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    more = max(0, budget - len(kept))
-    fill = x.filter(~F.col("_in")).orderBy(F.desc(F.abs("w")), "layer_idx", "i", "j").limit(more).select("layer_idx", "i", "j", F.lit(True).alias("_more"))
-    return x.join(fill, ["layer_idx", "i", "j"], "left").withColumn("kept", F.col("_in") | F.coalesce("_more", F.lit(False))).drop("_in", "_more")
+def loop_mask(weights: DataFrame, diagram: DataFrame, ratio: float) -> DataFrame:
+    """weights with kept, from the loops of clique_diagram(): the weights under loops by rising birth plus death until the budget is met, then the largest |w|.
+
+    The budget is the rounded share 1 - ratio of all weights; the last loop may overshoot it.
+    Each loop counts the weights that no earlier one holds; running sums over the loops give
+    those taken, and the fill is cut by the k-th largest magnitude, ties by place.
+    """
+    bars = diagram.filter((F.col("dim") == 1) & (F.col("death") < float("inf"))).withColumn("edge", F.explode(F.array_distinct(F.concat("birth_edge", F.coalesce("death_triangle", F.array().cast("array<string>"))))))
+    loop = F.struct((F.col("birth") + F.col("death")).alias("s"), "birth", F.array_join("birth_edge", ",").alias("e"), F.array_join(F.coalesce("death_triangle", F.array().cast("array<string>")), ",").alias("t"))
+    first = bars.groupBy("edge").agg(F.min(loop).alias("loop"))
+    budget = weights.agg(F.bround((1 - ratio) * F.count(F.lit(1))).cast("long").alias("n")).first()["n"]
+    new = first.groupBy("loop").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("loop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the loops of one diagram
+    taken = first.join(new.withColumn("b", before).filter(F.col("b") < budget).select("loop"), "loop", "left_semi").select("edge")
+    x = weights.withColumn("edge", F.concat_ws(":", "layer_idx", "i", "j")).join(taken.withColumn("_in", F.lit(True)), "edge", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    held = x.agg(F.count_if("_in")).first()[0]
+    k = max(0, budget - held)
+    if not k:
+        return x.withColumn("kept", F.col("_in")).drop("_in", "edge")
+    rest = x.filter(~F.col("_in"))
+    per = rest.groupBy(F.abs("w").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    cut = _kth(per.withColumn("m", -F.col("m")), weights.sparkSession.range(1).select(F.lit(k).alias("k"))).first()["cut"]
+    above = rest.agg(F.count_if(F.abs("w") > -cut)).first()[0]
+    tie = rest.filter(F.abs("w") == -cut).orderBy("layer_idx", "i", "j").limit(k - above).select("edge", F.lit(True).alias("_tie"))
+    x = x.join(tie, "edge", "left")
+    return x.withColumn("kept", F.col("_in") | (F.abs("w") > -cut) | F.coalesce("_tie", F.lit(False))).drop("_in", "_tie", "edge")
 
 
 def prune_report(masked: DataFrame) -> DataFrame:

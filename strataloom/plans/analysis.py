@@ -106,10 +106,10 @@ class Analysis:
         o, t = self.builder_options, self.tool_options
         if o.get("layers") is not None:
             weights = weights.filter(F.col("layer_idx").isin(list(o["layers"])))
-        edges = wt.edge_weights(weights, o.get("edge_weight", "absolute"), activations)
         if self.tool == "ph" and t.get("complex") == "directed_clique":
-            bars = wt.clique_diagram(edges)
+            bars = wt.clique_diagram(wt.clique_relevance(weights, t.get("relevance_mode", "positive")))
             return self._summed(bars.select(F.lit("all").alias("bundle"), "dim", "birth", "death"))
+        edges = wt.edge_weights(weights, o.get("edge_weight", "absolute"), activations)
         if o.get("induced_paths"):
             layers = weights.agg(F.max("layer_idx")).first()[0] + 1
             paths = wt.induced_paths(edges, layers)
@@ -145,16 +145,9 @@ class Analysis:
         return mapper_nodes(points, t.get("lens", "l2_norm"), t.get("n_intervals", 10), t.get("overlap", 0.3), t.get("clusterer", "dbscan"), **t.get("how", {"eps": 0.5, "min_samples": 5}))
 
 
-def mapper_nodes(points: DataFrame, lens: str, n_intervals: int, overlap: float, clusterer: str, **how) -> DataFrame:
-    """(cell, label, id) of a cloud under a named lens: l2_norm, pcaN or coordN."""
-    if lens == "l2_norm":
-        v = points.select("id", F.array(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))).alias("v"))
-    elif lens.startswith("pca"):
-        v = mp.pca_lens(points, int(lens[3:] or 1))
-    elif lens.startswith("coord"):
-        v = points.select("id", F.array(F.col("x")[int(lens[5:] or 0)]).alias("v"))
-    else:
-        raise ValueError(f"unknown lens {lens!r}")
+def mapper_nodes(points: DataFrame, lens: str | Callable, n_intervals: int, overlap: float, clusterer: str, **how) -> DataFrame:
+    """(cell, label, id) of a cloud under a lens: see mapper.resolve_lens."""
+    v = mp.resolve_lens(points, lens)
     return mp.cluster_cells(points, mp.cover(v, n_intervals, overlap), clusterer, **how)
 
 

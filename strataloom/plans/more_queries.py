@@ -1,0 +1,248 @@
+"""More of the engine's queries: layers and populations, series over training, matrices of the user's, Mapper graphs; with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import diagrams as dg, graphs as gr, layers as ly, mapper as mp, series as se, training as tr, weights as wt
+from . import queries as q, sweep as sw
+from .grid import MapperGrid
+from .queries import R, _bundles, _digest, _nodes, _round, _t, cloud, diagram, lens, trajectory, weights
+
+_SCHEDULE = [round(c / 10 * 10.0**-e, 12) for e in range(7) for c in range(10, 1, -1)] + [1e-7]
+
+
+def _population(s: SparkSession, d: str) -> DataFrame:
+    """Eight members, by supplier: line number to return flag."""
+    li = _t(s, d, "lineitem").select(F.concat(F.lit("m"), F.col("l_suppkey") % 8).alias("member_id"), F.lit(0).alias("layer_idx"), F.col("l_linenumber").cast("long").alias("i"), F.ascii("l_returnflag").cast("long").alias("j"), "l_discount")
+    return li.groupBy("member_id", "layer_idx", "i", "j").agg((F.round(F.avg(F.col("l_discount") - 0.05), R) + F.lit(0.0)).alias("w"))
+
+
+def _factors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    li = _t(s, d, "lineitem").select(F.lit(0).alias("layer_idx"), F.col("l_linenumber").cast("long").alias("i"), F.ascii("l_returnflag").cast("long").alias("j"), (F.col("l_quantity").cast("long") % 3).alias("r"), "l_discount", "l_tax")
+    u = li.groupBy("layer_idx", "j", "r").agg(F.avg("l_tax").alias("u"))
+    sigma = li.groupBy("layer_idx", "r").agg(F.count(F.lit(1)).cast("double").alias("s"))
+    return u, sigma, li.groupBy("layer_idx", "i", "r").agg(F.avg("l_discount").alias("v"))
+
+
+def _acts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(weights, activations) of a model with 14 inputs, of which its first layer takes the last 7, and 3 hidden neurons."""
+    li = _t(s, d, "lineitem").withColumn("sample", F.col("l_suppkey") % 50).withColumn("n", F.col("l_linenumber").cast("long") - 1).withColumn("f", F.expr("case l_returnflag when 'A' then 0L when 'N' then 1L else 2L end"))
+    x = li.groupBy("sample", F.lit(-1).alias("layer_idx"), F.expr("n + if(l_linestatus = 'O', 7L, 0L)").alias("i")).agg(F.avg("l_quantity").alias("a"))
+    h = li.groupBy("sample", F.lit(0).alias("layer_idx"), F.col("f").alias("i")).agg(F.avg("l_quantity").alias("a"))
+    w = li.groupBy(F.lit(0).alias("layer_idx"), F.col("n").alias("i"), F.col("f").alias("j")).agg(F.avg("l_discount").alias("w"))
+    o = li.groupBy(F.lit(1).alias("layer_idx"), F.col("f").alias("i"), F.expr("if(l_linestatus = 'O', 1L, 0L)").alias("j")).agg(F.avg("l_discount").alias("w"))
+    return w.unionByName(o), x.unionByName(h)
+
+
+def _steps(s: SparkSession, d: str) -> DataFrame:
+    return trajectory(s, d).select("step").distinct()
+
+
+def _edges(s: SparkSession, d: str, sign: bool = False) -> DataFrame:
+    w = F.col("w") if sign else F.abs("w")
+    return weights(s, d).select(F.lit("all").alias("bundle"), F.concat(F.lit("a"), F.col("layer_idx"), F.lit("-"), "i").alias("u"), F.concat(F.lit("a"), F.col("layer_idx") + 1, F.lit("-"), "j").alias("v"), w.alias("w"))
+
+
+def _scaled(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d, True)
+    nodes = e.select("bundle", F.explode(F.array("u", "v")).alias("n")).groupBy("bundle").agg(F.count_distinct("n").alias("n"))
+    return _round(tr.scale_normalised(e, nodes), "w")
+
+
+def _nerve(s: SparkSession, d: str) -> DataFrame:
+    return mp.nerve_edges(mp.cover(lens(s, d), 5, 0.3)).select(F.lit("all").alias("bundle"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("shared").cast("double").alias("w"))
+
+
+def _cover(s: SparkSession, d: str) -> DataFrame:
+    return mp.cover(lens(s, d), 5, 0.3).withColumn("label", F.lit(0))
+
+
+def _matrix(s: SparkSession, d: str) -> DataFrame:
+    """All distances within each label, as a user's own matrix."""
+    a, b = (_bundles(s, d).select("bundle", F.col("id").alias(i), F.col("x").alias(x)) for i, x in (("i", "x"), ("j", "y")))
+    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, v: acc + v))
+    return a.join(b, "bundle").select("bundle", "i", "j", gap.alias("d"))
+
+
+def _distance_betti0(s: SparkSession, d: str) -> DataFrame:
+    bars = dg.matrix_diagrams(_matrix(s, d), "distance", 0)
+    return bars.withColumn("eps", F.explode(F.array(F.lit(1.1), F.lit(1.2), F.lit(1.3)))).groupBy("bundle", "eps").agg(F.count_if(F.col("death") > F.col("eps")).alias("b0"))
+
+
+def _superlevel_betti0(s: SparkSession, d: str) -> DataFrame:
+    """Components of the weight graph among edges within three gaps of the heaviest."""
+    bars = wt.superlevel_h0(_edges(s, d))
+    return bars.withColumn("gap", F.explode(F.array(F.lit(0.02), F.lit(0.04), F.lit(0.06)))).groupBy("gap").agg(F.count_if(F.col("death") > F.col("gap")).alias("b0"))
+
+
+def _schedule(s: SparkSession, d: str) -> DataFrame:
+    t = dg.schedule(12, dg.finite(diagram(s, d)))
+    return _round(s.createDataFrame(list(enumerate(t)), "place int, t double"), "t")
+
+
+def _over_training(s: SparkSession, d: str) -> DataFrame:
+    data = cloud(s, d).withColumn("step", F.col("label"))
+    return _round(tr.trajectory_measures(data, se.global_dimension, ["n", "dimension"]), "value")
+
+
+def _step_diagrams(s: SparkSession, d: str) -> DataFrame:
+    """A diagram for each day: a bar for each event type from its least to its greatest value."""
+    e = _t(s, d, "events").groupBy(F.dayofyear("ts").alias("step"), "event_type").agg(F.min("value").alias("birth"), F.max("value").alias("death"))
+    return e.select("step", F.lit(0).alias("dim"), "birth", "death")
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    axes = {"lens": ["pca1", "coord0"], "n_intervals": [4, 6], "overlap": [0.2, 0.3], "clusterer": "single", "cut": ("quantile", 10)}
+    return MapperGrid({"embeddings": cloud(s, d).select("id", "x")}, axes).run(s)
+
+
+def _leading(s: SparkSession, d: str) -> DataFrame:
+    per = _t(s, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("hash")).agg(F.count(F.lit(1)).cast("double").alias("node_median"), F.round(F.avg("l_discount"), 9).alias("b1_excess"))
+    return sw.leading(per, "b1_excess", 10, 5).select("hash", "node_median", F.round("b1_excess", R).alias("b1_excess"))
+
+
+def _roc(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "events").select(F.round("value", 1).alias("score"), (F.col("event_type") == "purchase").cast("long").alias("y"))
+    return _round(se.roc(x), "tpr", "fpr")
+
+
+def _quantile(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(p, mp.quantile_distance(cloud(s, d), p, sample=2000)) for p in (5.0, 50.0, 95.0)], "percent double, d double").withColumn("d", F.round("d", R))
+
+
+def _phpm(s: SparkSession, d: str) -> DataFrame:
+    w = weights(s, d)
+    return wt.prune_report(wt.loop_mask(w, wt.clique_diagram(wt.clique_relevance(w)), 0.4))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "layer_catalogue": lambda s, d: ly.catalogue(weights(s, d)),
+    "layer_selection": lambda s, d: ly.select_layers(ly.catalogue(weights(s, d)).select("layer_idx", F.concat(F.lit("fc"), "layer_idx").alias("name"), F.lit("linear").alias("kind"), "params"), [-1]),
+    "factored_weights": lambda s, d: _round(ly.effective_weights(*_factors(s, d)), "w"),
+    "coupled_activations": lambda s, d: _round(ly.coupled(*_acts(s, d)), "a"),
+    "nearest_snapshot": lambda s, d: ly.snapshot_at(_steps(s, d), s.createDataFrame([(0.0,), (7.4,), (15.5,), (99.0,)], "want double")),
+    "aligned_series": lambda s, d: _round(ly.aligned(trajectory(s, d).filter("v > 20").withColumnRenamed("coord", "key"), _steps(s, d)), "v"),
+    "checkpoints": lambda s, d: ly.checkpoints(_steps(s, d), 7),
+    "population_cloud": lambda s, d: _digest(ly.population_cloud(_population(s, d), "full", "l2"), "layer_idx", "member_id", "n"),
+    "population_centred": lambda s, d: _digest(ly.population_cloud(_population(s, d), "rows", "mean_centre"), "layer_idx", "member_id", "n"),
+    "member_index": lambda s, d: ly.member_index(ly.population_cloud(_population(s, d), "rows")),
+    "activation_statistics": lambda s, d: _round(tr.activation_statistics(_t(s, d, "lineitem").select(F.month("l_shipdate").alias("step"), F.col("l_discount").alias("a")), "step"), "mean", "std", "sparsity", "max"),
+    "spectral_norms": lambda s, d: _round(tr.spectral_norms(weights(s, d), "layer_idx"), "l2", "nuc"),
+    "scale_normalised": _scaled,
+    "diagram_distance_series": lambda s, d: _round(tr.diagram_distances(_step_diagrams(s, d), "previous"), "wasserstein", "bottleneck"),
+    "over_training": _over_training,
+    "windowed_dimension": lambda s, d: _round(tr.windowed_dimension(trajectory(s, d), 10, 5, "two_nn"), "dimension"),
+    "node_degrees": lambda s, d: gr.degrees(mp.cover(lens(s, d), 5, 0.3).select(F.lit("all").alias("bundle"), F.col("cell").alias("node")).distinct(), _nerve(s, d)),
+    "node_clustering": lambda s, d: _round(gr.clustering(_nerve(s, d)), "clustering"),
+    "node_centrality": lambda s, d: _round(gr.centrality(_nerve(s, d)), "betweenness", "closeness"),
+    "signal_pathways": lambda s, d: gr.pathways(_edges(s, d), 6).groupBy("role", "cluster").agg(F.count(F.lit(1)).alias("n")),
+    "mapper_measure_groups": lambda s, d: _round(gr.measure(_cover(s, d), _cover(s, d), cloud(s, d).count(), 25), "node_mean", "node_median", "cell_size_median"),
+    "node_colour_scalar": lambda s, d: _round(gr.node_colour(_cover(s, d), "scalar", lens(s, d).select("id", F.col("v")[0].alias("v")), "raw"), "colour"),
+    "node_colour_size": lambda s, d: _round(gr.node_colour(_cover(s, d), "size", normalise="zscore"), "colour"),
+    "node_colour_degree": lambda s, d: gr.node_colour(_cover(s, d), "degree"),
+    "distance_check": lambda s, d: dg.check_distances(_matrix(s, d)),
+    "distance_betti0": _distance_betti0,
+    "superlevel_betti0": _superlevel_betti0,
+    "filtration_schedule": _schedule,
+    "snap_index": lambda s, d: dg.snap_index(diagram(s, d), q._SCHEDULE).groupBy("bundle", "dim", "birth", "death").agg(F.count(F.lit(1)).alias("n")),
+    "prune_bars": lambda s, d: dg.prune(diagram(s, d), 0.35).groupBy("bundle", "dim").agg(F.count(F.lit(1)).alias("n")),
+    "infinity_line": lambda s, d: _round(dg.infinity_line(diagram(s, d)), "lo", "hi", "line"),
+    "mean_diagram": lambda s, d: _round(dg.mean_diagram(diagram(s, d).filter("dim = 0").withColumn("death", F.round("death", 3)).withColumn("half", F.col("bundle") < "m"), "half"), "birth", "death"),
+    "hull_areas": lambda s, d: _round(dg.hull_areas(dg.finite(diagram(s, d))), "area"),
+    "roc": _roc,
+    "leading_results": _leading,
+    "eccentricity_lens": lambda s, d: _round(mp.eccentricity_lens(cloud(s, d)).select("id", F.col("v")[0].alias("v")), "v"),
+    "entropy_lens": lambda s, d: _round(mp.entropy_lens(cloud(s, d)).select("id", F.col("v")[0].alias("v")), "v"),
+    "density_lens": lambda s, d: _round(mp.resolve_lens(cloud(s, d), "density").select("id", F.col("v")[0].alias("v")), "v"),
+    "distance_quantile": _quantile,
+    "mapper_grid": _grid,
+    "neuron_correlation": lambda s, d: _round(wt.neuron_correlation(_acts(s, d)[1]), "w"),
+    "phpm_mask": _phpm,
+    "clique_counts": lambda s, d: wt.triangles(wt.clique_relevance(weights(s, d))).groupBy(wt.schedule_index(F.round("r", 9), _SCHEDULE).alias("step")).agg(F.count(F.lit(1)).alias("n")),
+}
+
+_POP = "pop as (select 'm' || (l_suppkey % 8) member_id, 0 layer_idx, l_linenumber::bigint i, ascii(l_returnflag)::bigint j, round(avg(l_discount - 0.05), 6) + 0.0 w from lineitem group by 1, 3, 4)"
+_LI = "li as (select l_suppkey % 50 sample, l_linenumber::bigint - 1 n, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end::bigint f, l_linestatus st, l_quantity q from lineitem)"
+_ALL = """e2 as (select 'all' bundle, 'a' || layer_idx || '-' || i u, 'a' || (layer_idx + 1) || '-' || j v, w from w), nn as (select count(distinct x) n from (select u x from e2 union all select v from e2))"""
+_CLUSTERS = f"""{q._ONE}, near as materialized (select p.cell, p.id i, r.id j from c p join c r on p.cell = r.cell join e a on p.id = a.id join e b on r.id = b.id where list_distance(a.x, b.x) <= 1.1),
+ walk(cell, root, i) as (select cell, id, id from c union select walk.cell, walk.root, near.j from walk join near on near.cell = walk.cell and near.i = walk.i),
+ part as materialized (select cell, i id, min(root) root from walk group by 1, 2), lab as materialized (select cell, id, root, (dense_rank() over (partition by cell order by root) - 1)::int as label from part),
+ node as (select cell || '/' || label as node, id from lab), ed as materialized (select a.node u, b.node v, count(*)::double w from node a join node b on a.id = b.id and a.node < b.node group by 1, 2)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "layer_catalogue": f"with {q._W} select layer_idx, count(distinct i) n_in, count(distinct j) n_out, count(*) params, count(*) filter (w <> 0) nonzero from w group by 1",
+    "layer_selection": f"with {q._W} select layer_idx, 'fc' || layer_idx as name, 'linear' kind, count(*) params from w group by 1 qualify layer_idx = max(layer_idx) over ()",
+    "factored_weights": """with li as (select l_linenumber::bigint i, ascii(l_returnflag)::bigint j, l_quantity::bigint % 3 r, l_discount, l_tax from lineitem), u as (select j, r, avg(l_tax) u from li group by 1, 2),
+ sg as (select r, count(*)::double s from li group by 1), v as (select i, r, avg(l_discount) v from li group by 1, 2) select 0 layer_idx, i, j, round(sum(v * s * u), 6) w from v join sg on v.r = sg.r join u on v.r = u.r group by 2, 3""",
+    "coupled_activations": f"with {_LI} select sample, 0 layer_idx, n i, round(avg(q), 6) a from li where st = 'O' group by 1, 3 union all select sample, 1, f, round(avg(q), 6) from li group by 1, 3",
+    "nearest_snapshot": f"with {q._TR}, s as (select distinct step from tr), w as (select unnest([0.0, 7.4, 15.5, 99.0])::double want) select want, step from s, w qualify row_number() over (partition by want order by abs(step - want), step) = 1",
+    "aligned_series": f"""with {q._TR}, s as (select distinct step from tr), f as (select coord "key", step, v from tr where v > 20), k as (select distinct "key" from f)
+ select k."key" as "key", s.step step, round(f.v, 6) v from k cross join s left join f on f."key" = k."key" and f.step = s.step""",
+    "checkpoints": f"with {q._TR}, p as (select step, (row_number() over (order by step) - 1)::int place from (select distinct step from tr)), m as (select count(*) m from p) select place, step from p, m where m <= 7 or place in (select floor(k::double * (m - 1) / 6)::int from (select unnest(range(7)) k))",
+    "population_cloud": f"""with {_POP}, r as (select member_id, layer_idx, w, row_number() over (partition by member_id order by i, j) p from pop), l as (select member_id, sqrt(sum(w * w)) + 1e-12 l from pop group by 1)
+ select layer_idx, r.member_id member_id, 0::bigint n, count(*) dims, round(sum(w / l * p), 5) + 0.0 mix from r join l on r.member_id = l.member_id group by 1, 2""",
+    "population_centred": f"""with {_POP}, c as (select member_id, i, j, w - avg(w) over (partition by j) w from pop), r as (select *, row_number() over (partition by member_id, i order by j) p from c)
+ select 0 layer_idx, member_id, i n, count(*) dims, round(sum(w * p), 5) + 0.0 mix from r group by 2, 3""",
+    "member_index": f"with {_POP}, m as (select distinct member_id, i from pop) select 0 layer_idx, row_number() over (order by member_id, i) - 1 id, member_id, i n from m",
+    "activation_statistics": "select month(l_shipdate)::int step, round(avg(l_discount), 6) mean, round(stddev_pop(l_discount), 6) std, round(avg((l_discount = 0)::int), 6) sparsity, round(max(abs(l_discount)), 6) max from lineitem group by 1",
+    "scale_normalised": f"with {q._W}, {_ALL} select bundle, u, v, round(w / (select 2 * sum(abs(w)) / (any_value(n) * (any_value(n) - 1)) from e2, nn), 6) + 0.0 w from e2",
+    "over_training": f"""with {q._E}, p as (select a.label, a.id i, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id and a.label = b.label), r as (select label, i, d, row_number() over (partition by i order by d) rn from p qualify rn <= 2),
+ m as (select label, i, max(case when rn = 1 then d end) r1, max(case when rn = 2 then d end) r2 from r group by 1, 2),
+ g as (select label, count(*)::double n, round(exp(-0.5772156649015329 - avg(ln(ln(r2 / r1))) filter (r1 > 0 and r2 > r1)), 6) dimension from m group by 1)
+ select label epoch, 'n' measure, 'all' series, n as "value" from g union all select label, 'dimension', 'all', dimension from g""",
+    "windowed_dimension": f"""with {q._TR}, p as (select step, dense_rank() over (order by step) - 1 i from (select distinct step from tr)), w as (select unnest(range(0, (select max(i) + 1 from p) - 9, 5)) win),
+ m as (select win, step, i from w, p where i between win and win + 9), d as (select a.win, a.step s, b.step t, sqrt(sum((x.v - y.v) ** 2)) d from m a join m b on a.win = b.win and a.step <> b.step join tr x on x.step = a.step join tr y on y.step = b.step and y.coord = x.coord group by 1, 2, 3),
+ r as (select win, s, d, row_number() over (partition by win, s order by d) rn from d qualify rn <= 2), z as (select win, s, max(case when rn = 1 then d end) r1, max(case when rn = 2 then d end) r2 from r group by 1, 2)
+ select z.win win, (select step from m where m.win = z.win and m.i = z.win + 5)::bigint centre, round(exp(-0.5772156649015329 - avg(ln(ln(r2 / r1))) filter (r1 > 0 and r2 > r1)), 6) dimension from z group by 1""",
+    "trajectory_settle": f"""with {q._TR}, i as (select *, row_number() over (partition by coord order by step) i, count(*) over (partition by coord) n from tr), k as (select unnest([-2, -1, 0, 1, 2]) k),
+ s as (select a.coord, a.step, a.i, a.n, avg(b.v) s from i a, k join i b on true where b.coord = a.coord and b.i = greatest(1, least(a.n, a.i + k)) group by 1, 2, 3, 4),
+ l as (select coord, median(s) filter (i <= greatest(5, n // 8)) early, median(s) filter (i > n - 15) late from s group by 1),
+ z as (select s.coord, step, max((s - late) / (early - late)) over (partition by s.coord order by step rows between current row and unbounded following) z from s join l on s.coord = l.coord)
+ select l.coord "key", min(step) filter (z <= 0.8) settled from l join z on l.coord = z.coord group by 1""",
+    "node_degrees": f"with {q._COVER}, {q._NERVE}, en as (select a node, shared w from g union all select b, shared from g), n as (select distinct cell node from c) select 'all' bundle, n.node node, count(w) degree, coalesce(sum(w), 0)::double strength from n left join en on n.node = en.node group by 2",
+    "node_clustering": f"""with {q._COVER}, {q._NERVE}, t as (select max(shared)::double t from g), b as (select a u, b v, cbrt(shared / t) w from g, t union all select b, a, cbrt(shared / t) from g, t), dg as (select u, count(*) d from b group by 1),
+ tri as (select x.u, sum(x.w * y.w * z.w) s from b x join b y on y.u = x.u and y.v <> x.v join b z on z.u = x.v and z.v = y.v group by 1)
+ select 'all' bundle, dg.u node, round(case when d > 1 then coalesce(s, 0) / (d * (d - 1)) else 0 end, 6) clustering from dg left join tri on dg.u = tri.u""",
+    "mapper_measure_groups": f"""with recursive {q._COVER}, {q._NERVE}, n as materialized (select cell, count(*) s from c group by 1), sy as materialized (select a, b from g union all select b, a from g),
+ t(root, cell) as (select cell, cell from n union select t.root, sy.b from t join sy on sy.a = t.cell), m as (select cell, min(root) z from t group by 1), cs as (select z, count(*) k from m group by 1),
+ dg as (select n.cell, count(sy.b) d from n left join sy on sy.a = n.cell group by 1), x as (select (select count(*) from n) nn, (select count(*) from g) ne, (select count(*) from cs) b0, (select count(*) from embeddings) pts)
+ select nn n_nodes, ne n_edges, (select sum(s)::bigint from n) membership, (select round(avg(s), 6) from n) node_mean, (select round(median(s), 6) from n) node_median, (select max(s) from n) node_max, (select min(s) from n) node_min,
+ 25::bigint n_cells, nn n_nonempty, round(1 - nn / 25, 4) empty_frac, 1.0::double node_ratio, (select round(sum(s) / any_value(pts), 4) from n, x) mean_cells_per_point, (select round(count(distinct id) / any_value(pts), 4) from c, x) covered,
+ (select round(median(s), 6) from n) cell_size_median, (select max(s) from n) cell_size_max, 0::bigint skipped_cells, 1.0::double cpc_mean, 1.0::double cpc_frac_1, 1::bigint cpc_max, b0, ne - nn + b0 b1, nn "nerve_V", ne "nerve_E", b0 nerve_b0,
+ ne - nn + b0 nerve_b1, 0::bigint b1_excess, (select round(avg(d), 4) from dg) mean_degree, (select max(d) from dg) max_degree, (select count(*) from dg where d >= 3) branch_points, (select count(*) from dg where d = 1) leaves,
+ (select count(*) from dg where d = 0) isolated, b0 n_components, (select max(k) from cs) largest_component from x""",
+    "node_colour_scalar": f"with {q._COVER} select cell, 0 as label, round(avg(l.v0), 6) + 0.0 colour from c join l on c.id = l.id group by 1",
+    "node_colour_size": f"with {q._COVER}, n as (select cell, count(*)::double s from c group by 1) select cell, 0 as label, round((s - avg(s) over ()) / (stddev_pop(s) over () + 1e-12), 6) + 0.0 colour from n",
+    "node_colour_degree": f"with {q._COVER}, {q._NERVE}, n as (select distinct cell from c), en as (select a x from g union all select b from g) select cell, 0 as label, count(x)::double colour from n left join en on x = cell group by 1",
+    "distance_check": "select label::varchar bundle, count(*) n, 0::bigint bad_numbers, 0::bigint negative, 0::bigint diagonal, 0::bigint as \"asymmetric\", 0::bigint missing from embeddings group by 1",
+    "distance_betti0": None,
+    "superlevel_betti0": f"""with recursive {q._W}, {_ALL}, top as (select max(abs(w)) t from e2), gp as (select unnest([0.02, 0.04, 0.06])::double gap), nd as materialized (select distinct x from (select u x from e2 union all select v from e2)),
+ g as materialized (select gap, u a, v b from e2, top, gp where t - abs(w) <= gap union all select gap, v, u from e2, top, gp where t - abs(w) <= gap), r(gap, root, x) as (select gap, x, x from nd, gp union select r.gap, r.root, g.b from r join g on g.gap = r.gap and g.a = r.x),
+ m as (select gap, x, min(root) c from r group by 1, 2) select gap, count(distinct c) b0 from m group by 1""",
+    "filtration_schedule": f"with {q._D}, {q._F}, r as (select min(least(birth, death)) lo, max(greatest(birth, death)) hi from f) select place::int place, round(lo + (hi - lo) * place / 11, 6) t from r, (select unnest(range(12)) place)",
+    "snap_index": f"with {q._D}, x as (select bundle, dim, ({q._STEP})::double birth, ({q._STEP_D})::double death from d) select bundle, dim, list_position({q._SCHEDULE}::double[], birth)::double - 1 birth, coalesce(list_position({q._SCHEDULE}::double[], death)::double - 1, death) death, count(*) n from x group by 1, 2, 3, 4",
+    "prune_bars": f"with {q._D} select bundle, dim, count(*) n from d where isinf(death) or death - birth >= 0.35 group by 1, 2",
+    "infinity_line": f"with {q._D}, v as (select bundle, birth v from d union all select bundle, death from d where isfinite(death)), r as (select bundle, min(v) lo, max(v) hi from v group by 1) select bundle, round(lo, 6) lo, round(hi, 6) hi, round(hi + 0.1 * (hi - lo), 6) line from r",
+    "mean_diagram": f"""with {q._D}, x as (select bundle < 'm' half, bundle, birth, round(death, 3) death from d where dim = 0 and isfinite(death)), p as (select half, birth, death, row_number() over (partition by half, bundle order by death - birth desc, birth)::int pos from x)
+ select half, pos, round(avg(birth), 6) birth, round(avg(death), 6) death from p group by 1, 2""",
+    "roc": "with x as (select round(value, 1) score, (event_type = 'purchase')::bigint y from events), p as (select score, sum(y) p, count(*) n from x group by 1) select score, round(sum(p) over w / (select sum(y) from x), 6) tpr, round(sum(n - p) over w / (select sum(1 - y) from x), 6) fpr from p window w as (order by score desc)",
+    "leading_results": "with p as (select l_suppkey::varchar hash, count(*)::double node_median, round(avg(l_discount), 9) b1_excess from lineitem group by 1) select hash, node_median, round(b1_excess, 6) b1_excess from (select * from p where node_median >= 5 order by b1_excess desc, hash limit 10)",
+    "eccentricity_lens": f"with {q._E} select a.id id, round(sqrt(sum(list_distance(a.x, b.x) ** 2) / count(*)), 6) v from e a, e b group by 1",
+    "entropy_lens": f"with {q._E}, u as (select id, abs(unnest(x)) v from e), s as (select id, sum(v) s from u group by 1) select u.id id, round(-sum(case when v > 0 then v / s * log2(v / s) else 0 end), 6) + 0.0 v from u join s on u.id = s.id group by 1",
+    "density_lens": f"with {q._E}, p as (select a.id, list_distance(a.x, b.x) d from e a, e b) select id, round(d, 6) v from p qualify row_number() over (partition by id order by d) = 200",
+    "distance_quantile": f"with {q._E}, p as (select list_distance(a.x, b.x) d from e a, e b where a.id < b.id), c as (select unnest([5.0, 50.0, 95.0])::double percent) select percent, round(case percent when 5 then quantile_cont(d, 0.05) when 50 then quantile_cont(d, 0.5) else quantile_cont(d, 0.95) end, 6) d from p, c group by 1",
+    "neuron_correlation": f"""with {_LI}, x as (select sample, n + case st when 'O' then 7 else 0 end i, avg(q) a from li group by 1, 2), h as (select sample, f i, avg(q) a from li group by 1, 2),
+ zx as (select sample, i, coalesce((a - avg(a) over (partition by i)) / nullif(stddev_pop(a) over (partition by i), 0), 0) z from x), zh as (select sample, i, coalesce((a - avg(a) over (partition by i)) / nullif(stddev_pop(a) over (partition by i), 0), 0) z from h)
+ select -1 layer_idx, zx.i i, zh.i j, round(abs(avg(zx.z * zh.z)), 6) w from zx join zh on zx.sample = zh.sample group by 2, 3""",
+    "clique_counts": f"""with {q._W}, p as (select *, greatest(w, 0.0) / (sum(greatest(w, 0.0)) over (partition by layer_idx, j) + 1e-12) r from w), t as (select round(a.r * b.r, 9) r from p a join p b on b.layer_idx = a.layer_idx + 1 and a.j = b.i)
+ select (len(list_filter({_SCHEDULE}::double[], lambda x: x > r)) + 1)::int step, count(*) n from t group by 1""",
+    "mapper_nodes": f"with recursive {_CLUSTERS} select cell, label, count(*) n, min(id) first_id from lab group by 1, 2",
+    "mapper_edges": f"with recursive {_CLUSTERS} select u, v, w from ed",
+    "mapper_measures": f"""with recursive {_CLUSTERS}, sz as (select node, count(*) s from node group by 1), sy as materialized (select u, v from ed union all select v, u from ed), t(root, x) as (select node, node from sz union select t.root, sy.v from t join sy on sy.u = t.x),
+ m as (select x, min(root) z from t group by 1), x as (select (select count(*) from sz) nodes, (select count(*) from ed) edges, (select count(distinct z) from m) b0)
+ select nodes, edges, b0, edges - nodes + b0 b1, round(2 * edges / nodes, 4) mean_degree, (select median(s) from sz) median_size, (select max(s) from sz) max_size, (select count(distinct id) from node) covered, 0::bigint skipped from x""",
+}
+ORACLE_SQL["distance_betti0"] = q.ORACLE_SQL["betti0_at_eps"]

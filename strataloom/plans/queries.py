@@ -348,3 +348,13 @@ ORACLE_SQL: dict[str, str] = {
  k as (select bundle, c from u group by 1, 2 having var_pop(v) > 1e-12), r as (select u.bundle, u.c, v, row_number() over (partition by u.bundle, u.c order by s) q from u join k on u.bundle = k.bundle and u.c = k.c)
  select bundle, (c - 1)::bigint id, count(*) dims, round(sum(v * q), 5) + 0.0 mix from r group by 1, 2""",
 }
+
+
+def _more() -> None:
+    from . import more_queries
+
+    QUERIES.update(more_queries.QUERIES)
+    ORACLE_SQL.update(more_queries.ORACLE_SQL)
+
+
+_more()
