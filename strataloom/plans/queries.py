@@ -65,13 +65,12 @@ def _tu(s: SparkSession, d: str) -> DataFrame:
 def _betti0(s: SparkSession, d: str) -> DataFrame:
     """Components at three scales from the merge heights of each label's cloud."""
     bars = dg.rips_diagrams(_bundles(s, d), 0)
-    return bars.withColumn("eps", F.explode(F.array(F.lit(1.1), F.lit(1.2), F.lit(1.3)))).groupBy("bundle", "eps").agg(F.count_if(F.col("death") > F.col("eps")).alias("b0"))
+    return bars.withColumn("eps", F.explode(F.array(F.lit(1.1), F.lit(1.2), F.lit(1.3)))).groupBy("bundle", "eps").agg(F.count_if((F.col("birth") <= F.col("eps")) & (F.col("death") > F.col("eps"))).alias("b0"))
 
 
 def _h1(s: SparkSession, d: str) -> DataFrame:
-    """One-dimensional bars of each label's cloud in its first three coordinates."""
-    p = _bundles(s, d).withColumn("x", F.slice("x", 1, 3))
-    return _round(dg.statistics(dg.rips_diagrams(p, 1).filter("dim = 1")), "total_persistence", "persistence_norm", "entropy", "mean", "median", "max", "min", "std", "gini", "top1", "skew", "birth_mean", "birth_max")
+    """One-dimensional bars of each label's cloud."""
+    return _round(dg.statistics(dg.rips_diagrams(_bundles(s, d), 1).filter("dim = 1")), "total_persistence", "persistence_norm", "entropy", "mean", "median", "max", "min", "std", "gini", "top1", "skew", "birth_mean", "birth_max")
 
 
 def _sweep(s: SparkSession, d: str) -> DataFrame:
@@ -93,10 +92,6 @@ def kernels(s: SparkSession, d: str) -> DataFrame:
     return v.select("layer_idx", "o", "i", F.floor(F.col("p") / 8).alias("h"), (F.col("p") % 8).cast("long").alias("w"), F.round("v", 4).alias("v"))
 
 
-def _first(s: SparkSession, d: str, n: int = 3) -> DataFrame:
-    return _bundles(s, d).withColumn("x", F.slice("x", 1, n))
-
-
 def _digest(df: DataFrame, *keys: str) -> DataFrame:
     """Keys, length and weighted sum of the array column x."""
     s = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
@@ -135,17 +130,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairs_within": lambda s, d: _round(pt.pairs_within(cloud(s, d), 1.1), "d"),
     "density_filter": lambda s, d: _round(pt.density_filter(cloud(s, d), 10, 0.25), "density"),
     "labelled_vertices": lambda s, d: _round(pt.labelled_vertices(cloud(s, d), 0), "gap"),
-    "activation_patterns": lambda s, d: pt.patterns(cloud(s, d).withColumn("x", F.slice("x", 1, 8))),
+    "activation_patterns": lambda s, d: pt.patterns(cloud(s, d)),
     "predicted_labels": lambda s, d: pt.predicted_labels(cloud(s, d)),
     "relevance_edges": lambda s, d: _round(wt.edge_weights(weights(s, d), "relevance"), "r"),
     "normalized_edges": lambda s, d: _round(wt.edge_weights(weights(s, d), "normalized"), "r"),
     "induced_paths": lambda s, d: _round(wt.induced_paths(wt.edge_weights(weights(s, d), "relevance"), 2), "r"),
-    "clique_counts": lambda s, d: wt.triangles(wt.edge_weights(weights(s, d), "relevance")).groupBy(wt.schedule_index(F.round("r", 9), [0.1, 0.01, 0.001, 1e-4, 1e-5]).alias("step")).agg(F.count(F.lit(1)).alias("n")),
-    "gram_view": lambda s, d: _round(wt.matrix_view(weights(s, d).filter("layer_idx = 1"), "gram_rows"), "v"),
     "row_norms": lambda s, d: _round(wt.matrix_view(weights(s, d), "row_norm"), "v"),
     "weight_norms": lambda s, d: _round(wt.weight_norms(weights(s, d)), "fro", "l1", "max_abs"),
     "magnitude_mask": lambda s, d: wt.prune_report(wt.magnitude_mask(weights(s, d), 0.4)),
-    "directed_clique_diagram": lambda s, d: wt.clique_diagram(wt.edge_weights(weights(s, d), "relevance")).groupBy("dim", "birth", "death").agg(F.count(F.lit(1)).alias("n")),
+    "directed_clique_diagram": lambda s, d: wt.clique_diagram(wt.clique_relevance(weights(s, d))).groupBy("dim", "birth", "death").agg(F.count(F.lit(1)).alias("n")),
     "superlevel_h0": lambda s, d: _round(wt.superlevel_h0(weights(s, d).select(F.lit("all").alias("bundle"), F.concat(F.lit("a"), F.col("layer_idx"), F.lit("-"), "i").alias("u"), F.concat(F.lit("a"), F.col("layer_idx") + 1, F.lit("-"), "j").alias("v"), F.abs("w").alias("w"))), "death"),
     "diagram_statistics": lambda s, d: _round(dg.statistics(diagram(s, d)), *STATS),
     "diagram_moments": lambda s, d: _round(dg.moments(diagram(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),
@@ -179,42 +172,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ph_dimension": lambda s, d: _round(se.ph_dimension(cloud(s, d).withColumn("bundle", F.lit("all")), sizes=(50, 100, 200, 400)), "dimension", "slope"),
     "magnitude_dimension": lambda s, d: _round(se.magnitude_dimension(_bundles(s, d)), "dimension"),
     "uncertainty_scores": _tu,
-    "gram_cosine": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d).filter("layer_idx = 1"), "rows"), "gram_rows"), "v"),
-    "gram_correlation": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d).filter("layer_idx = 1"), "correlation"), "gram_rows"), "v"),
-    "gram_lags": lambda s, d: _round(wt.matrix_view(weights(s, d).filter("layer_idx = 1"), "gram_diag"), "v"),
-    "flat_view": lambda s, d: _digest(vw.flat(weights(s, d).filter("layer_idx = 1")), "layer_idx"),
-    # The same views of every layer; the five above keep to the layer of their SQL.
-    "gram_view_layers": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_rows"), "v"),
-    "gram_cosine_layers": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "rows"), "gram_rows"), "v"),
-    "gram_correlation_layers": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "correlation"), "gram_rows"), "v"),
-    "gram_lags_layers": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_diag"), "v"),
-    "flat_view_layers": lambda s, d: _digest(vw.flat(weights(s, d)), "layer_idx"),
+    "gram_view": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_rows"), "v"),
+    "gram_cosine": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "rows"), "gram_rows"), "v"),
+    "gram_correlation": lambda s, d: _round(wt.matrix_view(vw.normalise_rows(weights(s, d), "correlation"), "gram_rows"), "v"),
+    "gram_lags": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_diag"), "v"),
+    "flat_view": lambda s, d: _digest(vw.flat(weights(s, d)), "layer_idx"),
     "conv_kernel_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "kernel"), "layer_idx", "o", "i"),
     "conv_rows_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "rows"), "layer_idx", "o", "i", "h"),
     "conv_tap_view": lambda s, d: _digest(vw.conv_view(kernels(s, d), "tap"), "layer_idx", "h", "w"),
-    "preprocess_unit": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "l2"), "id"),
-    "preprocess_centre": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "mean_centre"), "id"),
-    "preprocess_standardise": lambda s, d: _digest(pp.prepare(_first(s, d, 8).select("id", "x"), "standardise"), "id"),
-    "preprocess_norm_filter": lambda s, d: pp.prepare(_first(s, d, 8).select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), ("norm", 60.0, "high")).select("id"),
-    "preprocess_dense_part": lambda s, d: pp.prepare(_first(s, d, 8).select("id", "x"), ("density", 20, 0.3)).select("id"),
+    "preprocess_unit": lambda s, d: _digest(pp.prepare(_bundles(s, d).select("id", "x"), "l2"), "id"),
+    "preprocess_centre": lambda s, d: _digest(pp.prepare(_bundles(s, d).select("id", "x"), "mean_centre"), "id"),
+    "preprocess_standardise": lambda s, d: _digest(pp.prepare(_bundles(s, d).select("id", "x"), "standardise"), "id"),
+    "preprocess_norm_filter": lambda s, d: pp.prepare(_bundles(s, d).select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), ("norm", 60.0, "high")).select("id"),
+    "preprocess_dense_part": lambda s, d: pp.prepare(_bundles(s, d).select("id", "x"), ("density", 20, 0.3)).select("id"),
     "global_dimension": lambda s, d: _round(se.global_dimension(_bundles(s, d)), "dimension"),
     "bootstrap_dimension": lambda s, d: _round(se.bootstrap_dimension(_bundles(s, d)), "mean", "std"),
-    "geodesic_betti_grid": lambda s, d: _round(geo.betti_grid(_first(s, d), [3, 5, 7, 9], 0, 12), "eps"),
-    "geodesic_stable_cell": lambda s, d: _round(geo.stable_cell(geo.betti_grid(_first(s, d), [3, 4, 5, 6, 7, 8], 0, 12)), "eps"),
-    "geodesic_optimal_k": lambda s, d: geo.optimal_k(_first(s, d), list(range(2, 9))),
-    "mapper_hdbscan": lambda s, d: mp.cluster_cells(_first(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "hdbscan", min_cluster_size=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
-    "mapper_dbscan_elbow": lambda s, d: mp.cluster_cells(_first(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "dbscan", eps="elbow", min_samples=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "geodesic_betti_grid": lambda s, d: _round(geo.betti_grid(_bundles(s, d), [3, 5, 7, 9], 0, 12), "eps"),
+    "geodesic_stable_cell": lambda s, d: _round(geo.stable_cell(geo.betti_grid(_bundles(s, d), [3, 4, 5, 6, 7, 8], 0, 12)), "eps"),
+    "geodesic_optimal_k": lambda s, d: geo.optimal_k(_bundles(s, d), list(range(2, 9))),
+    "mapper_hdbscan": lambda s, d: mp.cluster_cells(_bundles(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "hdbscan", min_cluster_size=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "mapper_dbscan_elbow": lambda s, d: mp.cluster_cells(_bundles(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "dbscan", eps="elbow", min_samples=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
     "mapper_edges": lambda s, d: mp.node_graph(_nodes(s, d)),
     "mapper_graph_statistics": lambda s, d: _round(mp.graph_statistics(_graph(s, d)), "density", "clustering"),
     "mapper_ph": lambda s, d: mp.graph_diagrams(mp.nerve_edges(mp.cover(lens(s, d), 3, 0.3)).select(F.lit("all").alias("bundle"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("shared").alias("w"))),
     "mapper_hypernetwork_distance": lambda s, d: _compared(s, d, "hypernetwork"),
     "mapper_hypergraph_distance": lambda s, d: _compared(s, d, "hypergraph"),
     "mapper_graph_distance": lambda s, d: _compared(s, d, "graph"),
-    "mapper_l2_lens": lambda s, d: mapper_nodes(_first(s, d).select("id", "x"), "l2_norm", 8, 0.3, "single", cut=0.05).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
+    "mapper_l2_lens": lambda s, d: mapper_nodes(_bundles(s, d).select("id", "x"), "l2_norm", 8, 0.3, "single", cut=1.1).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
     "neuron_cloud": lambda s, d: _digest(neurons(_bundles(s, d).select("bundle", "id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), True), "bundle", "id"),
     "analysis_neural_persistence": lambda s, d: _round(Analysis.from_preset("rieck2019").fit(weights(s, d)).groupBy("bundle").agg(F.sqrt(F.sum(F.when(F.col("death") < float("inf"), F.col("death") * F.col("death")))).alias("norm")), "norm"),
     "analysis_correlation_moments": lambda s, d: _round(Analysis.from_preset("ballester2024", tool__max_dim=0).fit(_bundles(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),
-    "analysis_polyhedral": lambda s, d: _round(Analysis.from_preset("liu2023", tool__max_dim=0, tool__statistics="suite").fit(_first(s, d, 8)), *STATS),
+    "analysis_polyhedral": lambda s, d: _round(Analysis.from_preset("liu2023", tool__max_dim=0, tool__statistics="suite").fit(_bundles(s, d)), *STATS),
 }
 
 _E = "e as (select vec_id id, embedding::double[] x, label::bigint as label from embeddings)"
@@ -249,8 +237,8 @@ _COS = "1 - list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqr
 
 _K = """k as (select 0 layer_idx, label::bigint o, q - 1 i, (c - 1) // 8 h, (c - 1) % 8 w, round(v, 4) v from (select label, row_number() over (partition by label order by vec_id) q, embedding from embeddings) t,
  lateral (select generate_subscripts(t.embedding, 1) c, unnest(t.embedding)::double v))"""
-_U = "u as (select vec_id id, generate_subscripts(embedding[1:8], 1) c, unnest(embedding[1:8])::double v from embeddings)"
-_E8 = "e as (select vec_id id, embedding[1:8]::double[] x from embeddings)"
+_U = "u as (select vec_id id, generate_subscripts(embedding, 1) c, unnest(embedding)::double v from embeddings)"
+_E8 = "e as (select vec_id id, embedding::double[] x from embeddings)"
 
 ORACLE_SQL: dict[str, str] = {
     "two_nn_id": f"""with {_E}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id),
@@ -267,15 +255,13 @@ ORACLE_SQL: dict[str, str] = {
  g as (select i id, 1 / avg(d) density from q group by 1) select id, round(density, 6) density from g where density >= (select quantile_cont(density, 0.25) from g)""",
     "labelled_vertices": f"""with {_E}, g as (select a.id, min(list_distance(a.x, b.x)) gap from e a, e b where a.label = 0 and b.label <> 0 group by 1)
  select id, round(gap, 6) gap from g where gap <= (select quantile_cont(gap, 0.5) from g)""",
-    "activation_patterns": "select list_aggregate(list_transform(embedding[1:8], lambda v: (v > 0)::int::varchar), 'string_agg', '') pattern, min(vec_id) first_id, count(*) n from embeddings group by 1",
+    "activation_patterns": "select list_aggregate(list_transform(embedding, lambda v: (v > 0)::int::varchar), 'string_agg', '') pattern, min(vec_id) first_id, count(*) n from embeddings group by 1",
     "predicted_labels": "select vec_id id, list_position(embedding, list_max(embedding)) - 1 as label from embeddings",
     "relevance_edges": f"with {_W}, {_REL} select layer_idx, i, j, w, round(r, 6) r from rel",
     "normalized_edges": f"with {_W} select layer_idx, i, j, w, round(abs(w) / max(abs(w)) over (partition by layer_idx), 6) r from w",
     "induced_paths": f"""with {_W}, {_REL} select layer_idx from_layer, layer_idx + 1 to_layer, i, j k, round(r, 6) r from rel
  union all select 0, 2, a.i, b.j, round(max(a.r * b.r), 6) from rel a join rel b on a.layer_idx = 0 and b.layer_idx = 1 and a.j = b.i group by a.i, b.j""",
-    "clique_counts": f"""with {_W}, {_REL}, t as (select round(a.r * b.r, 9) r from rel a join rel b on b.layer_idx = a.layer_idx + 1 and a.j = b.i)
- select ((0.1 > r)::int + (0.01 > r)::int + (0.001 > r)::int + (1e-4 > r)::int + (1e-5 > r)::int + 1)::int step, count(*) n from t group by 1""",
-    "gram_view": f"with {_W} select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from w a join w b on a.layer_idx = 1 and b.layer_idx = 1 and a.j = b.j and a.i <= b.i group by 1, 2, 3",
+    "gram_view": f"with {_W} select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from w a join w b on a.layer_idx = b.layer_idx and a.j = b.j and a.i <= b.i group by 1, 2, 3",
     "row_norms": f"with {_W} select layer_idx, i n, round(sqrt(sum(w * w)), 6) v from w group by 1, 2",
     "weight_norms": f"with {_W} select layer_idx, round(sqrt(sum(w * w)), 6) fro, round(sum(abs(w)), 6) l1, round(max(abs(w)), 6) max_abs, count(*) filter (w = 0) zeros from w group by 1",
     "magnitude_mask": f"""with {_W}, n as (select round_even(count(*) * 0.4, 0)::bigint k from w), t as (select abs(w) cut from w order by 1 limit 1 offset (select k - 1 from n)),
@@ -324,20 +310,20 @@ ORACLE_SQL: dict[str, str] = {
     "plateaus": f"""with {_L}, r as (select min(v0) lo, max(v0) hi from l), a as (select unnest([4, 6, 8])::bigint n), b as (select unnest([0.2, 0.3, 0.4, 0.5])::double overlap),
  x as (select n, overlap, round(round((hi - lo) / n / (1 - overlap), 6) * 10, 0) width from a, b, r) select width, count(*) n, string_agg(distinct n::varchar, ',' order by n::varchar) n_span, string_agg(distinct overlap::varchar, ',' order by overlap::varchar) overlap_span
  from x group by 1 having count(*) >= 2""",
-    "gram_cosine": f"""with {_W}, u as (select layer_idx, i, j, w / (sqrt(sum(w * w) over (partition by layer_idx, i)) + 1e-12) w from w where layer_idx = 1)
- select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.j = b.j and a.i <= b.i group by 1, 2, 3""",
-    "gram_correlation": f"""with {_W}, m as (select layer_idx, i, j, w - avg(w) over (partition by layer_idx, i) w from w where layer_idx = 1),
+    "gram_cosine": f"""with {_W}, u as (select layer_idx, i, j, w / (sqrt(sum(w * w) over (partition by layer_idx, i)) + 1e-12) w from w)
+ select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.layer_idx = b.layer_idx and a.j = b.j and a.i <= b.i group by 1, 2, 3""",
+    "gram_correlation": f"""with {_W}, m as (select layer_idx, i, j, w - avg(w) over (partition by layer_idx, i) w from w),
  u as (select layer_idx, i, j, w / (sqrt(sum(w * w) over (partition by layer_idx, i)) + 1e-12) w from m)
- select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.j = b.j and a.i <= b.i group by 1, 2, 3""",
-    "gram_lags": f"""with {_W}, g as (select a.layer_idx, a.i a, b.i b, sum(a.w * b.w) v from w a join w b on a.layer_idx = 1 and b.layer_idx = 1 and a.j = b.j and a.i <= b.i group by 1, 2, 3)
+ select a.layer_idx, a.i a, b.i b, round(sum(a.w * b.w), 6) + 0.0 v from u a join u b on a.layer_idx = b.layer_idx and a.j = b.j and a.i <= b.i group by 1, 2, 3""",
+    "gram_lags": f"""with {_W}, g as (select a.layer_idx, a.i a, b.i b, sum(a.w * b.w) v from w a join w b on a.layer_idx = b.layer_idx and a.j = b.j and a.i <= b.i group by 1, 2, 3)
  select layer_idx, b - a lag, round(avg(v), 6) + 0.0 v from g group by 1, 2""",
-    "flat_view": f"with {_W}, r as (select layer_idx, w, row_number() over (order by i, j) p from w where layer_idx = 1) select layer_idx, count(*) dims, round(sum(w * p), 5) + 0.0 mix from r group by 1",
+    "flat_view": f"with {_W}, r as (select layer_idx, w, row_number() over (partition by layer_idx order by i, j) p from w) select layer_idx, count(*) dims, round(sum(w * p), 5) + 0.0 mix from r group by 1",
     "conv_kernel_view": f"with {_K} select layer_idx, o, i, count(*) dims, round(sum(v * (h * 8 + w + 1)), 5) + 0.0 mix from k group by 1, 2, 3",
     "conv_rows_view": f"with {_K} select layer_idx, o, i, h, count(*) dims, round(sum(v * (w + 1)), 5) + 0.0 mix from k group by 1, 2, 3, 4",
     "conv_tap_view": f"with {_K}, r as (select *, row_number() over (partition by h, w order by o, i) q from k) select layer_idx, h, w, count(*) dims, round(sum(v * q), 5) + 0.0 mix from r group by 1, 2, 3",
-    "preprocess_unit": f"with {_U} select id, 8::bigint dims, round(sum(v * c) / (sqrt(sum(v * v)) + 1e-12), 5) + 0.0 mix from u group by 1",
-    "preprocess_centre": f"with {_U}, m as (select id, c, v - avg(v) over (partition by c) v from u) select id, 8::bigint dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
-    "preprocess_standardise": f"with {_U}, m as (select id, c, (v - avg(v) over (partition by c)) / (stddev_pop(v) over (partition by c) + 1e-12) v from u) select id, 8::bigint dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
+    "preprocess_unit": f"with {_U} select id, count(*) dims, round(sum(v * c) / (sqrt(sum(v * v)) + 1e-12), 5) + 0.0 mix from u group by 1",
+    "preprocess_centre": f"with {_U}, m as (select id, c, v - avg(v) over (partition by c) v from u) select id, count(*) dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
+    "preprocess_standardise": f"with {_U}, m as (select id, c, (v - avg(v) over (partition by c)) / (stddev_pop(v) over (partition by c) + 1e-12) v from u) select id, count(*) dims, round(sum(v * c), 5) + 0.0 mix from m group by 1",
     "preprocess_norm_filter": f"with {_U}, n as (select id, sqrt(sum(round(v, 4) ** 2)) n from u group by 1) select id from n where n >= (select quantile_cont(n, 0.6) from n)",
     "preprocess_dense_part": f"""with {_E8}, p as (select a.id, list_distance(a.x, b.x) d from e a, e b), q as (select id, d from p qualify row_number() over (partition by id order by d) = 20)
  select id from q qualify row_number() over (order by d, id) <= (select round_even(0.3 * count(*), 0) from e)""",
