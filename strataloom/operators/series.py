@@ -65,12 +65,15 @@ def rolling_groups(steps: DataFrame, window: int, stride: int = 1) -> DataFrame:
 
 
 def _grouped(points: DataFrame, f, columns: dict[str, object], metric: str = "euclidean") -> DataFrame:
-    """One row of numbers a bundle from its distance matrix."""
+    """One row of numbers a bundle from its distance matrix; NaN for a bundle that is too small for them."""
 
     def run(key, t):
         x = np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
-        d = distance_block(x, x, metric)
-        return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), "n": pa.array([len(x)], pa.int64()), **{c: pa.array([float(v)], pa.float64()) for c, v in zip(columns, f(d))}})
+        try:
+            values = f(distance_block(x, x, metric))
+        except (ValueError, IndexError, np.linalg.LinAlgError):
+            values = [float("nan")] * len(columns)
+        return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), "n": pa.array([len(x)], pa.int64()), **{c: pa.array([float(v)], pa.float64()) for c, v in zip(columns, values)}})
 
     return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, "bundle string, n long, " + ", ".join(f"{c} double" for c in columns))
 
