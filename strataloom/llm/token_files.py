@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._util import RUN_BYTES, materialize, planes, run_count, text_bytes, unplanes
+from ._util import RUN_BYTES, lean_batches, materialize, planes, run_count, text_bytes, unplanes
 
 MAGIC = b"DAC1"
 _BLOCK = 512
@@ -87,6 +87,36 @@ class Dac:
             shift += self.bits
         return out
 
+    def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
+        """How many ids of a level before each place go on: a rank of the directory, and the bits of at most one block."""
+        n, _, bitmap, ranks = self.levels[level]
+        out = np.empty(len(at), np.int64)
+        for k, i in enumerate(at.tolist()):
+            lo = min(i, n - 1) // _BLOCK * _BLOCK if n else 0
+            bits = int.from_bytes(bitmap[lo >> 3 : (i + 7) >> 3].tobytes(), "little") & ((1 << (i - lo)) - 1)
+            out[k] = (int(ranks[lo // _BLOCK]) if n else 0) + bits.bit_count()
+        return out
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """The ids from place a up to b: of each level only the part that they use."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        parts, bounds = [], np.array([a, b], np.int64)
+        for level, (_, chunks, bitmap, _) in enumerate(self.levels):
+            x, y = bounds.tolist()
+            more = np.unpackbits(bitmap[x >> 3 : (y + 7) >> 3], bitorder="little")[x & 7 : (x & 7) + y - x].astype(bool)
+            parts.append((chunks[x:y], more))
+            if not more.any():
+                break
+            bounds = self._rank(level, bounds)
+        out = None
+        for chunks, more in reversed(parts):
+            part = chunks.astype(np.uint32)
+            if out is not None:
+                part[more] |= out << np.uint32(self.bits)
+            out = part
+        return out if out is not None else np.zeros(0, np.uint32)
+
     def all(self) -> np.ndarray:
         out = None
         for n, chunks, bitmap, _ in reversed(self.levels):
@@ -117,11 +147,20 @@ def byte_alphabet() -> list[str]:
 _BYTES = byte_alphabet()
 
 
+def _types(spec) -> list[str]:
+    """Names of the steps of a normalizer or pre-tokenizer, in order."""
+    if not spec:
+        return []
+    inner = spec.get("normalizers") or spec.get("pretokenizers")
+    return [t for x in inner for t in _types(x)] if inner else [spec["type"]]
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct word encoded once.
 
-    Holds for tokenizers that lower-case, then split at white space: no match of their
-    pattern crosses it.  Texts with special strings or rarer characters go to the library whole.
+    Holds for tokenizers that lower-case, then split by the fixed pattern and go on in bytes:
+    no match of the pattern crosses white space.  All other tokenizers, and texts with
+    special strings or rarer characters, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -129,9 +168,14 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        spec = json.loads(self.tok.to_str())["pre_tokenizer"]
-        byte_level = any(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in spec.get("pretokenizers", []))
-        self.splits = byte_level and any(x.get("pattern", {}).get("Regex") == _PATTERN for x in spec.get("pretokenizers", []))
+        spec = json.loads(self.tok.to_str())
+        before = spec["pre_tokenizer"] or {}
+        steps = before.get("pretokenizers", [])
+        byte_level = any(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps)
+        known = byte_level and any(x.get("pattern", {}).get("Regex") == _PATTERN for x in steps)
+        lowers = _types(spec["normalizer"])
+        #: whether words may be looked up one by one
+        self.splits = known and "Lowercase" in lowers and set(lowers) <= {"NFC", "Replace", "Lowercase"}
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()) or "(?!)")
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -148,7 +192,7 @@ class WordEncoder:
         out: list = [None] * len(texts)
         split, whole = {}, []
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not self.special.search(t):
+            if self.splits and _PLAIN.fullmatch(t) and not self.special.search(t):
                 split[i] = t.lower().split()
             else:
                 whole.append(i)
@@ -160,18 +204,13 @@ class WordEncoder:
             self.known.clear()
             new = list(every)
         # A word with punctuation is put together from its pre-tokens, so the model sees each of those once.
-        if self.splits:
-            for w in new:
-                parts = _PRE.findall(w)
-                for x in parts:
-                    if x not in self.known:
-                        self.known[x] = self._piece(x)
-                if len(parts) != 1 or parts[0] != w:
-                    self.known[w] = b"".join(map(self.known.__getitem__, parts))
-        else:
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                self.known.update(zip(part, self._library(part)))
+        for w in new:
+            parts = _PRE.findall(w)
+            for x in parts:
+                if x not in self.known:
+                    self.known[x] = self._piece(x)
+            if len(parts) != 1 or parts[0] != w:
+                self.known[w] = b"".join(map(self.known.__getitem__, parts))
         for i, words in split.items():
             out[i] = b"".join(map(self.known.__getitem__, words))
         return out
@@ -190,14 +229,15 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-_FILE = "part int, segment int, n_tokens long, doc_ids binary, ends binary, image binary"
+_FILE = "part int, segment int, before long, n_tokens long, doc_ids binary, ends binary, image binary"
 
 
 def encode_files(docs: DataFrame, path: str, end_id: int, bits: int = 8, run_bytes: int = 2 * RUN_BYTES) -> DataFrame:
-    """Segments (part, segment, n_tokens, doc_ids, ends, image) of docs in ascending id order.
+    """Segments (part, segment, before, n_tokens, doc_ids, ends, image) of docs in ascending id order; before: the tokens of the part's earlier ones.
 
     doc_id must not be null.  Null text is empty; every document gets end_id.  Rows that
-    share an id stand together, by text.
+    share an id stand together, by text; parts are ranges of id and text, so many texts of
+    one id are dealt to several parts (equal rows are not).
     """
     base = text_bytes(docs.select("doc_id", "text"))
     n = run_count(base, "text", run_bytes)
@@ -206,13 +246,13 @@ def encode_files(docs: DataFrame, path: str, end_id: int, bits: int = 8, run_byt
         from pyspark import TaskContext
 
         enc, end = word_encoder(path), struct.pack("<I", end_id)
-        part, segment, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, segment, before, ids, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum([len(x) // 4 for x in held], dtype=np.int64)
             image = dac_encode(np.frombuffer(b"".join(held), "<u4"), bits)
-            row = (part, segment, int(ends[-1]), planes(np.array(ids, np.int64)), planes(ends), image)
-            return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=[x.split()[0] for x in _FILE.split(", ")])
+            row = (part, segment, before, int(ends[-1]), planes(np.array(ids, np.int64)), planes(ends), image)
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=[x.split()[0] for x in _FILE.split(", ")])
 
         def flush(docs_now: list, texts: list):
             nonlocal size
@@ -232,44 +272,60 @@ def encode_files(docs: DataFrame, path: str, end_id: int, bits: int = 8, run_byt
                     texts, now, big = [], [], 0
                     if size >= _SEGMENT:
                         yield close()
-                        segment, ids, held, size = segment + 1, [], [], 0
+                        segment, before, ids, held, size = segment + 1, before + size, [], [], 0
             flush(now, texts)
         if held:
             yield close()
 
-    return base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, _FILE)
+    return base.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(lean_batches(encode), _FILE)
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit)."""
+    """Per document of the files: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit).
+
+    Each document's ids are fetched by place through the directories; no segment is decoded, and nothing is shuffled.
+    """
     # One number for each part of the files; a part is a partition of the writer, however many documents it has.
     total, at = {}, 0
     for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):
         total[part] = at
         at += n
 
-    def read(t):
-        t = t.sort_by("segment")
-        at = total[t["part"][0].as_py()]
-        rows: list[list] = [[], [], [], []]
-        for docs, ends, image in zip(t["doc_ids"], t["ends"], t["image"]):
-            ids, e = Dac(image.as_py()).all().astype("<u4"), unplanes(ends.as_py(), np.int64)
-            s = np.r_[0, e[:-1]]
-            rows[0] += unplanes(docs.as_py(), np.int64).tolist()
-            rows[1] += (s + at).tolist()
-            rows[2] += (e - s).tolist()
-            rows[3] += [ids[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())]
-            at += len(ids)
-        return pa.table({"doc_id": pa.array(rows[0], pa.int64()), "start": pa.array(rows[1], pa.int64()), "n_tokens": pa.array(rows[2], pa.int64()), "ids": pa.array(rows[3], pa.binary())})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for part, before, docs, ends, image in zip(*(t[c] for c in ("part", "before", "doc_ids", "ends", "image"))):
+                code, e = Dac(image.as_py()), unplanes(ends.as_py(), np.int64)
+                s = np.r_[0, e[:-1]]
+                yield pa.record_batch({
+                    "doc_id": pa.array(unplanes(docs.as_py(), np.int64)), "start": pa.array(s + total[part.as_py()] + before.as_py()), "n_tokens": pa.array(e - s),
+                    "ids": pa.array([code.slice(x, y).astype("<u4").tobytes() for x, y in zip(s.tolist(), e.tolist())], pa.binary()),
+                })
+
+    return files.mapInArrow(lean_batches(read), "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """The same for some documents (a bounded list): only their ids are fetched from the segments that hold them."""
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for docs, ends, image in zip(t["doc_ids"], t["ends"], t["image"]):
+                own, e = unplanes(docs.as_py(), np.int64), unplanes(ends.as_py(), np.int64)
+                hit = np.flatnonzero(np.isin(own, wanted))
+                if len(hit):
+                    code, s = Dac(image.as_py()), np.r_[0, e[:-1]]
+                    yield pa.record_batch({"doc_id": pa.array(own[hit]), "ids": pa.array([code.slice(int(s[i]), int(e[i])).astype("<u4").tobytes() for i in hit], pa.binary())})
 
-    return files.groupBy("part").applyInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(lean_batches(read), "doc_id long, ids binary")
 
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 2, bits: int = 8) -> DataFrame:
     """Write the ids of docs, read the files back: doc_id, start, n_tokens, ids_crc32.
 
     Rows with a null id come before all others and return a null id.  An empty table writes
-    no segment and returns no row.  Extra columns are ignored.
+    no segment and returns no row.  Repeated rows are written each; texts of any length are
+    whole; extra columns are ignored.
     """
     null = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
