@@ -1,16 +1,20 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Method: each ratio of a document (word length, symbols, repeated lines, repeated words)
-is summarised by a mergeable quantile sketch for each language and source.  Sketches of a
-language merge into one for it, those into one for all.  A fence far outside the middle
-half of the group's distribution replaces a fixed cutoff; small groups use the next wider
-one.  The fences are joined back and the documents outside them fail.  DataFrame
-functions only.
+is summarised by a mergeable quantile sketch for each language and source: counts of bins
+whose bounds grow by a fixed factor, so a quantile is known to half that factor, and two
+sketches merge by adding counts.  The sketches hold no chance: every run gives the same
+fences.  Sketches of a language merge into one for it, those into one for all.  A fence
+far outside the middle half of the group's distribution replaces a fixed cutoff; small
+groups use the next wider one.  The fences are joined back and the documents outside them
+fail.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import materialize
 
@@ -20,7 +24,8 @@ _SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 #: Documents a group needs for fences of its own.
 LEAST_GROUP = 200
-SKETCH_K = 400
+#: Factor between the bounds of a sketch's bins.
+BIN = 1.02
 #: How many middle-half widths beyond the middle half a fence stands.
 REACH = 3.0
 #: Ratio: (least width of the middle half, whether low values fail too).
@@ -61,23 +66,39 @@ def _ratios() -> dict[str, Column]:
     return {"word_length": F.col("word_chars") / n, "symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "repeat_ratio": F.col("n_repeat_words") / n}
 
 
+def sketches(counted: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bin, n): counts of the rows in each bin of each ratio; bin null holds values of 0."""
+    values = F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in RATIOS])
+    long = counted.select("lang", "source", F.inline(values)).filter("v is not null")
+    place = F.when(F.col("v") > 0, F.floor(F.ln("v") / math.log(BIN)))
+    return long.groupBy("lang", "source", "ratio", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ratio, rows, q1, q3) of sketches merged by keys: the middle of the bin in which a quarter and three quarters of the rows are reached."""
+    merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "ratio")  # a row a bin: as many as the bins, whatever the rows
+    run = merged.withColumn("rows", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(BIN), F.col("bin") + 0.5))
+    q = [F.min(F.when(F.col("upto") >= share * F.col("rows"), value)).alias(name) for name, share in (("q1", 0.25), ("q3", 0.75))]
+    return run.groupBy(*keys, "ratio").agg(F.first("rows").alias("rows"), *q)
+
+
 def fences(counted: DataFrame) -> DataFrame:
     """(lang, source, <ratio>_low, <ratio>_high) from sketches of the rows that pass the base rules."""
-    keys = ["lang", "source"]
-    sketches = [F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATIOS]
-    merge = [F.kll_merge_agg_double(r).alias(r) for r in RATIOS]
-    group = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sketches)
-    group = materialize(group, "sketches")
-    lang = group.groupBy("lang").agg(F.sum("n").alias("lang_n"), *[m.alias(f"lang_{r}") for m, r in zip(merge, RATIOS)])
-    every = group.agg(*[m.alias(f"all_{r}") for m, r in zip(merge, RATIOS)])
-    out = group.join(lang, group["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).join(F.broadcast(every))  # one row
+    sketch = materialize(sketches(counted), "sketches")
+    own = _quartiles(sketch, "lang", "source")
+    lang = _quartiles(sketch, "lang").select(F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
+    every = _quartiles(sketch).select(F.col("ratio").alias("_every"), *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
+    out = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]) & (own["ratio"] == lang["_ratio"])).join(F.broadcast(every), F.col("ratio") == F.col("_every"))  # a row a ratio
+    q1, q3 = (F.when(F.col("rows") >= LEAST_GROUP, F.col(c)).when(F.col("lang_rows") >= LEAST_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")) for c in ("q1", "q3"))
+    out = out.select("lang", "source", "ratio", q1.alias("q1"), q3.alias("q3"))
     cols = []
     for r, (least, low) in RATIOS.items():
-        sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(r)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        width = REACH * F.greatest(q3 - q1, F.lit(least))
-        cols += [(q1 - width if low else F.lit(float("-inf"))).alias(f"{r}_low"), (q3 + width).alias(f"{r}_high")]
-    return out.select(*keys, *cols)
+        mine = F.col("ratio") == r
+        width = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        cols += [F.max(F.when(mine, F.col("q1") - width if low else F.lit(float("-inf")))).alias(f"{r}_low"), F.max(F.when(mine, F.col("q3") + width)).alias(f"{r}_high")]
+    return out.groupBy("lang", "source").agg(*cols)
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
@@ -86,7 +107,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows.  kept is
     false then, else whether every ratio is inside its group's fences.  Null text has no
     words and fails; a null language or source is a group like any other; null ids and
-    repeated rows are kept as rows; extra columns are ignored.
+    repeated rows are kept as rows; ties in a ratio share a bin; texts of any length are
+    counted whole; an empty table gives an empty result; extra columns are ignored.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text").withColumn("base_failed", base)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from .decontaminate import contamination
 from .jaccard_join import near_duplicates
 from .packing import pack_sequences, packed_pieces
 from .quality_classifier import score_quality
-from .quality_rules import judge_quality
+from .quality_rules import BIN, LEAST_GROUP, RATIOS, REACH, judge_quality
 from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .token_files import token_digest
@@ -41,7 +42,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULES = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in PATH_RULES)
 _BLOCKED = " or ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in PATTERN_RULES)
 
+_RATIO = {"word_length": "word_chars", "symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words"}
+_LONG = " union all ".join(f"select r, lang, source, '{k}' ratio, {c} / nullif(n_words, 0)::double v, {RATIOS[k][0]} least, {str(RATIOS[k][1]).lower()} low from d" for k, c in _RATIO.items())
+
+
+def _quartiles_sql(name: str, keys: str) -> str:
+    by = f"{keys}, " if keys else ""
+    return f"""{name}_b as (select {by}ratio, bin, sum(n) n from sk group by all), {name}_u as (select *, sum(n) over (partition by {by}ratio) rows, sum(n) over (partition by {by}ratio order by bin nulls first rows unbounded preceding) upto from {name}_b),
+ {name} as (select {by}ratio, any_value(rows) rows, min(case when upto >= 0.25 * rows then case when bin is null then 0 else pow({BIN}, bin + 0.5) end end) q1, min(case when upto >= 0.75 * rows then case when bin is null then 0 else pow({BIN}, bin + 0.5) end end) q3 from {name}_u group by all)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": f"""with t as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') x from documents), w as (select r, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') w from t),
+ ln as (select r, unnest(string_split(x, chr(10))) l from t), lc as (select r, count(*) - count(distinct l) dup from ln where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1),
+ win as (select r, i, w[i:i + 7] v from (select r, w, unnest(range(1, greatest(1, len(w) - 6))) i from w)), again as (select r, v from win group by 1, 2 having count(*) > 1),
+ rp as (select r, count(distinct p) n from (select win.r, unnest(range(i, i + 8)) p from win join again on win.r = again.r and win.v = again.v) group by 1),
+ c as (select t.r r, doc_id, lang, source, len(w.w)::bigint n_words, coalesce(list_sum(list_transform(w.w, lambda z: length(z))), 0)::bigint word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+ coalesce(lc.dup, 0)::bigint n_dup_lines, coalesce(rp.n, 0)::bigint n_repeat_words from t join w on t.r = w.r left join lc on t.r = lc.r left join rp on t.r = rp.r),
+ e as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from c), d as (select * from e where not base_failed), lo as ({_LONG}),
+ sk as (select lang, source, ratio, case when v > 0 then floor(ln(v) / {math.log(BIN)!r}) end bin, count(*) n from lo group by all),
+ {_quartiles_sql('own', 'lang, source')}, {_quartiles_sql('lng', 'lang')}, {_quartiles_sql('evr', '')},
+ q as (select own.lang, own.source, own.ratio, case when own.rows >= {LEAST_GROUP} then own.q1 when lng.rows >= {LEAST_GROUP} then lng.q1 else evr.q1 end q1, case when own.rows >= {LEAST_GROUP} then own.q3 when lng.rows >= {LEAST_GROUP} then lng.q3 else evr.q3 end q3
+ from own join lng on own.lang is not distinct from lng.lang and own.ratio = lng.ratio join evr on evr.ratio = own.ratio),
+ bad as (select distinct r from lo join q on lo.lang is not distinct from q.lang and lo.source is not distinct from q.source and lo.ratio = q.ratio where v > q3 + {REACH} * greatest(q3 - q1, least) or low and v < q1 - {REACH} * greatest(q3 - q1, least))
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from bad) kept from e""",
     "op6_decontamination": """with t as (select doc_id, row_number() over () r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda v: v <> '') w from documents),
  b as (select item_id::varchar item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda v: v <> '') w from benchmark),
  bw as (select distinct item, len(x) n, x from (select item, w[i:i + 9] x from (select item, w, unnest(range(1, greatest(2, len(w) - 8))) i from b where len(w) > 0))),
