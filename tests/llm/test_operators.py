@@ -253,6 +253,10 @@ def test_token_files(docs, none, rows):
         at += len(ids)
     _same(tf.token_digest(docs, path).collect(), want)
     assert tf.token_digest(none, path).count() == 0
+    files = tf.encode_files(docs.filter("doc_id is not null"), path, 2, run_bytes=3000).cache()
+    some = {d: t for d, t in rows if d in (0, 3, 99)}
+    got = {x.doc_id: bytes(x.ids) for x in tf.read_documents(files, list(some)).collect()}
+    assert got == {d: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for d, t in some.items()}
 
 
 def test_codes_give_random_access():
@@ -261,6 +265,8 @@ def test_codes_give_random_access():
         ids = r.integers(0, 2**32, 3000, dtype=np.uint32) >> r.integers(0, 32, 3000).astype(np.uint32)
         d = tf.Dac(tf.dac_encode(ids, bits))
         assert (d.all() == ids).all() and [d[i] for i in range(0, 3000, 17)] == ids[::17].tolist()
+        for a, b in ((0, 0), (0, 3000), (511, 513), (2999, 3000), (3000, 3000), *(sorted(r.integers(0, 3001, 2).tolist()) for _ in range(40))):
+            assert (d.slice(a, b) == ids[a:b]).all()
     assert len(tf.Dac(tf.dac_encode(np.zeros(0, np.uint32)))) == 0
 
 
@@ -271,6 +277,14 @@ def test_word_encoder_agrees_with_library():
     assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_go_to_the_library():
+    texts = ["Hello World again", "plain words here", "  Two  spaces\n", "İ <|endoftext|> x"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tf.WordEncoder(P.path(name))
+        assert e.splits == (name == "word_bpe_49k.json")
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts(docs, none, rows):
     import sentencepiece
 
@@ -368,6 +382,38 @@ def test_quality_rules(docs, none, rows):
     assert qr.judge_quality(none).count() == 0
 
 
+def test_quality_fences_adapt(spark, monkeypatch):
+    monkeypatch.setattr(qr, "LEAST_GROUP", 30)
+    r = random.Random(9)
+    rows = []
+    for i in range(240):
+        lang, source = ("en", "a") if i % 3 else ("de", "b" if i % 2 else None)
+        size = 5 if lang == "en" else 11
+        word = lambda: "".join(r.choice("abcdefghij") for _ in range(size + r.randint(-2, 2)))  # noqa: E731, B023
+        rows.append((i, " ".join(word() + ("#" * 9 if i == 10 else "") for _ in range(r.randint(20, 60))), lang, source))
+    rows += [(900, " ".join("ab" for _ in range(5)), "fr", "c"), (901, " ".join("".join(r.choice("xyz") for _ in range(40)) for _ in range(30)), "fr", "c"), (902, None, "en", "a"), (None, rows[1][1], None, None)]
+    got = {x.doc_id: x.kept for x in qr.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    value = lambda t: {"word_length": sum(map(len, t.split())) / len(t.split()), "symbol_ratio": sum(c in "#*$%&|<>" for c in t) / len(t.split()), "dup_line_ratio": 0.0, "repeat_ratio": 0.0}
+    good = [(d, value(t), g, s) for d, t, g, s in rows if t and len(t.split()) >= 20]
+
+    def quartiles(part, k):
+        import math
+
+        bins = sorted(-math.inf if v[k] <= 0 else math.floor(math.log(v[k]) / math.log(qr.BIN)) for _, v, _, _ in part)
+        return [0.0 if (b := bins[math.ceil(q * len(bins)) - 1]) == -math.inf else qr.BIN ** (b + 0.5) for q in (0.25, 0.75)]
+
+    for d, v, g, s in good:
+        groups = ([x for x in good if x[2:] == (g, s)], [x for x in good if x[2] == g], good)
+        part = next((x for x in groups[:2] if len(x) >= 30), good)
+        inside = True
+        for k, (least, low) in qr.RATIOS.items():
+            a, b = quartiles(part, k)
+            wide = qr.REACH * max(b - a, least)
+            inside &= v[k] <= b + wide and (not low or v[k] >= a - wide)
+        assert got[d] == inside, d
+    assert not got[10] and not got[900] and not got[901] and not got[902]
+
+
 def test_url_filters(spark):
     urls = [
         "http://a.b.com/fr/1", "https://X.Example.ORG/en/12?q#f", "http://example.org/es/", "notexample.org/es/", None, "", "http://spam-farm.example.net/x", "http://cheap-pills.example.com/fr/2",
@@ -382,6 +428,20 @@ def test_url_filters(spark):
     assert uf.judge_urls(df).count() == len(urls) + 2 and uf.judge_urls(df.limit(0)).count() == 0
 
 
+def test_literals_are_read_off_patterns(spark):
+    assert [uf.literal_tokens(r.pattern) for r in uf.PATTERN_RULES] == [["spam", "farm"], ["cheap", "pills"], ["online", "casino"], ["free", "slots"], ["adult", "cams"], ["pirate", "download"], ["payday"], ["sessionid"], ["print", "1"]]
+    for pattern, want in (("abc", []), ("/abc/", ["abc"]), ("/a?bc/", []), ("/(ab|cd)/", []), ("[/a]bc/", []), ("/bc$", ["bc"]), ("/ab(x)?/", []), ("/ab(-x)?/cd.", ["ab"]), (r"/ab\d/", [])):
+        assert uf.literal_tokens(pattern) == want, pattern
+    rules = (uf.PatternRule("digits", "block", r"id[0-9]{4}"), uf.PatternRule("shop", "allow", r"/shop/"), *uf.PATTERN_RULES)
+    r = random.Random(11)
+    bits = ["/shop/", "id1234", "/", "spam-farm.", "http://", "?print=1", "x", "payday/loan", ".", "&"]
+    urls = ["".join(r.choice(bits) for _ in range(6)) for _ in range(300)] + [None, None]
+    got = {x.url: x.pattern_action for x in uf.pattern_verdicts(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    for u in filter(None, urls):
+        hits = {x.action for x in rules if re.search(x.pattern, u.lower())}
+        assert got.get(u) == ("block" if "block" in hits else "allow" if hits else None)
+
+
 def test_classifiers_learn_and_survive_empty_input(spark, none, docs):
     r = random.Random(0)
     word = lambda: "".join(r.choice(["the", "an", "ing", "sh", "ou"]) for _ in range(3))
