@@ -133,12 +133,6 @@ def test_store_round_trip(spark, tmp_path):
         store.load(spark, at, "edges")
 
 
-def test_loop_mask_keeps_loops_first(spark):
-    w = spark.createDataFrame([(0, 0, 0, 0.1), (0, 0, 1, 0.9), (0, 1, 0, 0.5), (0, 1, 1, 0.2)], "layer_idx int, i long, j long, w double")
-    kept = {(r.i, r.j) for r in wt.loop_mask(w, [(1.0, 2.0, [(0, 0, 0)])], 0.5).filter("kept").collect()}
-    assert kept == {(0, 0), (0, 1)}
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_match_sql(spark):
     import duckdb
@@ -175,7 +169,7 @@ def test_views_cover_every_layer(spark):
     assert (w.layer_idx == 0).sum() == 700 and (w.layer_idx == 1).sum() == 21  # full matrices
     mats = {q: g.pivot(index="i", columns="j", values="w") for q, g in w.groupby("layer_idx")}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    how = {"gram_view_layers": lambda m: m, "gram_cosine_layers": unit, "gram_correlation_layers": lambda m: unit(m - m.mean(axis=1, keepdims=True))}
+    how = {"gram_view": lambda m: m, "gram_cosine": unit, "gram_correlation": lambda m: unit(m - m.mean(axis=1, keepdims=True))}
     for name, f in how.items():
         got = {(r.layer_idx, r.a, r.b): r.v for r in QUERIES[name](spark, SF).toPandas().itertuples()}
         want = {}
@@ -184,9 +178,9 @@ def test_views_cover_every_layer(spark):
             g = g @ g.T
             want |= {(q, a, b): g[x, y] for x, a in enumerate(m.index) for y, b in enumerate(m.index) if a <= b}
         assert got.keys() == want.keys() and max(abs(got[e] - want[e]) for e in got) < 2e-6, name
-    lags = QUERIES["gram_lags_layers"](spark, SF).toPandas()
+    lags = QUERIES["gram_lags"](spark, SF).toPandas()
     assert set(lags[lags.layer_idx == 0].lag) == set(range(100)) and set(lags[lags.layer_idx == 1].lag) == set(range(7))
-    flat = {r.layer_idx: (r.dims, r.mix) for r in QUERIES["flat_view_layers"](spark, SF).toPandas().itertuples()}
+    flat = {r.layer_idx: (r.dims, r.mix) for r in QUERIES["flat_view"](spark, SF).toPandas().itertuples()}
     for q, m in mats.items():
         x = m.to_numpy().reshape(-1)
         assert flat[q][0] == len(x) and flat[q][1] == pytest.approx((x * np.arange(1, len(x) + 1)).sum(), abs=1e-4)
