@@ -229,14 +229,35 @@ def _diameter(near: list[set], part: list[int]) -> int:
     return most
 
 
-def node_colour(members: DataFrame, by: str, values: DataFrame | None = None, normalise: str = "raw") -> DataFrame:
-    """(cell, label, colour) of the nodes of memberships (cell, label, id): size, degree, or the mean of values (id, v) over the members (scalar), their most frequent label (label) or number of labels (diversity).
+def check_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bundle, n, repeated, loops, dangling, bad_weights, twice): counts of rows that break the rules of a graph of nodes (bundle, node) and edges (bundle, u, v, w).
+
+    repeated: nodes listed again; loops: edges from a node to itself; dangling: ends that are no
+    node; bad_weights: null or NaN; twice: pairs with a further edge, in either direction.
+    """
+    n = nodes.groupBy("bundle").agg(F.count_distinct("node").alias("n"), (F.count(F.lit(1)) - F.count_distinct("node")).alias("repeated"))
+    own = edges.groupBy("bundle").agg(F.count_if(F.col("u") == F.col("v")).alias("loops"), F.count_if(F.col("w").isNull() | F.isnan("w")).alias("bad_weights"))
+    ends = edges.select("bundle", F.explode(F.array("u", "v")).alias("node"))
+    dangling = ends.join(nodes, ["bundle", "node"], "left_anti").groupBy("bundle").agg(F.count(F.lit(1)).alias("dangling"))
+    pairs = edges.groupBy("bundle", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("c")).groupBy("bundle").agg(F.sum(F.col("c") - 1).alias("twice"))
+    out = n.join(own, "bundle", "left").join(dangling, "bundle", "left").join(pairs, "bundle", "left").na.fill(0)
+    return out.select("bundle", "n", "repeated", "loops", "dangling", "bad_weights", "twice")
+
+
+def node_colour(members: DataFrame, by, values: DataFrame | None = None, normalise: str = "raw") -> DataFrame:
+    """(cell, label, colour) of the nodes of memberships (cell, label, id): size, degree, or the mean of values (id, v) over the members (scalar), their most frequent label (label) or number of labels (diversity); or a function of the members' ids.
 
     normalise: raw, zscore over the nodes (population deviation), or for diversity vs_expected: over the number expected of as many draws.
     """
     own = members.filter("label >= 0")
     keys = ["cell", "label"]
-    if by == "size":
+    if callable(by):  # of the members' ids, a node a call
+
+        def run(key, t):
+            return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "label": pa.array([key[1].as_py()], pa.int32()), "colour": pa.array([float(by(np.sort(t["id"].to_numpy())))])})
+
+        out = own.groupBy(*keys).applyInArrow(run, "cell string, label int, colour double")
+    elif by == "size":
         out = own.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("colour"))
     elif by == "degree":
         name = F.concat_ws("/", "cell", "label")

@@ -80,6 +80,12 @@ def coupled(weights: DataFrame, activations: DataFrame) -> DataFrame:
     return a.withColumn("i", i).filter("i >= 0").select("sample", "layer_idx", "i", "a")
 
 
+def concat_activations(activations: DataFrame, layers: list[int] | None = None) -> DataFrame:
+    """(id, x): each sample's activations (sample, layer_idx, i, a) of some layers, or of all, one layer after the other."""
+    own = activations if layers is None else activations.filter(F.col("layer_idx").isin(layers))
+    return own.groupBy(F.col("sample").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("layer_idx", "i", "a"))), lambda s: s["a"]).alias("x"))
+
+
 def snapshot_at(steps: DataFrame, wanted: DataFrame) -> DataFrame:
     """(want, step): the step of steps (step) nearest to each wanted one (want), the earlier one on ties.
 

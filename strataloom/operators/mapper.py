@@ -77,9 +77,11 @@ def nerve_betti(cells: DataFrame, key: str = "cell") -> DataFrame:
     return nodes.unionByName(edges).groupBy(F.lit("all")).applyInArrow(run, "nodes long, edges long, b0 long, b1 long")
 
 
-def _cell_labels(x: np.ndarray, clusterer: str, max_cell: int, how: dict) -> np.ndarray:
+def _cell_labels(x: np.ndarray, clusterer, max_cell: int, how: dict) -> np.ndarray:
     """Labels of a cell's points: -1 noise, -2 all of a cell too large for its clusterer."""
     n, metric = len(x), how.get("metric", "euclidean")
+    if callable(clusterer):
+        return np.asarray(clusterer(x, **how), int)
     if clusterer == "dbscan":
         few = how["min_samples"]
         return np.zeros(n, int) if n <= few else dbscan_points(x, elbow_points(x, few, metric) if how["eps"] == "elbow" else how["eps"], few, metric)
@@ -98,7 +100,7 @@ def cluster_cells(points: DataFrame, cells: DataFrame, clusterer: str = "single"
     """(cell, label, id): clusters in each cell of points (id, x); noise is left out.
 
     Clusterers: single (cut), first_gap (relative_gap, method), dbscan (eps or "elbow" of the cell, min_samples), ward (cut),
-    hdbscan (min_cluster_size).  The linkage ones (single, first_gap, ward) hold a cell's distance matrix and mark the points of
+    hdbscan (min_cluster_size), or a function of a cell's matrix that gives a label a row.  The linkage ones (single, first_gap, ward) hold a cell's distance matrix and mark the points of
     larger cells than max_cell by label -2; dbscan and hdbscan take cells of any size, in blocks.
     """
     own = cells.join(points.select("id", "x"), "id").select(F.lit("").alias("hash"), "cell", "id", "x")

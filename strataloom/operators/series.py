@@ -131,6 +131,7 @@ def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] |
 
     def f(d):
         n = len(d)
+        # The subset sizes of the published estimator.
         own = [s for s in sizes or range(200, 1001, 50) if s <= n]
         if sizes is None and len(own) < 2:
             own = [s for s in (50, 100, 200, 500) if s <= n]

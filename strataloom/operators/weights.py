@@ -51,6 +51,7 @@ def induced_paths(edges: DataFrame, layers: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+# The thresholds of the published analysis.
 def clique_schedule() -> list[float]:
     """64 falling thresholds: nine steps in each of seven decades, then the smallest."""
     return [c / 10 * 10.0**-e for e in range(7) for c in range(10, 1, -1)] + [1e-7]
@@ -134,8 +135,8 @@ def superlevel_h0(edges: DataFrame) -> DataFrame:
     return edges.groupBy("bundle").applyInArrow(run, f"bundle {edges.schema['bundle'].dataType.simpleString()}, birth double, death double")
 
 
-def node_features(edges: DataFrame, k: int) -> DataFrame:
-    """(bundle, node, features): Laplacian eigenvectors of each weighted graph (bundle, u, v, w); degrees are a plain groupBy."""
+def node_features(edges: DataFrame, k) -> DataFrame:
+    """(bundle, node, features): k Laplacian eigenvectors of each weighted graph (bundle, u, v, w), or what a function of its matrix gives, a row a node."""
 
     def run(key, t):
         u, v, w = (t[c].to_pylist() for c in ("u", "v", "w"))
@@ -144,7 +145,7 @@ def node_features(edges: DataFrame, k: int) -> DataFrame:
         m = np.zeros((len(names), len(names)))
         for a, b, x in zip(u, v, w):
             m[at[a], at[b]] = m[at[b], at[a]] = x
-        f = laplacian_vectors(m, k)
+        f = np.asarray(k(m), float).reshape(len(names), -1) if callable(k) else laplacian_vectors(m, k)
         return pa.table({"bundle": pa.array([key[0].as_py()] * len(names)), "node": pa.array(names), "features": pa.array(f.tolist(), pa.list_(pa.float64()))})
 
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("bundle", "u")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graphs as gr, mapper as mp, preprocess as pp
@@ -49,8 +51,9 @@ class MapperGrid:
     configuration, and one grouped call clusters the cells of all of them.
     """
 
-    def __init__(self, clouds: dict[str, DataFrame], axes: dict[str, object], groups: tuple[str, ...] = ("size", "cover", "lattice", "topology", "shape")):
-        self.clouds, self.groups = clouds, groups
+    def __init__(self, clouds: dict[str, DataFrame], axes: dict[str, object], groups: tuple[str, ...] = ("size", "cover", "lattice", "topology", "shape"), measures: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+        """measures: further ones by name, functions of the memberships (hash, cell, label, id) that give (hash, value)."""
+        self.clouds, self.groups, self.measures = clouds, groups, measures or {}
         self.axes = {"cloud": list(clouds)} | axes
         self.configs = [AXES | c for c in sw.expand_grid(self.axes)]
         self.features = {name: len(x.first()["x"]) for name, x in clouds.items()}
@@ -101,6 +104,8 @@ class MapperGrid:
             own = [h for h, a in about.items() if (a["points"], a["n_cells"]) == figures]
             part = gr.measure(nodes.filter(F.col("hash").isin(own)), covers.filter(F.col("hash").isin(own)), *figures, self.groups, "hash")
             out = part if out is None else out.unionByName(part)
+        for name, f in self.measures.items():
+            out = out.join(f(nodes).select("hash", F.col("value").alias(name)), "hash", "left")
         return configs.join(out, "hash", "left")
 
 

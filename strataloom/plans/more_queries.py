@@ -123,6 +123,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layer_selection": lambda s, d: ly.select_layers(ly.catalogue(weights(s, d)).select("layer_idx", F.concat(F.lit("fc"), "layer_idx").alias("name"), F.lit("linear").alias("kind"), "params"), [-1]),
     "factored_weights": lambda s, d: _round(ly.effective_weights(*_factors(s, d)), "w"),
     "coupled_activations": lambda s, d: _round(ly.coupled(*_acts(s, d)), "a"),
+    "concat_activations": lambda s, d: _digest(ly.concat_activations(_acts(s, d)[1]), "id"),
+    "graph_check": lambda s, d: gr.check_graph(mp.cover(lens(s, d), 5, 0.3).select(F.lit("all").alias("bundle"), F.col("cell").alias("node")).distinct(), _nerve(s, d)),
+    "laplacian_features": lambda s, d: wt.node_features(_nerve(s, d), 2).select("bundle", "node", F.round(F.col("features")[0], R).alias("f0"), F.round(F.col("features")[1], R).alias("f1")),
+    "sweep_pivot": lambda s, d: _round(sw.pivot(q._sweep(s, d).withColumn("column", F.concat(F.lit("n"), "n")), "column", "overlap", "width"), "n4", "n6", "n8"),
     "nearest_snapshot": lambda s, d: ly.snapshot_at(_steps(s, d), s.createDataFrame([(0.0,), (7.4,), (15.5,), (99.0,)], "want double")),
     "aligned_series": lambda s, d: _round(ly.aligned(trajectory(s, d).filter("v > 20").withColumnRenamed("coord", "key"), _steps(s, d)), "v"),
     "checkpoints": lambda s, d: ly.checkpoints(_steps(s, d), 7),
@@ -178,6 +182,9 @@ ORACLE_SQL: dict[str, str] = {
     "factored_weights": """with li as (select l_linenumber::bigint i, ascii(l_returnflag)::bigint j, l_quantity::bigint % 3 r, l_discount, l_tax from lineitem), u as (select j, r, avg(l_tax) u from li group by 1, 2),
  sg as (select r, count(*)::double s from li group by 1), v as (select i, r, avg(l_discount) v from li group by 1, 2) select 0 layer_idx, i, j, round(sum(v * s * u), 6) w from v join sg on v.r = sg.r join u on v.r = u.r group by 2, 3""",
     "coupled_activations": f"with {_LI} select sample, 0 layer_idx, n i, round(avg(q), 6) a from li where st = 'O' group by 1, 3 union all select sample, 1, f, round(avg(q), 6) from li group by 1, 3",
+    "concat_activations": f"with {_LI}, a as (select sample, -1 layer_idx, n + case st when 'O' then 7 else 0 end i, avg(q) a from li group by 1, 3 union all select sample, 0, f, avg(q) from li group by 1, 3), r as (select sample, a, row_number() over (partition by sample order by layer_idx, i) p from a) select sample id, count(*) dims, round(sum(a * p), 5) + 0.0 mix from r group by 1",
+    "graph_check": f"with {q._COVER} select 'all' bundle, count(distinct cell) n, 0::bigint repeated, 0::bigint loops, 0::bigint dangling, 0::bigint bad_weights, 0::bigint twice from c",
+    "sweep_pivot": q.ORACLE_SQL["grid_expand"].replace("select (i * 4 + j)::int ordinal", "select overlap, max(case n when 4 then w end) n4, max(case n when 6 then w end) n6, max(case n when 8 then w end) n8 from (select (i * 4 + j)::int ordinal").replace("6) width from a, b, r", "6) w from a, b, r) group by 1"),
     "nearest_snapshot": f"with {q._TR}, s as (select distinct step from tr), w as (select unnest([0.0, 7.4, 15.5, 99.0])::double want) select want, step from s, w qualify row_number() over (partition by want order by abs(step - want), step) = 1",
     "aligned_series": f"""with {q._TR}, s as (select distinct step from tr), f as (select coord "key", step, v from tr where v > 20), k as (select distinct "key" from f)
  select k."key" as "key", s.step step, round(f.v, 6) v from k cross join s left join f on f."key" = k."key" and f.step = s.step""",

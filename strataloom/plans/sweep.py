@@ -56,6 +56,14 @@ def plateaus(results: DataFrame, measures: list[str], spans: list[str], least: i
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *spread).filter(F.col("n") >= least)
 
 
-def leading(results: DataFrame, measure: str, top: int = 10, median: float = 5) -> DataFrame:
-    """The best results by a measure whose nodes aren't tiny."""
+def pivot(results: DataFrame, x: str, y: str, value: str, order: str = "ordinal") -> DataFrame:
+    """A row for each value of y, a column for each of x: the value of the last result there, by order."""
+    last = results.groupBy(y, x).agg(F.max_by(value, order).alias("_v"))
+    return last.groupBy(y).pivot(x).agg(F.first("_v"))
+
+
+def leading(results: DataFrame, measure: str, top: int = 10, median: float = 5, most_ratio: float | None = None) -> DataFrame:
+    """The best results by a measure whose nodes aren't tiny, nor more for each cell than most_ratio."""
+    if most_ratio is not None:
+        results = results.filter(F.col("node_ratio") <= most_ratio)
     return results.filter(F.col(measure).isNotNull() & (F.col("node_median") >= median)).orderBy(F.desc(measure), "hash").limit(top)

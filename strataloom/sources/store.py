@@ -33,3 +33,21 @@ def results(spark: SparkSession, path: str, schema: str, configs: DataFrame) ->
 def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Snapshots that a running training appends, as a stream."""
     return spark.readStream.schema(schema).parquet(path)
+
+
+def save_population(members: DataFrame, weights: DataFrame, path: str) -> None:
+    """A population: members (member_id, seed, trained, ...) and their weights (member_id, layer_idx, i, j, w), which are laid out by layer."""
+    save(members, f"{path}/members", "population members")
+    weights.write.partitionBy("layer_idx").parquet(f"{path}/weights/data")
+    weights.sparkSession.createDataFrame([("population weights", VERSION)], "kind string, version int").coalesce(1).write.json(f"{path}/weights/about")
+
+
+def load_population(spark: SparkSession, path: str, layers: list[int] | None = None, trained: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, weights) of a stored population; only the folders of the layers wanted are read, and only trained or untrained members if asked for."""
+    members, weights = load(spark, f"{path}/members", "population members"), load(spark, f"{path}/weights", "population weights")
+    if layers is not None:
+        weights = weights.filter(F.col("layer_idx").isin(layers))
+    if trained is not None:
+        members = members.filter(F.col("trained") == trained)
+        weights = weights.join(members.select("member_id"), "member_id", "left_semi")
+    return members, weights

@@ -14,3 +14,15 @@ def windowed_series(events: DataFrame, width: str, slide: str, late: str) -> Dat
     """(start, event_type, n, mean) of events (ts, event_type, value) in sliding windows; events later than late are dropped."""
     w = F.window("ts", width, slide)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
+
+
+def rolling_snapshots(values: DataFrame, window: int, stride: int, late: int = 0) -> DataFrame:
+    """(win, coord, n, mean, std) of a stream of snapshots (step, coord, v) in every window of so many consecutive steps.
+
+    Steps are counted as seconds of event time, so Spark's sliding windows and watermark apply:
+    a window is final once a step more than late beyond its end has come; win is its first step.
+    """
+    t = values.withColumn("_t", F.timestamp_seconds("step")).withWatermark("_t", f"{late} seconds")
+    w = F.window("_t", f"{window} seconds", f"{stride} seconds")
+    out = t.groupBy(w, "coord").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return out.select(F.unix_timestamp("window.start").alias("win"), "coord", "n", "mean", "std")

@@ -237,3 +237,41 @@ def test_mapper_grid(spark, tmp_path):
         assert why in pg.validate(config)
     full = gr.measure(alone, mp.cover(mp.resolve_lens(df, "coord0"), [4], 0.3), 80, 4, tuple(gr.MEASURES)).first()
     assert full.diameter == full.n_nodes // 2 and full.mean_clustering == 0
+
+
+def test_callables(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, x array<double>")
+    cells = df.select("id", F.lit("0").alias("cell"))
+    nodes = mp.cluster_cells(df, cells, lambda x, at: (x[:, 0] > at).astype(int), at=3.5)
+    assert {(r.label, r.n) for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {(0, 4), (1, 6)}
+    assert {r.label: r.colour for r in gr.node_colour(nodes, lambda ids: ids.max()).collect()} == {0: 3.0, 1: 9.0}
+    e = spark.createDataFrame([("g", "a", "b", 2.0)], "bundle string, u string, v string, w double")
+    assert {r.node: r.features for r in wt.node_features(e, lambda m: m.sum(axis=1)).collect()} == {"a": [2.0], "b": [2.0]}
+    grid = pg.MapperGrid({"line": df}, {"lens": "coord0", "n_intervals": 2, "clusterer": "single", "cut": 1.5}, ("size",), {"largest_id": lambda n: n.groupBy("hash").agg(F.max("id").cast("double").alias("value"))})
+    row = grid.run(spark).first()
+    assert row.largest_id == 9.0 and row.n_nodes == 2
+    bad = gr.check_graph(spark.createDataFrame([("g", "a"), ("g", "a"), ("g", "b")], "bundle string, node string"), spark.createDataFrame([("g", "a", "b", 1.0), ("g", "b", "a", 1.0), ("g", "a", "a", None), ("g", "a", "z", float("nan"))], "bundle string, u string, v string, w double")).first()
+    assert (bad.n, bad.repeated, bad.loops, bad.dangling, bad.bad_weights, bad.twice) == (2, 1, 1, 1, 2, 1)
+
+
+def test_populations_are_stored_by_layer(spark, tmp_path):
+    from strataloom.sources import store
+
+    members = spark.createDataFrame([("a", 1, True), ("b", 2, False)], "member_id string, seed long, trained boolean")
+    w = spark.createDataFrame([(m, k, 0, 0, 1.0) for m in "ab" for k in (0, 1)], "member_id string, " + W)
+    store.save_population(members, w, str(tmp_path / "p"))
+    m, got = store.load_population(spark, str(tmp_path / "p"), [1], True)
+    assert m.count() == 1 and [(r.member_id, r.layer_idx) for r in got.collect()] == [("a", 1)]
+    assert store.load_population(spark, str(tmp_path / "p"))[1].count() == 4
+
+
+def test_rolling_snapshots_stream(spark, tmp_path):
+    from strataloom.streaming import incremental as inc
+
+    rows = [(s, c, float(s * (c + 1))) for s in range(12) for c in range(2)]
+    spark.createDataFrame(rows, "step long, coord int, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("step long, coord int, v double").parquet(str(tmp_path / "in"))
+    run = inc.rolling_snapshots(stream, 4, 2).writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.win, r.coord): (r.n, r["mean"]) for r in spark.table("rolled").filter("n = 4").collect()}
+    assert got == {(w, c): (4, np.mean([s * (c + 1) for s in range(w, w + 4)])) for w in range(0, 9, 2) for c in range(2)}
