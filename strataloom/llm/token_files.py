@@ -236,8 +236,9 @@ def encode_files(docs: DataFrame, path: str, end_id: int, bits: int = 8, run_byt
     """Segments (part, segment, before, n_tokens, doc_ids, ends, image) of docs in ascending id order; before: the tokens of the part's earlier ones.
 
     doc_id must not be null.  Null text is empty; every document gets end_id.  Rows that
-    share an id stand together, by text; parts are ranges of id and text, so many texts of
-    one id are dealt to several parts (equal rows are not).
+    share an id stand together, by text; parts are ranges of id and of the first bytes of the
+    text (short, as Spark samples them on the driver), so many texts of one id are dealt to
+    several parts, but for those that begin alike.
     """
     base = text_bytes(docs.select("doc_id", "text"))
     n = run_count(base, "text", run_bytes)
@@ -277,7 +278,7 @@ def encode_files(docs: DataFrame, path: str, end_id: int, bits: int = 8, run_byt
         if held:
             yield close()
 
-    return base.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(lean_batches(encode), _FILE)
+    return base.repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text").mapInArrow(lean_batches(encode), _FILE)
 
 
 def read_files(files: DataFrame) -> DataFrame:
