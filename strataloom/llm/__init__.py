@@ -1,5 +1,5 @@
 """Operators for preparing training corpora.
 
-Ten operators, each in its own module.  Nothing outside this folder imports it;
+Thirteen operators, each in its own module.  Nothing outside this folder imports it;
 the entry file adds its queries only when it can be imported.
 """

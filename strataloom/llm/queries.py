@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._util import table
 from .decontaminate import contamination
 from .jaccard_join import near_duplicates
+from .merkle import tamper_audit
 from .packing import pack_sequences, packed_pieces
 from .quality_classifier import score_quality
 from .quality_rules import BIN, LEAST_GROUP, RATIOS, REACH, judge_quality
+from .sharding import assign_shards
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .token_files import token_digest
@@ -37,6 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": lambda s, d: judge_urls(table(s, d, "pages")),
     "op9_suffix_dedup": lambda s, d: remove_repeats(table(s, d, "documents")),
     "op10_token_counts": lambda s, d: token_counts(table(s, d, "documents"), _tokenizer("piece_bpe_32k.model")),
+    "op11_sharding": lambda s, d: assign_shards(table(s, d, "documents")),
+    "op12_spelling_variants": lambda s, d: spelling_variants(table(s, d, "documents")),
+    "op13_merkle_manifest": lambda s, d: tamper_audit(table(s, d, "documents")),
 }
 
 _RULES = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in PATH_RULES)
