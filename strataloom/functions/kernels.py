@@ -44,6 +44,16 @@ def kth_distances(x: np.ndarray, k: int, metric: str = "euclidean") -> np.ndarra
     return np.concatenate([np.partition(d, k, axis=1)[:, k].copy() for _, d in row_blocks(x, metric)])
 
 
+def point_tree(x: np.ndarray, metric: str = "euclidean", threshold: float = np.inf) -> list[tuple[float, int, int]]:
+    """The minimum spanning forest of points by edges up to a threshold, from rows of distances: memory grows with the points."""
+
+    def row(i):
+        d = distance_block(x[i : i + 1], x, metric)[0]
+        return np.where(d <= threshold, d, np.inf)
+
+    return _prim(len(x), row)
+
+
 def minimum_spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
     """Edges (weight, i, j) of a minimum spanning forest by Prim; infinite weights aren't edges."""
     return _prim(len(d), d.__getitem__)
@@ -132,6 +142,10 @@ def rips(d: np.ndarray, max_dim: int = 1, threshold: float = np.inf, coeff: int
         return [(0, 0.0, w) for w in tree] + [(0, 0.0, np.inf)] * (n - len(tree))
     # Beyond the enclosing radius the complex is a cone: nothing is born or dies there.
     top = min(threshold, float(d.max(axis=1).min())) if n else threshold
+    if max_dim == 1:
+        from .cohomology import Dense, pairs
+
+        return pairs(Dense(d, top), True, coeff)
     near = (d <= top) & ~np.eye(n, dtype=bool)
     cells: list[tuple[tuple[int, ...], float]] = [((i,), 0.0) for i in range(n)]
     level = [((i, j), float(d[i, j])) for i in range(n) for j in np.flatnonzero(near[i]).tolist() if i < j]

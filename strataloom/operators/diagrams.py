@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import bottleneck, hull_area, rips, wasserstein
+from ..functions.cohomology import Sparse, pairs, sparse_edges
+from ..functions.kernels import bottleneck, distance_block, hull_area, point_tree, rips, wasserstein
+from .forest import spanning_forest
 
 KEYS = ("bundle", "dim")
 _INF = float("inf")
@@ -154,21 +156,78 @@ def hull_areas(diagram: DataFrame) -> DataFrame:
     return diagram.select(F.col("bundle").cast("string").alias("bundle"), F.col("dim").cast("int").alias("dim"), "birth", "death").groupBy(*KEYS).applyInArrow(area, "bundle string, dim int, area double")
 
 
+_BARS = "bundle string, dim int, birth double, death double"
+
+
+def _bars(bundle: str | None, bars: list[tuple[int, float, float]]) -> pa.Table:
+    return pa.table({
+        "bundle": pa.array([bundle] * len(bars), pa.string()), "dim": pa.array([k for k, _, _ in bars], pa.int32()),
+        "birth": pa.array([b for _, b, _ in bars], pa.float64()), "death": pa.array([e for _, _, e in bars], pa.float64()),
+    })
+
+
+def _cloud(t: pa.Table) -> np.ndarray:
+    return np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
+
+
 def rips_diagrams(points: DataFrame, max_dim: int = 0, threshold: float = _INF, metric: str = "euclidean", coeff: int = 2) -> DataFrame:
-    """Diagrams of clouds (bundle, id, x), one group a bundle; a bundle must fit a task, as must its distance matrix."""
-    from ..functions.kernels import distance_block
+    """Diagrams of clouds (bundle, id, x), one group a bundle; a bundle must fit a task, and above dimension 0 its distance matrix too.
+
+    Larger bundles: graph_diagrams_of() a neighbour graph, or sparse_diagrams().
+    """
+
+    def run(key, t):
+        x = _cloud(t)
+        if max_dim == 0:
+            tree = point_tree(x, metric, threshold)
+            bars = [(0, 0.0, w) for w, _, _ in tree] + [(0, 0.0, _INF)] * (len(x) - len(tree))
+        else:
+            d = distance_block(x, x, metric)
+            np.fill_diagonal(d, 0)
+            bars = rips(d, max_dim, threshold, coeff)
+        return _bars(key[0].as_py(), bars)
+
+    return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, _BARS)
+
+
+def sparse_diagrams(points: DataFrame, eps: float, metric: str = "euclidean", coeff: int = 2) -> DataFrame:
+    """Diagrams of dimensions 0 and 1 of clouds (bundle, id, x), from a sparse filtration: births and deaths differ from those of rips_diagrams by a factor of 1 + eps at most.
+
+    Edges are chosen by a greedy order of the points, so their number grows with the points and
+    not their pairs; rows of distances are made one at a time.  metric must be a metric.
+    """
+    if not eps > 0:
+        raise ValueError("eps must be positive")
+
+    def run(key, t):
+        x = _cloud(t)
+        u, v, length = sparse_edges(lambda i: distance_block(x[i : i + 1], x, metric)[0], len(x), eps)
+        return _bars(key[0].as_py(), pairs(Sparse(u, v, length, len(x)), True, coeff))
+
+    return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, _BARS)
+
+
+def graph_diagrams_of(edges: DataFrame, max_dim: int = 1, coeff: int = 2) -> DataFrame:
+    """Diagrams of graphs (bundle, u, v, d) as clique filtrations by the lengths d; pairs without an edge never meet.
+
+    Dimension 0 comes from the spanning forests, whose graphs may be of any size.  Loops need a
+    graph's edges in one task, and no matrix.  Of parallel edges the shortest counts; loops at
+    a node and edges of null length only make their ends nodes.
+    """
+    own = edges.select(F.col("bundle").cast("string").alias("bundle"), "u", "v", F.col("d").cast("double").alias("w"))
+    tree, parts = spanning_forest(own)
+    bars = tree.select("bundle", F.col("w").alias("death")).unionByName(parts.select("bundle", "name").distinct().select("bundle", F.lit(_INF).alias("death")))
+    bars = bars.select("bundle", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), "death")
+    if max_dim == 0:
+        return bars
 
     def run(key, t):
-        x = np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
-        d = distance_block(x, x, metric)
-        np.fill_diagonal(d, 0)
-        bars = rips(d, max_dim, threshold, coeff)
-        return pa.table({
-            "bundle": pa.array([key[0].as_py()] * len(bars), pa.string()), "dim": pa.array([k for k, _, _ in bars], pa.int32()),
-            "birth": pa.array([b for _, b, _ in bars], pa.float64()), "death": pa.array([e for _, _, e in bars], pa.float64()),
-        })
+        names = {x: i for i, x in enumerate(sorted({*t["u"].to_pylist(), *t["v"].to_pylist()}))}
+        u, v = (np.array([names[x] for x in t[c].to_pylist()], np.int64) for c in ("u", "v"))
+        return _bars(key[0].as_py(), [b for b in pairs(Sparse(u, v, t["w"].to_numpy(), len(names)), True, coeff) if b[0]])
 
-    return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, "bundle string, dim int, birth double, death double")
+    real = own.filter("u is not null and v is not null and w is not null and not isnan(w)")
+    return bars.unionByName(real.groupBy("bundle").applyInArrow(run, _BARS))
 
 
 def prune(diagram: DataFrame, least: float) -> DataFrame:
@@ -279,11 +338,7 @@ def matrix_diagrams(entries: DataFrame, kind: str = "distance", max_dim: int = 1
             w = np.maximum(w, w.T)
             m = w.max() - w
         np.fill_diagonal(m, 0)
-        bars = rips((m + m.T) / 2, max_dim, threshold, coeff)
-        return pa.table({
-            "bundle": pa.array([key[0].as_py()] * len(bars), pa.string()), "dim": pa.array([k for k, _, _ in bars], pa.int32()),
-            "birth": pa.array([x for _, x, _ in bars], pa.float64()), "death": pa.array([x for _, _, x in bars], pa.float64()),
-        })
+        return _bars(key[0].as_py(), rips((m + m.T) / 2, max_dim, threshold, coeff))
 
     own = entries.select(F.col("bundle").cast("string").alias("bundle"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))
-    return own.groupBy("bundle").applyInArrow(run, "bundle string, dim int, birth double, death double")
+    return own.groupBy("bundle").applyInArrow(run, _BARS)

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import Union
+from ..sources.scratch import written
 from . import mapper as mp
+from .forest import TASK_EDGES, components, spanning_forest
 
 #: Measures by what they describe.
 MEASURES = {
@@ -109,38 +111,25 @@ def centrality(edges: DataFrame) -> DataFrame:
     return edges.groupBy("bundle").applyInArrow(run, f"bundle {kinds['bundle']}, node {kinds['u']}, betweenness double, closeness double")
 
 
-def pathways(edges: DataFrame, n: int = 6) -> DataFrame:
+def pathways(edges: DataFrame, n: int = 6, task_edges: int = TASK_EDGES) -> DataFrame:
     """(bundle, u, v, w, role, cluster): the edges of the maximum spanning forest of graphs (bundle, u, v, w) by |w|.
 
     role is death for the n - 1 weakest, which cut the forest into the most persistent
     clusters, else tree, with the number of its cluster in the order of their least nodes.
+    A graph's clusters are numbered in one window, a row for each.
     """
-
-    def run(key, t):
-        u, v, w = t["u"].to_pylist(), t["v"].to_pylist(), np.abs(t["w"].to_numpy())
-        names = sorted({*u, *v})
-        at = {x: i for i, x in enumerate(names)}
-        forest, cut = Union(len(names)), Union(len(names))
-        tree = [k for k in sorted(range(len(u)), key=lambda k: (-w[k], u[k], v[k])) if forest.join(at[u[k]], at[v[k]])]
-        weak = sorted(range(len(tree)), key=lambda k: (w[tree[k]], k))[: max(0, min(n - 1, len(tree)))]
-        dead = {tree[k] for k in weak}
-        for k in tree:
-            if k not in dead:
-                cut.join(at[u[k]], at[v[k]])
-        label: dict = {}
-        for x in cut.labels().tolist():
-            label.setdefault(x, len(label))
-        of = [label[x] for x in cut.labels().tolist()]
-        cols = {
-            "bundle": [key[0].as_py()] * len(tree), "u": [u[k] for k in tree], "v": [v[k] for k in tree], "w": [float(w[k]) for k in tree], "role": ["death" if k in dead else "tree" for k in tree],
-            "cluster": [None if k in dead else of[at[u[k]]] for k in tree],
-        }
-        kind = {"w": pa.float64(), "role": pa.string(), "cluster": pa.int32(), "bundle": pa.string()}
-        return pa.table({c: pa.array(x, kind.get(c, t.schema.field(c).type if c in t.column_names else None)) for c, x in cols.items()})
-
-    kinds = {c: edges.schema[c].dataType.simpleString() for c in ("u", "v")}
-    own = edges.select(F.col("bundle").cast("string").alias("bundle"), "u", "v", F.col("w").cast("double").alias("w"))
-    return own.groupBy("bundle").applyInArrow(run, f"bundle string, u {kinds['u']}, v {kinds['v']}, w double, role string, cluster int")
+    own = edges.select(F.col("bundle").cast("string").alias("bundle"), "u", "v", F.abs("w").cast("double").alias("w"))
+    tree, parts = spanning_forest(own, largest=True, task_edges=task_edges)
+    tree = written(tree, "tree")
+    weak = tree.withColumn("_k", F.row_number().over(Window.partitionBy("bundle").orderBy("w", "u", "v"))).filter(F.col("_k") < n)
+    role = written(tree.join(weak.select("bundle", "u", "v", F.lit("death").alias("role")), ["bundle", "u", "v"], "left"), "roles")
+    held = components(role.filter("role is null").select("bundle", "u", "v"), task_edges)
+    alone = parts.select("bundle", "node").join(held.select("bundle", "node"), ["bundle", "node"], "left_anti").withColumn("component", F.col("node"))
+    of = written(held.unionByName(alone), "clusters")
+    number = of.filter(F.col("node") == F.col("component")).select("bundle", "component", (F.row_number().over(Window.partitionBy("bundle").orderBy("component")) - 1).alias("cluster"))
+    at = of.join(number, ["bundle", "component"]).select("bundle", F.col("node").alias("u"), "cluster")
+    out = role.join(at, ["bundle", "u"])
+    return out.select("bundle", "u", "v", "w", F.coalesce("role", F.lit("tree")).alias("role"), F.when(F.col("role").isNull(), F.col("cluster")).alias("cluster"))
 
 
 def measure(nodes: DataFrame, cells: DataFrame, points: int, n_cells: int, groups: tuple[str, ...] = ("size", "cover", "lattice", "topology", "shape"), key: str | None = None) -> DataFrame:

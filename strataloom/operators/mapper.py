@@ -165,8 +165,12 @@ def exemplars(points: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
 
 def codensity(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
-    """(id, v): distance to the k-th neighbour in a sample of bounded size; a point of the sample is its own first neighbour."""
+    """(id, v): distance to the k-th neighbour in a sample of bounded size; a point of the sample is its own first neighbour.
+
+    A sample of no more than k points takes its last but one.
+    """
     s = np.array([r["x"] for r in sample.select("x").collect()], float)
+    k = max(1, min(k, len(s) - 1))
 
     def run(batches):
         for t in batches:

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.kernels import distance_block, knn_log_statistic, magnitude, minimum_spanning_tree, two_nn_dimension
+from ..functions.kernels import distance_block, knn_log_statistic, magnitude, point_tree, two_nn_dimension
+from ..sources.scratch import written
 
 
 def smooth(series: DataFrame, window: int = 5) -> DataFrame:
@@ -96,18 +97,36 @@ def bootstrap_dimension(points: DataFrame, draws: int = 20, share: float = 0.8,
     return _grouped(points, f, {"mean": 0, "std": 0})
 
 
-def local_dimension(points: DataFrame, anchors: int = 20, neighbours: int = 64, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """(bundle, n, mean, std): two-nearest-neighbour dimension of the neighbourhoods of sampled anchors."""
+def _keyed(seed: int, *columns: str):
+    """A reproducible random number of a row."""
+    return F.xxhash64(F.lit(seed), *columns)
 
-    def f(d):
-        values = []
-        for r in range(repeats):
-            for a in np.random.default_rng(seed + r).choice(len(d), min(anchors, len(d)), replace=False):
-                near = np.argsort(d[a], kind="stable")[: neighbours + 1]
-                values.append(two_nn_dimension(d[np.ix_(near, near)]))
-        return np.mean(values), np.std(values)
 
-    return _grouped(points, f, {"mean": 0, "std": 0})
+def local_dimension(points: DataFrame, anchors: int = 20, neighbours: int = 64, repeats: int = 3, seed: int = 0, salts: int = 16) -> DataFrame:
+    """(bundle, n, mean, std): two-nearest-neighbour dimension of the neighbourhoods of sampled anchors.
+
+    The anchors of every repeat, drawn by hash, meet the points of their bundle in `salts`
+    parts; only the nearest points of an anchor, itself among them, come together, so a bundle
+    may be of any size.
+    """
+    own = points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x")
+    size = own.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+    each = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", _keyed(seed, "r", "id"))
+    drawn = each.withColumn("_k", F.row_number().over(Window.partitionBy("bundle", "r").orderBy("_h", "id"))).filter(F.col("_k") <= anchors)
+    drawn = written(drawn.select("bundle", "r", F.col("id").alias("anchor"), F.col("x").alias("y")), "anchors")  # at most anchors * repeats a bundle
+    spread = drawn.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    gap = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    met = own.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["bundle", "_s"]).withColumn("d", gap)
+    place = F.row_number().over(Window.partitionBy("bundle", "r", "anchor").orderBy("d", "id"))
+    near = met.withColumn("_k", place).filter(F.col("_k") <= neighbours + 1).select("bundle", "r", "anchor", "id", "x")
+
+    def run(key, t):
+        x = np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
+        value = two_nn_dimension(distance_block(x, x)) if len(x) > 2 else float("nan")
+        return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), "value": pa.array([value])})
+
+    per = near.groupBy("bundle", "r", "anchor").applyInArrow(run, "bundle string, value double")
+    return size.join(per.groupBy("bundle").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), "bundle").select("bundle", "n", "mean", "std")
 
 
 def calibrated_dimension(points: DataFrame, k: int = 10, j: int = 5, dims: tuple[int, ...] = tuple(range(1, 21)), repeats: int = 5, seed: int = 0) -> DataFrame:
@@ -126,27 +145,40 @@ def calibrated_dimension(points: DataFrame, k: int = 10, j: int = 5, dims: tuple
     return _grouped(points, f, {"dimension": 0})
 
 
+# The subset sizes of the published estimator, and those for smaller clouds.
+SIZES, FEWER_SIZES = tuple(range(200, 1001, 50)), (50, 100, 200, 500)
+
+
 def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] | None = None, seed: int = 0, metric: str = "euclidean") -> DataFrame:
-    """(bundle, n, dimension, slope): alpha / (1 - b), b the log-log slope of the summed tree lengths of random subsets."""
+    """(bundle, n, dimension, slope): alpha / (1 - b), b the log-log slope of the summed tree lengths of random subsets.
 
-    def f(d):
-        n = len(d)
-        # The subset sizes of the published estimator.
-        own = [s for s in sizes or range(200, 1001, 50) if s <= n]
-        if sizes is None and len(own) < 2:
-            own = [s for s in (50, 100, 200, 500) if s <= n]
-            own = own if len(own) > 1 else sorted({int(s) for s in np.geomspace(max(10, n // 8), n, 5)})
-        if len(own) < 2:
-            return float("nan"), float("nan")
-        rng = np.random.default_rng(seed)
-        e = []
-        for s in own:
-            pick = rng.choice(n, s, replace=False)
-            e.append(sum(w**alpha for w, _, _ in minimum_spanning_tree(d[np.ix_(pick, pick)])))
-        b = float(np.polyfit(np.log(own), np.log(e), 1)[0])
-        return (alpha / (1 - b) if b < 1 else float("nan")), b
-
-    return _grouped(points, f, {"dimension": 0, "slope": 0}, metric)
+    A subset holds the points of the least hashes; every subset is a task of its own, so a
+    bundle may be of any size.  NaN for bundles that are too small for two sizes.
+    """
+    own = points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x")
+    n = F.col("n")
+    fit = lambda x: F.filter(F.array(*[F.lit(int(s)) for s in x]), lambda s: s <= n)
+    some = fit(sizes or SIZES)
+    if sizes is None:
+        low = F.greatest(F.lit(10), F.floor(n / 8)).cast("double")
+        spaced = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(low * F.pow(n / low, i / 4) + 1e-9).cast("int")))
+        some = F.when(F.size(some) > 1, some).when(F.size(fit(FEWER_SIZES)) > 1, fit(FEWER_SIZES)).otherwise(F.filter(spaced, lambda s: s <= n))
+    size = own.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).withColumn("sizes", some)
+    each = own.select("bundle", "id").join(size.select("bundle", F.explode("sizes").alias("s")), "bundle").withColumn("_h", _keyed(seed, "s", "id"))
+    drawn = each.withColumn("_k", F.row_number().over(Window.partitionBy("bundle", "s").orderBy("_h", "id"))).filter(F.col("_k") <= F.col("s")).select("bundle", "s", "id")
+    held = drawn.join(own, ["bundle", "id"])
+
+    def run(key, t):
+        x = np.stack(t.sort_by("id")["x"].to_numpy(zero_copy_only=False)).astype(float)
+        total = sum(w**alpha for w, _, _ in point_tree(x, metric))
+        return pa.table({"bundle": pa.array([key[0].as_py()], pa.string()), "s": pa.array([key[1].as_py()], pa.int32()), "total": pa.array([float(total)])})
+
+    per = held.groupBy("bundle", "s").applyInArrow(run, "bundle string, s int, total double")
+    line = per.filter("total > 0").groupBy("bundle").agg(F.regr_slope(F.log("total"), F.log("s")).alias("slope"))
+    nan = F.lit(float("nan"))
+    b = F.when(F.size("sizes") > 1, F.col("slope"))
+    out = size.join(line, "bundle", "left")
+    return out.select("bundle", "n", F.when(b < 1, alpha / (1 - b)).otherwise(nan).alias("dimension"), F.coalesce(b, nan).alias("slope"))
 
 
 def magnitude_dimension(points: DataFrame, scales: int = 30) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import Union, laplacian_vectors, reduce_complex
+from ..functions.kernels import laplacian_vectors, reduce_complex
+from .forest import TASK_EDGES, spanning_forest
 
 
 def edge_weights(weights: DataFrame, how: str, activations: DataFrame | None = None) -> DataFrame:
@@ -121,18 +122,16 @@ def clique_diagram(edges: DataFrame, least: float = 1e-7) -> DataFrame:
     return edges.select("layer_idx", "i", "j", "r").groupBy(F.lit("all")).applyInArrow(run, "dim int, birth double, death double, birth_edge array<string>, death_triangle array<string>")
 
 
-def superlevel_h0(edges: DataFrame) -> DataFrame:
-    """(bundle, birth, death): merges of a weighted graph (bundle, u, v, w) from heavy to light edges, as distance max - w; absent edges never join."""
+def superlevel_h0(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(bundle, birth, death): merges of a weighted graph (bundle, u, v, w) from heavy to light edges, as distance max - w; absent edges never join.
 
-    def run(key, t):
-        u, v, w = (t[c].to_pylist() for c in ("u", "v", "w"))
-        name = {x: i for i, x in enumerate(sorted({*u, *v}))}
-        top, tree = max(w), Union(len(name))
-        deaths = [top - x for x, a, b in sorted(zip(w, u, v), key=lambda e: (-e[0], e[1], e[2])) if tree.join(name[a], name[b])]
-        deaths += [float("inf")] * (len(name) - len(deaths))
-        return pa.table({"bundle": pa.array([key[0].as_py()] * len(deaths)), "birth": pa.array([0.0] * len(deaths)), "death": pa.array(deaths, pa.float64())})
-
-    return edges.groupBy("bundle").applyInArrow(run, f"bundle {edges.schema['bundle'].dataType.simpleString()}, birth double, death double")
+    The merges are the edges of the maximum spanning forest; each component keeps one bar without end.
+    """
+    tree, parts = spanning_forest(edges, largest=True, task_edges=task_edges)
+    top = edges.groupBy("bundle").agg(F.max("w").alias("top"))
+    ends = tree.join(top, "bundle").select("bundle", (F.col("top") - F.col("w")).alias("death"))
+    open_ = parts.select("bundle", "name").distinct().select("bundle", F.lit(float("inf")).alias("death"))
+    return ends.unionByName(open_).select("bundle", F.lit(0.0).alias("birth"), "death")
 
 
 def node_features(edges: DataFrame, k) -> DataFrame:

@@ -142,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_degrees": lambda s, d: gr.degrees(mp.cover(lens(s, d), 5, 0.3).select(F.lit("all").alias("bundle"), F.col("cell").alias("node")).distinct(), _nerve(s, d)),
     "node_clustering": lambda s, d: _round(gr.clustering(_nerve(s, d)), "clustering"),
     "node_centrality": lambda s, d: _round(gr.centrality(_nerve(s, d)), "betweenness", "closeness"),
-    "signal_pathways": lambda s, d: gr.pathways(_edges(s, d), 6).groupBy("role", "cluster").agg(F.count(F.lit(1)).alias("n")),
+    "signal_pathways": lambda s, d: _round(gr.pathways(_edges(s, d), 6), "w"),
     "mapper_measure_groups": lambda s, d: _round(gr.measure(_cover(s, d), _cover(s, d), cloud(s, d).count(), 25), "node_mean", "node_median", "cell_size_median"),
     "node_colour_scalar": lambda s, d: _round(gr.node_colour(_cover(s, d), "scalar", lens(s, d).select("id", F.col("v")[0].alias("v")), "raw"), "colour"),
     "node_colour_size": lambda s, d: _round(gr.node_colour(_cover(s, d), "size", normalise="zscore"), "colour"),
@@ -226,6 +226,12 @@ ORACLE_SQL: dict[str, str] = {
     "node_colour_degree": f"with {q._COVER}, {q._NERVE}, n as (select distinct cell from c), en as (select a x from g union all select b from g) select cell, 0 as label, count(x)::double colour from n left join en on x = cell group by 1",
     "distance_check": "select label::varchar bundle, count(*) n, 0::bigint bad_numbers, 0::bigint negative, 0::bigint diagonal, 0::bigint as \"asymmetric\", 0::bigint missing from embeddings group by 1",
     "distance_betti0": None,
+    "signal_pathways": f"""with recursive {q._W}, {q._forest(q._NET, 'desc')}, rk as materialized (select *, row_number() over (partition by bundle order by w, u, v) weak from tree),
+ lv as materialized (select bundle, u a, v b from rk where weak > 5 union all select bundle, v, u from rk where weak > 5), wk(bundle, root, x) as (select bundle, x, x from node union select wk.bundle, wk.root, lv.b from wk join lv on lv.bundle = wk.bundle and lv.a = wk.x),
+ cm as (select bundle, x, min(root) c from wk group by 1, 2), nr as (select bundle, c, row_number() over (partition by bundle order by c) - 1 n from (select distinct bundle, c from cm))
+ select rk.bundle, u, v, round(w, 6) + 0.0 w, case when weak > 5 then 'tree' else 'death' end "role", case when weak > 5 then nr.n end "cluster" from rk join cm on cm.bundle = rk.bundle and cm.x = rk.u join nr on nr.bundle = cm.bundle and nr.c = cm.c""",
+    "analysis_neural_persistence": f"""with recursive {q._W}, {q._forest("select layer_idx::varchar bundle, layer_idx || '-' || i u, (layer_idx + 1) || '-' || j v, abs(w) / max(abs(w)) over (partition by layer_idx) w from w", 'desc')}
+ select bundle, round(sqrt(sum(((select max(w) from fe where fe.bundle = tree.bundle) - w) ** 2)), 6) norm from tree group by 1""",
     "superlevel_betti0": f"""with recursive {q._W}, {_ALL}, top as (select max(abs(w)) t from e2), gp as (select unnest([0.02, 0.04, 0.06])::double gap), nd as materialized (select distinct x from (select u x from e2 union all select v from e2)),
  g as materialized (select gap, u a, v b from e2, top, gp where t - abs(w) <= gap union all select gap, v, u from e2, top, gp where t - abs(w) <= gap), r(gap, root, x) as (select gap, x, x from nd, gp union select r.gap, r.root, g.b from r join g on g.gap = r.gap and g.a = r.x),
  m as (select gap, x, min(root) c from r group by 1, 2) select gap, count(distinct c) b0 from m group by 1""",

@@ -73,6 +73,12 @@ def _h1(s: SparkSession, d: str) -> DataFrame:
     return _round(dg.statistics(dg.rips_diagrams(_bundles(s, d), 1).filter("dim = 1")), "total_persistence", "persistence_norm", "entropy", "mean", "median", "max", "min", "std", "gini", "top1", "skew", "birth_mean", "birth_max")
 
 
+def _neighbour_graph(s: SparkSession, d: str) -> DataFrame:
+    """The cloud's graph of five nearest neighbours, as edges u < v with their lengths."""
+    near = pt.nearest(cloud(s, d), 5).select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.round("d", R).alias("d")).distinct()
+    return near.select(F.lit("all").alias("bundle"), "u", "v", "d")
+
+
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     """Results of a Mapper sweep as a table: cover sizes of the lens over a grid of settings."""
     grid = sw.grid_table(s, {"n": [4, 6, 8], "overlap": [0.2, 0.3, 0.4, 0.5]})
@@ -151,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "barcode_longest": lambda s, d: _round(dg.longest(diagram(s, d).withColumn("birth", F.col("birth")), 5).groupBy("bundle", "dim").agg(F.sum("life").alias("life")), "life"),
     "betti0_at_eps": _betti0,
     "h1_statistics": _h1,
+    "knn_graph_h0": lambda s, d: _round(dg.graph_diagrams_of(_neighbour_graph(s, d), 0), "death"),
+    "knn_graph_loops": lambda s, d: _round(dg.statistics(dg.graph_diagrams_of(_neighbour_graph(s, d)).filter("dim = 1")), *STATS),
+    "sparse_rips_statistics": lambda s, d: _round(dg.statistics(dg.sparse_diagrams(_bundles(s, d), 0.5)), *STATS),
     "cover_cells": lambda s, d: mp.cover(lens(s, d), 5, 0.3).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")),
     "nerve_edges": lambda s, d: mp.nerve_edges(mp.cover(lens(s, d), 5, 0.3)),
     "nerve_betti": lambda s, d: mp.nerve_betti(mp.cover(lens(s, d), 5, 0.3)),
@@ -167,9 +176,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_steps": lambda s, d: _round(se.rolling_groups(trajectory(s, d), 10, 5).groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean"),
     "grid_expand": _sweep,
     "plateaus": lambda s, d: sw.plateaus(_sweep(s, d).withColumn("width", F.col("width") * 10), ["width"], ["n", "overlap"], 2),
-    "local_dimension": lambda s, d: _round(se.local_dimension(cloud(s, d).withColumn("bundle", F.lit("all")), 10, 32, 2), "mean", "std"),
-    "calibrated_dimension": lambda s, d: _round(se.calibrated_dimension(_bundles(s, d), dims=(1, 2, 5, 10, 20), repeats=2), "dimension"),
-    "ph_dimension": lambda s, d: _round(se.ph_dimension(cloud(s, d).withColumn("bundle", F.lit("all")), sizes=(50, 100, 200, 400)), "dimension", "slope"),
+    "local_dimension": lambda s, d: _round(se.local_dimension(cloud(s, d).withColumn("bundle", F.lit("all"))), "mean", "std"),
+    "calibrated_dimension": lambda s, d: _round(se.calibrated_dimension(_bundles(s, d)), "dimension"),
+    "ph_dimension": lambda s, d: _round(se.ph_dimension(cloud(s, d).withColumn("bundle", F.lit("all"))), "dimension", "slope"),
     "magnitude_dimension": lambda s, d: _round(se.magnitude_dimension(_bundles(s, d)), "dimension"),
     "uncertainty_scores": _tu,
     "gram_view": lambda s, d: _round(wt.matrix_view(weights(s, d), "gram_rows"), "v"),
@@ -187,8 +196,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preprocess_dense_part": lambda s, d: pp.prepare(_bundles(s, d).select("id", "x"), ("density", 20, 0.3)).select("id"),
     "global_dimension": lambda s, d: _round(se.global_dimension(_bundles(s, d)), "dimension"),
     "bootstrap_dimension": lambda s, d: _round(se.bootstrap_dimension(_bundles(s, d)), "mean", "std"),
-    "geodesic_betti_grid": lambda s, d: _round(geo.betti_grid(_bundles(s, d), [3, 5, 7, 9], 0, 12), "eps"),
-    "geodesic_stable_cell": lambda s, d: _round(geo.stable_cell(geo.betti_grid(_bundles(s, d), [3, 4, 5, 6, 7, 8], 0, 12)), "eps"),
+    "geodesic_betti_grid": lambda s, d: _round(geo.betti_grid(_bundles(s, d), [3, 5, 7, 9], 1, 12), "eps"),
+    "geodesic_stable_cell": lambda s, d: _round(geo.stable_cell(geo.betti_grid(_bundles(s, d), [3, 4, 5, 6, 7, 8], 1, 12)), "eps"),
     "geodesic_optimal_k": lambda s, d: geo.optimal_k(_bundles(s, d), list(range(2, 9))),
     "mapper_hdbscan": lambda s, d: mp.cluster_cells(_bundles(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "hdbscan", min_cluster_size=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
     "mapper_dbscan_elbow": lambda s, d: mp.cluster_cells(_bundles(s, d).select("id", "x"), mp.cover(lens(s, d).select("id", F.slice("v", 1, 1).alias("v")), 6, 0.3), "dbscan", eps="elbow", min_samples=5).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
@@ -201,8 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mapper_l2_lens": lambda s, d: mapper_nodes(_bundles(s, d).select("id", "x"), "l2_norm", 8, 0.3, "single", cut=1.1).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")),
     "neuron_cloud": lambda s, d: _digest(neurons(_bundles(s, d).select("bundle", "id", F.transform("x", lambda v: F.round(v, 4)).alias("x")), True), "bundle", "id"),
     "analysis_neural_persistence": lambda s, d: _round(Analysis.from_preset("rieck2019").fit(weights(s, d)).groupBy("bundle").agg(F.sqrt(F.sum(F.when(F.col("death") < float("inf"), F.col("death") * F.col("death")))).alias("norm")), "norm"),
-    "analysis_correlation_moments": lambda s, d: _round(Analysis.from_preset("ballester2024", tool__max_dim=0).fit(_bundles(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),
-    "analysis_polyhedral": lambda s, d: _round(Analysis.from_preset("liu2023", tool__max_dim=0, tool__statistics="suite").fit(_bundles(s, d)), *STATS),
+    "analysis_correlation_moments": lambda s, d: _round(Analysis.from_preset("ballester2024").fit(_bundles(s, d)), *(f"{n}_{k}" for k in ("b", "d", "b2", "d2") for n in ("mean", "std"))),
+    "analysis_polyhedral": lambda s, d: _round(Analysis.from_preset("liu2023", tool__statistics="suite").fit(_bundles(s, d)), *STATS),
 }
 
 _E = "e as (select vec_id id, embedding::double[] x, label::bigint as label from embeddings)"
@@ -230,6 +239,14 @@ def _knn(k: int, d: str, e: str = _E) -> str:
  q as (select i, j, row_number() over (partition by i order by d, j)::int rank, d from p qualify rank <= {k}) select i, j, rank, round(d, 6) d from q"""
 
 
+def _forest(edges: str, order: str) -> str:
+    """SQL of the forest: an edge is in it if the edges before it don't join its ends.  edges: a select of (bundle, u, v, w)."""
+    return f"""fe as materialized ({edges}), fo as materialized (select *, row_number() over (partition by bundle order by w {order}, u, v) k from fe where u <> v),
+ fs as materialized (select bundle, u a, v b, k from fo union all select bundle, v, u, k from fo), fr(bundle, k, x) as (select bundle, k, u from fo union select fr.bundle, fr.k, fs.b from fr join fs on fs.bundle = fr.bundle and fs.a = fr.x and fs.k < fr.k),
+ tree as materialized (select bundle, u, v, w, k from fo where not exists (select 1 from fr where fr.bundle = fo.bundle and fr.k = fo.k and fr.x = fo.v)),
+ node as materialized (select bundle, u x from fe union select bundle, v from fe)"""
+
+
 _STEP = "case when birth is null then null " + " ".join(f"when birth - {a} <= {b} - birth then {a}" for a, b in zip(_SCHEDULE, _SCHEDULE[1:])) + f" else {_SCHEDULE[-1]} end"
 _STEP_D = "case when not isfinite(death) then death " + " ".join(f"when death - {a} <= {b} - death then {a}" for a, b in zip(_SCHEDULE, _SCHEDULE[1:])) + f" else {_SCHEDULE[-1]} end"
 _CENTRED = "e as (select vec_id id, list_transform(embedding::double[], lambda v: v - list_avg(embedding::double[])) x from embeddings)"
@@ -240,7 +257,14 @@ _K = """k as (select 0 layer_idx, label::bigint o, q - 1 i, (c - 1) // 8 h, (c -
 _U = "u as (select vec_id id, generate_subscripts(embedding, 1) c, unnest(embedding)::double v from embeddings)"
 _E8 = "e as (select vec_id id, embedding::double[] x from embeddings)"
 
+_NET = f"select 'all' bundle, 'a' || layer_idx || '-' || i u, 'a' || (layer_idx + 1) || '-' || j v, abs(w) w from w"
+_MERGED = "select bundle, 0.0::double birth, round((select max(w) from fe where fe.bundle = tree.bundle) - w, 6) + 0.0 death from tree union all select bundle, 0.0, 'inf'::double from (select bundle, unnest(range(n)) from (select node.bundle, count(*) - (select count(*) from tree where tree.bundle = node.bundle) n from node group by 1))"
+
 ORACLE_SQL: dict[str, str] = {
+    "superlevel_h0": f"with recursive {_W}, {_forest(_NET, 'desc')} {_MERGED}",
+    "knn_graph_h0": f"""with recursive {_E}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id), q as (select i, j, d from p qualify row_number() over (partition by i order by d, j) <= 5),
+ {_forest("select distinct 'all' bundle, least(i, j) u, greatest(i, j) v, round(d, 6) w from q", '')}, left_ as (select (select count(*) from node) - (select count(*) from tree) n)
+ select bundle, 0 dim, 0.0::double birth, round(w, 6) death from tree union all select 'all', 0, 0.0, 'inf'::double from (select unnest(range(n)) from left_)""",
     "two_nn_id": f"""with {_E}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id),
  r as (select i, d, row_number() over (partition by i order by d, j) rn from p qualify rn <= 2), m as (select i, max(case when rn = 1 then d end) r1, max(case when rn = 2 then d end) r2 from r group by i)
  select count(*) n, round(exp(-0.5772156649015329 - avg(ln(ln(r2 / r1)))), 6) id from m where r1 > 0 and r2 > r1""",
