@@ -36,9 +36,9 @@ from .components import connected_components
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 64
-#: Runs of a batch, batches at most, and the estimated recall that ends them.
-RUNS, BATCHES, RECALL = 8, 4, 0.999
-#: One of so many pairs is in the sample from which recall is estimated; fewer of them than LEAST_SAMPLE tell nothing.
+#: Runs of a batch, the estimated recall that ends them, and batches after which a recall below it is an error.
+RUNS, RECALL, BATCHES = 8, 0.999, 16
+#: One of so many pairs is in the sample from which recall is estimated; a sample of fewer than LEAST_SAMPLE is replaced by all pairs.
 SAMPLED, LEAST_SAMPLE = 16, 50
 DEPTH = 3
 #: Members of a bucket or group compared in one piece; larger ones in pairs of chunks of this size.
@@ -196,13 +196,13 @@ class _Forest:
         return [(c, x) for x in list(self.up) if (c := self.find(x)) != x]
 
 
-def _sampled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _sampled(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     x = _mix(a.astype(np.uint64) * _M ^ _mix(b.astype(np.uint64)))
-    return x % np.uint64(SAMPLED) == 0
+    return x % np.uint64(share) == 0
 
 
-def _candidates(t):
-    """Stars of the pairs whose sketches agree enough, in the buckets of one call (run null), and a sample of the likely links."""
+def _candidates(t, share: int = SAMPLED):
+    """Stars of the pairs whose sketches agree enough, in the buckets of one call (run null), and a sample (one in `share`) of the likely links."""
     need = int(SKETCH * (THRESHOLD - SLACK))
     t = t.combine_chunks()
     path, run, ca, cb, chunk, rep = (t[c].to_numpy(zero_copy_only=False) for c in ("path", "run", "cell_a", "cell_b", "chunk", "rep"))
@@ -213,7 +213,7 @@ def _candidates(t):
     def link(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> None:
         forest.add(rep[i], rep[j])
         u, v = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        k = (u != v) & (agree >= SKETCH * THRESHOLD) & _sampled(u, v)
+        k = (u != v) & (agree >= SKETCH * THRESHOLD) & _sampled(u, v, share)
         if k.any():
             found.append((u[k], v[k], run[i][k]))
 
@@ -306,7 +306,7 @@ def _verify(t):
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "links"), cols)})
 
 
-def _batch(reps: DataFrame, roots: range, small: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
+def _batch(reps: DataFrame, roots: range, small: int, share: int = SAMPLED) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
     """Candidate edges of some runs; how often sampled pairs were found (a, b, run); sets that were in large buckets."""
     known = reps.select(F.col("node").alias("rep"), "sketch")
     nodes = _walk(known, roots)
@@ -329,7 +329,7 @@ def _batch(reps: DataFrame, roots: range, small: int) -> tuple[list[DataFrame],
         chunks = F.ceil(F.col("n") / small)
         calls = _calls(now, chunks, F.lit(1), CALL_ROWS)
         cells = _chunked(now, chunks, "rep").groupBy(F.pmod(F.xxhash64("path", "cell_a", "cell_b"), F.lit(calls)).alias("g"))
-        found = materialize(cells.applyInArrow(lean(_candidates), "a long, b long, run int"), "candidates")
+        found = materialize(cells.applyInArrow(lean(lambda t: _candidates(t, share)), "a long, b long, run int"), "candidates")
         edges.append(found.filter("run is null").select("a", "b"))
         hits.append(found.filter("run is not null"))
         if not more:
@@ -338,8 +338,8 @@ def _batch(reps: DataFrame, roots: range, small: int) -> tuple[list[DataFrame],
     return edges, reduce(DataFrame.unionByName, hits), reduce(DataFrame.unionByName, crowds).distinct() if crowds else None
 
 
-def _recall(hits: DataFrame, crowd: DataFrame | None, runs: int) -> float:
-    """Share of the links that some run found, from how many runs found each sampled one (the Chao estimate of the unseen).
+def _times(hits: DataFrame, crowd: DataFrame | None) -> dict[int, int]:
+    """How many of the sampled links each number of runs found.
 
     Members of large buckets are left out: a pivot stands for their pairs, which so meet by chance only.
     """
@@ -347,27 +347,42 @@ def _recall(hits: DataFrame, crowd: DataFrame | None, runs: int) -> float:
         for side in ("a", "b"):
             hits = hits.join(crowd.select(F.col("rep").alias(side)), side, "left_anti")
     times = hits.groupBy("a", "b").agg(F.count_distinct("run").alias("k")).groupBy("k").count()
-    f = {r["k"]: r["count"] for r in times.collect()}  # a row for each number of runs at most
-    seen = sum(f.values())
-    if seen < LEAST_SAMPLE:
-        return 1.0
-    unseen = (runs - 1) / runs * f.get(1, 0) ** 2 / (2 * max(1, f.get(2, 0)))
-    return seen / (seen + unseen)
+    return {r["k"]: r["count"] for r in times.collect()}  # a row for each number of runs at most
+
+
+def _estimate(times: dict[int, int], runs: int) -> float:
+    """Share of the links that some run found (the Chao estimate of the unseen)."""
+    seen = sum(times.values())
+    unseen = (runs - 1) / runs * times.get(1, 0) ** 2 / (2 * max(1, times.get(2, 0)))
+    return seen / (seen + unseen) if seen else 1.0
 
 
-def candidates(reps: DataFrame, runs: int = RUNS, small: int = SMALL, recall: float = RECALL) -> tuple[DataFrame, float]:
-    """Candidate edges (a, b) of reps (node, sketch), from batches of runs until the recall wanted; and the estimated recall."""
+def _recall(hits: DataFrame, crowd: DataFrame | None, runs: int) -> float:
+    return _estimate(_times(hits, crowd), runs)
+
+
+def candidates(reps: DataFrame, runs: int = RUNS, small: int = SMALL, recall: float = RECALL, batches: int = BATCHES) -> tuple[DataFrame, float]:
+    """Candidate edges (a, b) of reps (node, sketch), from batches of runs until the recall wanted; and the estimated recall.
+
+    Recall is estimated from a sample of the pairs, or, where that would be a few pairs only,
+    from all of them.  An estimate still below `recall` after so many batches is an error.
+    """
     edges, hits, crowd = [], None, None
-    for batch in range(BATCHES):
-        more, own, many = _batch(reps, range(batch * runs, (batch + 1) * runs), small)
+    for batch in range(batches):
+        done = (batch + 1) * runs
+        more, own, many = _batch(reps, range(done - runs, done), small)
         edges += more
         hits = own if hits is None else hits.unionByName(own)
         crowd = many if crowd is None else crowd if many is None else crowd.unionByName(many)
-        found = _recall(hits, crowd, (batch + 1) * runs)
-        _log.info("after %d runs the estimated recall is %.5f", (batch + 1) * runs, found)
+        times = _times(hits, crowd)
+        if sum(times.values()) < LEAST_SAMPLE:  # few links outside large buckets: take them all
+            calm = reps if crowd is None else reps.join(crowd.select(F.col("rep").alias("node")), "node", "left_anti")
+            times = _times(_batch(calm, range(done), small, 1)[1], None)
+        found = _estimate(times, done)
+        _log.info("after %d runs the estimated recall is %.5f", done, found)
         if found >= recall:
-            break
-    return reduce(DataFrame.unionByName, edges), found
+            return reduce(DataFrame.unionByName, edges), found
+    raise RuntimeError(f"after {batches * runs} runs the estimated recall is {found:.4f}, not {recall}: allow more batches")
 
 
 def _nodes(keyed: DataFrame) -> DataFrame:

@@ -154,7 +154,10 @@ def voters(rows, y: np.ndarray, part: np.ndarray) -> tuple[list[set[int]], int]:
 
 
 def learn(keys, rows) -> tuple[np.ndarray, np.ndarray, LabelModel]:
-    """(columns, weights and bias, label model) of rows; keys: (id, label), the label -1 where there is none."""
+    """(columns, weights and bias, label model) of rows, one or more; keys: (id, label), the label -1 where there is none.
+
+    The label model is fitted on the rows that no lexicon was found on, or, where these are fewer than two, on all.
+    """
     y = np.array([r for _, r in keys], float)
     part = np.array([i for i, (d, r) in enumerate(keys) if r >= 0 and crc32(str(d).encode(), 9) % 2 == 0], int)
     sets, lexicons = voters(rows, y, part)
@@ -163,6 +166,8 @@ def learn(keys, rows) -> tuple[np.ndarray, np.ndarray, LabelModel]:
     start = (votes[:, : len(LEXICONS)].any(axis=1)) | (votes[:, :lexicons].sum(axis=1) >= 2)
     # the rows that lexicons were found on would flatter them
     other = np.setdiff1d(np.arange(len(rows)), part)
+    if len(other) < 2:  # hardly any others: better flattered than none
+        other = np.arange(len(rows))
     model = fit_label_model(votes[other], start[other])
     q = model.posterior(votes)
     # The classifier sees features whose posterior mass departs clearly from the mean, and the hand-written words.

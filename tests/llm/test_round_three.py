@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import merkle as mk, ranks, sharding as sh, spelling as sp
+from strataloom.llm import jaccard_join as jj, merkle as mk, ranks, sharding as sh, spelling as sp, toxicity as tx
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, pos int, word string, n int"
 
@@ -287,3 +287,52 @@ def test_stacks_stay_logarithmic_and_in_time():
         for _ in t:
             pass
         assert t.most <= 5 * levels and t.late == 0
+
+
+# Recall of the join, and few labels
+
+
+def _near_pairs(n, r):
+    for i in range(n):
+        w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+        yield 2 * i, " ".join(w)
+        w[r.randrange(60)] = "changed"
+        yield 2 * i + 1, " ".join(w)
+
+
+def test_recall_follows_its_formula(spark):
+    rows = [(a, a + 1, run) for a, runs in ((1, 3), (10, 1), (20, 1), (30, 2), (40, 1)) for run in range(runs)]
+    hits = spark.createDataFrame(rows, "a long, b long, run int")
+    f1, f2, seen, runs = 3, 1, 5, 8
+    assert jj._recall(hits, None, runs) == pytest.approx(seen / (seen + (runs - 1) / runs * f1**2 / (2 * f2)))
+    crowd = spark.createDataFrame([(10,), (21,)], "rep long")
+    assert jj._recall(hits, crowd, runs) == pytest.approx(3 / (3 + 7 / 8 * 1 / 2))
+
+
+def test_few_links_are_all_counted_and_missed_recall_is_an_error(spark, monkeypatch):
+    r = random.Random(6)
+    docs = spark.createDataFrame(list(_near_pairs(40, r)), "doc_id long, text string")
+    reps = jj._nodes(jj.sets(docs))
+    _, every, _ = jj._batch(reps, range(8), jj.SMALL, 1)
+    assert every.select("a", "b").distinct().count() > jj._batch(reps, range(8), jj.SMALL)[1].select("a", "b").distinct().count()
+    edges, found = jj.candidates(reps)
+    assert found >= jj.RECALL and edges.distinct().count() >= 40
+    with pytest.raises(RuntimeError, match="allow more batches"):
+        jj.candidates(reps, runs=1, recall=1.1, batches=2)
+    seen = []
+    monkeypatch.setattr(jj, "_estimate", lambda times, runs: seen.append(runs) or (1.0 if len(seen) > 2 else 0.5))
+    jj.candidates(reps, runs=2)
+    assert seen == [2, 4, 6]  # goes on until it is reached
+
+
+def test_toxicity_with_hardly_any_labels(spark):
+    docs = [(i, "you are an idiot" if i % 3 == 0 else f"a fine day number {i}") for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    learned = [i for i in range(12) if zlib.crc32(str(i).encode()) % 5]
+    inside = [i for i in learned if zlib.crc32(str(i).encode(), 9) % 2 == 0]  # lexicons are found on these
+    for ids in ([], learned[:1], inside[:1], inside[:2], inside[:3], learned):
+        labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id long, toxic int")
+        for some in (frame, frame.filter(F.col("doc_id").isin(ids))):
+            got = tx.score_toxicity(some, labels).collect()
+            assert len(got) == some.count() and all(0 <= x.score <= 1 for x in got)
+            assert tx.keep_clean(some, labels).columns == some.columns
