@@ -128,7 +128,7 @@ def _near(words: DataFrame, bits: int = 64) -> DataFrame:
         return t.select(["id", "place"]).take(pa.array(at)).append_column("alike", pa.array(alike)).append_column("apart", pa.array(apart))
 
     keyed = words.select("id", "word").mapInArrow(lean_batches(emit), "radix int, key long, id long, place int, first boolean")
-    met = keyed.groupBy("radix").applyInArrow(lean(meet), "id long, place int, alike boolean, apart boolean")
+    met = materialize(keyed.groupBy("radix").applyInArrow(lean(meet), "id long, place int, alike boolean, apart boolean"), "met")
     rest = F.when(F.col("place") < 0, F.col("word")).otherwise(without("word", F.col("place")))
     some = met.join(words, "id").withColumn("rest", rest).withColumn("self", F.struct((-F.col("n")).alias("less"), F.col("word").alias("word"))).select("id", "rest", "place", "alike", "apart", "self").repartition("rest")
     # Replaced: all words of a remainder and place are near one another.
