@@ -348,6 +348,15 @@ def magnitude(d: np.ndarray, t: float) -> float:
     return float(np.linalg.lstsq(z, np.ones(len(d)), rcond=None)[0].sum())
 
 
+def magnitude_slope(d: np.ndarray, scales: int = 30) -> float:
+    """Largest slope of log magnitude over log scale; NaN if fewer than five scales can be used."""
+    med = np.median(d[~np.eye(len(d), dtype=bool) & (d > 0)])
+    t = np.geomspace(0.01 / med, 100 / med, scales)
+    m = np.array([magnitude(d, x) for x in t])
+    ok = (m > 0) & (m <= 1.05 * len(d))
+    return float(np.gradient(np.log(m[ok]), np.log(t[ok])).max()) if ok.sum() >= 5 else float("nan")
+
+
 def hop_distances(near: np.ndarray) -> np.ndarray:
     """Hop counts in an undirected graph; unreachable pairs get twice the largest finite count."""
     n = len(near)

@@ -242,7 +242,7 @@ def row_lens(points: DataFrame, f) -> DataFrame:
 
 
 def resolve_lens(points: DataFrame, lens) -> DataFrame:
-    """(id, v) of a lens by name: l2 (or l2_norm), pcaN, coordN, density, eccentricity, entropy; or a callable of the whole table."""
+    """(id, v) of a lens by name: l2 (or l2_norm), pcaN, umapN, tsne2, mdsN, coordN, density, eccentricity, entropy; or a callable of the whole table."""
     if callable(lens):
         return lens(points)
     if lens in ("l2", "l2_norm"):
@@ -257,6 +257,12 @@ def resolve_lens(points: DataFrame, lens) -> DataFrame:
     name, k = lens.rstrip("0123456789"), lens[len(lens.rstrip("0123456789")) :]
     if name == "pca":
         return pca_lens(points, int(k or 1))
+    if name in ("umap", "tsne", "mds"):
+        from . import embed
+
+        if name == "tsne" and k not in ("", "2"):
+            raise ValueError("the lens tsne has two dimensions")
+        return embed.tsne(points) if name == "tsne" else {"umap": embed.umap, "mds": embed.landmark_mds}[name](points, int(k or 2))
     if name == "coord":
         return points.select("id", F.array(F.col("x")[int(k or 0)]).alias("v"))
     raise ValueError(f"unknown lens {lens!r}")

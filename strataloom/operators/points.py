@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import EULER, distance_block
+from ..sources.scratch import written
 
 #: Points of a block; a cell compares two blocks.
 BLOCK = 1024
@@ -130,8 +131,8 @@ def density_filter(points: DataFrame, k: int, quantile: float) -> DataFrame:
     return dens.join(F.broadcast(cut), F.col("density") >= F.col("cut")).select("id", "density")  # one row
 
 
-def labelled_vertices(points: DataFrame, source: int, quantile: float = 0.5, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
-    """(id, gap): points (id, x, label) of the source class whose least distance to other classes is within that quantile of it."""
+def labelled_vertices(points: DataFrame, source: int, quantile: float = 0.5, metric: str = "euclidean", block: int = BLOCK, gamma: float | None = None) -> DataFrame:
+    """(id, gap): points (id, x, label) of the source class whose least distance to other classes is at most gamma, by default that quantile of it."""
 
     def cell(t):
         x = np.stack(t["x"].to_numpy(zero_copy_only=False)).astype(float)
@@ -142,10 +143,44 @@ def labelled_vertices(points: DataFrame, source: int, quantile: float = 0.5, met
         return pa.table({"id": pa.array(ids[p][: len(gap)], pa.int64()), "gap": pa.array(gap, pa.float64())})
 
     gaps = cells(points.select("id", "x", "label"), block).groupBy("a", "b").applyInArrow(cell, "id long, gap double").groupBy("id").agg(F.min("gap").alias("gap"))
+    if gamma is not None:
+        return gaps.filter(F.col("gap") <= gamma)
     cut = gaps.agg(F.percentile("gap", F.lit(quantile)).alias("cut"))
     return gaps.join(F.broadcast(cut), F.col("gap") <= F.col("cut")).select("id", "gap")  # one row
 
 
+def local_radii(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """(id, r): distance to the k-th nearest other point, or to the furthest of fewer; 1 where that is 0."""
+    far = nearest(points, k, metric).groupBy(F.col("i").alias("id")).agg(F.max("d").alias("r"))
+    return far.select("id", F.when(F.col("r") > 0, F.col("r")).otherwise(1.0).alias("r"))
+
+
+def labelled_complex(points: DataFrame, source: int | None = None, quantile: float = 0.5, gamma: float | None = None, scale: str = "global", k_local: int = 5, metric: str = "euclidean", most: float = float("inf"), block: int = BLOCK) -> DataFrame:
+    """(i, j, d) of the pairs i < j of labelled_vertices() of points (id, x, label): their distance, up to `most`.
+
+    scale local: over the root of the product of the two points' local_radii() among the
+    vertices.  source: the least label by default.  Fewer than two labels are an error, as are
+    fewer than three vertices.  Extra columns are ignored.
+    """
+    if scale not in ("global", "local"):
+        raise ValueError(f"unknown scale {scale!r}")
+    least = points.agg(F.min("label"), F.max("label")).first()
+    if least[0] == least[1]:
+        raise ValueError("a labelled complex needs two labels or more")
+    source = least[0] if source is None else source
+    keep = written(labelled_vertices(points, source, quantile, metric, block, gamma).select("id"), "vertices")
+    n = keep.count()
+    if n < 3:
+        raise ValueError(f"{n} points of label {source} are near the others: raise gamma or the quantile")
+    own = points.select("id", "x").join(keep, "id", "left_semi")
+    if scale == "global":
+        return pairs_within(own, most, metric, block)
+    r = written(local_radii(own, min(k_local, n - 1), metric), "radii")
+    pairs = pairs_within(own, float("inf"), metric, block)
+    both = pairs.join(r.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(r.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
+    return both.select("i", "j", (F.col("d") / F.sqrt(F.col("ri") * F.col("rj"))).alias("d")).filter(F.col("d") <= most)
+
+
 def patterns(points: DataFrame) -> DataFrame:
     """(pattern, first_id, n): activation patterns (coordinate > 0) and the points of each region."""
     p = F.array_join(F.transform("x", lambda v: (v > 0).cast("int").cast("string")), "")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.kernels import distance_block, knn_log_statistic, magnitude, point_tree, two_nn_dimension
+from ..functions.kernels import distance_block, knn_log_statistic, magnitude_slope, point_tree, two_nn_dimension
 from ..sources.scratch import written
 
 
@@ -183,15 +183,7 @@ def ph_dimension(points: DataFrame, alpha: float = 1.0, sizes: tuple[int, ...] |
 
 def magnitude_dimension(points: DataFrame, scales: int = 30) -> DataFrame:
     """(bundle, n, dimension): largest slope of log magnitude over log scale."""
-
-    def f(d):
-        med = np.median(d[~np.eye(len(d), dtype=bool) & (d > 0)])
-        t = np.geomspace(0.01 / med, 100 / med, scales)
-        m = np.array([magnitude(d, x) for x in t])
-        ok = (m > 0) & (m <= 1.05 * len(d))
-        return (float(np.gradient(np.log(m[ok]), np.log(t[ok])).max()) if ok.sum() >= 5 else float("nan"),)
-
-    return _grouped(points, f, {"dimension": 0})
+    return _grouped(points, lambda d: (magnitude_slope(d, scales),), {"dimension": 0})
 
 
 def roc(scores: DataFrame) -> DataFrame:

@@ -69,8 +69,15 @@ class Analysis:
         if self.builder == "labelled_complex_graph":
             source = o.get("source")
             source = data.agg(F.min("label")).first()[0] if source is None else source
-            near = pt.labelled_vertices(data, source, o.get("quantile", 0.5), o.get("distance", "euclidean"))
-            return self._read(data.join(near.select("id"), "id", "left_semi"), o.get("distance", "euclidean"))
+            how = o.get("distance", "euclidean")
+            if o.get("scale", "global") == "local":
+                if self.tool != "ph":
+                    raise ValueError("a local scale gives distances, not points: use the tool ph")
+                pairs = pt.labelled_complex(data, source, o.get("quantile", 0.5), o.get("gamma"), "local", o.get("k_local", 5), how)
+                t = self.tool_options
+                return self._summed(dg.matrix_diagrams(pairs.select(F.lit("all").alias("bundle"), "i", "j", "d"), "distance", t.get("max_dim", 1), t.get("threshold", float("inf")), t.get("coeff", 2)))
+            near = pt.labelled_vertices(data, source, o.get("quantile", 0.5), how, gamma=o.get("gamma"))
+            return self._read(data.join(near.select("id"), "id", "left_semi"), how)
         if self.builder == "polyhedral_graph":
             bits = F.transform("x", lambda v: (v > 0).cast("double"))
             regions = data.groupBy("bundle", bits.alias("x")).agg(F.min("id").alias("id"))

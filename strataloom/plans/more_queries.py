@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import diagrams as dg, graphs as gr, layers as ly, mapper as mp, series as se, training as tr, weights as wt
+from ..operators import diagrams as dg, forward as fw, graphs as gr, layers as ly, mapper as mp, points as pt, series as se, training as tr, weights as wt
 from . import queries as q, sweep as sw
 from .grid import MapperGrid
 from .queries import R, _bundles, _digest, _nodes, _round, _t, cloud, diagram, lens, trajectory, weights
@@ -118,7 +118,36 @@ def _phpm(s: SparkSession, d: str) -> DataFrame:
     return wt.prune_report(wt.loop_mask(w, wt.clique_diagram(wt.clique_relevance(w)), 0.4))
 
 
+def _samples(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(inputs, labels): suppliers as samples, mean quantities by line number as inputs, their commonest return flag as the label."""
+    li = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_linenumber").cast("long").alias("i"), F.ascii("l_returnflag").cast("long").alias("r"), "l_quantity")
+    flags = li.groupBy("sample", "r").agg(F.count(F.lit(1)).alias("c")).groupBy("sample").agg(F.min_by("r", F.struct(-F.col("c"), F.col("r"))).alias("label"))
+    return li.groupBy("sample", "i").agg(F.round(F.avg("l_quantity"), 4).alias("a")), flags
+
+
+def _net(s: SparkSession, d: str) -> DataFrame:
+    """Line number to return flag, and back onto return flags through the order status."""
+    li = _t(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("n"), F.ascii("l_returnflag").cast("long").alias("r"), F.ascii("l_linestatus").cast("long").alias("t"), (F.col("l_discount") - 0.05).alias("w"))
+    pairs = ((0, "n", "t"), (1, "t", "r"))
+    out = [li.groupBy(F.lit(k).alias("layer_idx"), F.col(a).alias("i"), F.col(b).alias("j")).agg((F.round(F.avg("w") * 1000, 4) + F.lit(0.0)).alias("w")) for k, a, b in pairs]
+    return out[0].unionByName(out[1])
+
+
+def _forward(s: SparkSession, d: str) -> DataFrame:
+    return _round(fw.forward(_samples(s, d)[0], _net(s, d), [0, 1]), "a")
+
+
+def _pruned(s: SparkSession, d: str) -> DataFrame:
+    x, y = _samples(s, d)
+    w = _net(s, d)
+    return _round(fw.pruned_accuracy(x, y, w, wt.magnitude_mask(w, 0.4), [0, 1]), "accuracy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "forward_pass": _forward,
+    "pruned_accuracy": _pruned,
+    "labelled_complex": lambda s, d: _round(pt.labelled_complex(cloud(s, d), 0), "d"),
+    "labelled_complex_local": lambda s, d: _round(pt.labelled_complex(cloud(s, d), 1, gamma=1.2, scale="local", k_local=4), "d"),
     "layer_catalogue": lambda s, d: ly.catalogue(weights(s, d)),
     "layer_selection": lambda s, d: ly.select_layers(ly.catalogue(weights(s, d)).select("layer_idx", F.concat(F.lit("fc"), "layer_idx").alias("name"), F.lit("linear").alias("kind"), "params"), [-1]),
     "factored_weights": lambda s, d: _round(ly.effective_weights(*_factors(s, d)), "w"),
@@ -176,7 +205,20 @@ _CLUSTERS = f"""{q._ONE}, near as materialized (select p.cell, p.id i, r.id j fr
  part as materialized (select cell, i id, min(root) root from walk group by 1, 2), lab as materialized (select cell, id, root, (dense_rank() over (partition by cell order by root) - 1)::int as label from part),
  node as (select cell || '/' || label as node, id from lab), ed as materialized (select a.node u, b.node v, count(*)::double w from node a join node b on a.id = b.id and a.node < b.node group by 1, 2)"""
 
+_NETS = """x as (select l_suppkey sample, l_linenumber::bigint i, round(avg(l_quantity), 4) a from lineitem group by 1, 2),
+ y as (select sample, arg_min(r, (-c, r)) as label from (select l_suppkey sample, ascii(l_returnflag)::bigint r, count(*) c from lineitem group by 1, 2) group by 1),
+ net as (select 0 layer_idx, l_linenumber::bigint i, ascii(l_linestatus)::bigint j, round(avg(l_discount - 0.05) * 1000, 4) w from lineitem group by 2, 3 union all select 1, ascii(l_linestatus)::bigint, ascii(l_returnflag)::bigint, round(avg(l_discount - 0.05) * 1000, 4) from lineitem group by 2, 3)"""
+_PASS = "h as (select sample, j i, greatest(sum(a * w), 0.0) a from x join {0} n on n.layer_idx = 0 and n.i = x.i group by 1, 2), o as (select sample, j i, sum(a * w) a from h join {0} n on n.layer_idx = 1 and n.i = h.i group by 1, 2)"
+_GAPS = "g as (select a.id, min(list_distance(a.x, b.x)) gap from e a, e b where a.label = {0} and b.label <> {0} group by 1), v as (select e.id, e.x from e join g on g.id = e.id where {1})"
+
 ORACLE_SQL: dict[str, str] = {
+    "forward_pass": f"with {_NETS}, {_PASS.format('net')} select sample, i, round(a, 6) + 0.0 a from o",
+    "pruned_accuracy": f"""with {_NETS}, k as (select round_even(count(*) * 0.4, 0)::bigint k from net), t as (select abs(w) cut from net order by 1 limit 1 offset (select k - 1 from k)),
+ cut as (select layer_idx, i, j, case when abs(w) > (select cut from t) then w else 0.0 end w from net), {_PASS.format('cut')}, b as (select sample, arg_min(i, (-a, i)) i from o group by 1)
+ select count(*) n, count(*) filter (b.i = y.label) correct, round(count(*) filter (b.i = y.label) / count(*), 6) accuracy from b join y on y.sample = b.sample""",
+    "labelled_complex": f"with {q._E}, {_GAPS.format(0, 'gap <= (select quantile_cont(gap, 0.5) from g)')} select a.id i, b.id j, round(list_distance(a.x, b.x), 6) d from v a, v b where a.id < b.id",
+    "labelled_complex_local": f"""with {q._E}, {_GAPS.format(1, 'gap <= 1.2')}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from v a, v b where a.id <> b.id), r as (select i, d r from p qualify row_number() over (partition by i order by d) = 4)
+ select p.i i, p.j j, round(p.d / sqrt(x.r * y.r), 6) d from p join r x on x.i = p.i join r y on y.i = p.j where p.i < p.j""",
     "layer_catalogue": f"with {q._W} select layer_idx, count(distinct i) n_in, count(distinct j) n_out, count(*) params, count(*) filter (w <> 0) nonzero from w group by 1",
     "layer_selection": f"with {q._W} select layer_idx, 'fc' || layer_idx as name, 'linear' kind, count(*) params from w group by 1 qualify layer_idx = max(layer_idx) over ()",
     "factored_weights": """with li as (select l_linenumber::bigint i, ascii(l_returnflag)::bigint j, l_quantity::bigint % 3 r, l_discount, l_tax from lineitem), u as (select j, r, avg(l_tax) u from li group by 1, 2),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import compare as cp, diagrams as dg, geodesic as geo, mapper as mp, points as pt, preprocess as pp, series as se, uncertainty as un, views as vw, weights as wt
+from ..operators import compare as cp, diagrams as dg, embed as em, geodesic as geo, mapper as mp, points as pt, preprocess as pp, series as se, uncertainty as un, views as vw, weights as wt
 from . import sweep as sw
 from .analysis import Analysis, mapper_nodes, neurons
 
@@ -79,6 +79,16 @@ def _neighbour_graph(s: SparkSession, d: str) -> DataFrame:
     return near.select(F.lit("all").alias("bundle"), "u", "v", "d")
 
 
+def _plane(embedding: DataFrame) -> DataFrame:
+    return embedding.select("id", F.round(F.col("v")[0], R).alias("v0"), F.round(F.col("v")[1], R).alias("v1"))
+
+
+def _nerve_entries(s: SparkSession, d: str) -> DataFrame:
+    """Points shared by the cells of the cover, as a similarity of cells numbered by their places."""
+    place = lambda c: F.element_at(F.split(c, "-"), 1).cast("long") * 5 + F.element_at(F.split(c, "-"), 2).cast("long")
+    return mp.nerve_edges(mp.cover(lens(s, d), 5, 0.3)).select(F.lit("all").alias("bundle"), place("a").alias("i"), place("b").alias("j"), F.col("shared").cast("double").alias("d"))
+
+
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     """Results of a Mapper sweep as a table: cover sizes of the lens over a grid of settings."""
     grid = sw.grid_table(s, {"n": [4, 6, 8], "overlap": [0.2, 0.3, 0.4, 0.5]})
@@ -169,6 +179,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mapper_nodes": lambda s, d: _nodes(s, d).groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")),
     "mapper_measures": lambda s, d: mp.graph_measures(_nodes(s, d)),
     "pca_lens": lambda s, d: mp.pca_lens(cloud(s, d), 2).select("id", F.round(F.col("v")[0], R).alias("v0"), F.round(F.col("v")[1], R).alias("v1")),
+    "umap_lens": lambda s, d: _plane(mp.resolve_lens(cloud(s, d), "umap2")),
+    "tsne_lens": lambda s, d: _plane(mp.resolve_lens(cloud(s, d), "tsne2")),
+    "mds_lens": lambda s, d: _plane(mp.resolve_lens(cloud(s, d), "mds2")),
+    "node_positions": lambda s, d: _plane(em.node_positions(_nerve_entries(s, d), "similarity").withColumnRenamed("i", "id")),
     "trajectory_distance": lambda s, d: _round(se.step_distances(trajectory(s, d)), "d"),
     "trajectory_loss_difference": lambda s, d: _round(se.step_distances(trajectory(s, d), "loss_difference"), "d"),
     "trajectory_smooth": lambda s, d: _round(se.smooth(trajectory(s, d).withColumnRenamed("coord", "key")), "v", "s"),
