@@ -58,7 +58,43 @@ def _quartiles_sql(name: str, keys: str) -> str:
  {name} as (select {by}ratio, any_value(rows) rows, min(case when upto >= 0.25 * rows then case when bin is null then 0 else pow({BIN}, bin + 0.5) end end) q1, min(case when upto >= 0.75 * rows then case when bin is null then 0 else pow({BIN}, bin + 0.5) end end) q3 from {name}_u group by all)"""
 
 
+#: crc32's table as one list, and the crc32 of a list of bytes.
+_CRC = "crc as materialized (select list(x order by i) t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) x from (select unnest(range(256)) i)))"
+
+
+def _crc32(of: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {of}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_ENCODED = " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end" for c in ("doc_id", "source", "lang", "n_chars"))
+_VALUE = "case when {0} is null then '-' else strlen({0}) || ':' || {0} end"
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """SQL of trees of three: {name} has every node (tree, level, pos, n, d) over the leaves of base, {name}_p each leaf's siblings (tree, pos, level, left, right)."""
+    return f"""{name}(tree, level, pos, n, d) as ({base} union all select tree, level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' order by pos)) from {name} where n > 1 group by tree, level, pos // 3),
+ {name}_p as materialized (select l.tree, l.pos, x.level, coalesce(string_agg(x.d, '' order by x.pos) filter (x.pos < l.pos // (3 ** x.level)::bigint), '') l, coalesce(string_agg(x.d, '' order by x.pos) filter (x.pos > l.pos // (3 ** x.level)::bigint), '') r
+ from {name} l join {name} x on x.tree is not distinct from l.tree and x.n > 1 and x.pos // 3 = l.pos // (3 ** (x.level + 1))::bigint where l.level = 0 group by 1, 2, 3)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling_variants": f"""with recursive {_CRC}, u as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) run from documents), v as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) c from u where len(run) >= 7 group by 1, 2),
+ h as (select run, c, len(run) k, {_crc32("flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda z: case when unicode(z) < 128 then [unicode(z)::bigint] else [192 + (unicode(z) >> 6), 128 + (unicode(z) & 63)]::bigint[] end))")} h from v, crc),
+ w as materialized (select case when h % 31 = 0 then left(run, (h % k)::int) || substr(run, (h % k)::int + 2) else run end word, sum(c)::bigint n from h group by 1 having len(word) >= 7 and n >= 2),
+ d as materialized (select word, n, p, left(word, p) || substr(word, p + 2) rest from (select word, n, unnest(range(len(word)))::int p from w)), e as (select distinct word, n, rest from d),
+ nr as (select a.word, a.n, b.word o, b.n m from d a join d b on a.rest = b.rest and a.p = b.p and a.word <> b.word union all select e.word, e.n, w.word, w.n from e join w on w.word = e.rest union all select w.word, w.n, e.word, e.n from e join w on w.word = e.rest),
+ b as (select word, n, count(*) c, arg_min(o, (-m, o)) o, max(m) m from nr group by 1, 2), f as materialized (select w.word, w.n, coalesce(c, 0) n_near, case when m >= 10 * w.n then o end form, case when m >= 10 * w.n then m end form_n from w left join b on w.word = b.word),
+ r(word, last_, form) as (select word, word, form from f union all select r.word, f.word, f.form from r join f on f.word = r.form)
+ select f.word, f.form, r.last_ root, n, n_near, form_n from f join r on r.word = f.word and r.form is null""",
+    "op13_merkle_manifest": f"""with recursive {_CRC}, a as (select doc_id, source, text, row_number() over () id, {_ENCODED} e from documents),
+ g as (select doc_id, source, id, sha256(e || {_VALUE.format("text")}) leaf, sha256(e || {_VALUE.format("replace(text, chr(10), '')")}) bare, {_crc32("list_transform(string_split(doc_id::varchar, ''), lambda z: ascii(z)::bigint)")} % 2 = 0 hit from a, crc),
+ o as materialized (select *, row_number() over (partition by source order by doc_id nulls first, leaf, id) - 1 pos, count(*) over (partition by source) n from g),
+ {_tree_sql("t", "select source, 0, pos, n, leaf from o")}, top as (select tree source, d subroot, row_number() over (order by tree nulls first) - 1 pos, count(*) over () n from t where n = 1),
+ {_tree_sql("s", "select 'all', 0, pos, n, subroot from top")}, path as (select tree source, pos, list({{'l': l, 'r': r}} order by level) p from t_p group by 1, 2), up as (select pos, list({{'l': l, 'r': r}} order by level) p from s_p group by 1),
+ z as (select o.doc_id, leaf, case when hit then bare else leaf end found, subroot, (select d from s where n = 1) root, list_concat(coalesce(path.p, []), coalesce(up.p, [])) p
+ from o join top on top.source is not distinct from o.source left join path on path.source is not distinct from o.source and path.pos = o.pos left join up on up.pos = top.pos),
+ q as (select *, sha256(list_aggregate(list_prepend('', list_transform(p, lambda x: x.l || x.r)), 'string_agg', '')) proof_sha256, list_reduce(list_prepend({{'l': '', 'r': found}}, p), lambda c, x: {{'l': '', 'r': sha256(x.l || c.r || x.r)}}).r folded_root from z)
+ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified from q""",
     "op4_quality_rules": f"""with t as (select row_number() over () r, doc_id, lang, source, coalesce(text, '') x from documents), w as (select r, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') w from t),
  ln as (select r, unnest(string_split(x, chr(10))) l from t), lc as (select r, count(*) - count(distinct l) dup from ln where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1),
  win as (select r, i, w[i:i + 7] v from (select r, w, unnest(range(1, greatest(1, len(w) - 6))) i from w)), again as (select r, v from win group by 1, 2 having count(*) > 1),
