@@ -78,6 +78,17 @@ def _tree_sql(name: str, base: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": """with recursive t as materialized (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda v: v <> '') w from documents),
+ b as materialized (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' ')))) s from t where len(w) > 0), c as materialized (select s, min(doc_id) set_id, len(s) k from b group by 1),
+ x as materialized (select set_id, k, unnest(s) z from c), l as materialized (select a.set_id a, b.set_id b from x a join x b on a.z = b.z and a.set_id < b.set_id group by 1, 2, a.k, b.k having count(*) >= 0.8 * (a.k + b.k - count(*)) - 1e-9),
+ y as materialized (select a, b from l union all select b, a from l), r(root, a) as (select set_id, set_id from c union select r.root, y.b from r join y on y.a = r.a), m as (select a, min(root) class_id from r group by 1), n as (select a, count(*) n from y group by 1)
+ select t.doc_id, coalesce(c.set_id, t.doc_id) set_id, coalesce(m.class_id, t.doc_id) class_id, coalesce(n.n, 0) n_links from t left join b on b.doc_id = t.doc_id left join c on c.s = b.s left join m on m.a = c.set_id left join n on n.a = c.set_id""",
+    "op9_suffix_dedup": """with t as materialized (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents), w as materialized (select doc_id, i, substr(h, 2 * i + 1, 100) s from (select doc_id, h, unnest(range(0, n - 49)) i from t)),
+ f as materialized (select s, min(doc_id) m from w group by 1 having count(distinct doc_id) > 1), i as materialized (select w.doc_id, i, i > 50 + lag(i) over (partition by w.doc_id order by i) cut from w join f on f.s = w.s and w.doc_id > f.m),
+ g as (select doc_id, i, count(*) filter (coalesce(cut, true)) over (partition by doc_id order by i) k from i), sp as materialized (select doc_id, k, min(i) a, max(i) + 50 z from g group by 1, 2),
+ p as (select sp.doc_id, k, a, z, coalesce(lag(z) over (partition by sp.doc_id order by k), 0) before from sp),
+ q as (select t.doc_id, any_value(n) n, coalesce(sum(z - a), 0)::bigint n_removed, count(k) n_spans, coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by k), '') || substr(any_value(h), 2 * coalesce(max(z), 0) + 1) kept from t left join p on p.doc_id = t.doc_id group by 1)
+ select doc_id, n n_bytes, n_removed, n_spans, sha256(unhex(kept)) kept_sha256 from q""",
     "op12_spelling_variants": f"""with recursive {_CRC}, u as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) run from documents), v as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) c from u where len(run) >= 7 group by 1, 2),
  h as (select run, c, len(run) k, {_crc32("flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda z: case when unicode(z) < 128 then [unicode(z)::bigint] else [192 + (unicode(z) >> 6), 128 + (unicode(z) & 63)]::bigint[] end))")} h from v, crc),
  w as materialized (select case when h % 31 = 0 then left(run, (h % k)::int) || substr(run, (h % k)::int + 2) else run end word, sum(c)::bigint n from h group by 1 having len(word) >= 7 and n >= 2),
