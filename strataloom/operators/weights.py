@@ -70,15 +70,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     return e.join(nxt, ["layer_idx", "j"]).select("layer_idx", "i", "j", "k", (F.col("r") * F.col("_r")).alias("r"))
 
 
-def clique_relevance(weights: DataFrame, mode: str = "positive") -> DataFrame:
-    """weights with r, the relevance that the clique complex uses: the positive part (or, absolute, the magnitude) over its sum in column j and 1e-12."""
+def clique_relevance(weights: DataFrame, mode: str = "positive", by: str | None = None) -> DataFrame:
+    """weights with r, the relevance that the clique complex uses: the positive part (or, absolute, the magnitude) over its sum in column j (of each model) and 1e-12."""
     part = {"positive": F.greatest("w", F.lit(0.0)), "absolute": F.abs("w")}[mode]
-    return weights.withColumn("r", part / (F.sum(part).over(Window.partitionBy("layer_idx", "j")) + 1e-12))
+    return weights.withColumn("r", part / (F.sum(part).over(Window.partitionBy(*([by] if by else []), "layer_idx", "j")) + 1e-12))
 
 
-def clique_diagram(edges: DataFrame, least: float = 1e-7) -> DataFrame:
+def clique_diagram(edges: DataFrame, least: float = 1e-7, by: str | None = None) -> DataFrame:
     """(dim, birth, death, birth_edge, death_triangle): persistence of the directed clique complex over schedule indices, one model in one group.
 
+    by: a column that tells several models apart (a member, an epoch); it leads the result, and every model is a group.
+
     The last two hold the real weights (layer:i:j) under the simplices that make and end a
     loop: an edge's own, or the two on the strongest path under an edge between layers two apart.
     """
@@ -119,7 +121,16 @@ def clique_diagram(edges: DataFrame, least: float = 1e-7) -> DataFrame:
             "birth_edge": pa.array([r[3] for r in rows], pa.list_(pa.string())), "death_triangle": pa.array([r[4] for r in rows], pa.list_(pa.string())),
         })
 
-    return edges.select("layer_idx", "i", "j", "r").groupBy(F.lit("all")).applyInArrow(run, "dim int, birth double, death double, birth_edge array<string>, death_triangle array<string>")
+    bars = "dim int, birth double, death double, birth_edge array<string>, death_triangle array<string>"
+    if by is None:
+        return edges.select("layer_idx", "i", "j", "r").groupBy(F.lit("all")).applyInArrow(run, bars)
+    kind = edges.schema[by].dataType
+
+    def own(key, t):
+        out = run(t)
+        return out.add_column(0, by, pa.array([key[0].as_py()] * len(out), t.schema.field(by).type))
+
+    return edges.select(by, "layer_idx", "i", "j", "r").groupBy(by).applyInArrow(own, f"`{by}` {kind.simpleString()}, {bars}")
 
 
 def superlevel_h0(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:

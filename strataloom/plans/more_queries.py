@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import diagrams as dg, forward as fw, graphs as gr, layers as ly, mapper as mp, points as pt, series as se, training as tr, weights as wt
+from ..operators import diagrams as dg, forward as fw, graphs as gr, layers as ly, mapper as mp, points as pt, pruned as pn, series as se, training as tr, weights as wt
+from ..sources.runs import RunStore
+from ..sources.scratch import shared_folder
 from . import queries as q, sweep as sw
 from .grid import MapperGrid
 from .queries import R, _bundles, _digest, _nodes, _round, _t, cloud, diagram, lens, trajectory, weights
@@ -143,7 +145,33 @@ def _pruned(s: SparkSession, d: str) -> DataFrame:
     return _round(fw.pruned_accuracy(x, y, w, wt.magnitude_mask(w, 0.4), [0, 1]), "accuracy")
 
 
+def _study(s: SparkSession, d: str) -> DataFrame:
+    """A stored study of the population's clouds: their points and mean lengths, by view and scaling, read back from its store."""
+    store = RunStore(s, f"{shared_folder(s)}/study")
+    out, configs = None, {}
+    for c in sw.expand_grid({"view": ["full", "rows", "cols"], "scaled": ["no", "l2"]}):
+        h = sw.config_hash(c)
+        configs[h] = c
+        points = ly.population_cloud(_population(s, d), c["view"], None if c["scaled"] == "no" else "l2")
+        length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+        own = points.agg(F.count(F.lit(1)).alias("points"), F.avg(length).alias("length")).select(F.lit(h).alias("hash"), F.lit("ok").alias("status"), "points", "length")
+        out = own if out is None else out.unionByName(own)
+    store.record_configs(configs)
+    store.write_manifest(configurations=len(configs))
+    store.record(out, "all")
+    return _round(store.rows("points long, length double", "view string, scaled string").select("view", "scaled", "status", "points", "length"), "length")
+
+
+def _member_cliques(s: SparkSession, d: str) -> DataFrame:
+    """Merges of the clique complex of every member of the population."""
+    bars = wt.clique_diagram(wt.clique_relevance(_population(s, d), by="member_id"), by="member_id")
+    return bars.filter("dim = 0").groupBy("member_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "study_rows": _study,
+    "member_cliques": _member_cliques,
+    "knn_pruned": lambda s, d: _round(pn.nearest(cloud(s, d), 5), "d"),
     "forward_pass": _forward,
     "pruned_accuracy": _pruned,
     "labelled_complex": lambda s, d: _round(pt.labelled_complex(cloud(s, d), 0), "d"),
@@ -212,6 +240,13 @@ _PASS = "h as (select sample, j i, greatest(sum(a * w), 0.0) a from x join {0} n
 _GAPS = "g as (select a.id, min(list_distance(a.x, b.x)) gap from e a, e b where a.label = {0} and b.label <> {0} group by 1), v as (select e.id, e.x from e join g on g.id = e.id where {1})"
 
 ORACLE_SQL: dict[str, str] = {
+    "study_rows": f"""with {_POP}, f as (select 'full' "view", member_id m, 0 n, w from pop union all select 'rows', member_id, i, w from pop union all select 'cols', member_id, j, w from pop), p as (select "view", m, n, sqrt(sum(w * w)) l from f group by 1, 2, 3),
+ sc as (select unnest(['no', 'l2']) scaled) select "view", scaled, 'ok' status, count(*) points, round(avg(case scaled when 'no' then l else l / (l + 1e-12) end), 6) length from p, sc group by 1, 2""",
+    "member_cliques": f"""with recursive {_POP}, rl as (select *, greatest(w, 0.0) / (sum(greatest(w, 0.0)) over (partition by member_id, layer_idx, j) + 1e-12) r from pop),
+ sx as (select member_id, i, j, len(list_filter({_SCHEDULE}::double[], lambda x: x > r)) + 1 k, r from rl), {q._forest("select member_id bundle, 'a' || i u, 'b' || j v, k w from sx where r >= 1e-7", '')},
+ al as (select member_id bundle, 'a' || i x from pop union select member_id, 'b' || j from pop), c as (select bundle, count(*) - (select count(*) from tree where tree.bundle = al.bundle) n from al group by 1)
+ select bundle member_id, 0.0::double birth, w::double death, count(*) n from tree group by 1, 3 union all select bundle, 0.0, 'inf'::double, n from c""",
+    "knn_pruned": q.ORACLE_SQL["knn_topk"],
     "forward_pass": f"with {_NETS}, {_PASS.format('net')} select sample, i, round(a, 6) + 0.0 a from o",
     "pruned_accuracy": f"""with {_NETS}, k as (select round_even(count(*) * 0.4, 0)::bigint k from net), t as (select abs(w) cut from net order by 1 limit 1 offset (select k - 1 from k)),
  cut as (select layer_idx, i, j, case when abs(w) > (select cut from t) then w else 0.0 end w from net), {_PASS.format('cut')}, b as (select sample, arg_min(i, (-a, i)) i from o group by 1)
