@@ -5,7 +5,8 @@ they fill best.  If none has room, a bin is opened whose size is chosen jointly
 pieces still to come: for every permitted length the filling that the remaining pieces
 would give is worked out (longest that fits, again and again, less what open bins can
 take), and the length with the least cost per token held is opened.  In the end every bin
-shrinks to the least permitted length that holds its contents.  The cost of a length
+shrinks to the least permitted length that holds its contents.  A group is packed so with
+every choice of the permitted lengths, and its cheapest packing stays.  The cost of a length
 counts a fixed share for each sequence, its tokens, and the attention over it.
 
 Documents are dealt at random to groups of a bounded total length and packed group by
@@ -16,7 +17,9 @@ themselves: token ids with the bounds of their documents.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +59,26 @@ def filling(lengths: list[int], sums: list[int], at: int, space: int) -> int:
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = bin_cost) -> tuple[list[int], list[int], list[int]]:
     """Bins of pieces of the given lengths, in descending order and each at most the largest capacity.
 
-    Returns (bin, offset) of each piece and the length of each bin.
+    Every choice of some of the permitted lengths that holds the longest piece is packed, and
+    the cheapest packing stays (of equal ones that of more lengths), so it is never dearer
+    than that of any single length.  Returns (bin, offset) of each piece and the length of
+    each bin, which may be any permitted one.
     """
     sizes = sorted(capacities)
+    longest = int(lengths[0]) if len(lengths) else 0
+    best, least = ([], [], []), float("inf")
+    for n in range(len(sizes), 0, -1):
+        for some in combinations(sizes, n):
+            if some[-1] >= longest:
+                found = _pack(lengths, list(some), sizes, cost)
+                total = sum(cost(c) * k for c, k in Counter(found[2]).items())
+                if total < least:
+                    best, least = found, total
+    return best
+
+
+def _pack(lengths: np.ndarray, sizes: list[int], permitted: list[int], cost: Callable[[int], float]) -> tuple[list[int], list[int], list[int]]:
+    """The packing that opens bins of some sizes only; in the end every bin shrinks to the least permitted length."""
     costs = [cost(c) for c in sizes]
     every = lengths.tolist()
     sums = [0, *np.cumsum(lengths).tolist()]
@@ -78,7 +98,8 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
             space, b = free.pop(at)
             spare -= space
         else:
-            space = min(((c, k) for c, k in zip(sizes, costs) if c >= n), key=lambda x: price(*x, n, i + 1))[0]
+            fit = [(c, k) for c, k in zip(sizes, costs) if c >= n]
+            space = (fit[0] if len(fit) == 1 else min(fit, key=lambda x: price(*x, n, i + 1)))[0]
             b = len(used)
             used.append(0)
         bins.append(b)
@@ -87,7 +108,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
         if space > n:
             insort(free, (space - n, b))
             spare += space - n
-    return bins, offsets, [sizes[bisect_left(sizes, u)] for u in used]
+    return bins, offsets, [permitted[bisect_left(permitted, u)] for u in used]
 
 
 def byte_ids(text: bytes) -> np.ndarray:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import jaccard_join as jj, merkle as mk, ranks, sharding as sh, spelling as sp, toxicity as tx
+from strataloom.llm import jaccard_join as jj, merkle as mk, packing as pk, ranks, sharding as sh, spelling as sp, toxicity as tx
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, pos int, word string, n int"
 
@@ -336,3 +336,24 @@ def test_toxicity_with_hardly_any_labels(spark):
             got = tx.score_toxicity(some, labels).collect()
             assert len(got) == some.count() and all(0 <= x.score <= 1 for x in got)
             assert tx.keep_clean(some, labels).columns == some.columns
+
+
+# Packing
+
+
+@pytest.mark.parametrize("draw", ["lognormal", "equal", "halves", "thirds", "short"])
+def test_a_mix_is_never_dearer_than_one_length(draw):
+    r = np.random.default_rng(7)
+    lengths = {
+        "lognormal": lambda: np.minimum(r.lognormal(6.5, 1.2, 3000).astype(np.int64) + 1, 32768), "equal": lambda: np.full(2000, 1100), "halves": lambda: r.integers(1400, 2048, 2000),
+        "thirds": lambda: r.integers(2500, 3500, 1500), "short": lambda: r.integers(1, 60, 4000),
+    }[draw]()
+    lengths = np.sort(lengths)[::-1]
+    price = lambda found: sum(map(pk.bin_cost, found[2]))
+    mixed = pk.pack(lengths)
+    for c in pk.CAPACITIES:
+        if c >= lengths[0]:
+            assert price(mixed) <= price(pk.pack(lengths, (c,)))
+    held = np.bincount(mixed[0], weights=lengths)
+    assert (held <= mixed[2]).all() and set(mixed[2]) <= set(pk.CAPACITIES)
+    assert pk.pack(np.zeros(0, np.int64)) == ([], [], [])
