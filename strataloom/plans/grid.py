@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graphs as gr, mapper as mp, preprocess as pp
 from ..sources import store
+from ..sources.scratch import written
 from . import sweep as sw
 
 #: Settings of a configuration and their defaults.
@@ -67,6 +68,7 @@ class MapperGrid:
         ready: dict = {}
         covers, points, about = None, None, {}
         how: dict[str, tuple] = {}
+        read: dict[tuple, dict] = {}  # settings read off a cloud
         for h, c, why in self.checked():
             if why or h in done:
                 continue
@@ -76,14 +78,18 @@ class MapperGrid:
                 ready[shape] = (own, own.count(), {})
             own, n, lenses = ready[shape]
             key = repr(c["lens"])
-            if key not in lenses:
-                lenses[key] = mp.resolve_lens(own, c["lens"])
-            dims = len(lenses[key].first()["v"])
+            if key not in lenses:  # made once for all configurations that share it
+                made = written(mp.resolve_lens(own, c["lens"]), "lens")
+                lenses[key] = made, len(made.first()["v"])
+            lens, dims = lenses[key]
             ns = c["n_intervals"] if isinstance(c["n_intervals"], list) else [c["n_intervals"]] * dims
             settings = {k: c[k] for k in _NEEDS[c["clusterer"]]} | {"metric": c["metric"]}
-            how[h] = (c["clusterer"], mp.calibrate(own, c["clusterer"], settings))
+            known = (*shape, c["clusterer"], repr(settings))
+            if known not in read:
+                read[known] = mp.calibrate(own, c["clusterer"], settings)
+            how[h] = (c["clusterer"], read[known])
             about[h] = {"points": n, "n_cells": _product(ns)}
-            cells = mp.cover(lenses[key], ns, c["overlap"]).select(F.lit(h).alias("hash"), F.lit("|".join(map(str, shape))).alias("shape"), "cell", "id")
+            cells = mp.cover(lens, ns, c["overlap"]).select(F.lit(h).alias("hash"), F.lit("|".join(map(str, shape))).alias("shape"), "cell", "id")
             covers = cells if covers is None else covers.unionByName(cells)
         for shape, (own, _, _) in ready.items():
             named = own.select(F.lit("|".join(map(str, shape))).alias("shape"), "id", "x")

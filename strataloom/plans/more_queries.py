@@ -240,6 +240,11 @@ _PASS = "h as (select sample, j i, greatest(sum(a * w), 0.0) a from x join {0} n
 _GAPS = "g as (select a.id, min(list_distance(a.x, b.x)) gap from e a, e b where a.label = {0} and b.label <> {0} group by 1), v as (select e.id, e.x from e join g on g.id = e.id where {1})"
 
 ORACLE_SQL: dict[str, str] = {
+    "mapper_graph_statistics": f"""with recursive {_CLUSTERS}, sy as materialized (select u, v from ed union select v, u from ed), dg as (select u, count(*) d from sy group by 1), tr as (select x.u, count(*) t from sy x join sy y on y.u = x.v join sy z on z.u = y.v and z.v = x.u group by 1),
+ bf(a, x, h) as (select u, u, 0 from dg union select bf.a, sy.v, h + 1 from bf join sy on sy.u = bf.x where h < (select count(*) from dg)), ds as (select a, x, min(h) h from bf group by 1, 2), cc as (select a, min(x) c from ds group by 1), cs as (select c, count(*) k from cc group by 1),
+ big as (select c from cs order by k desc, c limit 1), n as (select (select count(*) from dg) n, (select count(*) // 2 from sy) m, (select count(*) from cs) b0)
+ select 'all' bundle, n nodes, m edges, round(2 * m / (n * (n - 1)), 6) density, (select round(avg(case when d > 1 then coalesce(t, 0) / (d * (d - 1)) else 0 end), 6) from dg left join tr on tr.u = dg.u) clustering,
+ (select max(h)::bigint from ds join cc on cc.a = ds.a where cc.c = (select c from big)) diameter, b0, m - n + b0 b1 from n""",
     "study_rows": f"""with {_POP}, f as (select 'full' "view", member_id m, 0 n, w from pop union all select 'rows', member_id, i, w from pop union all select 'cols', member_id, j, w from pop), p as (select "view", m, n, sqrt(sum(w * w)) l from f group by 1, 2, 3),
  sc as (select unnest(['no', 'l2']) scaled) select "view", scaled, 'ok' status, count(*) points, round(avg(case scaled when 'no' then l else l / (l + 1e-12) end), 6) length from p, sc group by 1, 2""",
     "member_cliques": f"""with recursive {_POP}, rl as (select *, greatest(w, 0.0) / (sum(greatest(w, 0.0)) over (partition by member_id, layer_idx, j) + 1e-12) r from pop),

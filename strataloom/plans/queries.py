@@ -54,11 +54,12 @@ def _bundles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tu(s: SparkSession, d: str) -> DataFrame:
-    """Samples are suppliers' line items by month: activations of the line number layer."""
-    li = _t(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("sample"), F.col("l_linenumber").cast("long").alias("i"), F.col("l_quantity").alias("q"))
-    acts = li.groupBy("sample", "i").agg(F.avg("q").alias("a")).withColumn("layer_idx", F.lit(1))
+    """Samples are groups of suppliers: activations of the suppliers and of the line number layer."""
+    li = _t(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("sample"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").alias("q"))
+    acts = [li.groupBy("sample", F.col(c).alias("i")).agg(F.avg("q").alias("a")).withColumn("layer_idx", F.lit(k)) for k, c in enumerate(("s", "n"))]
+    acts = acts[0].unionByName(acts[1])
     labels = acts.select("sample", (F.col("sample") % 3).alias("label")).distinct()
-    dia = un.tree_diagrams(weights(s, d).filter("layer_idx = 1"), acts)
+    dia = un.tree_diagrams(weights(s, d), acts)
     return _round(un.scores(dia, labels, un.class_means(dia, labels)), "score")
 
 
@@ -276,6 +277,10 @@ _MERGED = "select bundle, 0.0::double birth, round((select max(w) from fe where
 
 ORACLE_SQL: dict[str, str] = {
     "superlevel_h0": f"with recursive {_W}, {_forest(_NET, 'desc')} {_MERGED}",
+    "uncertainty_scores": f"""with recursive {_W}, li as (select l_suppkey % 50 sample, l_suppkey s, l_linenumber::bigint n, l_quantity q from lineitem), ac as (select sample, 0 layer_idx, s i, avg(q) a from li group by 1, 3 union all select sample, 1, n, avg(q) from li group by 1, 3),
+ {_forest("select sample || '/' || ac.layer_idx bundle, 'a' || ac.i u, 'b' || j v, abs(w * a) w from ac join w on w.layer_idx = ac.layer_idx and w.i = ac.i", 'desc')},
+ dg as (select split_part(bundle, '/', 1)::bigint sample, split_part(bundle, '/', 2)::int l, w x, row_number() over (partition by bundle order by w desc) pos from tree), mn as (select sample % 3 c, l, pos, avg(x) m from dg group by 1, 2, 3),
+ ly as (select sample, dg.l, sqrt(avg((x - m) ** 2)) r from dg join mn on mn.c = sample % 3 and mn.l = dg.l and mn.pos = dg.pos group by 1, 2) select sample, round(avg(r), 6) score from ly group by 1""",
     "knn_graph_h0": f"""with recursive {_E}, p as (select a.id i, b.id j, list_distance(a.x, b.x) d from e a, e b where a.id <> b.id), q as (select i, j, d from p qualify row_number() over (partition by i order by d, j) <= 5),
  {_forest("select distinct 'all' bundle, least(i, j) u, greatest(i, j) v, round(d, 6) w from q", '')}, left_ as (select (select count(*) from node) - (select count(*) from tree) n)
  select bundle, 0 dim, 0.0::double birth, round(w, 6) death from tree union all select 'all', 0, 0.0, 'inf'::double from (select unnest(range(n)) from left_)""",
