@@ -7,12 +7,10 @@ further columns, whatever their names, come along to the last stage but one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataloom.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
-from strataloom.llm._util import shared_dir, table
+from strataloom.llm._util import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents, each written and read again; the tables go when the session ends in good order."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(f"{at}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{at}/{name}")
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
