@@ -6,6 +6,8 @@ import numpy as np
 
 # The curve of attraction for a least distance of 0.1 and a spread of 1.
 CURVE = (1.577, 0.8951)
+#: Points up to which the pairs are faster than the Fourier transforms of a grid.
+DIRECT = 1500
 
 
 def fuzzy_weights(d: np.ndarray) -> np.ndarray:
@@ -102,6 +104,15 @@ def grid_repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
     return force, max(float(field(None, k1).sum()) - n, 1e-12)
 
 
+def repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The sums of grid_repulsion(): over the pairs where these are few, else over the grid."""
+    if len(y) > DIRECT:
+        return grid_repulsion(y)
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d * d).sum(axis=2))
+    return (d * (q * q)[:, :, None]).sum(axis=1), max(float(q.sum()) - len(y), 1e-12)
+
+
 def neighbour_epochs(x: np.ndarray, outside: np.ndarray, head: np.ndarray, tail: np.ndarray, p: np.ndarray, share: float, rounds: int, exaggeration: float, rate: float, momentum: float) -> np.ndarray:
     """x after some gradient steps of the neighbour embedding: attraction along edges of probability p, repulsion from the points of x, which stand for all (share of them)."""
     y, n = np.concatenate([x, outside]), len(x)
@@ -110,7 +121,7 @@ def neighbour_epochs(x: np.ndarray, outside: np.ndarray, head: np.ndarray, tail:
         d = y[head] - y[tail]
         f = (exaggeration * p / (1 + (d * d).sum(axis=1)))[:, None] * d
         pull = np.stack([np.bincount(head, f[:, c], n) for c in range(2)], axis=1)
-        force, z = grid_repulsion(y[:n])
+        force, z = repulsion(y[:n])
         g = 4 * (pull - share * force / z)  # both sums are of a part: 1 / share and 1 / share^2 of the whole
         gain = np.where((g > 0) == (speed > 0), gain * 0.8, gain + 0.2).clip(0.01)
         speed = momentum * speed - rate * gain * g
