@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._util import RUN_BYTES, lean, planes, run_count, text_bytes, unplanes
+from ._util import RUN_BYTES, lean, lean_batches, planes, run_count, text_bytes, unplanes
 from .exchange import MESSAGE, deliver, letters, pack, received, unpack, width
 
 WINDOW = 50
@@ -116,8 +116,38 @@ def anchors(buf: np.ndarray, offs: np.ndarray):
     return i0, i1, p, g, np.searchsorted(offs, i0, side="right") - 1
 
 
+def _squeeze(b: bytes) -> bytes:
+    """b by zstd, after its length."""
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
+def _bundled(schema: pa.Schema):
+    """Rows by their run, as compressed Arrow streams: a row for each run of a batch."""
+
+    def run(batches):
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            runs = t["run"].to_numpy()
+            order = np.argsort(runs, kind="stable")
+            t, names = t.drop_columns("run").take(pa.array(order)).combine_chunks(), np.unique(runs)
+            edge = np.searchsorted(runs[order], names).tolist() + [len(runs)]
+            for r, x, y in zip(names.tolist(), edge, edge[1:]):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, t.schema, options=how) as w:
+                    w.write_table(t.slice(x, y - x))
+                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], schema)
+
+    return run
+
+
 def _docs_of(t: pa.Table):
     """Rows of one run by id and text, an order that every reader of the run gets: ids, text buffer, offsets, table."""
+    t = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in t["rows"]])
     ids = t["doc_id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     if (ids[order][1:] == ids[order][:-1]).any():
@@ -369,7 +399,7 @@ def _send(nb: int, wide: int):
                 x, y = s.begin[b], s.begin[b + 1]
                 u, v = s.first[x], s.first[y]
                 said = (*front_code(s.keys[x:y], s.lcp[x:y]), planes(np.diff(s.first[x : y + 1]).astype(np.uint32)), planes(s.of[u:v]), planes(s.p[u:v].astype(np.uint32)))
-                out.append((b, pack([(0, z) for z in said])))
+                out.append((b, _squeeze(pack([(0, z) for z in said]))))
         return letters(t["run"][0].as_py(), out, wide)
 
     return run
@@ -433,7 +463,7 @@ def _answers(wide: int):
     def bucket(key, t):
         runs, keys, lcps, counts, ids, places = [], [], [], [], [], []
         for src, body in received(t):
-            h, rest, n, of, p = (x for _, x in unpack(body))
+            h, rest, n, of, p = (x for _, x in unpack(_unsqueeze(body)))
             runs.append(src)
             keys.append(np.frombuffer(front_decode(h, rest, _KEY), np.uint8).reshape(-1, _KEY))
             lcps.append(list(h))
@@ -548,10 +578,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, run_bytes: int = 2
     nb = max(8, n)
     wide = width(nb, direct)
     some = base.filter("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    hashes = deliver(some.groupBy("run").applyInArrow(lean(_hashes(nb, wide)), MESSAGE), wide)
-    held = deliver(hashes.groupBy("dst").applyInArrow(lean(_shared(wide, hot_runs)), MESSAGE), wide)
-    sent = deliver(some.groupBy("run").cogroup(held.groupBy("dst")).applyInArrow(lean(_send(nb, wide)), MESSAGE), wide)
-    answers = deliver(sent.groupBy("dst").applyInArrow(lean(_answers(wide)), MESSAGE), wide)
+    # A partition has about one run or bucket, whatever the size: the sorts before the groups stay in memory.
+    dealt = lambda df, key: df.repartition(nb, key)
+    some = dealt(some.mapInArrow(lean_batches(_bundled(pa.schema([("run", pa.int32()), ("rows", pa.binary())]))), "run int, rows binary"), "run")
+    hashes = dealt(deliver(some.groupBy("run").applyInArrow(lean(_hashes(nb, wide)), MESSAGE), wide), "dst")
+    held = dealt(deliver(hashes.groupBy("dst").applyInArrow(lean(_shared(wide, hot_runs)), MESSAGE), wide), "dst")
+    sent = dealt(deliver(some.groupBy("run").cogroup(held.groupBy("dst")).applyInArrow(lean(_send(nb, wide)), MESSAGE), wide), "dst")
+    answers = dealt(deliver(sent.groupBy("dst").applyInArrow(lean(_answers(wide)), MESSAGE), wide), "dst")
     schema = StructType([StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
     whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
     if with_text:
