@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import Union, dbscan_points, distance_block, elbow_points, hdbscan_points, linkage_labels, rips
 
-#: Neighbour and sample size of the density lens.
-DENSITY_K, DENSITY_SAMPLE = 200, 8000
+#: Neighbour of the density lens.
+DENSITY_K = 200
 
 
 def convert_overlap(value: float, frm: str = "width_ratio", to: str = "standard") -> float:
@@ -164,20 +164,14 @@ def exemplars(points: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return d.withColumn("rank", r).filter(F.col("rank") <= k).select("cell", "rank", "id")
 
 
-def codensity(points: DataFrame, sample: DataFrame, k: int) -> DataFrame:
-    """(id, v): distance to the k-th neighbour in a sample of bounded size; a point of the sample is its own first neighbour.
+def codensity(points: DataFrame, k: int) -> DataFrame:
+    """(id, v): distance of each point to its k-th neighbour, itself the first.  A cloud of no more than k points takes its last but one."""
+    from .points import nearest_within
 
-    A sample of no more than k points takes its last but one.
-    """
-    s = np.array([r["x"] for r in sample.select("x").collect()], float)
-    k = max(1, min(k, len(s) - 1))
-
-    def run(batches):
-        for t in batches:
-            d = distance_block(np.stack(t.column(1).to_numpy(zero_copy_only=False)).astype(float), s)
-            yield pa.record_batch({"id": t.column(0), "v": pa.array(np.partition(d, k - 1, axis=1)[:, k - 1])})
-
-    return points.select("id", "x").mapInArrow(run, "id long, v double")
+    k = max(1, min(k, points.count() - 1))
+    if k == 1:
+        return points.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("v"))
+    return nearest_within(points, k - 1, (), last=True).select(F.col("i").alias("id"), F.col("d").alias("v"))
 
 
 def pca_lens(points: DataFrame, k: int) -> DataFrame:
@@ -207,14 +201,32 @@ def pca_lens(points: DataFrame, k: int) -> DataFrame:
     return points.select("id", "x").mapInArrow(project, "id long, v array<double>")
 
 
-def eccentricity_lens(points: DataFrame, exponent: float = 2.0, metric: str = "euclidean", block: int = 1024) -> DataFrame:
+def _root_mean_square(points: DataFrame, rows_of) -> DataFrame:
+    """eccentricity_lens of exponent 2: the mean of squared distances to all points is that to their mean, and the mean of theirs to it."""
+    dims = len(points.first()["x"]) if points.take(1) else 1
+    mean = points.agg(*[F.avg(F.col("x")[c]).alias(f"m{c}") for c in range(dims)]).first()
+    m = np.array([v or 0.0 for v in mean], float)
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                yield pa.record_batch({"id": t.column(0), "_q": pa.array(((rows_of(t.column(1)) - m) ** 2).sum(axis=1))})
+
+    q = points.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, "id long, _q double")
+    return q.join(F.broadcast(q.agg(F.avg("_q").alias("_c")))).select("id", F.array(F.sqrt(F.col("_q") + F.col("_c"))).alias("v"))  # one row
+
+
+def eccentricity_lens(points: DataFrame, exponent: float = 2.0, metric: str = "euclidean", block: int | None = None) -> DataFrame:
     """(id, v): the norm of a point's distances to all points, each to the exponent and over their number; an infinite exponent takes the largest.
 
-    Distances are made in cells of two blocks and summed up by point.
+    Squares of Euclidean distances add up to those from the mean and a constant, so nothing is
+    paired; others are made block by block and summed up by point.
     """
-    from .points import distance_sums
+    from .points import BLOCK, distance_sums, rows_of
 
-    d = distance_sums(points, exponent, metric, block)
+    if exponent == 2 and metric == "euclidean":
+        return _root_mean_square(points, rows_of)
+    d = distance_sums(points, exponent, metric, block or BLOCK)
     n = points.agg(F.count(F.lit(1)).alias("n"))
     if exponent == float("inf"):
         return d.groupBy("i").agg(F.max("m").alias("v")).select(F.col("i").alias("id"), F.array("v").alias("v"))
@@ -248,8 +260,7 @@ def resolve_lens(points: DataFrame, lens) -> DataFrame:
     if lens in ("l2", "l2_norm"):
         return points.select("id", F.array(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))).alias("v"))
     if lens == "density":
-        sample = points.orderBy(F.xxhash64("id", F.lit(0)), "id").limit(DENSITY_SAMPLE)
-        return codensity(points, sample, DENSITY_K).select("id", F.array("v").alias("v"))
+        return codensity(points, DENSITY_K).select("id", F.array("v").alias("v"))
     if lens == "eccentricity":
         return eccentricity_lens(points)
     if lens == "entropy":

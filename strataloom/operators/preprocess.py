@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from .mapper import codensity
 from .points import standardise
 
@@ -37,12 +38,10 @@ def norm_filter(points: DataFrame, q: float = 50.0, side: str = "high") -> DataF
     return own.join(F.broadcast(cut)).filter(keep).drop("_n", "_c")  # one row
 
 
-def dense_part(points: DataFrame, k: int = 200, share: float = 0.5, sample: int = 8000, seed: int = 0) -> DataFrame:
-    """The share of points with the smallest codensity: distance to the k-th neighbour in a sample of bounded size."""
+def dense_part(points: DataFrame, k: int = 200, share: float = 0.5) -> DataFrame:
+    """The share of points with the smallest codensity: distance to the k-th neighbour."""
     n = points.count()
-    ref = points if n <= sample else points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    size = min(n, sample)
-    v = codensity(points, ref, min(k, size - 1) if size > 1 else 1)
+    v = written(codensity(points, k), "codensity")
     keep = max(1, round(share * n))
     cut = _kth(v, keep)
     at = v.join(F.broadcast(cut))  # one row
