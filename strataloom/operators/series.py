@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.kernels import distance_block, knn_log_statistic, magnitude_slope, point_tree, two_nn_dimension
+from ..functions.kernels import EULER, distance_block, magnitude_slope, point_tree, two_nn_dimension
 from ..sources.scratch import written
+from .points import BLOCK, Nearest, nearest_within
 
 
 def smooth(series: DataFrame, window: int = 5) -> DataFrame:
@@ -79,22 +80,66 @@ def _grouped(points: DataFrame, f, columns: dict[str, object], metric: str = "eu
     return points.select(F.col("bundle").cast("string").alias("bundle"), "id", "x").groupBy("bundle").applyInArrow(run, "bundle string, n long, " + ", ".join(f"{c} double" for c in columns))
 
 
+def _clouds(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bundle, id, x), and (bundle, n): how many points each bundle has."""
+    own = points.select(F.col("bundle").cast("string").alias("bundle"), F.col("id").cast("long").alias("id"), "x")
+    return own, own.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _two(near: DataFrame, j: int, k: int) -> DataFrame:
+    """(bundle, i, rj, rk): distances to the j-th and the k-th neighbour."""
+    return near.groupBy("bundle", "i").agg(*[F.max(F.when(F.col("rank") == r, F.col("d"))).alias(c) for r, c in ((j, "rj"), (k, "rk"))])
+
+
 def global_dimension(points: DataFrame) -> DataFrame:
-    """(bundle, n, dimension): two-nearest-neighbour dimension of each bundle."""
-    return _grouped(points, lambda d: (two_nn_dimension(d),), {"dimension": 0})
+    """(bundle, n, dimension): two-nearest-neighbour dimension of each bundle, of any size."""
+    own, size = _clouds(points)
+    mu = F.when(F.col("rj") > 0, F.col("rk") / F.col("rj"))
+    mean = _two(nearest_within(own, 2), 1, 2).groupBy("bundle").agg(F.avg(F.when(mu > 1, F.log(F.log(mu)))).alias("m"))
+    value = F.when(F.col("n") > 1, F.coalesce(F.exp(-EULER - F.col("m")), F.lit(0.0))).otherwise(float("nan"))
+    return size.join(mean, "bundle", "left").select("bundle", "n", value.alias("dimension"))
 
 
-def bootstrap_dimension(points: DataFrame, draws: int = 20, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """(bundle, n, mean, std) of the two-nearest-neighbour dimension over random parts of each bundle."""
+def bootstrap_dimension(points: DataFrame, draws: int = 20, share: float = 0.8, seed: int = 0, near: int = 24) -> DataFrame:
+    """(bundle, n, mean, std) of the two-nearest-neighbour dimension over random parts of each bundle.
 
-    def f(d):
-        values = []
-        for r in range(draws):
-            pick = np.random.default_rng([seed, r]).choice(len(d), max(3, round(share * len(d))), replace=False)
-            values.append(two_nn_dimension(d[np.ix_(pick, pick)]))
-        return np.mean(values), np.std(values)
+    A part's neighbours are the first two that it holds of a point's `near` nearest of all; where it
+    holds fewer, twice as many are looked up.
+    """
+    own, size = _clouds(points)
+    place = F.row_number().over(Window.partitionBy("bundle").orderBy("id")) - 1
+    own = written(own.select("bundle", place.cast("long").alias("id"), "x"), "places")
+    k = near
 
-    return _grouped(points, f, {"mean": 0, "std": 0})
+    def run(key, t):
+        n = t["n"][0].as_py()
+        i, rank = t["i"].to_numpy(), t["rank"].to_numpy() - 1
+        j, d = np.zeros((n, k), np.int64), np.full((n, k), np.inf)
+        held = np.zeros((n, k), bool)
+        j[i, rank], d[i, rank], held[i, rank] = t["j"].to_numpy(), t["d"].to_numpy(), True
+        values, short = [], False
+        for r in range(draws if n > 2 else 0):
+            pick = np.random.default_rng([seed, r]).choice(n, max(3, round(share * n)), replace=False)
+            inside = np.zeros(n, bool)
+            inside[pick] = True
+            c = np.cumsum(inside[j[pick]] & held[pick], axis=1)
+            short |= k < n - 1 and bool((c[:, -1] < 2).any())
+            r1, r2 = (np.where(c[:, -1] >= q, d[pick][np.arange(len(pick)), (c == q).argmax(axis=1)], np.inf) for q in (1, 2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mu = np.where(r1 > 0, r2 / r1, 1.0)
+            mu = mu[mu > 1]
+            values.append(float(np.exp(-EULER - np.log(np.log(mu)).mean())) if len(mu) else 0.0)
+        mean, std = (float(np.mean(values)), float(np.std(values))) if values else (float("nan"),) * 2
+        return pa.table({"bundle": [key[0].as_py()], "mean": [mean], "std": [std], "short": [bool(short)]})
+
+    while True:
+        found = nearest_within(own, k).join(size, "bundle").groupBy("bundle").applyInArrow(run, "bundle string, mean double, std double, short boolean")
+        found = written(found, "draws")  # a row a bundle
+        if not found.filter("short").count():
+            break
+        k *= 2
+    nan = F.lit(float("nan"))
+    return size.join(found, "bundle", "left").select("bundle", "n", F.coalesce("mean", nan).alias("mean"), F.coalesce("std", nan).alias("std"))
 
 
 def _keyed(seed: int, *columns: str):
@@ -129,20 +174,47 @@ def local_dimension(points: DataFrame, anchors: int = 20, neighbours: int = 64,
     return size.join(per.groupBy("bundle").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), "bundle").select("bundle", "n", "mean", "std")
 
 
+def _log_statistic(rj: np.ndarray, rk: np.ndarray) -> float:
+    """Mean of -ln ln(R_k / R_j) where it is defined."""
+    ok = (rj > 0) & (rk > rj)
+    return float(-np.log(np.log(rk[ok] / rj[ok])).mean()) if ok.any() else float("nan")
+
+
 def calibrated_dimension(points: DataFrame, k: int = 10, j: int = 5, dims: tuple[int, ...] = tuple(range(1, 21)), repeats: int = 5, seed: int = 0) -> DataFrame:
-    """(bundle, n, dimension): exp(alpha L + beta), alpha and beta by least squares on Gaussian clouds of known dimension and the same size."""
-
-    def f(d):
-        rows = []
-        for dim in dims:
-            for r in range(repeats):
-                x = np.random.default_rng([seed, dim, r]).normal(size=(len(d), dim))
-                rows.append((knn_log_statistic(distance_block(x, x), k, j), np.log(dim)))
-        x, y = np.array([r for r in rows if np.isfinite(r[0])]).T
-        alpha, beta = np.polyfit(x, y, 1)
-        return (np.exp(alpha * knn_log_statistic(d, k, j) + beta),)
-
-    return _grouped(points, f, {"dimension": 0})
+    """(bundle, n, dimension): exp(alpha L + beta), alpha and beta by least squares on Gaussian clouds of known dimension and the same size.
+
+    Every Gaussian cloud is a task of its own that holds its points, not their distances; bundles of one size share them.
+    """
+    own, size = _clouds(points)
+    size = written(size, "sizes")
+
+    def gaussian(key, t):
+        n, dim, r = (v.as_py() for v in key)
+        x = np.random.default_rng([seed, dim, r]).normal(size=(n, dim))
+        ids, rj, rk = np.arange(n), [], []
+        for s in range(0, n, BLOCK):
+            near = Nearest(ids[s : s + BLOCK], x[s : s + BLOCK], k, "euclidean")
+            near.see(ids, x)
+            _, _, rank, d = near.rows()
+            rj.append(d[rank == j])
+            rk.append(d[rank == k])
+        value = _log_statistic(np.concatenate(rj), np.concatenate(rk))
+        return pa.table({"n": pa.array([n], pa.int64()), "dim": pa.array([dim], pa.int32()), "r": pa.array([r], pa.int32()), "v": [value]})
+
+    def fit(key, t):
+        t = t.sort_by([("dim", "ascending"), ("r", "ascending")])
+        v, dim = t["v"].to_numpy(), t["dim"].to_numpy()
+        ok = np.isfinite(v)
+        alpha, beta = np.polyfit(v[ok], np.log(dim[ok]), 1) if ok.any() else (float("nan"),) * 2
+        return pa.table({"n": pa.array([key[0].as_py()], pa.int64()), "alpha": [float(alpha)], "beta": [float(beta)]})
+
+    every = size.select("n").distinct().filter(F.col("n") > k)
+    every = every.withColumn("dim", F.explode(F.array(*[F.lit(int(q)) for q in dims]))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    line = every.repartition(4 * len(dims) * repeats, "n", "dim", "r").groupBy("n", "dim", "r").applyInArrow(gaussian, "n long, dim int, r int, v double").groupBy("n").applyInArrow(fit, "n long, alpha double, beta double")
+    ok = (F.col("rj") > 0) & (F.col("rk") > F.col("rj"))
+    stat = _two(nearest_within(own, k), j, k).groupBy("bundle").agg((-F.avg(F.when(ok, F.log(F.log(F.col("rk") / F.col("rj")))))).alias("s"))
+    value = F.coalesce(F.exp(F.col("alpha") * F.col("s") + F.col("beta")), F.lit(float("nan")))
+    return size.join(stat, "bundle", "left").join(line, "n", "left").select("bundle", "n", value.alias("dimension"))
 
 
 # The subset sizes of the published estimator, and those for smaller clouds.
