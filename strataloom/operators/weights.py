@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import laplacian_vectors, reduce_complex
 from .forest import TASK_EDGES, spanning_forest
+from .points import BLOCK, against, meeting
 
 
 def edge_weights(weights: DataFrame, how: str, activations: DataFrame | None = None) -> DataFrame:
@@ -167,6 +168,100 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("bundle", "node").agg(F.sum("w").alias("strength"), F.count(F.lit(1)).alias("degree"))
 
 
+class _Sparse:
+    """Rows of a matrix, as the places of their entries."""
+
+    def __init__(self, t: pa.Table, names: np.ndarray | None = None):
+        self.ids, o = t["id"].to_numpy(), t["o"].combine_chunks()
+        n = np.concatenate([c.value_lengths().to_numpy() for c in t["o"].chunks]) if t["o"].num_chunks else np.zeros(0, int)
+        row, flat = np.repeat(np.arange(len(n)), n), np.concatenate([np.zeros(0, int), *[c.flatten().to_numpy(zero_copy_only=False) for c in t["o"].chunks]]) if len(o) else np.zeros(0, int)
+        w = np.concatenate([np.zeros(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in t["w"].chunks]])
+        self.names = np.unique(flat) if names is None else names
+        place = np.minimum(np.searchsorted(self.names, flat), max(0, len(self.names) - 1))
+        known = self.names[place] == flat if len(self.names) else np.zeros(len(flat), bool)
+        self.row, self.place, self.w = row[known], place[known], w[known]
+        self.whole = len(self.row) == len(n) * len(self.names) and (np.bincount(self.row * len(self.names) + self.place, minlength=1) == 1).all() if len(self.row) < 1 << 26 else False
+
+    def part(self, x: int, y: int, c: int, d: int, entries: bool) -> np.ndarray:
+        """Rows x to y and columns c to d, filled; or 1 where there is an entry."""
+        lo, hi = np.searchsorted(self.row, (x, y))
+        row, place, w = self.row[lo:hi] - x, self.place[lo:hi], self.w[lo:hi]
+        if c or d < len(self.names):
+            use = (place >= c) & (place < d)
+            row, place, w = row[use], place[use], w[use]
+        out = np.bincount(row * (d - c) + place - c, None if entries else w, (y - x) * (d - c)).reshape(y - x, d - c)
+        return out.astype(np.float32) if entries else out
+
+
+def _gram(weights: DataFrame, axis: str, other: str, lags: bool, block: int = BLOCK) -> DataFrame:
+    """(layer_idx, a, b, v): products of the rows a <= b of each matrix that share a column; lags: (layer_idx, lag, s, c), their sums and counts by b - a, from each block.
+
+    Blocks of rows meet one another as products of matrices, so no product of two entries is a row.
+    """
+    kind = {c: weights.schema[c].dataType.simpleString() for c in ("layer_idx", axis)}
+    entry = F.collect_list(F.struct(F.col(other).alias("o"), F.col("w").cast("double").alias("w"))).alias("e")
+    rows = weights.groupBy("layer_idx", F.col(axis).alias("id")).agg(entry).select("layer_idx", "id", F.col("e.o").alias("o"), F.col("e.w").alias("w"))
+    wide, tall, deep = 2048, 512, 4096  # others, own rows and columns at a time
+    id_type, layer_type = pa.from_numpy_dtype("int64") if kind[axis] == "bigint" else None, rows.schema["layer_idx"].dataType
+
+    class Task:
+        def __init__(self, key, t):
+            self.layer, self.own, self.lags = key[0], _Sparse(t), []
+
+        def meet(self, t, own):
+            y = _Sparse(t, self.own.names)
+            x, k = self.own, len(self.own.names)
+            for s in range(0, len(x.ids), tall):
+                for q in range(0, len(y.ids), wide):
+                    s1, q1 = min(s + tall, len(x.ids)), min(q + wide, len(y.ids))
+                    v, shared = np.zeros((s1 - s, q1 - q)), np.zeros((s1 - s, q1 - q), np.float32)
+                    for c in range(0, k, deep):
+                        d = min(c + deep, k)
+                        v += x.part(s, s1, c, d, False) @ y.part(q, q1, c, d, False).T
+                        if not (x.whole and y.whole):
+                            shared += x.part(s, s1, c, d, True) @ y.part(q, q1, c, d, True).T
+                    ok = shared > 0 if not (x.whole and y.whole) else np.full(v.shape, k > 0)
+                    a, b = x.ids[s:s1, None], y.ids[None, q:q1]
+                    if own:
+                        ok &= a <= b
+                    u, w = np.nonzero(ok)
+                    if not len(u):
+                        continue
+                    a, b, v = x.ids[s:s1][u], y.ids[q:q1][w], v[u, w]
+                    a, b = (a, b) if own else (np.where(a < b, a, b), np.where(a < b, b, a))
+                    if lags:
+                        self._add(b - a, v)
+                    else:
+                        yield pa.record_batch({"layer_idx": pa.array([self.layer] * len(a)) if not isinstance(self.layer, int) else pa.array(np.full(len(a), self.layer, np.int64)), "a": pa.array(a, id_type), "b": pa.array(b, id_type), "v": pa.array(v)})
+
+        def _add(self, lag, v, c=None):
+            name, at = np.unique(lag, return_inverse=True)
+            self.lags.append((name, np.bincount(at, v), np.bincount(at, c)))
+            if c is None and sum(len(x) for x, _, _ in self.lags) > 1 << 22:
+                self._compact()
+
+        def _compact(self):
+            lag, v, c = (np.concatenate(x) for x in zip(*self.lags))
+            self.lags = []
+            self._add(lag, v, c)
+
+        def end(self):
+            if self.lags:
+                self._compact()
+                lag, v, c = self.lags[0]
+                yield pa.record_batch({"layer_idx": pa.array([self.layer] * len(lag)), "lag": pa.array(lag), "s": pa.array(v), "c": pa.array(c.astype(float))})
+
+    met = against(rows.withColumn("layer_idx", F.col("layer_idx").cast("long") if kind["layer_idx"] in ("int", "smallint", "tinyint") else F.col("layer_idx")), ("layer_idx",), block, True)
+    layer = met.schema["layer_idx"].dataType.simpleString()
+    run = meeting(("layer_idx",), Task)
+    if lags:
+        step = "double" if kind[axis] in ("float", "double") else "long"
+        out = met.mapInArrow(run, f"layer_idx {layer}, lag {step}, s double, c double")
+    else:
+        out = met.mapInArrow(run, f"layer_idx {layer}, a {kind[axis]}, b {kind[axis]}, v double")
+    return out.withColumn("layer_idx", F.col("layer_idx").cast(layer_type))
+
+
 def matrix_view(weights: DataFrame, view: str) -> DataFrame:
     """row_norm, col_norm, row_sum, col_sum: (layer_idx, n, v); gram_rows, gram_cols: (layer_idx, a, b, v) with a <= b; gram_diag: (layer_idx, lag, v); rows, cols: (layer_idx, n, x)."""
     axis, other = ("i", "j") if "row" in view or view == "gram_diag" else ("j", "i")
@@ -176,13 +271,11 @@ def matrix_view(weights: DataFrame, view: str) -> DataFrame:
         return weights.groupBy("layer_idx", F.col(axis).alias("n")).agg(F.sum("w").alias("v"))
     if view in ("rows", "cols"):
         return weights.groupBy("layer_idx", F.col(axis).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(other, "w"))), lambda s: s["w"]).alias("x"))
-    a = weights.select("layer_idx", F.col(other).alias("_o"), F.col(axis).alias("a"), F.col("w").alias("_x"))
-    b = weights.select("layer_idx", F.col(other).alias("_o"), F.col(axis).alias("b"), F.col("w").alias("_y"))
-    gram = a.join(b, ["layer_idx", "_o"]).filter("a <= b").groupBy("layer_idx", "a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))
     if view == "gram_diag":
-        return gram.groupBy("layer_idx", (F.col("b") - F.col("a")).alias("lag")).agg(F.avg("v").alias("v"))
+        sums = _gram(weights, axis, other, True).groupBy("layer_idx", "lag").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        return sums.select("layer_idx", "lag", (F.col("s") / F.col("c")).alias("v"))
     if view in ("gram_rows", "gram_cols"):
-        return gram
+        return _gram(weights, axis, other, False)
     raise ValueError(f"unknown view {view!r}")
 
 
