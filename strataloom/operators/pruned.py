@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import distance_block
 from ..sources.scratch import written
-from .points import BLOCK, _least
+from .points import BLOCK, Nearest
 
 #: Distances for which the triangle inequality holds.
 METRICS = ("euclidean", "cityblock", "hamming", "mean_difference")
 #: Pivots at most; each task holds them.
 PIVOTS = 1024
 _SLACK = 1e-9
+#: Rows sent at a time.
+_ROWS = 1 << 14
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
@@ -61,11 +63,12 @@ def _wanted(points: DataFrame, k: int, metric: str, pivots: int, block: int, see
 
     def bound(t):
         x = _stacked(t["x"])
-        far = np.full(len(x), np.inf)
+        ids, far = np.arange(len(x)), np.full(len(x), np.inf)
         if len(x) > k:
-            for s in range(0, len(x), 256):
-                d = distance_block(x[s : s + 256], x, metric)
-                far[s : s + 256] = np.partition(d, k, axis=1)[:, k]  # the point itself is one
+            near = Nearest(ids, x, k, metric)
+            near.see(ids, x)
+            i, _, rank, d = near.rows()
+            far[i[rank == k]] = d[rank == k]
         return t.select(["id", "x", "part"]).append_column("bound", pa.array(far))
 
     kind = points.schema["x"].dataType.simpleString()
@@ -86,8 +89,9 @@ def _wanted(points: DataFrame, k: int, metric: str, pivots: int, block: int, see
                     ok &= np.where(gap > 0, (d**2 - near**2) / (2 * gap), 0) <= reach
             ok[np.arange(len(p)), p] = True
             row, part = np.nonzero(ok & np.isfinite(radius)[None, :])
-            rows = t.select(["id", "x"]).take(pa.array(row))
-            yield pa.record_batch({"id": rows.column(0), "x": rows.column(1), "part": pa.array(part.astype(np.int32))})
+            for s in range(0, len(row), _ROWS):
+                rows = t.select(["id", "x"]).take(pa.array(row[s : s + _ROWS]))
+                yield pa.record_batch({"id": rows.column(0), "x": rows.column(1), "part": pa.array(part[s : s + _ROWS].astype(np.int32))})
 
     return written(held.mapInArrow(send, f"id long, x {kind}, part int"), "wanted"), dealt.select("id", "x", "part", "b")
 
@@ -119,16 +123,10 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", pivots: int =
         ids = t["id"].to_numpy()
         if asks.all() or not asks.any():
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        x = _stacked(t["x"])
-        rows: list[tuple] = []
-        mine, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        for s in range(0, len(mine), 256):
-            m = mine[s : s + 256]
-            d = distance_block(x[m], x[other], metric)
-            d[ids[m][:, None] == ids[other][None, :]] = np.inf
-            u, v = _least(d, ids[other], k)
-            rows.append((ids[m][u], ids[other][v], d[u, v]))
-        i, j, v = (np.concatenate(c) for c in zip(*rows))
+        x, mine, other = _stacked(t["x"]), np.flatnonzero(asks), np.flatnonzero(~asks)
+        near = Nearest(ids[mine], x[mine], k, metric)
+        near.see(ids[other], x[other])
+        i, j, _, v = near.rows()
         return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(v, pa.float64())})
 
     found = q.unionByName(a).groupBy("part", "b", "c").applyInArrow(cell, "i long, j long, d double")
