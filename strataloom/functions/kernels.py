@@ -41,6 +41,16 @@ def row_blocks(x: np.ndarray, metric: str = "euclidean", entries: int = 4_000_00
 
 def kth_distances(x: np.ndarray, k: int, metric: str = "euclidean") -> np.ndarray:
     """Place k of each row's sorted distances to all rows; the row itself has place 0."""
+    if metric == "euclidean" and k and np.isfinite(x).all():
+        from .screen import Nearest
+
+        ids, out = np.arange(len(x)), np.zeros(len(x))
+        for s in range(0, len(x), 1 << 14):
+            near = Nearest(ids[s : s + (1 << 14)], x[s : s + (1 << 14)], k, metric)
+            near.see(ids, x)
+            i, _, rank, d = near.rows()
+            out[i[rank == k]] = d[rank == k]
+        return out
     return np.concatenate([np.partition(d, k, axis=1)[:, k].copy() for _, d in row_blocks(x, metric)])
 
 
@@ -59,15 +69,18 @@ def minimum_spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
     return _prim(len(d), d.__getitem__)
 
 
-def _prim(n: int, row) -> list[tuple[float, int, int]]:
-    """The forest from a function that gives the weights of a row, so the matrix need not be held."""
+def _prim(n: int, row, bounded: bool = False) -> list[tuple[float, int, int]]:
+    """The forest from a function that gives the weights of a row, so the matrix need not be held.
+
+    bounded: the function also gets the least weights so far, and may leave out (as infinite) those that are no less; nodes in the tree have -inf.
+    """
     best, at, left, out = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), []
     for _ in range(n):
         i = int(np.flatnonzero(left)[np.argmin(best[left])])
         left[i] = False
         if np.isfinite(best[i]):
             out.append((float(best[i]), int(at[i]), i))
-        d = row(i)
+        d = row(i, np.where(left, best, -np.inf)) if bounded else row(i)
         near = left & (d < best)
         best[near], at[near] = d[near], i
     return sorted(out)
@@ -188,15 +201,23 @@ def dbscan(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
 
 def dbscan_points(x: np.ndarray, eps: float, min_samples: int, metric: str = "euclidean") -> np.ndarray:
     """dbscan of points: the same labels from blocks of distances, in memory that grows with the points and not their pairs."""
-    core = np.concatenate([(d <= eps).sum(axis=1) for _, d in row_blocks(x, metric)]) >= min_samples
-    labels, k, step = np.full(len(x), -1), 0, max(1, 4_000_000 // len(x))
+    from .screen import within
+
+    count = np.zeros(len(x), np.int64)
+    for at, _, near in within(x, x, eps, metric):
+        count[at : at + len(near)] += near.sum(axis=1)
+    core = count >= min_samples
+    labels, k, step = np.full(len(x), -1), 0, 1 << 14
     for s in np.flatnonzero(core):
         if labels[s] >= 0:
             continue
         labels[s], todo = k, np.array([s])
         while len(todo):
             part, todo, free = todo[:step], todo[step:], np.flatnonzero(labels < 0)
-            hit = free[(distance_block(x[part], x[free], metric) <= eps).any(axis=0)]
+            met = np.zeros(len(free), bool)
+            for _, at, near in within(x[part], x[free], eps, metric):
+                met[at : at + near.shape[1]] |= near.any(axis=0)
+            hit = free[met]
             labels[hit] = k
             todo = np.r_[todo, hit[core[hit]]]
         k += 1
@@ -430,8 +451,22 @@ def hdbscan(d: np.ndarray, least: int) -> np.ndarray:
 def hdbscan_points(x: np.ndarray, least: int, metric: str = "euclidean") -> np.ndarray:
     """hdbscan of points: the same labels from rows of distances, in memory that grows with the points and not their pairs."""
     core = kth_distances(x, min(least, len(x)) - 1, metric)
-    reach = lambda i: np.maximum(distance_block(x[i : i + 1], x, metric)[0], np.maximum(core[i], core))
-    return _stable(_prim(len(x), reach), len(x), least)
+    if metric != "euclidean" or not np.isfinite(x).all():
+        reach = lambda i: np.maximum(distance_block(x[i : i + 1], x, metric)[0], np.maximum(core[i], core))
+        return _stable(_prim(len(x), reach), len(x), least)
+    z = (x - x.mean(axis=0)).astype(np.float32)
+    size = (z * z).sum(axis=1)
+    slack = np.float32((x.shape[1] + 8) * 4.8e-7) * size + np.float32(1e-12 * np.abs(x).max(initial=0) ** 2)
+
+    def row(i, best):
+        """Reachability from i where it may be less than best; a product in single precision bounds the distance from below."""
+        low = size - 2 * (z @ z[i]) + size[i] - slack - slack[i]
+        some = np.flatnonzero((core < best) & (core[i] < best) & ((low <= 0) | (low < best * best * 1.000001)))
+        out = np.full(len(x), np.inf)
+        out[some] = np.maximum(distance_block(x[i : i + 1], x[some])[0], np.maximum(core[i], core[some]))
+        return out
+
+    return _stable(_prim(len(x), row, True), len(x), least)
 
 
 def _stable(tree: list[tuple[float, int, int]], n: int, least: int) -> np.ndarray:
