@@ -112,3 +112,20 @@ def test_density_lens_of_few_points(spark):
         v = {x.id: x.v[0] for x in mp.resolve_lens(points, "density").collect()}
         k = max(1, min(200, n - 1))
         assert v == {i: sorted(abs(i - j) for j in range(n))[k - 1] for i in range(n)}
+
+
+def test_loops_end_long_before_the_last_edge():
+    """A cloud in many dimensions: the work ends with its last loop, and no column is as long as the cloud."""
+    x = np.random.default_rng(8).normal(size=(220, 64))
+    d = distance_block(x, x)
+    seen = []
+
+    class Counted(co.Dense):
+        def before(self, e):
+            seen.append(e)
+            return super().before(e)
+
+    g = Counted(d, float(d.max(axis=1).min()))
+    bars = co.pairs(g)
+    assert sorted(bars) == sorted(co.pairs(g, True, 3)) and sum(k for k, _, _ in bars) > 200
+    assert 0 < len(seen) < g.none / 2
