@@ -26,3 +26,12 @@ def test_loops_of_hop_distances():
     x = np.random.default_rng(2).normal(size=(120, 20))
     g = _same(geodesic_distances(distance_block(x, x), 3))
     assert g.rank.itemsize == 4 and 0 < g.seen <= g.none
+
+
+def test_loops_of_a_sparse_filtration_with_most_pairs():
+    """In many dimensions a sparse filtration keeps most pairs: it is worked as a matrix of numbers, with the same bars as a list of edges."""
+    x = np.random.default_rng(3).normal(size=(90, 64))
+    u, v, length = co.sparse_edges(lambda i: distance_block(x[i : i + 1], x)[0], len(x), 0.5)
+    g = co.Sparse(u, v, length, len(x))
+    assert g.none * 16 >= g.n**2
+    assert sorted(co.pairs(g)) == sorted(co.pairs(co.Dense.of(g))) == sorted(co.pairs(g, True, 3))
