@@ -35,3 +35,10 @@ def test_loops_of_a_sparse_filtration_with_most_pairs():
     g = co.Sparse(u, v, length, len(x))
     assert g.none * 16 >= g.n**2
     assert sorted(co.pairs(g)) == sorted(co.pairs(co.Dense.of(g))) == sorted(co.pairs(g, True, 3))
+
+
+def test_loops_of_linear_regions():
+    """Shares of differing signs: few distinct lengths; the work ends with the last loop."""
+    x = (np.random.default_rng(4).normal(size=(160, 64)) > 0).astype(float)
+    g = _same(distance_block(x, x, "hamming"))
+    assert g.seen < g.none / 2
