@@ -86,6 +86,27 @@ def _prim(n: int, row, bounded: bool = False) -> list[tuple[float, int, int]]:
     return sorted(out)
 
 
+def bipartite_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """(length, row, column) of the minimum spanning forest of the graph that joins every row with every column; infinite entries are no edges."""
+    n, m = d.shape
+    turned = np.ascontiguousarray(d.T)
+    best, via, still = np.full(n + m, np.inf), np.zeros(n + m, int), np.ones(n + m, bool)
+    out, at = [], 0
+    for _ in range(n + m):
+        still[at] = False
+        best[at] = np.inf
+        side, new = (slice(n, None), d[at]) if at < n else (slice(0, n), turned[at - n])
+        near = np.flatnonzero((new < best[side]) & still[side])
+        best[side][near] = new[near]
+        via[side][near] = at
+        at = int(best.argmin())
+        if best[at] < np.inf:
+            out.append((float(best[at]), *((via[at], at - n) if at >= n else (at, via[at] - n))))
+        elif still.any():
+            at = int(still.argmax())
+    return out
+
+
 class Union:
     """Disjoint sets; a set's name is its smallest member."""
 
