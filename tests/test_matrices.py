@@ -63,3 +63,11 @@ def test_bipartite_forest():
         tree = bipartite_tree(d)
         assert all(d[a, b] == w for w, a, b in tree)
         assert sorted(w for w, _, _ in tree) == sorted(w for w, _, _ in minimum_spanning_tree(square))
+
+
+def test_no_entry_is_a_row_of_the_queries(spark):
+    """The queries on matrices keep their entries in tasks."""
+    from strataloom.plans.queries import QUERIES
+
+    plan = QUERIES["distance_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") <= 3 and "zip_with" not in plan
