@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.kernels import distance_block
 from ..functions.layout import attract_epochs, classical_scaling, fuzzy_weights, neighbour_epochs, perplexity_weights, stress_scaling
-from ..sources.scratch import written
+from ..sources.scratch import released, written
 from . import mapper as mp, points as pt
 
 #: Points of a part.
@@ -123,6 +123,8 @@ def _layout(edges: DataFrame, start: DataFrame, part: int, rounds: int, step: Ca
     for k in range(rounds):
         met = e.join(now.select(F.col("id").alias("j"), F.col("v").alias("vj")), "j")
         now = written(now.withColumn("part", of).groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_move(step, k), "id long, v array<double>"), "layout")
+        del met
+        released(now.sparkSession)  # a round's exchange is several times the edges
     return now
 
 

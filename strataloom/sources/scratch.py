@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,3 +29,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def released(spark: SparkSession) -> None:
+    """Shuffle files of plans that nobody holds any more go; else they stay until the driver happens to collect garbage, and loops pile them up."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -110,3 +110,14 @@ def test_few_points_and_names(spark):
     assert len(mp.resolve_lens(points, "mds1").first().v) == 1
     with pytest.raises(ValueError, match="two dimensions"):
         mp.resolve_lens(points, "tsne3")
+
+
+def test_rounds_let_go_of_their_exchange(spark, monkeypatch):
+    """After every round of a layout the shuffle files of the one before may go."""
+    calls = []
+    keep = em.released
+    monkeypatch.setattr(em, "released", lambda s: (calls.append(1), keep(s)))
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    cloud = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    assert em.tsne(cloud, perplexity=5.0, rounds=3, steps=2).count() == 40
+    assert len(calls) >= 3
