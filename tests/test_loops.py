@@ -56,7 +56,7 @@ def _tasks(spark, of):
     return {x.bundle: x.tasks for x in bars.groupBy("bundle").agg(F.collect_set("task").alias("tasks")).collect()}
 
 
-@pytest.mark.parametrize("of", [lambda t: dg.rips_diagrams(t, 1, metric="hamming")], ids=["rips"])
+@pytest.mark.parametrize("of", [lambda t: dg.rips_diagrams(t, 1, metric="hamming"), lambda t: dg.sparse_diagrams(t, 0.5)], ids=["rips", "sparse"])
 def test_each_cloud_with_loops_has_a_task_of_its_own(spark, of):
     tasks = _tasks(spark, of)
     assert len(tasks) == 8 and all(len(t) == 1 for t in tasks.values()) and len({t[0] for t in tasks.values()}) == 8
