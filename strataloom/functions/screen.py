@@ -28,6 +28,21 @@ def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def lawful(a: np.ndarray, b: np.ndarray, tolerance: float) -> np.ndarray:
+    """Pairs of a row of a and one of b whose euclidean distances, worked out either way, are surely finite, not negative and within a tolerance of each other.
+
+    A distance of d or more, whose square is known but for s, is known but for s / d.  Near and equal rows, and what isn't finite, are left to exact().
+    """
+    with np.errstate(all="ignore"):
+        p, q = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        g = np.column_stack([-2 * a, p, np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), q]).T
+        slack = 2.3e-16 * 8 * (a.shape[1] + 16) * (p[np.isfinite(p)].max(initial=0) + q[np.isfinite(q)].max(initial=0)) + 1e-300
+        least = 2 * slack + (2 * slack / tolerance) ** 2 if tolerance > 0 else np.inf
+        if g.min(initial=np.inf) >= least and g.max(initial=0) <= 1e300:
+            return np.broadcast_to(True, g.shape)
+        return (g >= least) & (g <= 1e300)
+
+
 class Screen:
     """Which pairs of fixed rows and others can be within a bound of each fixed row; every pair that is within it is among them."""
 

@@ -71,3 +71,30 @@ def test_no_entry_is_a_row_of_the_queries(spark):
 
     plan = QUERIES["distance_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and plan.count("Join") <= 3 and "zip_with" not in plan
+
+
+def test_a_checked_product_leaves_what_it_can_not_vouch_for(spark, monkeypatch):
+    """Euclidean entries by products of matrices: copies, near and far points, an id twice, numbers that are none or too large."""
+    monkeypatch.setattr(pt, "LEAST", 16)
+    monkeypatch.setattr(mx, "TILE", 20)
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(60, 3)), 1)
+    x[10:14], x[20], x[30], x[40], x[50] = x[0], x[1] + 1e-9, [np.nan, 0, 0], [np.inf, 1, 1], [1e200, 0, 0]
+    x[55:] += 1e7
+    rows = [("a", k, v.tolist()) for k, v in enumerate(x)]
+    cloud = spark.createDataFrame(rows, "bundle string, id long, x array<double>")
+    with np.errstate(all="ignore"):
+        want = sorted(map(tuple, dg.check_distances(_entries(spark, rows, distance_block)).collect()))
+    assert want[0][2] > 0 and sorted(map(tuple, mx.check(cloud).collect())) == want
+    twice = spark.createDataFrame([("a", k % 3, [float(k), 0.0]) for k in range(6)], "bundle string, id long, x array<double>")
+    assert tuple(mx.check(twice).first()) == tuple(mx.check(twice, lambda a, b: np.abs(a[:, None, 0] - b[None, :, 0])).first())
+
+
+def test_products_leave_few_distances_to_work_out():
+    from strataloom.functions.screen import lawful
+
+    x = np.random.default_rng(9).normal(size=(300, 64))
+    x[7] = x[3]
+    row, col = np.nonzero(~lawful(x, x, 1e-6))
+    assert set(zip(row.tolist(), col.tolist())) == {*((k, k) for k in range(300)), (3, 7), (7, 3)}
+    assert lawful(x[:100], x[100:], 1e-6).all() and not lawful(x, x, 0.0).any()
