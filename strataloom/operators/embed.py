@@ -1,10 +1,11 @@
 """Embeddings of clouds (id, x) as lenses and pictures: UMAP, t-SNE, multidimensional scaling.
 
-Both layouts go in rounds.  The points are dealt to parts by hash, so a part is a fair
+Both layouts go in rounds.  UMAP deals the points to parts by hash, so a part is a fair
 sample; in a round each part moves its own points for some epochs, with its neighbours in
 other parts as they were, and pushes them from one another, which stand for all points.
-Between rounds the parts exchange coordinates.  No task holds more than a part and its
-edges, and the result is the same in every run of one seed.
+Between rounds the parts exchange coordinates.  The tasks of a round of t-SNE exchange the
+coordinates in every step, and every point is pushed by all.  No task holds more than its
+points' edges and all coordinates, and the result is the same in every run of one seed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.kernels import distance_block
-from ..functions.layout import attract_epochs, classical_scaling, fuzzy_weights, neighbour_epochs, perplexity_weights, stress_scaling
+from ..functions.layout import attract_epochs, classical_scaling, fresh, fuzzy_weights, neighbour_steps, perplexity_weights, stress_scaling
+from ..functions.mesh import Alone, Mesh
 from ..sources.scratch import released, written
 from . import mapper as mp, points as pt
 
@@ -150,11 +152,42 @@ def umap(points: DataFrame, dims: int = 2, k: int = 15, metric: str = "euclidean
     return _layout(graph, start, part, rounds, step)
 
 
+def _together(step: Callable) -> Callable:
+    """A round of steps that all tasks of a stage take together: rows (id, s, j, w) of points with their state and edges to (id, s) after it."""
+
+    def run(batches):
+        from pyspark import BarrierTaskContext
+
+        ids, states, sizes, js, ws = [np.zeros(0, np.int64)], [np.zeros((0, 6))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for t in batches:
+            ids.append(t.column(0).to_numpy())
+            states.append(t.column(1).flatten().to_numpy().reshape(-1, 6))
+            sizes.append(np.diff(t.column(2).offsets.to_numpy()))
+            js.append(t.column(2).flatten().to_numpy())
+            ws.append(t.column(3).flatten().to_numpy())
+        ids, state, size, j, w = (np.concatenate(x) for x in (ids, states, sizes, js, ws))
+        context = BarrierTaskContext.get()
+        peers = Mesh(context) if len(context.getTaskInfos()) > 1 else Alone()
+        try:
+            every = peers.named(ids)
+            tail = np.searchsorted(every, j).astype(np.int32)
+            del j
+            state = step(state, np.searchsorted(every, ids), np.repeat(np.arange(len(ids), dtype=np.int32), size), tail, w, peers)
+        finally:
+            peers.close()
+        for s in range(0, len(ids), 65536):
+            e = min(s + 65536, len(ids))
+            yield pa.record_batch({"id": pa.array(ids[s:e]), "s": pa.ListArray.from_arrays(pa.array(np.arange(e - s + 1, dtype=np.int32) * 6), pa.array(state[s:e].reshape(-1)))})
+
+    return run
+
+
 def tsne(points: DataFrame, perplexity: float = 30.0, metric: str = "euclidean", seed: int = 0, rounds: int = 10, steps: int = 50, part: int = PART) -> DataFrame:
     """(id, v) of a cloud (id, x) in the plane: a layout whose neighbour probabilities match those of the cloud.
 
-    Attraction goes over three times the perplexity of neighbours, repulsion over a grid.  The
+    Attraction goes over three times the perplexity of neighbours, repulsion comes from all points, over a grid.  The
     first quarter of the rounds pulls twelve times as much.  Fewer than three points stand at the origin.
+    A round is one stage whose tasks (at most one a core, of at least part points) must all run at once.
     """
     n = points.count()
     if n < 3:
@@ -164,14 +197,25 @@ def tsne(points: DataFrame, perplexity: float = 30.0, metric: str = "euclidean",
     graph = _both_ways(_weighted(pt.nearest(points, k, metric), k, lambda d: perplexity_weights(d, perplexity)), lambda s, p: s / (2 * n))
     start = mp.pca_lens(points, min(2, len(points.first()["x"])))
     start = _scaled(start.select("id", F.array(F.col("v")[0], F.coalesce(F.get("v", F.lit(1)), F.lit(0.0))).alias("v")), 2, 1e-4, True)
-
-    def step(r, p, x, far, head, tail, w):
+    near = graph.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("e"))  # a point's neighbours, and those whose neighbour it is
+    near = written(near.select(F.col("i").alias("id"), F.col("e.j").alias("j"), F.col("e.w").alias("w")), "edges")
+    apart = [(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(c)), F.lit(2**20)) / 2.0**20 - 0.5) * 1e-6 for c in range(2)]  # copies part
+    now = written(start.select("id", F.array(*[F.col("v")[c] + a for c, a in enumerate(apart)], *[F.lit(x) for x in fresh(np.zeros((1, 2)))[0, 2:].tolist()]).alias("s")), "layout")
+    spark = now.sparkSession
+    slots = spark.sparkContext.defaultParallelism // int(spark.conf.get("spark.task.cpus", "1"))
+    tasks = max(1, min(-(-n // part), slots))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    for r in range(rounds):
         early = r < max(1, rounds // 4)
-        if r == 0:
-            x = x + np.random.default_rng([seed, p]).normal(scale=1e-6, size=x.shape)
-        return neighbour_epochs(x, far, head, tail, w, len(x) / n, steps, 12.0 if early else 1.0, max(n / 48, 50.0), 0.5 if early else 0.8)
 
-    return _layout(graph, start, part, rounds, step)
+        def step(state, at, head, tail, w, peers, early=early):
+            return neighbour_steps(state, at, head, tail, w, steps, 12.0 if early else 1.0, max(n / 48, 50.0), 0.5 if early else 0.8, peers)
+
+        met = now.join(near, "id", "left").select("id", "s", F.coalesce("j", none("bigint")).alias("j"), F.coalesce("w", none("double")).alias("w"))
+        now = written(met.repartition(tasks).mapInArrow(_together(step), "id long, s array<double>", barrier=True), "layout")
+        del met
+        released(spark)  # a round's exchange is as large as the edges
+    return now.select("id", F.slice("s", 1, 2).alias("v"))
 
 
 def landmark_mds(points: DataFrame, dims: int = 2, landmarks: int = 500, metric: str = "euclidean", seed: int = 0) -> DataFrame:
